@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel  # noqa: F401  (re-exported for jobs)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def text_chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[i
     n = len(column)
     if not n:
         return
-    lengths = np.asarray(pa.compute.binary_length(column).fill_null(0), dtype=np.int64)
+    lengths = np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64)
     ends = np.cumsum(lengths)
     at = 0
     while at < n:

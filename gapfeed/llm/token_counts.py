@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.compute.binary_length(column).cast(pa.int64()),
+                        pc.binary_length(column).cast(pa.int64()),
                         pa.array(tokens, pa.int64()),
                         pa.array([n > limit for n in tokens], pa.bool_()),
                         pa.array([None if c is None else len(c) for c in counts], pa.int64()),
