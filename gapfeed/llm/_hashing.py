@@ -28,7 +28,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 20) + 1
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, p, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64) for p in (_P, _P_INV)]
+        tables = []
+        for p in (_P, _P_INV):
+            steps = np.full(size, p, dtype=np.uint64)
+            steps[0] = 1
+            tables.append(np.cumprod(steps, dtype=np.uint64))
+        _powers[:] = tables
     return _powers[0], _powers[1]
 
 
