@@ -73,4 +73,5 @@ def texts_of(column: pa.Array) -> list[bytes]:
 def word_count(text: Column | str) -> Column:
     """Number of words of a text (null: 0)."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.size(F.filter(F.split(c, SPACE), lambda w: w != "")), F.lit(0)).cast("long")
+    bare = F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(c.isNull() | (bare == ""), 0).otherwise(F.size(F.split(bare, SPACE))).cast("long")

@@ -22,6 +22,19 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(load(spark, sf_dir, "documents"), k=3, similarity=Similarity(9, 10)).drop("n_links")
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.llm.mixing import with_copies
+
+    taken = with_copies(load(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.5, most=2.0, seed=17)
+    return taken.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gapfeed.llm.token_counts import count_tokens
 
@@ -48,7 +61,9 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_source_mix": op4_source_mix,
     "op5_token_counts": op5_token_counts,
+    "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op10_topk_search": op10_topk_search,
@@ -74,6 +89,26 @@ reach(doc_id, r) AS (
   UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.r = edges.a),
 named AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN named USING (doc_id)
+""",
+    "op4_source_mix": r"""
+WITH sized AS (
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM by_source),
+weighed AS (
+  SELECT *, CAST([5, 2, 1][n % 3 + 1] AS BIGINT) AS weight, CAST(source_size AS DOUBLE) * 2 AS cap FROM ranked),
+filled AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, n) AS pos,
+    (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 - coalesce(sum(cap) OVER before, 0)) / (CAST(sum(weight) OVER () AS DOUBLE) - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+free AS (SELECT min(pos) AS pos, arg_min(level, pos) AS level FROM filled WHERE cap > level * weight),
+rates AS (
+  SELECT source, source_size, CASE WHEN free.pos IS NULL OR filled.pos < free.pos THEN cap ELSE least(cap, free.level * weight) END AS target FROM filled, free),
+drawn AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':17'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+  FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM drawn
 """,
     "op10_topk_search": """
 WITH v AS (
