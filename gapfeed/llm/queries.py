@@ -16,6 +16,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.llm.pii import detect
+
+    return detect(load(spark, sf_dir, "documents"), fit_spans=20_000)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gapfeed.llm.jaccard_join import Similarity, near_components
 
@@ -60,6 +66,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_spans": op1_pii_spans,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_source_mix": op4_source_mix,
     "op5_token_counts": op5_token_counts,
