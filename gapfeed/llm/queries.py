@@ -59,6 +59,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(load(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.llm.html_extract import extract
+
+    return extract(load(spark, sf_dir, "pages"))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gapfeed.llm.topk_search import top_k
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
+    "op9_html_text": op9_html_text,
     "op10_topk_search": op10_topk_search,
 }
 
