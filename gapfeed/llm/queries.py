@@ -22,6 +22,12 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(load(spark, sf_dir, "documents"), fit_spans=20_000)
 
 
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.llm.warc_zip import round_trip
+
+    return round_trip(spark, load(spark, sf_dir, "pages"), revisit_bytes=100).drop("url")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gapfeed.llm.jaccard_join import Similarity, near_components
 
@@ -73,6 +79,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": op1_pii_spans,
+    "op2_warc_zip": op2_warc_zip,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_source_mix": op4_source_mix,
     "op5_token_counts": op5_token_counts,
@@ -84,6 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_warc_zip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d),
+r AS (SELECT *, payload_bytes >= 100 AND page_id <> first AS again FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to FROM r
+""",
     "op3_ngram_jaccard": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
