@@ -292,9 +292,13 @@ def class_links(docs: DataFrame, sizes: DataFrame, similarity: Similarity, k: in
         return links, found
     open_ = placed.join(main, "key")
     lite = sets.drop("tokens")
-    open_ = materialize(open_.join(lite, "cls"), "open")
+    held_keys = open_.groupBy("cls").agg(F.collect_list("key").alias("keys"))  # at most the keys of the class's two bands
+    open_ = materialize(open_.join(lite, "cls").join(held_keys, "cls"), "open")
     stray = open_.where("component != main")
-    met = stray.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _near(similarity))
+    # a pair comes once, with the smallest key that both have; of two outside the main component from the smaller one
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
+    least = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    met = stray.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & _near(similarity) & least)
     more = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     more = materialize(_verified(more, sets, similarity), "links")
     links = links.unionByName(more)
