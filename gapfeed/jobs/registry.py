@@ -380,6 +380,89 @@ def repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "customer").select("c_custkey", T.repair_id(F.lit("generic_failure"), name, F.lit("pkg/file.go"), F.col("c_custkey") % 9).alias("repair_id"))
 
 
+def _event_lines(spark: SparkSession, sf_dir: str, line) -> DataFrame:
+    """events as one line of output each; user 40n + r is test n of run r."""
+    e = A.event_results(spark, sf_dir)
+    return e.select("run_id", "pos", line(e).alias("line"))
+
+
+_OUTCOMES = """e AS (SELECT user_id % 40 AS run_id, event_id AS pos, user_id AS test, CASE event_type WHEN 'purchase' THEN 'pass' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' ELSE 'output' END AS a FROM events)"""
+
+
+@query(f"""WITH {_OUTCOMES}, c AS (SELECT run_id, count_if(a = 'pass') AS p, count_if(a = 'fail') AS f, count_if(a = 'skip') AS s FROM e GROUP BY run_id)
+SELECT run_id, CAST(p AS INTEGER) AS passed, CAST(f AS INTEGER) AS failed, CAST(s AS INTEGER) AS skipped, CAST(p + f + s AS INTEGER) AS total, CASE WHEN f > 0 THEN 'fail' ELSE 'pass' END AS status FROM c""")
+def go_json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.sources import results
+
+    line = lambda e: F.to_json(F.struct(e["action"].alias("Action"), F.concat(F.lit("Test"), e["test"]).alias("Test"), F.when(e["action"] == "output", "x_test.go:3: got 1, want 2").alias("Output")))
+    return results.go_json(_event_lines(spark, sf_dir, line))[0]
+
+
+@query(f"""WITH {_OUTCOMES}, f AS (SELECT run_id, test, min(pos) AS first_pos FROM e WHERE a = 'fail' GROUP BY 1, 2), d AS (SELECT run_id, test, count(*) AS n FROM e WHERE a = 'output' GROUP BY 1, 2)
+SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY first_pos, 'Test' || test) AS INTEGER) AS ord, 'Test' || test AS test_name, CASE WHEN n > 0 THEN 'x_test.go' ELSE '' END AS file, CASE WHEN n > 0 THEN 3 ELSE 0 END AS line,
+CASE WHEN n > 0 THEN repeat('got 1, want 2' || chr(10), CAST(n - 1 AS INTEGER)) || 'got 1, want 2' ELSE 'test failed' END AS error FROM f LEFT JOIN d USING (run_id, test)""")
+def go_json_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.sources import results
+
+    line = lambda e: F.to_json(F.struct(e["action"].alias("Action"), F.concat(F.lit("Test"), e["test"]).alias("Test"), F.when(e["action"] == "output", "x_test.go:3: got 1, want 2").alias("Output")))
+    return results.go_json(_event_lines(spark, sf_dir, line))[1].drop("col", "expected", "received")
+
+
+@query(f"""WITH {_OUTCOMES}, s AS (SELECT run_id, test, arg_min(a, pos) AS a FROM e WHERE a <> 'output' GROUP BY 1, 2), c AS (SELECT run_id, count_if(a = 'pass') AS p, count_if(a = 'fail') AS f, count_if(a = 'skip') AS s FROM s GROUP BY run_id)
+SELECT r.run_id, CAST(coalesce(p, 0) AS INTEGER) AS passed, CAST(coalesce(f, 0) AS INTEGER) AS failed, CAST(coalesce(s, 0) AS INTEGER) AS skipped, CAST(coalesce(p + f + s, 0) AS INTEGER) AS total, CASE WHEN f > 0 THEN 'fail' ELSE 'pass' END AS status
+FROM (SELECT DISTINCT run_id FROM e) r LEFT JOIN c ON r.run_id = c.run_id""")
+def pytest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.sources import results
+
+    word = lambda e: F.when(e["action"] == "pass", "PASSED").when(e["action"] == "fail", "FAILED").when(e["action"] == "skip", "SKIPPED").otherwise("ran")
+    return results.pytest(_event_lines(spark, sf_dir, lambda e: F.concat(F.lit("tests/test_x.py::test_"), e["test"], F.lit(" "), word(e))))[0]
+
+
+@query(f"""WITH {_OUTCOMES}, c AS (SELECT run_id, arg_max(pos, pos) FILTER (a = 'pass') AS p, arg_max(pos, pos) FILTER (a = 'fail') AS f, CAST(sum(pos % 10) FILTER (a = 'skip') AS BIGINT) AS s, arg_max(pos % 50, pos) FILTER (a = 'output') AS n FROM e GROUP BY run_id)
+SELECT run_id, CAST(coalesce(p % 100, 0) AS INTEGER) AS passed, CAST(coalesce(f % 7, 0) AS INTEGER) AS failed, CAST(coalesce(s, 0) AS INTEGER) AS skipped, CAST(CASE WHEN coalesce(n, 0) = 0 THEN coalesce(p % 100, 0) + coalesce(f % 7, 0) + coalesce(s, 0) ELSE n END AS INTEGER) AS total, CASE WHEN coalesce(f % 7, 0) > 0 THEN 'fail' ELSE 'pass' END AS status FROM c""")
+def node_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.sources import results
+
+    line = lambda e: F.concat(F.lit("# "), F.when(e["action"] == "pass", F.concat(F.lit("pass "), e["pos"] % 100)).when(e["action"] == "fail", F.concat(F.lit("fail "), e["pos"] % 7)).when(e["action"] == "skip", F.concat(F.lit("todo "), e["pos"] % 10)).otherwise(F.concat(F.lit("tests "), e["pos"] % 50)))
+    return results.node_tap(_event_lines(spark, sf_dir, line))[0]
+
+
+@query(f"""WITH {_OUTCOMES}, m AS (SELECT run_id, max(pos) FILTER (a <> 'output') AS pos FROM e GROUP BY run_id)
+SELECT run_id, CAST(CASE WHEN pos IS NULL THEN 0 ELSE 50 + pos % 9 END AS INTEGER) AS passed, CAST(CASE WHEN pos IS NULL THEN 0 ELSE pos % 3 END AS INTEGER) AS failed, CAST(CASE WHEN pos IS NULL THEN 0 ELSE 2 END AS INTEGER) AS skipped, CAST(CASE WHEN pos IS NULL THEN 0 ELSE 52 + pos % 9 + pos % 3 END AS INTEGER) AS total, CASE WHEN pos % 3 > 0 THEN 'fail' ELSE 'pass' END AS status FROM m""")
+def junit_last_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.sources import results
+
+    line = lambda e: F.when(e["action"] != "output", F.concat(F.lit("Tests run: "), e["pos"] % 9 + e["pos"] % 3 + 52, F.lit(", Failures: "), e["pos"] % 3, F.lit(", Errors: 0, Skipped: 2"))).otherwise("INFO")
+    return results.junit(_event_lines(spark, sf_dir, line))[0]
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 4 AS k, CAST(p_size AS INTEGER) AS n FROM part), s AS (SELECT p_partkey, k, n, unnest([0, 1]) AS i FROM p)
+SELECT 'pkg/m' || p_partkey || '.py' AS file, i AS span_pos, CASE WHEN i = 0 THEN 'f' || p_partkey ELSE 'C' || k || '.m' END AS name, CASE WHEN i = 0 THEN 'function' ELSE 'method' END AS kind,
+CASE WHEN i = 0 THEN 1 ELSE n + 3 END AS start_line, CASE WHEN i = 0 THEN n + 1 ELSE n + 4 END AS end_line, CASE WHEN i = 0 THEN 'a,b' ELSE 'x' END AS params FROM s""")
+def py_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.sources.spans import source_spans
+
+    t = A.table(spark, sf_dir, "part")
+    body = F.concat(F.lit("def f"), F.col("p_partkey"), F.lit("(a, b=1):\n"), F.repeat(F.lit("    pass\n"), F.col("p_size").cast("int")), F.lit("class C"), F.col("p_partkey") % 4, F.lit(":\n    def m(self, x):\n        return x\n    def __repr__(self):\n        return ''\n"))
+    files = t.select(F.concat(F.lit("pkg/m"), F.col("p_partkey"), F.lit(".py")).alias("file"), body.alias("source"))
+    return source_spans(files).select("file", "span_pos", "name", "kind", "start_line", "end_line", F.array_join("params", ",").alias("params"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_size % 5 AS f FROM part)
+SELECT 'r' || f || '/a/b/s' || p_partkey || ['.go','.py','.ts','.txt','.js','.java'][k + 1] AS path, CASE k WHEN 0 THEN 'go-test' WHEN 1 THEN 'pytest' WHEN 5 THEN 'junit' ELSE ['vitest','mocha','node-test','jest','go-test'][f + 1] END AS framework FROM p""")
+def framework_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.operators.detection import detect_framework
+
+    t = A.table(spark, sf_dir, "part")
+    ends = F.array(*[F.lit(x) for x in (".go", ".py", ".ts", ".txt", ".js", ".java")])
+    paths = t.select(F.concat(F.lit("r"), F.col("p_size") % 5, F.lit("/a/b/s"), F.col("p_partkey"), F.element_at(ends, (F.col("p_partkey") % 6 + 1).cast("int"))).alias("path"))
+    package = F.when(F.col("f") == 0, '{"devDependencies":{"vitest":"1","jest":"2"}}').when(F.col("f") == 1, '{"scripts":{"test":"mocha x"},"dependencies":{"jest":"1"}}').when(F.col("f") == 2, '{"scripts":{"test":"node --test"}}').otherwise("{}")
+    folders = t.select((F.col("p_size") % 5).alias("f")).distinct()
+    files = folders.where("f < 4").select(F.concat(F.lit("r"), "f").alias("folder"), F.lit("package.json").alias("name"), package.alias("content"))
+    more = folders.where("f < 4").select(F.concat(F.lit("r"), "f", F.lit("/a")).alias("folder"), F.lit("go.mod").alias("name"), F.lit("module x").alias("content"))
+    return detect_framework(paths, files.unionByName(more))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: line coverage to merged, ranked gaps of each file."""
     ship(spark)
