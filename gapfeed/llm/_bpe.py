@@ -20,6 +20,8 @@ _encoders: dict[tuple[str, int], "PieceEncoder"] = {}
 _LATIN = re.compile("[\t-\r\x20-\x7e\xa0-\u012f\u0131-\u024f]*")
 #: The file's own split pattern within those characters, after lower-casing.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\s0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\u024f]+")
+#: Characters of the longest piece that is merged here.
+LONGEST = 48
 _NONE = np.iinfo(np.int32).max
 
 
@@ -35,6 +37,7 @@ class Merges:
         letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         self.inner = np.array([vocab[letter[b]] for b in range(256)], dtype=np.int64)
         self.final = np.array([vocab[letter[b] + suffix] for b in range(256)], dtype=np.int64)
+        self.longest_token = max(len(t.removesuffix(suffix)) for t in vocab)
         self.bits = 20
         slots = 1 << self.bits
         self.keys = np.full(slots, -1, dtype=np.int64)
@@ -159,7 +162,10 @@ class PieceEncoder:
             if self.index and len(self.index) + len(missing) > self.most_pieces:
                 self._empty()
                 missing = list(set(pieces))
-            order, ids, lengths = self.merges.run(missing)
+            order, ids, lengths = self.merges.run([p for p in missing if len(p) <= LONGEST])
+            if long := [p for p in missing if len(p) > LONGEST]:  # merging here takes time by the square of a piece's length
+                got = [np.array(self.whole(p), dtype=np.uint32) for p in long]
+                order, ids, lengths = order + long, np.concatenate([ids, *got]), np.concatenate([lengths, [len(g) for g in got]])
             base = len(self.index)
             self.index.update(zip(order, range(base, base + len(order))))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
@@ -204,31 +210,27 @@ class PieceEncoder:
         return out
 
 
-def prefix_counts(word: str, merges: Merges) -> list[int]:
-    """Token counts of every prefix of one piece (entry i: the first i + 1 bytes), by dynamic programming.
+def prefix_counts(piece: str, merges: Merges, most: int | None = None) -> list[int]:
+    """Token counts of the prefixes of one piece (entry i: its first i + 1 bytes), by dynamic programming.
 
     The last token of a prefix's encoding is the only token ending there that
     forms an unmerged pair with the last token of the prefix before it, so each
-    prefix needs one look at the tokens that end in it and no encoding.
+    prefix needs one look at the tokens that end in it and no encoding. With
+    `most`, prefixes that must hold more tokens are left out.
     """
-    raw = word.encode()
-    n = len(raw)
-
-    def token(a: int, b: int, end: bool) -> tuple[int, ...] | None:
-        got = _encode(raw[a:b], end, merges)
-        return got if len(got) == 1 else None
-
-    inner_count, inner_last = [0] * (n + 1), [(0, 0)] * (n + 1)
+    raw = piece.encode()
+    n = len(raw) if most is None else min(len(raw), (most + 1) * merges.longest_token)
+    count, last = [0] * (n + 1), [0] * (n + 1)
     out = []
     for i in range(1, n + 1):
         for end in (False, True):
-            for a in range(i):
-                if token(a, i, end) is None or (a and len(_encode(raw[inner_last[a][0] : i], end, merges, split=a - inner_last[a][0])) != 2):
+            for a in range(max(0, i - merges.longest_token), i):
+                if len(_encode(raw[a:i], end, merges)) != 1 or (a and len(_encode(raw[last[a] : i], end, merges, a - last[a])) != 2):
                     continue
                 if end:
-                    out.append(inner_count[a] + 1)
+                    out.append(count[a] + 1)
                 else:
-                    inner_count[i], inner_last[i] = inner_count[a] + 1, (a, i)
+                    count[i], last[i] = count[a] + 1, a
                 break
     return out
 

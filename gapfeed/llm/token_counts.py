@@ -47,38 +47,34 @@ class PrefixTable:
             return len(self.encoder.whole(self.text[:k]))
         i = bisect_right(self.ends, k) - 1
         rest = self.text[self.ends[i] : k].lower().strip()
-        if not rest:
-            return self.running[i]
-        if "'" in rest:  # a cut contraction falls apart into other pieces
-            return self.running[i] + sum(self._piece(p) for p in PIECE.findall(rest))
-        return self.running[i] + self._piece(rest)
+        return self.running[i] + (self._counts(rest)[-1] if rest else 0)
 
-    def _piece(self, piece: str) -> int:
-        return prefix_counts(piece, self.encoder.merges)[-1]
+    def _counts(self, piece: str, most: int | None = None) -> list[int]:
+        """Counts of a piece's prefixes by characters; a cut contraction falls apart into other pieces."""
+        if piece[:2] in ("'r", "'v", "'l"):
+            return [sum(prefix_counts(p, self.encoder.merges)[-1] for p in PIECE.findall(piece[:j])) for j in range(1, len(piece) + 1)]
+        counts = prefix_counts(piece, self.encoder.merges, most)
+        ends = np.cumsum([len(c.encode()) for c in piece]) - 1
+        return [counts[e] for e in ends if e < len(counts)]
 
     def fits(self, budget: int) -> int:
         """The largest k with at most `budget` tokens in text[:k]."""
         n = len(self.text)
         if not self.plain:
-            low, high = 0, n
             if self.at(n) <= budget:
                 return n
-            # counts rise by pieces: the first piece end beyond the budget is found by halving,
-            # then the characters before it are tried from the longest
-            spaces = [i for i in range(n) if self.text[i].isspace()] + [n]
-            a, b = 0, len(spaces) - 1
-            while a < b:
-                mid = (a + b) // 2
-                if self.at(spaces[mid]) > budget:
-                    b = mid
-                else:
-                    a = mid + 1
-            low, high = (spaces[a - 1] if a else 0), spaces[a]
-            return next(k for k in range(high, low - 1, -1) if self.at(k) <= budget)
+            # whole words first, by halving, then the characters of the first word that doesn't fit
+            cuts = [i for i in range(n) if self.text[i].isspace()] + [n]
+            a = bisect_right(cuts, budget, key=self.at)
+            low, high = (cuts[a - 1] if a else 0), cuts[a]
+            return next(k for k in range(min(high, low + 64 * (budget + 1)), low - 1, -1) if self.at(k) <= budget)
         if self.running[-1] <= budget:
             return n
         i = bisect_right(self.running, budget) - 1
-        return next(k for k in range(self.ends[i + 1] - 1, self.ends[i] - 1, -1) if self.at(k) <= budget)
+        rest = self.text[self.ends[i] : self.ends[i + 1]].lower()
+        piece = rest.lstrip()
+        start, left = self.ends[i + 1] - len(piece), budget - self.running[i]
+        return start + max((j for j, c in enumerate(self._counts(piece, left), 1) if c <= left), default=0)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
