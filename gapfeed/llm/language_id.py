@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ ORDER = 4
 #: Bits of a character class: 0 separator, 1..LETTERS the alphabet, the rest rarer letters by code point.
 BITS, LETTERS = 6, 55
 UNKNOWN = "und"
+#: Columns that a prediction adds.
+JUDGED = ("lang_pred", "score", "cross_entropy", "rejected")
 
 
 def letters_table() -> np.ndarray:
@@ -87,6 +90,8 @@ class Model:
     alphabet: list[str]
     keys: list[np.ndarray]
     logs: list[np.ndarray]
+    contexts: list[np.ndarray] = field(default_factory=list)
+    backoffs: list[np.ndarray] = field(default_factory=list)
     scale: float = 1.0
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     spread: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -102,28 +107,38 @@ class Model:
         out = np.zeros((len(codes), len(self.languages)), dtype=np.float32)
         todo = np.arange(len(codes))
         for n in range(len(self.keys), 0, -1):
-            h = mix((codes[todo] & ((1 << BITS * n) - 1)).astype(np.uint64))
-            at = np.minimum(np.searchsorted(self.keys[n - 1], h), len(self.keys[n - 1]) - 1)
-            hit = self.keys[n - 1][at] == h
-            out[todo[hit]] = self.logs[n - 1][at[hit]]
-            todo = todo[~hit]
-            if not len(todo):
-                break
+            code = codes[todo] & ((1 << BITS * n) - 1)
+            at, hit = _find(self.keys[n - 1], code)
+            out[todo[hit]] += self.logs[n - 1][at[hit]]
+            todo, code = todo[~hit], code[~hit]
+            at, known = _find(self.contexts[n - 1], code >> BITS)
+            out[todo[known]] += self.backoffs[n - 1][at[known]]
+        out[todo] -= math.log(1 << BITS)
         return out
 
 
+def _find(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of codes in a sorted array of their hashes, and whether they are there."""
+    h = mix(codes.astype(np.uint64))
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
 def train(counts: dict[str, dict[int, int]] | dict[str, tuple[np.ndarray, np.ndarray]], alphabet: list[str], discount: float = 0.75) -> Model:
     """Interpolated Kneser-Ney for each language from its counts of n-grams of the highest order."""
     languages = sorted(counts)
     size = 1 << BITS
     keys: list[np.ndarray] = []
     columns: list[list[np.ndarray]] = []
+    contexts: list[np.ndarray] = []
+    backoffs: list[np.ndarray] = []
     tables = {g: (np.asarray(c[0], dtype=np.int64), np.asarray(c[1], dtype=np.float64)) for g, c in counts.items()}
     top = [np.unique(np.concatenate([tables[g][0] for g in languages]) & ((1 << BITS * n) - 1)) for n in range(1, ORDER + 1)]
     lower = {g: np.full(1, 1.0 / size) for g in languages}
     for n in range(1, ORDER + 1):
         seen = top[n - 1]
         columns.append([])
+        weights = []
         for g in languages:
             codes, freq = tables[g]
             if n == ORDER:
@@ -143,12 +158,22 @@ def train(counts: dict[str, dict[int, int]] | dict[str, tuple[np.ndarray, np.nda
             below = lower[g][np.searchsorted(top[n - 2], seen & ((1 << BITS * (n - 1)) - 1))] if n > 1 else np.full(len(seen), 1.0 / size)
             p = np.where(known, np.maximum(mine - discount, 0) / total[ctx] + discount * kinds[ctx] / total[ctx] * below, below)
             columns[-1].append(p)
+            weights.append((context, discount * kinds / total))
         lower = dict(zip(languages, columns[-1]))
+        # the weight of the shorter n-gram behind each context; 1 where a language doesn't know it
+        every = np.unique(np.concatenate([c for c, _ in weights]))
+        shares = np.ones((len(every), len(languages)))
+        for i, (context, share) in enumerate(weights):
+            shares[np.searchsorted(every, context), i] = share
+        h = mix(every.astype(np.uint64))
+        order = np.argsort(h)
+        contexts.append(h[order])
+        backoffs.append(np.log(shares)[order].astype(np.float32))
         h = mix(seen.astype(np.uint64))
         order = np.argsort(h)
         keys.append(h[order])
         columns[-1] = np.log(np.stack(columns[-1], axis=1))[order].astype(np.float32)
-    return Model(languages, alphabet, keys, columns)
+    return Model(languages, alphabet, keys, columns, contexts, backoffs)
 
 
 def entropies(texts: list[str], model: Model, table: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -248,15 +273,16 @@ def fit(docs: DataFrame, fit_docs: int = 3000, id_col: str = "doc_id", text_col:
     return model
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns `keep` with lang_pred, score, cross_entropy and rejected. One map, no shuffle."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, text_col: str = "text", drop_rejected: bool = False) -> DataFrame:
+    """The columns `keep` with lang_pred, score, cross_entropy and rejected (all but text by default). One map, no shuffle."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     letters = letters_table()
     table = None if model is None else alphabet_table(model.alphabet, letters)
+    read = keep if text_col in keep else [*keep, text_col]
+    at = read.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        at = len(keep)
         for batch in batches:
             for a, b in text_chunks(batch.column(at), 2 << 20):
                 part = batch.slice(a, b - a)
@@ -272,10 +298,11 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
                         g = int(best[j])
                         limit = model.limit(g, int(n[j]))
                         pred[i], score[i], ce[i], rejected[i] = model.languages[g], top[j], float(h[j, g]), bool(h[j, g] > limit)
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(ce, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, "lang_pred", "score", "cross_entropy", "rejected"])
+                out = pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(ce, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, *JUDGED])
+                yield out.filter(pc.invert(out.column(len(keep) + 3))) if drop_rejected else out
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text_col).mapInArrow(run, f"{fields + ', ' if fields else ''}lang_pred string, score double, cross_entropy double, rejected boolean")
+    return docs.select(*read).mapInArrow(run, f"{fields + ', ' if fields else ''}{', '.join(f'`{c}` {t}' for c, t in zip(JUDGED, ('string', 'double', 'double', 'boolean')))}")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fitting) -> DataFrame:
@@ -287,6 +314,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fitting) -> DataFrame:
     """Documents that aren't rejected, with all their columns."""
     model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **fitting)
-    columns = docs.columns
-    judged = predict(docs.withColumn("_text", F.col(text_col)), model, keep=columns, text_col="_text")
-    return judged.where("not rejected").select(*columns)
+    return predict(docs, model, keep=docs.columns, text_col=text_col, drop_rejected=True).drop(*JUDGED)
