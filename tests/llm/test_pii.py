@@ -54,7 +54,7 @@ def test_model_adds_what_labelers_agree_on(spark):
     rng = np.random.default_rng(3)
     rows = []
     for i in range(300):
-        token = "".join(rng.choice(list("0123456789abcdef"), 40))
+        token = "".join(rng.choice(list("abcdef")) + rng.choice(list("0123456789")) for _ in range(20))
         rows.append((i, [f'the token = "{token}" end', f"mail me at user{i} at host dot com now", "version 4.0 and 1.2.3.999 or 12345", f"call tel (030) {rng.integers(100, 999)}-{rng.integers(1000, 9999)} soon", "password = aaaaaaaa", f"a{i}@b.org"][i % 6]))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.detect(docs).collect()}
