@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gapfeed.functions import vocabulary as V
+
 #: Unicode white space at either end (SQL trim takes spaces only).
 _ENDS = r"(?U)^\s+|\s+$"
 
@@ -117,7 +119,7 @@ def parameter_names(x: Column | str) -> Column:
 
 def input_hints(params: Column | str) -> Column:
     """A suggestion for each parameter."""
-    return F.transform(_c(params), lambda p: F.when(p.isin("", "arg"), "构造覆盖未执行分支的参数").otherwise(F.concat(F.lit("设置 "), p, F.lit(" 覆盖未执行分支"))))
+    return F.transform(_c(params), lambda p: F.when(p.isin("", "arg"), V.HINT_ARGUMENT).otherwise(F.concat(F.lit(V.HINT_SET), p, F.lit(V.HINT_TO_COVER))))
 
 
 def index_and_length(x: Column | str) -> Column:

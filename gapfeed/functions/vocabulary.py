@@ -65,3 +65,21 @@ REASON_FUNCTION, REASON_WHOLE_FILE = "已定位到具体函数或方法", "整
 REASON_INPUTS, REASON_LINES, REASON_TEST_FILE = "已有建议输入", "已有未覆盖行列表", "已有推荐测试文件"
 REASON_HIGH_COST = "路径疑似依赖 HTTP、数据库、中间件或外部服务，自动补测成本较高"
 REASON_LOW_COST = "路径疑似低依赖工具或纯辅助代码，优先自动补测"
+
+#: Texts of suggestions and tasks.
+REASON_BLOCK = "此代码块未被测试覆盖"
+REASON_LOW_FILE = "文件覆盖率仅 %.1f%%，建议优先补充测试"
+MISSING_IF = "未覆盖 if 分支: "
+MISSING_MATCH = "未覆盖 match 分支"
+MISSING_SWITCH = "未覆盖 switch/case 分支"
+MISSING_ERROR = "未覆盖错误或空值返回路径"
+MISSING_RETURN = "未覆盖返回路径"
+MISSING_STATEMENT = "未覆盖普通语句块"
+SOME_CONDITION = "条件表达式"
+HINT_ARGUMENT = "构造覆盖未执行分支的参数"
+HINT_SET = "设置 "
+HINT_TO_COVER = " 覆盖未执行分支"
+GOAL_FOR = "为 "
+GOAL_COVER = " 补充测试，覆盖未执行行段 "
+FOCUS_LINES = "覆盖未执行行: "
+REASON_CONFIDENCE = "置信度 %.2f"

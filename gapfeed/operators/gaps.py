@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapfeed.functions import vocabulary as V
 from gapfeed.functions.text import trim
 
 
@@ -15,8 +16,8 @@ def uncovered(files: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame
 
 def suggestions(files: DataFrame, blocks: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """A row for each uncovered block, and one for each file below 50 percent."""
-    per_block = uncovered(files, blocks, keys).select(*keys, F.concat_ws("-", "start_line", "end_line").alias("line_range"), F.col("start_line"), F.lit("此代码块未被测试覆盖").alias("reason"), F.lit(0.9).alias("confidence"))
-    low = files.where(F.col("percent") < 50).select(*keys, F.lit("entire file").alias("line_range"), F.lit(None).cast("int").alias("start_line"), F.format_string("文件覆盖率仅 %.1f%%，建议优先补充测试", F.col("percent").cast("double")).alias("reason"), F.lit(0.8).alias("confidence"))
+    per_block = uncovered(files, blocks, keys).select(*keys, F.concat_ws("-", "start_line", "end_line").alias("line_range"), F.col("start_line"), F.lit(V.REASON_BLOCK).alias("reason"), F.lit(0.9).alias("confidence"))
+    low = files.where(F.col("percent") < 50).select(*keys, F.lit("entire file").alias("line_range"), F.lit(None).cast("int").alias("start_line"), F.format_string(V.REASON_LOW_FILE, F.col("percent").cast("double")).alias("reason"), F.lit(0.8).alias("confidence"))
     return per_block.unionByName(low)
 
 
@@ -81,12 +82,12 @@ def missing_branch(source: Column) -> Column:
     """What a gap leaves uncovered, in words."""
     text = trim(source)
     return (
-        F.when(has_keyword(text, "if"), F.concat(F.lit("未覆盖 if 分支: "), condition(text, "if")))
-        .when(has_keyword(text, "match"), "未覆盖 match 分支")
-        .when(has_keyword(text, "switch"), "未覆盖 switch/case 分支")
-        .when(_any_of(text, ERROR_MARKS), "未覆盖错误或空值返回路径")
-        .when(_any_of(text, RETURN_MARKS), "未覆盖返回路径")
-        .otherwise("未覆盖普通语句块")
+        F.when(has_keyword(text, "if"), F.concat(F.lit(V.MISSING_IF), condition(text, "if")))
+        .when(has_keyword(text, "match"), V.MISSING_MATCH)
+        .when(has_keyword(text, "switch"), V.MISSING_SWITCH)
+        .when(_any_of(text, ERROR_MARKS), V.MISSING_ERROR)
+        .when(_any_of(text, RETURN_MARKS), V.MISSING_RETURN)
+        .otherwise(V.MISSING_STATEMENT)
     )
 
 
@@ -103,7 +104,7 @@ def go_gap_type(branch_kind: Column, has_return: Column, source: Column) -> Colu
     )
 
 
-def condition(text: Column, keyword: str, default: str = "条件表达式") -> Column:
+def condition(text: Column, keyword: str, default: str = V.SOME_CONDITION) -> Column:
     """The text behind the first occurrence of a keyword: what leading parentheses hold, up to an opening brace."""
     after = trim(F.when(F.instr(text, keyword) > 0, F.substring(text, F.instr(text, keyword) + len(keyword), F.lit(1 << 30))).otherwise(text))
     inner = F.when(F.startswith(after, F.lit("(")) & (F.instr(after, ")") > 1), F.substring(after, F.lit(2), F.instr(after, ")") - 2)).otherwise(after)

@@ -82,7 +82,7 @@ def command(framework: Column, file: Column) -> Column:
 def assertion_focus(gap: Column, branches: Column, lines: Column) -> Column:
     """What a test should assert: the gap's text, its missing branches, its lines."""
     said = F.element_at(F.create_map(*[F.lit(x) for kv in V.GAP_FOCUS.items() for x in kv]), gap)
-    covered = F.when(F.size(lines) > 0, F.concat(F.lit("覆盖未执行行: "), T.ints_csv(lines)))
+    covered = F.when(F.size(lines) > 0, F.concat(F.lit(V.FOCUS_LINES), T.ints_csv(lines)))
     return F.filter(F.concat(F.array(said), F.coalesce(branches, F.array().cast("array<string>")), F.array(covered)), lambda x: x.isNotNull())
 
 
@@ -101,7 +101,7 @@ def priority(s: dict[str, Column]) -> tuple[Column, Column]:
     ]
     score = sum((F.when(c, points).otherwise(0) for c, points, _ in parts), (s["confidence"] * 10).cast("int"))
     reasons = [F.when(c, reason) for c, _, reason in parts]
-    reasons.append(F.when(s["confidence"] > 0, F.format_string("置信度 %.2f", s["confidence"].cast("double"))))
+    reasons.append(F.when(s["confidence"] > 0, F.format_string(V.REASON_CONFIDENCE, s["confidence"].cast("double"))))
     return F.greatest(score, F.lit(0)), F.array_join(F.filter(F.array(*reasons), lambda r: r.isNotNull()), "；")
 
 
@@ -136,7 +136,7 @@ def from_suggestions(rows: DataFrame, report: str) -> DataFrame:
         }
     )
     out = out.withColumn("priority", score).withColumn("priority_reason", reasons)
-    out = out.withColumn("goal", F.concat(F.lit("为 "), F.col("target"), F.lit(" 补充测试，覆盖未执行行段 "), F.col("line_range")))
+    out = out.withColumn("goal", F.concat(F.lit(V.GOAL_FOR), F.col("target"), F.lit(V.GOAL_COVER), F.col("line_range")))
     out = out.withColumn("command", command(fw, file)).withColumn("test_name", test_name(fw, F.col("target")))
     out = out.withColumn("assertion_focus", assertion_focus(F.col("gap_type"), F.col("missing_branches"), F.col("uncovered_lines")))
     return number_tasks(out, report)
