@@ -16,10 +16,10 @@ that share a key are candidates and are verified on their whole sets.
 * Cost-based allocation: d is chosen for each band by the number of sets in it,
   weighing keys to shuffle against false candidates.
 * Equal sets are one class; keys carry the class. Within a key, members are
-  compared with a leader (first in each batch, then over all), not with each
-  other. Where that leaves a key's members in several components, those
-  outside the key's main component are compared with all its members, after
-  size and parity-sketch bounds; pairs within a component need no comparison.
+  compared with a leader and the member before (in each batch, then over all),
+  not with each other. Where that leaves a key's members in several components,
+  those outside the key's main component are compared with all its members,
+  after size and parity-sketch bounds; pairs within a component need no comparison.
 
 Sets are compared by 64-bit hashes of their shingles; classes by a 64-bit hash
 of the set.
@@ -163,8 +163,9 @@ def _keys(tokens: np.ndarray, cuts: np.ndarray, band: Band) -> np.ndarray:
 
 
 def _indexed(docs: DataFrame, plan: dict[int, Band], edges: list[int], k: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, leader, member): keys of each class, once in a map task; classes that share a key with an
-    earlier one of the batch come as its members, so a key passes few leaders on to the shuffle."""
+    """(key, leader, member, before): keys of each class, once in a map task; classes that share a key with
+    an earlier one of the batch come as its members, each with the member before it, so a key passes few
+    leaders on to the shuffle."""
 
     def run(batches):
         cuts = {b: np.array([-(-(i << 64) // p.segments) for i in range(1, p.segments)], dtype=np.uint64) for b, p in plan.items()}
@@ -179,8 +180,9 @@ def _indexed(docs: DataFrame, plan: dict[int, Band], edges: list[int], k: int, i
             key, cls = key[order], cls[order]
             first = np.concatenate([[True], key[1:] != key[:-1]])
             leader = cls[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-            keep = first | (cls != leader) & np.concatenate([[True], (cls[1:] != cls[:-1]) | first[1:]])
-            yield _mapper([pa.array(x[keep]) for x in (key.view(np.int64), leader, cls)], ["key", "leader", "member"])
+            before = np.where(first, cls, np.concatenate([cls[:1], cls[:-1]]))
+            keep = first | (cls != before)
+            yield _mapper([pa.array(x[keep]) for x in (key.view(np.int64), leader, cls, before)], ["key", "leader", "member", "before"])
 
         for part, sets in _sets(batches, k):
             for s in sets:
@@ -199,26 +201,27 @@ def _indexed(docs: DataFrame, plan: dict[int, Band], edges: list[int], k: int, i
         if size:
             yield from flush()
 
-    return docs.select(id_col, text_col).mapInArrow(run, "key long, leader long, member long")
+    return docs.select(id_col, text_col).mapInArrow(run, "key long, leader long, member long, before long")
 
 
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by key: (key, leader, member) with the key's first leader for each other one; members pass."""
+    """Over rows sorted by key and leader: (key, leader, member, before) with the key's first leader for each
+    other one and the leader before it; members pass."""
     last_key, last_leader, last_member = None, None, None
     for batch in batches:
-        key, leader, member = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        key, leader, member, before = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         passed = leader != member
-        out = [(key[passed], leader[passed], member[passed])]
+        out = [(key[passed], leader[passed], member[passed], before[passed])]
         key, own = key[~passed], leader[~passed]
         if len(key):
             first = np.concatenate([[key[0] != last_key if last_key is not None else True], key[1:] != key[:-1]])
-            again = np.concatenate([[not first[0] and own[0] == last_member], (own[1:] == own[:-1]) & ~first[1:]])
+            previous = np.concatenate([[own[0] if last_member is None else last_member], own[:-1]])
             at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
             to = np.where(at >= 0, own[np.maximum(at, 0)], 0 if last_leader is None else last_leader)
             last_key, last_leader, last_member = key[-1], to[-1], own[-1]
-            keep = ~first & ~again & (own != to)
-            out.append((key[keep], to[keep], own[keep]))
-        yield _mapper([pa.array(np.concatenate([x[i] for x in out])) for i in range(3)], ["key", "leader", "member"])
+            keep = ~first & (own != previous) & (own != to)
+            out.append((key[keep], to[keep], own[keep], previous[keep]))
+        yield _mapper([pa.array(np.concatenate([x[i] for x in out])) for i in range(4)], ["key", "leader", "member", "before"])
 
 
 def _loaded(docs: DataFrame, k: int, text_col: str) -> DataFrame:
@@ -249,10 +252,16 @@ def _near(s: Similarity, a: str = "x", b: str = "y"):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, with the size of their intersection."""
-    one = pairs.alias("p").join(sets.alias("x"), F.col("p.b") == F.col("x.cls")).select("p.a", F.struct("x.*").alias("x"))
-    both = one.join(sets.alias("y"), (F.col("a") == F.col("y.cls")) & _near(s))
-    common = both.select("a", F.col("x.cls").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total"), F.size(F.array_intersect("x.tokens", "y.tokens")).cast("long").alias("common"))
+    """The pairs (a, b) whose sets reach the threshold, with the size of their intersection. Sizes and
+    sketches decide first; tokens move only for the pairs that they leave."""
+    lite = sets.drop("tokens")
+    one = pairs.alias("p").join(lite.alias("x"), F.col("p.b") == F.col("x.cls")).select("p.a", F.struct("x.*").alias("x"))
+    left = one.join(lite.alias("y"), (F.col("a") == F.col("y.cls")) & _near(s)).select("a", F.col("x.cls").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total"))
+    left = materialize(left, "near-pairs")
+    tokens = sets.select("cls", "tokens")
+    one = left.join(tokens.withColumnsRenamed({"cls": "b", "tokens": "tb"}), "b")
+    both = one.join(tokens.withColumnsRenamed({"cls": "a", "tokens": "ta"}), "a")
+    common = both.select("a", "b", "total", F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
     return common.where(F.col("common") * s.den >= (F.col("total") - F.col("common")) * s.num)
 
 
@@ -276,9 +285,11 @@ def class_links(docs: DataFrame, sizes: DataFrame, similarity: Similarity, k: in
 
     keyed = _indexed(docs, plan, edges, k, id_col, text_col)
     dealt = keyed.repartition(F.when(F.col("leader") == F.col("member"), F.col("key")).otherwise(F.xxhash64("member")))
-    shared = materialize(dealt.sortWithinPartitions("key", "leader").mapInArrow(_lead, "key long, leader long, member long"), "shared")
+    shared = materialize(dealt.sortWithinPartitions("key", "leader").mapInArrow(_lead, "key long, leader long, member long, before long"), "shared")
 
-    pairs = shared.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
+    # each member meets its key's leader and the member before it
+    pairs = shared.select(F.col("leader").alias("a"), F.col("member").alias("b")).union(shared.select("before", "member"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     classes = shared.select(F.col("leader").alias("cls")).union(shared.select("member")).distinct()
     sets = materialize(_loaded(_class_docs(docs, sizes, classes, id_col), k, text_col).dropDuplicates(["cls"]), "sets")
     links = materialize(_verified(pairs, sets, similarity), "links")
@@ -292,14 +303,12 @@ def class_links(docs: DataFrame, sizes: DataFrame, similarity: Similarity, k: in
         return links, found
     open_ = placed.join(main, "key")
     lite = sets.drop("tokens")
-    held_keys = open_.groupBy("cls").agg(F.collect_list("key").alias("keys"))  # at most the keys of the class's two bands
-    open_ = materialize(open_.join(lite, "cls").join(held_keys, "cls"), "open")
+    open_ = materialize(open_.join(lite, "cls"), "open")
     stray = open_.where("component != main")
-    # a pair comes once, with the smallest key that both have; of two outside the main component from the smaller one
+    # of two outside the main component the pair comes from the smaller one
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    least = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-    met = stray.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & _near(similarity) & least)
-    more = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    met = stray.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & _near(similarity))
+    more = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = materialize(_verified(more, sets, similarity), "links")
     links = links.unionByName(more)
     if more.isEmpty():
