@@ -10,7 +10,7 @@ sample with a probability of sum of min / sum of max of their weights in the bin
 share of equal samples estimates generalised Jaccard similarity. R * B samples,
 of 16 bits each, are the fingerprint; a bin without terms has sample 0. All
 bins count alike whatever their terms weigh, which makes the estimate a little
-low (0.015 on average over the test documents).
+low (0.015 on average over the test documents, 0.070 root mean square).
 
 Everything is DataFrame code: documents are dealt by ranges of id (one shuffle),
 and within a range terms are counted and sampled by hash aggregation without
