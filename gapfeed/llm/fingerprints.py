@@ -1,16 +1,16 @@
 """Document fingerprints by consistent weighted sampling.
 
 A document's terms are its words, weighted by how much of the text they make
-up (occurrences times length). For each of R repetitions a hash deals the terms
-into B bins, and in each bin consistent weighted sampling picks one term: from
-a hash of term and repetition come r, c ~ Gamma(2, 1) and b ~ U(0, 1);
-t = floor(ln w / r + b), ln y = r (t - b), and the term of the least
-ln a = ln c - ln y - r is the sample, together with its t. Two documents have the same
-sample with a probability of sum of min / sum of max of their weights in the bin, so the
-share of equal samples estimates generalised Jaccard similarity. R * B samples,
-of 16 bits each, are the fingerprint; a bin without terms has sample 0. All
-bins count alike whatever their terms weigh, which makes the estimate a little
-low (0.015 on average over the test documents, 0.070 root mean square).
+up (occurrences times length, a whole number). A term of weight w is w units, (term, 0)
+to (term, w - 1); the union and the intersection of two documents' units weigh the sums of max and of
+min of their terms' weights. A hash of the unit gives it one of the 128 positions, evenly, and a rank there;
+the unit of least rank is the position's sample. So a position gets units by mass, not by terms,
+and that the units of two documents have the same least one there has a probability of generalised Jaccard
+similarity. A position without units (short texts) takes the sample of the first
+position that has some, in an order of its own that all documents share: as the
+first with units of either document decides, the probability is the same. Each position
+thus samples over all terms, and the share of equal samples estimates the similarity without bias.
+Samples are kept in 16 bits.
 
 Everything is DataFrame code: documents are dealt by ranges of id (one shuffle),
 and within a range terms are counted and sampled by hash aggregation without
@@ -29,46 +29,47 @@ from pyspark.sql import functions as F
 
 from gapfeed.llm._common import SPACE, materialize
 
-BINS, REPEATS = 32, 4
-
-
-def _bits(h: Column, salt: int) -> Column:
-    """A uniform number in (0, 1) from a hash and a salt."""
-    return ((F.shiftrightunsigned(F.xxhash64(h, F.lit(salt)), 11).cast("double") + 0.5) / F.lit(float(1 << 53)))
+#: Each of the REPEATS positions samples over all terms (one bin).
+BINS, REPEATS = 1, 128
+#: Units that one array holds while terms are taken apart, so that a very heavy term needs no large one.
+UNITS = 4096
 
 
 def samples(terms: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
     """For rows (keys, term, weights...) one row for each of keys, with an array of samples for each
-    weight column: `fp_<weight>`, R * B ints, 0 where no term has a positive weight in the bin.
+    weight column: `fp_<weight>`, R * B ints, all 0 where no term has a positive weight.
 
-    terms holds each (keys, term) once; `term` is a 64-bit hash.
+    terms holds each (keys, term) once; `term` is a 64-bit hash, weights are whole numbers.
     """
-    per_term = terms.withColumn("rep", F.explode(F.array(*[F.lit(i) for i in range(REPEATS)])))
-    h = F.xxhash64("term", "rep")
-    r = -F.log(_bits(h, 1) * _bits(h, 2))
-    c = F.log(-F.log(_bits(h, 3) * _bits(h, 4)))
-    per_term = per_term.select(*keys, *weights, (F.col("rep") * BINS + F.pmod(F.xxhash64("term", "rep", F.lit(9)), F.lit(BINS))).cast("int").alias("bin"), h.alias("h"), r.alias("r"), c.alias("c"), _bits(h, 5).alias("b"))
-
-    def packed(weight: str) -> Column:
-        t = F.floor(F.log(F.col(weight).cast("double")) / F.col("r") + F.col("b"))
-        a = F.col("c") - F.col("r") * (t - F.col("b")) - F.col("r")
-        # one long orders by a (47 bits) and carries the sample (16 bits)
-        sample = F.pmod(F.xxhash64("h", t), F.lit(65535)) + 1
-        level = F.floor((a + 1024.0) * F.lit(float(1 << 36)))
-        return F.when(F.col(weight) > 0, F.shiftleft(level, 16) + sample)
-
-    least = per_term.select(*keys, "bin", *[packed(w).alias(w) for w in weights]).groupBy(*keys, "bin").agg(*[F.min(w).alias(w) for w in weights])
-    gathered = least.groupBy(*keys).agg(*[F.collect_list(F.when(F.col(w).isNotNull(), F.struct("bin", F.col(w).bitwiseAND(F.lit(65535)).cast("int").alias("v")))).alias(w) for w in weights])
+    held = terms.select(*keys, "term", *[F.coalesce(F.col(w), F.lit(0)).cast("long").alias(w) for w in weights])
+    top = F.array_max(F.array(*weights)) if len(weights) > 1 else F.col(weights[0])
+    held = held.withColumn("_top", top)
+    # rows without a unit stay, so that each of keys has its row
+    held = held.withColumn("_from", F.explode_outer(F.when(F.col("_top") > 0, F.sequence(F.lit(0).cast("long"), F.col("_top") - 1, F.lit(UNITS).cast("long")))))
+    units = held.withColumn("_unit", F.explode_outer(F.sequence("_from", F.least(F.col("_from") + UNITS, F.col("_top")) - 1)))
+    ranked = units.select(*keys, *weights, "_unit", F.xxhash64("term", "_unit").alias("_h"))
+    bins = BINS * REPEATS
+    ranked = ranked.select(*keys, F.pmod("_h", F.lit(bins)).cast("int").alias("_bin"), *[F.when(F.col("_unit") < F.col(w), F.shiftrightunsigned("_h", 7)).alias(w) for w in weights])
+    least = ranked.groupBy(*keys, "_bin").agg(*[F.min(w).alias(w) for w in weights])
+    sample = {w: (F.pmod(F.xxhash64(w), F.lit(65535)) + 1).cast("int") for w in weights}
+    gathered = least.groupBy(*keys).agg(*[F.collect_list(F.when(F.col(w).isNotNull(), F.struct(F.col("_bin").alias("bin"), sample[w].alias("v")))).alias(w) for w in weights])
     return gathered.select(*keys, *[_dense(F.col(w)).alias(f"fp_{w}") for w in weights])
 
 
 def _dense(pairs: Column) -> Column:
-    held = F.map_from_entries(pairs)
-    return F.transform(F.sequence(F.lit(0), F.lit(BINS * REPEATS - 1)), lambda i: F.coalesce(F.element_at(held, i), F.lit(0)))
+    """Samples by position; an empty one has that of the position first in its order."""
+
+    def at(i: Column) -> Column:
+        own = F.get(F.filter(pairs, lambda x: x["bin"] == i), F.lit(0))["v"]
+        other = F.array_min(F.transform(pairs, lambda x: F.struct(F.xxhash64(i, x["bin"]).alias("order"), x["v"].alias("v"))))["v"]
+        return F.coalesce(own, other, F.lit(0))
+
+    full = F.size(pairs) == BINS * REPEATS
+    return F.when(full, F.transform(F.array_sort(pairs), lambda x: x["v"])).otherwise(F.transform(F.sequence(F.lit(0), F.lit(BINS * REPEATS - 1)), at))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal samples among bins that aren't empty in both; 1 if all are."""
+    """The share of equal samples among positions that aren't 0 in both; 1 if all are (two texts without terms)."""
     both = F.arrays_zip(a.alias("a"), b.alias("b"))
     used = F.size(F.filter(both, lambda x: (x["a"] != 0) | (x["b"] != 0)))
     same = F.size(F.filter(both, lambda x: (x["a"] == x["b"]) & (x["a"] != 0)))
@@ -85,11 +86,12 @@ def words(text: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint array) of each row; rows of one id are told apart by a hash of their text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.select("id", F.xxhash64("text").alias("part"), F.explode_outer(words(F.col("text"))).alias("w"))
-    terms = keyed.groupBy("id", "part", F.xxhash64("w").alias("term")).agg(F.sum(F.coalesce(F.char_length("w"), F.lit(0))).alias("weight"))
-    return samples(terms, ["id", "part"], ["weight"]).select(F.col("id").alias(id_col), F.col("fp_weight").alias("fingerprint"))
+    """(id, fingerprint array) of each row; rows of one id are told apart by a hash of their text, repeated rows counted."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("id", "text").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    keyed = rows.select("id", "copies", F.xxhash64("text").alias("part"), F.explode_outer(words(F.col("text"))).alias("w"))
+    terms = keyed.groupBy("id", "part", "copies", F.xxhash64("w").alias("term")).agg(F.sum(F.coalesce(F.char_length("w"), F.lit(0))).alias("weight"))
+    made = samples(terms, ["id", "part", "copies"], ["weight"])
+    return made.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(F.col("id").alias(id_col), F.col("fp_weight").alias("fingerprint"))
 
 
 def ranges(docs: DataFrame, id_col: str, buckets: int) -> Column:
