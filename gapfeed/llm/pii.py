@@ -50,7 +50,7 @@ _SPELLED_HINT = re.compile(r"\b(?:dot|DOT)\b")
 _NATIONAL = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,5}\) ?|0?[0-9]{2,5}[ /-])[0-9]{3,4}[ .-]?[0-9]{3,5}(?![\w-])")
 _ID_NUMBER = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_SECRET = re.compile(r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b)[\"']? ?[:=]+ ?[\"']?([^\s\"']{6,200})|(?<![A-Za-z0-9])(AKIA[A-Z0-9]{16})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(gh[opsu]_[A-Za-z0-9]{36})(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b)[\"']? ?[:=]+ ?[\"']?([^\s\"']{6,})|(?<![A-Za-z0-9])(AKIA[A-Z0-9]{16})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(gh[opsu]_[A-Za-z0-9]{36})(?![A-Za-z0-9])")
 _SECRET_HINT = re.compile(r"(?i:passw|pwd|token|secret|key)|AKIA|gh[opsu]_")
 
 #: Gazetteers: endings of host names, and cue words of each kind.
@@ -208,7 +208,7 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
     covered = sorted((a, b) for _, a, b in base)
     seen = {(k, a, b) for k, a, b, _ in found}
     for kind, a, b in loose_matches(text):
-        if (kind, a, b) not in seen and not _overlaps(covered, a, b):
+        if (kind, a, b) not in seen and any(kind != "secret" or y - x >= 6 for x, y in _added(kind, a, b, covered)):
             found.append((kind, a, b, None))
     base.sort(key=lambda x: (x[1], BASE.index(x[0])))
     return base, found
@@ -218,6 +218,19 @@ def _overlaps(spans: list[tuple[int, int]], a: int, b: int) -> bool:
     return any(x < b and a < y for x, y in spans)
 
 
+def _added(kind: str, a: int, b: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of a candidate is added to the base spans (in order): all of it if it overlaps none; of a secret the parts beside them."""
+    if kind != "secret":
+        return [] if _overlaps(covered, a, b) else [(a, b)]
+    out = []
+    for x, y in covered:
+        if x < b and a < y:
+            if a < x:
+                out.append((a, x))
+            a = max(a, y)
+    return out + [(a, b)] if a < b else out
+
+
 @dataclass
 class SpanModel:
     """Label model (prior of each kind, vote rates of each labeler) and span classifier."""
@@ -235,7 +248,7 @@ class SpanModel:
         """Base spans, and those of the method besides (none overlaps a base span)."""
         base, found = candidates(text)
         covered = sorted((a, b) for _, a, b in base)
-        more = [(k, a, b) for k, a, b, valid in found if not valid and self.weights.any() and not _overlaps(covered, a, b) and self.probability(k, text, a, b) >= self.threshold]
+        more = [(k, x, y) for k, a, b, valid in found if not valid and self.weights.any() and (parts := _added(k, a, b, covered)) and self.probability(k, text, a, b) >= self.threshold for x, y in parts]
         return base, more
 
 
@@ -346,7 +359,7 @@ def detect(docs: DataFrame, fit_spans: int = 20_000, id_col: str = "doc_id", tex
                 more = []
                 if any(v != 1 for v in valid) and model.weights.any():
                     p = 1 / (1 + np.exp(-np.clip(np.array(feats) @ model.weights[:-1] + model.weights[-1], -50, 50)))
-                    more = [(KINDS[k], a, b) for k, a, b, v, x in zip(kinds, starts, ends, valid, p) if v != 1 and x >= model.threshold and not _overlaps(covered, a, b)]
+                    more = [(KINDS[k], *part) for k, a, b, v, x in zip(kinds, starts, ends, valid, p) if v != 1 and x >= model.threshold for part in _added(KINDS[k], a, b, covered)]
                 said.append(joined(spans + more))
                 added.append(len(more))
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(said, pa.string()), pa.array(added, pa.int64())], names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])

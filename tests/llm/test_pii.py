@@ -63,6 +63,25 @@ def test_model_adds_what_labelers_agree_on(spark):
     assert not any(got[i] for i in range(2, 300, 6))
 
 
+@pytest.mark.parametrize("n", [200, 201, 600, 100_000])
+def test_secret_reaches_its_end(n):
+    assert ("secret", 7, 7 + n, None) in pii.candidates("token: " + "aB3_" * (n // 4) + "x" * (n % 4) + " end")[1]
+
+
+def test_long_secrets_leave_nothing_in_the_text(spark):
+    rng = np.random.default_rng(4)
+    made = lambda n: "".join(rng.choice(list("ABCdefGHIjkl012345-_."), n))
+    secrets = [made(int(n)) for n in [40] * 80 + [300, 600, 900, 2000, 5000] * 4]
+    secrets[90] = secrets[90][:250] + "/bob@host.example/" + secrets[90][:250]
+    rows = [(i, f"the token: {s} end") for i, s in enumerate(secrets)] + [(200 + i, ["version 4.0 and 1.2.3.999 or 12345", "password = aaaaaaaa"][i % 2]) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert [masked[i] for i in range(100) if i != 90] == ["the token: [SECRET] end"] * 99
+    assert masked[90] == "the token: [SECRET][EMAIL][SECRET] end"
+    spans = {r.doc_id: r.spans for r in pii.detect(docs).collect()}
+    assert all(spans[i] == f"secret:11:{11 + len(s)}" for i, s in enumerate(secrets) if i != 90)
+
+
 def test_expectation_maximisation_recovers_reliabilities():
     rng = np.random.default_rng(1)
     n = 20_000
