@@ -54,6 +54,8 @@ OTHER_WORDS = frozenset(
     "login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related replies reply respond "
     "search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets alert complementary contentinfo form".split()
 )
+#: Elements that a class or id alone never makes other than main text.
+KEPT_TAGS = frozenset("html body main article".split())
 
 
 class Node:
@@ -76,7 +78,7 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool]:
             words += [w.lower() for w in _PARTS.findall(value)]
             if name.lower() != "role":
                 label += "." + re.sub(r"[0-9]+", "", value.lower())[:40]
-    return label, tag in OTHER_TAGS or any(w in OTHER_WORDS for w in words)
+    return label, tag in OTHER_TAGS or tag not in KEPT_TAGS and any(w in OTHER_WORDS for w in words)
 
 
 def parse(page: str) -> Node:
@@ -310,10 +312,13 @@ def decide(nodes: list[Shape], stats: dict[int, tuple[int, int, int, int]], page
 
     dropped = [x.number for x in nodes if not x.other and template(x)]
     gone = set(dropped)
-    volume = [0.0] * len(nodes)
+    volume, varying = [0.0] * len(nodes), [0.0] * len(nodes)
     for x in reversed(nodes):
-        own = 0 if x.other or x.number in gone else stats.get(x.number, (0, 0, 0, 0))[2]
+        seen, same, chars, _ = stats.get(x.number, (0, 0, 0, 0))
+        own = 0 if x.other or x.number in gone else chars
         volume[x.number] = own + sum(volume[k.number] for k in x.kids)
+        # of few pages none is known to be constant
+        varying[x.number] = (own if pages < 5 or same < 0.9 * seen else 0) + sum(varying[k.number] for k in x.kids)
     total = volume[0]
     if not total:
         return 0, dropped
@@ -323,7 +328,8 @@ def decide(nodes: list[Shape], stats: dict[int, tuple[int, int, int, int]], page
     x = nodes[0]
     while True:
         most = max(x.kids, key=lambda k: volume[k.number], default=None)
-        if most is None or volume[most.number] < 0.75 * volume[x.number] or re.match(r"(p|h[1-6]|ul|ol|li|table|blockquote|pre|tr|td|tbody|dl)(\.|$)", most.label):
+        # varying slots outside the child (a title, a lead) are content too
+        if most is None or volume[most.number] < 0.75 * volume[x.number] or varying[most.number] < varying[x.number] or re.match(r"(p|h[1-6]|ul|ol|li|table|blockquote|pre|tr|td|tbody|dl)(\.|$)", most.label):
             return x.number, dropped
         x = most
 

@@ -36,6 +36,18 @@ def test_constant_nodes_become_template(spark):
         assert "Share" not in t and "rights" not in t and "News" not in t
 
 
+def test_names_never_drop_the_whole_page(spark):
+    page = '<html class="form"><body class="has-sidebar"><main id="search-results"><article class="post comments-open"><p>Story {i} of the day</p></article></main></body></html>'
+    assert texts(spark, [(i, "http://names.example/p", page.format(i=i)) for i in range(6)]) == {i: f"Story {i} of the day" for i in range(6)}
+
+
+def test_title_and_lead_stay(spark):
+    page = "<body><div class=post><h1>Title {i}</h1><p>Lead {i}</p><div class=body><p>{t}</p></div></div><div class=end><p>All rights kept</p></div></body>"
+    rows = [(i, "http://lead.example/p", page.format(i=i, t=f"Long story {i} " * 30)) for i in range(8)]
+    for i, t in texts(spark, rows).items():
+        assert t.startswith(f"Title {i} Lead {i} Long story {i}") and t.endswith(f"story {i}")
+
+
 def test_odd_pages(spark):
     rows = [
         (1, None, None), (2, "", ""), (3, "http://x", "just text &eacute; <b>bold"), (4, "http://x", "<p>one<p>two<div>three"), (5, "bad url", "<div>" * 3000 + "deep" + "</div>" * 3000),
