@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel  # noqa: F401  (re-exported for jobs)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapfeed.shipping import materialize, scratch_path, scratch_root, ship  # noqa: F401
+from gapfeed import shipping
+from gapfeed.shipping import materialize, scratch_path, scratch_root  # noqa: F401
 
 #: The contract's words: runs of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: Rows of two longs that one broadcast may hold (about 64 MB on each executor).
 BROADCAST_ROWS = 2_000_000
+#: Rows and bytes of one Arrow batch: texts are long, so Spark's 10,000 rows a batch would be tens of MB on either side.
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable on the executors and bound the session's Arrow batches (smaller settings stay)."""
+    shipping.ship(spark)
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower()
+        if not now.isdigit() or not 0 < int(now) < bound:
+            spark.conf.set(key, str(bound))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

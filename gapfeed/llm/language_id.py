@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-* Characters: a learned alphabet of the most frequent letters (case folded);
-  anything that isn't a letter is one separator, rarer letters share a few
-  classes.
+* Characters: every letter of the training documents (case folded) is a class of
+  its own, whatever its script; letters they don't have share one class, and
+  anything that isn't a letter is one separator.
 * Model: for each language an interpolated Kneser-Ney model of one order, from
   counts of all n-grams of the training documents. The model of all languages
   is kept as sorted arrays: hashes of the n-grams seen in any language, and a
@@ -17,10 +17,12 @@
   languages, or with a foreign passage, stays.
 
 The fit reads at most about `fit_docs` training documents of each language
-(chosen by a hash of id; the bound is a parameter); every document's whole
-text is scored. Null texts and texts without letters are `und` with score 0.
-Without any training document all are `und`. Ties go to the language first in
-code point order. Repeated rows are scored each. Only text is read to predict.
+(chosen by a hash of id and text; the bound is a parameter); every document's
+whole text is scored, in slices, so that memory doesn't follow its length. Null
+texts and texts without letters are `und` with score 0. Without any training
+document all are `und`. Ties go to the language first in code point order.
+Repeated rows are scored each, and alike. Only text is read to predict; other
+columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +41,15 @@ from gapfeed.llm._common import text_chunks
 from gapfeed.llm._hashing import mix
 
 ORDER = 4
-#: Bits of a character class: 0 separator, 1..LETTERS the alphabet, the rest rarer letters by code point.
-BITS, LETTERS = 6, 55
+#: Bits of a character class: 0 is the separator, then the alphabet by frequency, then all other letters as one.
+BITS = 15
+LETTERS = (1 << BITS) - 2
 UNKNOWN = "und"
-#: Columns that a prediction adds.
-JUDGED = ("lang_pred", "score", "cross_entropy", "rejected")
+#: Texts are scored in slices of so many characters, and kept together up to as many bytes.
+SLICE = 1 << 18
+#: Bytes of a task's cache of n-grams looked up before.
+CACHE_BYTES = 16 << 20
+JUDGED = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
 def letters_table() -> np.ndarray:
@@ -52,34 +57,38 @@ def letters_table() -> np.ndarray:
     return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)], dtype=bool)
 
 
-def alphabet_table(frequent: list[str], letters: np.ndarray) -> np.ndarray:
-    """The class of each code point."""
-    table = np.zeros(0x110000, dtype=np.uint8)
-    code = np.flatnonzero(letters)
-    table[code] = LETTERS + 1 + (code >> 7) % ((1 << BITS) - 1 - LETTERS)
-    for i, c in enumerate(frequent[:LETTERS]):
+def alphabet_table(alphabet: list[str], letters: np.ndarray) -> np.ndarray:
+    """The class of each code point; letters outside the alphabet are class len(alphabet) + 1."""
+    table = np.where(letters, np.uint16(len(alphabet) + 1), np.uint16(0))
+    for i, c in enumerate(alphabet):
         for form in {c, c.upper(), c.lower()}:
             if len(form) == 1:
                 table[ord(form)] = i + 1
     return table
 
 
-def classes(text: str, table: np.ndarray) -> np.ndarray:
-    """Character classes of a text between separators, runs of separators as one."""
-    c = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    c = np.concatenate([np.zeros(1, np.uint8), c, np.zeros(1, np.uint8)])
-    keep = np.ones(len(c), dtype=bool)
-    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
-    return c[keep]
+def grams(text: str, table: np.ndarray, size: int = SLICE) -> Iterator[np.ndarray]:
+    """Slice by slice the codes of the n-grams that end at each character of a text between separators (runs of
+    separators as one; the n-grams before the start are padded with separators)."""
+    tail = np.zeros(ORDER, dtype=np.uint16)
+    for at in range(0, len(text), size):
+        c = table[np.frombuffer(text[at : at + size].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        if at + size >= len(text):
+            c = np.append(c, np.uint16(0))
+        keep = c != 0
+        keep[1:] |= c[:-1] != 0
+        keep[0] |= tail[-1] != 0
+        padded = np.concatenate([tail, c[keep]]).astype(np.int64)
+        out = np.zeros(len(padded) - ORDER, dtype=np.int64)
+        for i in range(1, ORDER + 1):
+            out = (out << BITS) | padded[i : i + len(out)]
+        tail = padded[-ORDER:].astype(np.uint16)
+        yield out
 
 
-def grams(c: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Codes of the n-gram that ends at each character but the first (short ones padded with separators)."""
-    padded = np.concatenate([np.zeros(order - 1, np.uint8), c]).astype(np.int64)
-    out = np.zeros(len(c), dtype=np.int64)
-    for i in range(order):
-        out = (out << BITS) | padded[i : i + len(c)]
-    return out[1:]
+def low(codes: np.ndarray, n: int) -> np.ndarray:
+    """The codes' last n characters."""
+    return codes & ((1 << BITS * n) - 1)
 
 
 @dataclass
@@ -92,28 +101,35 @@ class Model:
     logs: list[np.ndarray]
     contexts: list[np.ndarray] = field(default_factory=list)
     backoffs: list[np.ndarray] = field(default_factory=list)
+    #: Different characters of each language's training documents.
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: float = 1.0
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     spread: np.ndarray = field(default_factory=lambda: np.zeros(0))
     reject_sds: float = 12.0
 
+    @property
+    def symbols(self) -> int:
+        return len(self.alphabet) + 2
+
     def limit(self, language: int, characters: int) -> float:
         """The cross-entropy beyond which a text isn't taken for the language."""
         mean, spread = self.mean[language], self.spread[language]
-        return max(mean + self.reject_sds * spread * (1 + 5 / math.sqrt(max(1, characters))), mean + 0.6 * (math.log(1 << BITS) - mean))
+        even = math.log(max(64, self.kinds[language]))
+        return max(mean + self.reject_sds * spread * (1 + 5 / math.sqrt(max(1, characters))), mean + 0.6 * (even - mean))
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each n-gram's last character, a column for each language."""
         out = np.zeros((len(codes), len(self.languages)), dtype=np.float32)
         todo = np.arange(len(codes))
         for n in range(len(self.keys), 0, -1):
-            code = codes[todo] & ((1 << BITS * n) - 1)
+            code = low(codes[todo], n)
             at, hit = _find(self.keys[n - 1], code)
             out[todo[hit]] += self.logs[n - 1][at[hit]]
             todo, code = todo[~hit], code[~hit]
             at, known = _find(self.contexts[n - 1], code >> BITS)
             out[todo[known]] += self.backoffs[n - 1][at[known]]
-        out[todo] -= math.log(1 << BITS)
+        out[todo] -= math.log(self.symbols)
         return out
 
 
@@ -124,17 +140,17 @@ def _find(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == h
 
 
-def train(counts: dict[str, dict[int, int]] | dict[str, tuple[np.ndarray, np.ndarray]], alphabet: list[str], discount: float = 0.75) -> Model:
-    """Interpolated Kneser-Ney for each language from its counts of n-grams of the highest order."""
+def train(counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: list[str], discount: float = 0.75) -> Model:
+    """Interpolated Kneser-Ney for each language from its counts of n-grams of the highest order (codes in order, counts)."""
     languages = sorted(counts)
-    size = 1 << BITS
+    size = len(alphabet) + 2
     keys: list[np.ndarray] = []
     columns: list[list[np.ndarray]] = []
     contexts: list[np.ndarray] = []
     backoffs: list[np.ndarray] = []
     tables = {g: (np.asarray(c[0], dtype=np.int64), np.asarray(c[1], dtype=np.float64)) for g, c in counts.items()}
-    top = [np.unique(np.concatenate([tables[g][0] for g in languages]) & ((1 << BITS * n) - 1)) for n in range(1, ORDER + 1)]
-    lower = {g: np.full(1, 1.0 / size) for g in languages}
+    top = [np.unique(low(np.concatenate([tables[g][0] for g in languages]), n)) for n in range(1, ORDER + 1)]
+    below_of = {g: np.full(1, 1.0 / size) for g in languages}
     for n in range(1, ORDER + 1):
         seen = top[n - 1]
         columns.append([])
@@ -144,8 +160,7 @@ def train(counts: dict[str, dict[int, int]] | dict[str, tuple[np.ndarray, np.nda
             if n == ORDER:
                 own, weight = codes, freq
             else:  # continuation counts: how many different n-grams one longer end so
-                longer = np.unique(codes & ((1 << BITS * (n + 1)) - 1))
-                own, weight = np.unique(longer & ((1 << BITS * n) - 1), return_counts=True)
+                own, weight = np.unique(low(np.unique(low(codes, n + 1)), n), return_counts=True)
                 weight = weight.astype(np.float64)
             context, inverse = np.unique(own >> BITS, return_inverse=True)
             total = np.bincount(inverse, weights=weight)
@@ -155,83 +170,106 @@ def train(counts: dict[str, dict[int, int]] | dict[str, tuple[np.ndarray, np.nda
             mine = np.where(own[at] == seen, weight[at], 0.0)
             ctx = np.minimum(np.searchsorted(context, seen >> BITS), len(context) - 1)
             known = context[ctx] == seen >> BITS
-            below = lower[g][np.searchsorted(top[n - 2], seen & ((1 << BITS * (n - 1)) - 1))] if n > 1 else np.full(len(seen), 1.0 / size)
-            p = np.where(known, np.maximum(mine - discount, 0) / total[ctx] + discount * kinds[ctx] / total[ctx] * below, below)
-            columns[-1].append(p)
+            below = below_of[g][np.searchsorted(top[n - 2], low(seen, n - 1))] if n > 1 else np.full(len(seen), 1.0 / size)
+            columns[-1].append(np.where(known, np.maximum(mine - discount, 0) / total[ctx] + discount * kinds[ctx] / total[ctx] * below, below))
             weights.append((context, discount * kinds / total))
-        lower = dict(zip(languages, columns[-1]))
+        below_of = dict(zip(languages, columns[-1]))
         # the weight of the shorter n-gram behind each context; 1 where a language doesn't know it
         every = np.unique(np.concatenate([c for c, _ in weights]))
         shares = np.ones((len(every), len(languages)))
         for i, (context, share) in enumerate(weights):
             shares[np.searchsorted(every, context), i] = share
-        h = mix(every.astype(np.uint64))
-        order = np.argsort(h)
-        contexts.append(h[order])
-        backoffs.append(np.log(shares)[order].astype(np.float32))
-        h = mix(seen.astype(np.uint64))
-        order = np.argsort(h)
-        keys.append(h[order])
-        columns[-1] = np.log(np.stack(columns[-1], axis=1))[order].astype(np.float32)
-    return Model(languages, alphabet, keys, columns, contexts, backoffs)
-
-
-def entropies(texts: list[str], model: Model, table: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Cross-entropy per character (nats) of each text under each language, and the number of characters scored."""
-    coded = [grams(classes(t, table)) if t else np.zeros(0, np.int64) for t in texts]
-    sizes = np.array([len(c) for c in coded], dtype=np.int64)
-    flat = np.concatenate(coded) if coded else np.zeros(0, np.int64)
-    out = np.zeros((len(texts), len(model.languages)))
-    if len(flat):
-        # a dense row index for n-grams met before; new ones are looked up in the sorted arrays once
-        if "row" not in cache:
-            cache["row"] = np.full(1 << BITS * ORDER, -1, dtype=np.int32)
-            cache["log"] = np.zeros((0, len(model.languages)), dtype=np.float32)
-        row = cache["row"][flat]
-        if (row < 0).any():
-            new = np.unique(flat[row < 0])
-            cache["row"][new] = np.arange(len(cache["log"]), len(cache["log"]) + len(new))
-            cache["log"] = np.concatenate([cache["log"], model.log_probabilities(new)])
-            row = cache["row"][flat]
-        ends = np.cumsum(sizes)
-        some = sizes > 0
-        for i in range(len(model.languages)):
-            run = np.concatenate([[0.0], np.cumsum(cache["log"][:, i][row], dtype=np.float64)])
-            out[some, i] = -(run[ends[some]] - run[ends[some] - sizes[some]]) / sizes[some]
-    return out, sizes
-
-
-def in_training(id_col: str) -> Column:
-    """Documents that may be learned from: crc32 of the id as text, modulo 3, is not 1 (null ids: yes)."""
-    return ~held_out(id_col)
+        for hashes, of, values, into in ((contexts, every, np.log(shares), backoffs), (keys, seen, np.log(np.stack(columns[-1], axis=1)), None)):
+            h = mix(of.astype(np.uint64))
+            order = np.argsort(h)
+            hashes.append(h[order])
+            if into is None:
+                columns[-1] = values[order].astype(np.float32)
+            else:
+                into.append(values[order].astype(np.float32))
+    return Model(languages, alphabet, keys, columns, contexts, backoffs, np.array([len(np.unique(low(tables[g][0], 1))) for g in languages]))
+
+
+class Scorer:
+    """Cross-entropies under a model; n-grams looked up before come from a cache with a place for each hash prefix."""
+
+    def __init__(self, model: Model, table: np.ndarray):
+        self.model, self.table = model, table
+        width = len(model.languages)
+        self.bits = max(8, min(18, int(math.log2(CACHE_BYTES / (8 + 4 * width)))))
+        self.codes = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.logs = np.zeros((1 << self.bits, width), dtype=np.float32)
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        place = (mix(codes.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.logs[place]
+        missed = np.flatnonzero(self.codes[place] != codes)
+        if len(missed):
+            new, inverse = np.unique(codes[missed], return_inverse=True)
+            found = self.model.log_probabilities(new)
+            out[missed] = found[inverse]
+            at = place[missed]
+            self.codes[at] = codes[missed]
+            self.logs[at] = found[inverse]
+        return out
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy per character (nats) of each text under each language, and the number of characters scored
+        (0: no letters)."""
+        sums = np.zeros((len(texts), len(self.model.languages)))
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        held: list[tuple[int, np.ndarray]] = []
+        waiting = 0
+
+        def score():
+            of = np.array([i for i, _ in held])
+            lengths = np.array([len(c) for _, c in held])
+            found = np.add.reduceat(self.rows(np.concatenate([c for _, c in held])), np.cumsum(lengths) - lengths, axis=0, dtype=np.float64)
+            np.add.at(sums, of, found)
+            np.add.at(sizes, of, lengths)
+
+        for i, t in enumerate(texts):
+            for codes in grams(t, self.table) if t else ():
+                if len(codes):
+                    held.append((i, codes))
+                    waiting += len(codes)
+                if waiting >= SLICE:
+                    score()
+                    held, waiting = [], 0
+        if held:
+            score()
+        return -sums / np.maximum(sizes, 1)[:, None], sizes
 
 
 def held_out(id_col: str) -> Column:
+    """Documents that nothing is learned from: crc32 of the id as text, modulo 3, is 1 (null ids: no)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, fit_docs: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject_sds: float = 12.0) -> Model | None:
     """A model from the training documents; None if there are none."""
-    usable = docs.where(in_training(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col, F.lit("language fit")).alias("h"))
     sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
         return None
     space = 1 << 30
     bound = F.create_map(*[x for g, n in sizes.items() for x in (F.lit(g), F.lit(min(space, int(space * fit_docs / n) + 1)))])
-    sample = usable.where((F.pmod(F.xxhash64(id_col, F.lit("language fit")), F.lit(space)) < F.element_at(bound, F.col("lang"))))
-
+    sample = usable.where(F.pmod("h", F.lit(space)) < F.element_at(bound, F.col("lang"))).select("lang", "text")
     letters = letters_table()
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count = np.zeros(0x110000, dtype=np.int64)
-            for t in batch.column(0).to_pylist():
-                count += np.bincount(np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32), minlength=0x110000)
-            code = np.flatnonzero(count * letters)
-            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(count[code], pa.int64())], names=["c", "n"])
+            for a, b in text_chunks(batch.column(0), SLICE):
+                text = "".join(batch.column(0).slice(a, b - a).to_pylist()).lower()
+                code, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)
+                some = letters[code]
+                yield pa.RecordBatch.from_arrays([pa.array(code[some], pa.int64()), pa.array(n[some], pa.int64())], names=["c", "n"])
 
     top = sample.select("text").mapInArrow(spell, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS).collect()
     alphabet = [chr(r[0]) for r in top]
+    if not alphabet:
+        return None
     table = alphabet_table(alphabet, letters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,31 +277,30 @@ def fit(docs: DataFrame, fit_docs: int = 3000, id_col: str = "doc_id", text_col:
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             texts = batch.column(1).to_pylist()
             for g in sorted(set(langs)):
-                codes, n = np.unique(np.concatenate([grams(classes(t, table)) for t, x in zip(texts, langs) if x == g]), return_counts=True)
+                found = [c for t, x in zip(texts, langs) if x == g for c in grams(t, table)]
+                codes, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([g] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["lang", "g", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).orderBy("lang", "g").toPandas()
-    if counted.empty or (counted["g"] == 0).all():
+    counted = sample.mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).orderBy("lang", "g").toPandas()
+    if counted.empty:
         return None
     model = train({g: (p["g"].to_numpy(), p["n"].to_numpy()) for g, p in counted.groupby("lang")}, alphabet)
     model.reject_sds = reject_sds
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
+        scorer = Scorer(model, table)
         at = {g: i for i, g in enumerate(model.languages)}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            h, n = entropies(texts, model, table, cache)
-            own = np.array([at.get(g, 0) for g in langs])
-            mine = h[np.arange(len(own)), own] if len(own) else np.zeros(0)
-            rest = h.copy()
-            if len(own):
-                rest[np.arange(len(own)), own] = np.inf
-            other = rest.min(axis=1) if len(model.languages) > 1 else mine + 1
+            h, n = scorer.entropies(texts)
+            own = np.array([at.get(g, 0) for g in langs], dtype=np.int64)
+            mine = h[np.arange(len(own)), own]
+            h[np.arange(len(own)), own] = np.inf
+            other = h.min(axis=1) if len(model.languages) > 1 else mine + 1
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(mine), pa.array(other - mine), pa.array(n)], names=["lang", "h", "gap", "n"])
 
     # calibration: the spread of the training documents' cross-entropies, and the scale of the posterior
-    found = sample.select("lang", "text").mapInArrow(measure, "lang string, h double, gap double, n long").where("n >= 20")
+    found = sample.mapInArrow(measure, "lang string, h double, gap double, n long").where("n >= 20")
     stats = {r[0]: r for r in found.groupBy("lang").agg(F.avg("h"), F.stddev_pop("h"), F.avg("gap")).collect()}
     model.mean = np.array([stats[g][1] if g in stats else 0.0 for g in model.languages])
     model.spread = np.array([max(stats[g][2], 0.02) if g in stats else np.inf for g in model.languages])
@@ -273,40 +310,40 @@ def fit(docs: DataFrame, fit_docs: int = 3000, id_col: str = "doc_id", text_col:
     return model
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, text_col: str = "text", drop_rejected: bool = False) -> DataFrame:
-    """The columns `keep` with lang_pred, score, cross_entropy and rejected (all but text by default). One map, no shuffle."""
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    letters = letters_table()
-    table = None if model is None else alphabet_table(model.alphabet, letters)
-    read = keep if text_col in keep else [*keep, text_col]
-    at = read.index(text_col)
+def judge(model: Model | None, text: Column) -> Column:
+    """A struct of the columns `JUDGED` for each text. Only texts go to Python, and only this comes back."""
+    table = None if model is None else alphabet_table(model.alphabet, letters_table())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
+    @F.arrow_udf(f"struct<{JUDGED.replace(' ', ':').replace(',:', ', ')}>")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = None if model is None else Scorer(model, table)
         for batch in batches:
-            for a, b in text_chunks(batch.column(at), 2 << 20):
-                part = batch.slice(a, b - a)
-                texts = part.column(at).fill_null("").to_pylist()
-                pred, score, ce, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts), [True] * len(texts)
-                lettered = [i for i, t in enumerate(texts) if t and (t[:200].isalpha() or letters[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].any())]
-                if model is not None and lettered:
-                    h, n = entropies([texts[i] for i in lettered], model, table, cache)
-                    best = h.argmin(axis=1)
-                    e = np.exp(-(h - h.min(axis=1, keepdims=True)) * model.scale)
-                    top = 1.0 / e.sum(axis=1)
-                    for j, i in enumerate(lettered):
-                        g = int(best[j])
-                        limit = model.limit(g, int(n[j]))
-                        pred[i], score[i], ce[i], rejected[i] = model.languages[g], top[j], float(h[j, g]), bool(h[j, g] > limit)
-                out = pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(ce, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, *JUDGED])
-                yield out.filter(pc.invert(out.column(len(keep) + 3))) if drop_rejected else out
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*read).mapInArrow(run, f"{fields + ', ' if fields else ''}{', '.join(f'`{c}` {t}' for c, t in zip(JUDGED, ('string', 'double', 'double', 'boolean')))}")
+            parts = [_judged(batch.slice(a, b - a), model, scorer) for a, b in text_chunks(batch, SLICE)]
+            yield pa.concat_arrays(parts) if parts else _judged(batch, model, None)
+
+    return judged(text)
+
+
+def _judged(texts: pa.Array, model: Model | None, scorer: Scorer | None) -> pa.StructArray:
+    pred, score, ce, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts), [True] * len(texts)
+    if scorer is not None:
+        h, n = scorer.entropies(texts.fill_null("").to_pylist())
+        top = 1.0 / np.exp(-(h - h.min(axis=1, keepdims=True)) * model.scale).sum(axis=1)
+        for i, g in enumerate(h.argmin(axis=1).tolist()):
+            if n[i]:
+                pred[i], score[i], ce[i] = model.languages[g], top[i], float(h[i, g])
+                rejected[i] = bool(h[i, g] > model.limit(g, int(n[i])))
+    return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(ce, pa.float64()), pa.array(rejected, pa.bool_())], names=[c.split()[0] for c in JUDGED.split(", ")])
+
+
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns `keep` with lang_pred, score, cross_entropy and rejected. One map, no shuffle."""
+    kept = docs.select(F.struct(*keep).alias("row"), judge(model, F.col(text_col)).alias("said"))
+    return kept.select("row.*", "said.*")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fitting) -> DataFrame:
-    """(id, held_out, lang_pred, score, cross_entropy, rejected) of every document."""
+    """(id, lang_pred, score, cross_entropy, rejected, held_out) of every document."""
     model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **fitting)
     return predict(docs, model, keep=[id_col], text_col=text_col).withColumn("held_out", held_out(id_col))
 
@@ -314,4 +351,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fitting) -> DataFrame:
     """Documents that aren't rejected, with all their columns."""
     model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **fitting)
-    return predict(docs, model, keep=docs.columns, text_col=text_col, drop_rejected=True).drop(*JUDGED)
+    return docs.where(~judge(model, F.col(text_col))["rejected"])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gapfeed.llm._bpe import PieceEncoder
 from gapfeed.llm._common import materialize, text_chunks
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def lengths_of(n: int, longest: int) -> list[int]:

@@ -298,7 +298,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in text_chunks(batch.column(1), 4 << 20):
+            for x, y in text_chunks(batch.column(1)):
                 part = batch.slice(x, y - x)
                 rows: list[list] = [[] for _ in range(12)]
                 for text in part.column(1).fill_null("").to_pylist():
@@ -370,16 +370,13 @@ def detect(docs: DataFrame, fit_spans: int = 20_000, id_col: str = "doc_id", tex
 def mask(docs: DataFrame, fit_spans: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with each span's text replaced by its kind in brackets; nulls stay null, all columns stay."""
     model = fit(materialize(find(docs, id_col, text_col), "pii"), fit_spans)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("string")
+    def hidden(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for x, y in text_chunks(batch.column(at), 4 << 20):
-                part = batch.slice(x, y - x)
-                out = [None if t is None else masked(t, [s for some in model.spans(t) for s in some]) for t in part.column(at).to_pylist()]
-                yield part.set_column(at, text_col, pa.array(out, pa.string()))
+            yield pa.array([None if t is None else masked(t, [s for some in model.spans(t) for s in some]) for t in batch.to_pylist()], pa.string())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.withColumn(text_col, hidden(F.col(text_col)))
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:

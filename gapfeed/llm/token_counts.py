@@ -25,7 +25,7 @@ from gapfeed.llm._bpe import PIECE, PieceEncoder, prefix_counts
 from gapfeed.llm._common import text_chunks
 
 #: Bytes of text that a worker encodes at once (a longer text is its own chunk).
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 class PrefixTable:
