@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapfeed.llm._common import materialize
+from gapfeed.shipping import Scratch, materialize
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,24 +40,29 @@ def components(links: DataFrame) -> DataFrame:
     number each round. Only counts come to the driver. Null ends are dropped;
     an empty table yields no rows; repeated links and self-links do no harm.
     """
+    with Scratch(links.sparkSession) as scratch:
+        return materialize(_contracted(links, scratch), "components")
+
+
+def _contracted(links: DataFrame, scratch: Scratch) -> DataFrame:
     links = links.where("a is not null and b is not null and a != b").select("a", "b")
-    edges = materialize(links.mapInArrow(_forest, "a long, b long"), "cc-edges")
+    edges = scratch.table(links.mapInArrow(_forest, "a long, b long"), "cc-edges")
     nodes = None
     while True:
         if edges.isEmpty():
             break
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
-        p1 = materialize(near, "cc-near")
+        p1 = scratch.table(near, "cc-near")
         hop = p1.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        p2 = materialize(p1.join(hop, "p").select("u", F.col("q").alias("p")), "cc-hop")
+        p2 = scratch.table(p1.join(hop, "p").select("u", F.col("q").alias("p")), "cc-hop")
         hop = p2.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        step = materialize(p2.join(hop, "p").select("u", F.col("q").alias("p")), "cc-step")
+        step = scratch.table(p2.join(hop, "p").select("u", F.col("q").alias("p")), "cc-step")
         to = step.select(F.col("u").alias("component"), F.col("p").alias("to"))
         nodes = step.select(F.col("u").alias("node"), F.col("p").alias("component")) if nodes is None else nodes.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        nodes = materialize(nodes, "cc-nodes")
+        nodes = scratch.table(nodes, "cc-nodes")
         pa_, pb = step.select(F.col("u").alias("a"), F.col("p").alias("x")), step.select(F.col("u").alias("b"), F.col("p").alias("y"))
-        edges = materialize(edges.join(pa_, "a").join(pb, "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "cc-edges")
+        edges = scratch.table(edges.join(pa_, "a").join(pb, "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "cc-edges")
     if nodes is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     return nodes

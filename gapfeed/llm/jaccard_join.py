@@ -2,31 +2,37 @@
 
 The universe of shingle hashes is cut into segments; how many depends on a
 band of set sizes. Two sets of a band that reach the similarity differ in at
-most H shingles, so with enough segments one of them must agree (or differ by
-one, in a segment that is indexed with its one-deletion neighbourhood). Sets
-that share a key are candidates and are verified on their whole sets.
-
-* Bands: sizes l..floor(l / s). A pair meets in the band of its larger set, so a
-  set is indexed in its own band and in the next.
-* Pigeonhole: m segments, d of them with neighbourhoods. A pair that shares
-  nothing differs at least 2 in each of the d and 1 in each other segment that
-  isn't empty in both; 2d + (m - d) = H + 1 + E leaves room for E segments that
-  are empty in both, so empty ones needn't be indexed. Only sets with more
-  than E empty segments index those too.
-* Cost-based allocation: d is chosen for each band by the number of sets in it,
-  weighing keys to shuffle against false candidates.
+most H shingles, so among enough segments one must agree (or differ by one,
+where a segment is indexed with its one-deletion neighbourhood). Sets that
+share a key are candidates and are verified on their whole sets.
+
+* Bands: sizes l..floor(l / s^2). A pair meets in the band of its larger set, so
+  a set is indexed in its own band and, if a partner may be there, in the next.
+* Pigeonhole: in the order of segments a set indexes those that aren't empty
+  until they weigh H + 1, H being what it may differ by from its largest partner
+  in the band. A segment weighs 1; one of two or more shingles weighs 2 where it
+  is indexed with its neighbourhood. Of two linked sets take the one whose
+  segments end first: if no key were shared, the sets would differ by more than
+  H within them, and the other indexes those too. The few sets with too little
+  weight in all segments index the empty ones as well.
+* Cost-based allocation: how many segments have neighbourhoods is chosen for each
+  band by the number of sets in it, weighing keys to shuffle against false candidates.
 * Equal sets are one class; keys carry the class. Within a key, members are
   compared with a leader and the member before (in each batch, then over all),
   not with each other. Where that leaves a key's members in several components,
-  those outside the key's main component are compared with all its members,
-  after size and parity-sketch bounds; pairs within a component need no comparison.
+  those outside the key's largest component are compared with all its members,
+  after size and parity-sketch bounds; pairs within a component need no
+  comparison. Such keys are split by size and salted, so that none is one task.
 
-Sets are compared by 64-bit hashes of their shingles; classes by a 64-bit hash
-of the set.
+Components are exact; links within a component are verified only as far as they
+connect it. Sets are compared by 64-bit hashes of their shingles; classes by a
+64-bit hash of the set.
 
 Nulls and texts without words have empty sets and link with nothing. Repeated
 rows link with each other. Null ids take part; an id of a component is the
-smallest id that isn't null (null if all are). Other columns are not read.
+smallest id that isn't null (null if all are). Ties cannot change results. Very
+long texts are sets like others; an empty table yields no rows. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -40,14 +46,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapfeed.llm._common import drop_ids, materialize, sized_broadcast, text_chunks, utf8
+from gapfeed.llm._common import drop_ids, sized_broadcast, text_chunks, utf8
 from gapfeed.llm._hashing import mix, shingle_sets
 from gapfeed.llm.components import components
+from gapfeed.shipping import Scratch, materialize
 
 #: Parity sketch of a set: 4 longs. Differing bits never exceed differing shingles.
 SKETCH = 256
+SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
 #: Costs of one indexed key, and of one false candidate, and the chance that a shingle of one set is in an unrelated one.
-KEY_COST, PAIR_COST, SHARED = 1.0, 2.0, 1e-4
+KEY_COST, PAIR_COST, SHARED = 1.0, 5.0, 1e-5
+#: A band's largest size is its smallest by the similarity to this power.
+BAND_POWER = 2
+#: Members of one key that one task compares with all others of the key and of like size.
+SALT_ROWS = 2000
 
 
 @dataclass(frozen=True)
@@ -68,19 +80,26 @@ class Similarity:
 
 @dataclass(frozen=True)
 class Band:
+    """Segments of a band of sizes: `deletions` with one-deletion neighbourhoods come first, then exact ones."""
+
     number: int
     low: int
     high: int
     segments: int
     deletions: int
-    empties: int
+
+    def weight(self, n: int, similarity: Similarity) -> int:
+        """What the segments that a set of n shingles indexes must weigh: one more than it may differ by from a partner here."""
+        return similarity.differ(n + min(self.high, similarity.largest(n))) + 1
 
 
 def bands(similarity: Similarity, largest: int) -> list[tuple[int, int]]:
     """Size bands up to the one that holds `largest`, and the next."""
     out, low = [], 1
     while True:
-        high = max(low, similarity.largest(low))
+        high = low
+        for _ in range(BAND_POWER):
+            high = max(high, similarity.largest(high))
         out.append((low, high))
         if low > largest:
             return out
@@ -88,28 +107,35 @@ def bands(similarity: Similarity, largest: int) -> list[tuple[int, int]]:
 
 
 def allocate(number: int, low: int, high: int, similarity: Similarity, sets: int) -> Band:
-    """The cheapest allocation of exact and neighbourhood segments for a band that holds `sets` sets."""
-    differ = similarity.differ(2 * high)
+    """The cheapest allocation of neighbourhood and exact segments for a band that holds `sets` sets."""
     smallest = max(1, math.ceil(low * similarity.num / similarity.den))  # sets of the band before come too
+    most = similarity.differ(2 * high) + 1
+    sizes = sorted({smallest, low, (low + high) // 2, high})
     best = None
-    for d in sorted({0, (differ + 1) // 4, (differ + 1) // 2, (differ + 2) // 2}):
-        exact, empties = max(0, differ + 1 - 2 * d), 0
-        for _ in range(30):  # room for empty segments and the number of segments depend on each other
-            m = d + exact + empties
-            p = math.exp(-smallest / m)
-            room = 0 if not exact else math.ceil((exact + empties) * p + 4 * math.sqrt((exact + empties) * p))
-            if room <= empties:
-                break
-            empties = min(room, exact + 8 + empties)
-        m = d + exact + empties
+    for d in sorted({0, most // 8, most // 4, most // 2}):
+        exact = max(1, most - 2 * d)
+        while not all(_enough(Band(number, low, high, d + exact, d), n, similarity) for n in sizes) and exact < 4 * most + 64:
+            exact = exact * 9 // 8 + 1
+        m = d + exact
         size = (low + high) / 2 / m
+        needed = most * (low + high) / 2 / high
         false = SHARED * size * math.exp(-size)
-        cost = (m - d) * (KEY_COST + sets * false * PAIR_COST) + d * ((1 + size) * KEY_COST + sets * false * SHARED * (1 + size) * PAIR_COST)
+        in_exact = max(0.0, needed - 2 * d)
+        cost = in_exact * (KEY_COST + sets * false * PAIR_COST) + min(d, needed / 2) * ((1 + size) * KEY_COST + sets * false * SHARED * (1 + size) * PAIR_COST)
         if best is None or cost < best[0]:
-            best = (cost, Band(number, low, high, m, d, empties))
+            best = (cost, Band(number, low, high, m, d))
     return best[1]
 
 
+def _enough(band: Band, n: int, similarity: Similarity) -> bool:
+    """Whether the segments that a random set of n shingles fills weigh enough, four deviations below the mean."""
+    none = math.exp(-n / band.segments)
+    one = n / band.segments * none
+    exact = band.segments - band.deletions
+    mean = exact * (1 - none) + band.deletions * (2 - 2 * none - one)
+    return mean - 4 * math.sqrt(exact * none * (1 - none) + band.deletions * (4 * none + one)) >= band.weight(n, similarity) or n <= 2
+
+
 def _mapper(columns, names):
     return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -126,49 +152,59 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
 
 
 def set_sizes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, cls): size and class of each document's set; class is null for the empty set."""
+    """(id, n, cls, sketch): size, class and parity sketch of each document's set; class is null for the empty set."""
 
     def run(batches):
         for part, sets in _sets(batches, k):
-            yield _mapper([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64())], ["id", "n", "cls"])
+            sketches = np.stack([np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64) for s in sets])
+            yield _mapper(
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), *(pa.array(sketches[:, i]) for i in range(len(SKETCHES)))],
+                ["id", "n", "cls", *SKETCHES],
+            )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, cls long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, cls long, {', '.join(f'{x} long' for x in SKETCHES)}")
 
 
-def segment_keys(tokens: np.ndarray, band: Band) -> np.ndarray:
-    """The keys of a set in a band: hashes of its segments, and of those less one shingle in the first `deletions`."""
+def segment_cuts(band: Band) -> np.ndarray:
+    """Where the segments of the universe of hashes begin, but for the first."""
     m = band.segments
-    cuts = np.array([-(-(i << 64) // m) for i in range(1, m)], dtype=np.uint64) if m > 1 else np.zeros(0, np.uint64)
-    return _keys(tokens, cuts, band)
+    return np.array([-(-(i << 64) // m) for i in range(1, m)], dtype=np.uint64)
 
 
-def _keys(tokens: np.ndarray, cuts: np.ndarray, band: Band) -> np.ndarray:
+def segment_keys(tokens: np.ndarray, band: Band, cuts: np.ndarray, similarity: Similarity) -> np.ndarray:
+    """The keys of a set in a band: hashes of the segments it indexes, and of those less one shingle."""
     m, d = band.segments, band.deletions
     at = np.concatenate([[0], np.searchsorted(tokens, cuts), [len(tokens)]])
-    mixed = mix(tokens)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-    sums = run[at[1:]] - run[at[:-1]]
-    salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(band.number << 32))
     sizes = np.diff(at)
-    wanted = sizes > 0
-    wanted[:d] = True
-    if np.count_nonzero(sizes[d:] == 0) > band.empties:
-        wanted[:] = True
-    keys = mix(sums + salt)[wanted]
+    weights = np.minimum(sizes, 1)
+    weights[:d] = np.minimum(sizes[:d], 2)
+    total = np.cumsum(weights)
+    need = band.weight(len(tokens), similarity)
+    whole = total[-1] < need
+    q = m if whole else int(np.searchsorted(total, need)) + 1
+    mixed = mix(tokens[: at[q]])
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+    sums = run[at[1 : q + 1]] - run[at[:q]]
+    salt = mix(np.arange(q, dtype=np.uint64) + np.uint64(band.number << 32))
+    keys = mix(sums + salt)
+    if not whole:
+        keys = keys[sizes[:q] > 0]
     if d:
-        segment = np.repeat(np.arange(d), sizes[:d])
+        segment = np.repeat(np.arange(min(d, q)), sizes[: min(d, q)])
         less = mix(sums[segment] - mixed[: len(segment)] + salt[segment])
-        keys = np.concatenate([keys, less])
-    return keys
+        keys = np.concatenate([keys, less if whole else less[sizes[segment] > 1]])
+    return np.unique(keys)
 
 
-def _indexed(docs: DataFrame, plan: dict[int, Band], edges: list[int], k: int, id_col: str, text_col: str) -> DataFrame:
+def _indexed(docs: DataFrame, plan: dict[int, Band], edges: list[int], similarity: Similarity, bits: int, k: int, id_col: str, text_col: str) -> DataFrame:
     """(key, leader, member, before): keys of each class, once in a map task; classes that share a key with
     an earlier one of the batch come as its members, each with the member before it, so a key passes few
-    leaders on to the shuffle."""
+    leaders on to the shuffle. Keys have `bits` bits: shorter ones take less room, and what collides is only
+    one more candidate."""
 
     def run(batches):
-        cuts = {b: np.array([-(-(i << 64) // p.segments) for i in range(1, p.segments)], dtype=np.uint64) for b, p in plan.items()}
+        cuts = {b: segment_cuts(p) for b, p in plan.items()}
+        shift = np.uint64(64 - bits)
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -191,11 +227,11 @@ def _indexed(docs: DataFrame, plan: dict[int, Band], edges: list[int], k: int, i
                 seen.add(c)
                 own = int(np.searchsorted(edges, len(s), side="right")) - 1
                 for b in (own, own + 1):
-                    if b in plan:
-                        found = np.unique(_keys(s, cuts[b], plan[b]))
+                    if b in plan and (b == own or similarity.largest(len(s)) >= plan[b].low):
+                        found = np.unique(segment_keys(s, plan[b], cuts[b], similarity) >> shift)
                         held.append((found, np.full(len(found), c, dtype=np.int64)))
                         size += len(found)
-            if size > 500_000:
+            if size > 400_000:
                 yield from flush()
                 held, size = [], 0
         if size:
@@ -225,117 +261,129 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _loaded(docs: DataFrame, k: int, text_col: str) -> DataFrame:
-    """(cls, n, sketch, tokens) of each document."""
+    """(cls, tokens) of each document."""
 
     def run(batches):
         for part, sets in _sets(batches, k):
             keep = [s for s in sets if len(s)]
-            sketches = [np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64) for s in keep]
-            yield _mapper(
-                [
-                    pa.array([_class_of(s) for s in keep], pa.int64()),
-                    pa.array([len(s) for s in keep], pa.int64()),
-                    *(pa.array([int(x[i]) for x in sketches], pa.int64()) for i in range(4)),
-                    pa.array([s.view(np.int64) for s in keep], pa.list_(pa.int64())),
-                ],
-                ["cls", "n", "s0", "s1", "s2", "s3", "tokens"],
-            )
+            yield _mapper([pa.array([_class_of(s) for s in keep], pa.int64()), pa.array([s.view(np.int64) for s in keep], pa.list_(pa.int64()))], ["cls", "tokens"])
 
-    return docs.select(F.lit(0).alias("zero"), text_col).mapInArrow(run, "cls long, n long, s0 long, s1 long, s2 long, s3 long, tokens array<long>")
+    return docs.select(F.lit(0).alias("zero"), text_col).mapInArrow(run, "cls long, tokens array<long>")
 
 
 def _near(s: Similarity, a: str = "x", b: str = "y"):
     """Size and sketch bounds that every linked pair meets."""
     total = F.col(f"{a}.n") + F.col(f"{b}.n")
-    bits = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)), F.lit(0))
+    bits = sum((F.bit_count(F.col(f"{a}.{i}").bitwiseXOR(F.col(f"{b}.{i}"))) for i in SKETCHES), F.lit(0))
     return (F.greatest(f"{a}.n", f"{b}.n") * s.num <= F.least(f"{a}.n", f"{b}.n") * s.den) & (bits * (s.den + s.num) <= total * (s.den - s.num))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, with the size of their intersection. Sizes and
-    sketches decide first; tokens move only for the pairs that they leave."""
-    lite = sets.drop("tokens")
-    one = pairs.alias("p").join(lite.alias("x"), F.col("p.b") == F.col("x.cls")).select("p.a", F.struct("x.*").alias("x"))
-    left = one.join(lite.alias("y"), (F.col("a") == F.col("y.cls")) & _near(s)).select("a", F.col("x.cls").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total"))
-    left = materialize(left, "near-pairs")
-    tokens = sets.select("cls", "tokens")
-    one = left.join(tokens.withColumnsRenamed({"cls": "b", "tokens": "tb"}), "b")
-    both = one.join(tokens.withColumnsRenamed({"cls": "a", "tokens": "ta"}), "a")
-    common = both.select("a", "b", "total", F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
-    return common.where(F.col("common") * s.den >= (F.col("total") - F.col("common")) * s.num)
-
-
-def _class_docs(docs: DataFrame, sizes: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
-    """The documents that carry the given classes: one id for each class, and all without an id."""
-    ids = sizes.join(sized_broadcast(classes), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias(id_col)).where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    chosen = docs.join(sized_broadcast(ids), id_col, "left_semi")
-    return chosen.unionByName(docs.where(F.col(id_col).isNull()))
-
-
-def class_links(docs: DataFrame, sizes: DataFrame, similarity: Similarity, k: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, total, common) between classes that are enough to connect every pair of
-    linked classes, and the components of the linked classes."""
+@dataclass
+class _Join:
+    """One join's documents and tables: `lite` has a row (cls, n, sketch, id) for each class."""
+
+    docs: DataFrame
+    lite: DataFrame
+    similarity: Similarity
+    k: int
+    id_col: str
+    text_col: str
+    scratch: Scratch
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, total) of the pairs that sizes and sketches leave."""
+        lite = self.lite.select("cls", "n", *SKETCHES)
+        one = pairs.alias("p").join(lite.alias("x"), F.col("p.b") == F.col("x.cls")).select("p.a", F.struct("x.*").alias("x"))
+        left = one.join(lite.alias("y"), (F.col("a") == F.col("y.cls")) & _near(self.similarity))
+        return left.select("a", F.col("x.cls").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total"))
+
+    def verified(self, near: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets reach the threshold. Only the sets of these pairs are loaded: one document
+        of each class, and all without an id."""
+        near = self.scratch.table(near, "near-pairs")
+        classes = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
+        ids = self.lite.join(classes, "cls", "left_semi").where("id is not null").select(F.col("id").alias(self.id_col)).distinct()
+        chosen = self.docs.join(sized_broadcast(self.scratch.table(ids, "ids")), self.id_col, "left_semi").unionByName(self.docs.where(F.col(self.id_col).isNull()))
+        tokens = self.scratch.table(_loaded(chosen, self.k, self.text_col).join(sized_broadcast(classes), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+        one = near.join(tokens.withColumnsRenamed({"cls": "b", "tokens": "tb"}), "b")
+        both = one.join(tokens.withColumnsRenamed({"cls": "a", "tokens": "ta"}), "a")
+        common = both.select("a", "b", "total", F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
+        links = common.where(F.col("common") * self.similarity.den >= (F.col("total") - F.col("common")) * self.similarity.num)
+        return self.scratch.table(links.select("a", "b"), "links")
+
+
+def class_links(docs: DataFrame, sizes: DataFrame, similarity: Similarity, k: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between classes that are enough to connect every pair of linked classes, and the
+    components of the linked classes."""
     docs = docs.select(id_col, text_col)
+    lite = sizes.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), *(F.first(x).alias(x) for x in SKETCHES), F.min("id").alias("id"))
+    join = _Join(docs, scratch.table(lite, "lite"), similarity, k, id_col, text_col, scratch)
     largest = sizes.agg(F.max("n")).first()[0] or 0
     ranges = bands(similarity, largest)
     edges = [low for low, _ in ranges]
     number = sum((F.when(F.col("n") >= low, 1).otherwise(0) for low in edges[1:]), F.lit(0))
     held = {r[0]: r[1] for r in sizes.where("n > 0").groupBy("n").count().groupBy(number.alias("band")).agg(F.sum("count")).collect()}
     plan = {i: allocate(i, low, high, similarity, held.get(i, 0) + held.get(i - 1, 0)) for i, (low, high) in enumerate(ranges) if held.get(i)}
+    expected = sum(2 * held[i] * (b.segments + b.deletions * (b.high // b.segments + 1)) for i, b in plan.items())
+    bits = min(64, 20 + expected.bit_length())
 
-    keyed = _indexed(docs, plan, edges, k, id_col, text_col)
+    keyed = _indexed(docs, plan, edges, similarity, bits, k, id_col, text_col)
     dealt = keyed.repartition(F.when(F.col("leader") == F.col("member"), F.col("key")).otherwise(F.xxhash64("member")))
-    shared = materialize(dealt.sortWithinPartitions("key", "leader").mapInArrow(_lead, "key long, leader long, member long, before long"), "shared")
+    shared = scratch.table(dealt.sortWithinPartitions("key", "leader").mapInArrow(_lead, "key long, leader long, member long, before long"), "shared")
 
     # each member meets its key's leader and the member before it
     pairs = shared.select(F.col("leader").alias("a"), F.col("member").alias("b")).union(shared.select("before", "member"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    classes = shared.select(F.col("leader").alias("cls")).union(shared.select("member")).distinct()
-    sets = materialize(_loaded(_class_docs(docs, sizes, classes, id_col), k, text_col).dropDuplicates(["cls"]), "sets")
-    links = materialize(_verified(pairs, sets, similarity), "links")
+    links = join.verified(join.near(pairs))
     found = components(links)
 
-    # keys whose members are not all in one component: those outside the main one meet all members
+    # keys whose members are not all in one component: those outside the largest one meet all members
     members = shared.select("key", F.col("leader").alias("cls")).union(shared.select("key", "member")).distinct()
-    placed = materialize(members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")), "placed")
-    main = placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("last"), F.count("*").alias("size")).where("main != last and size > 2").select("key", "main")
+    placed = scratch.table(members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")), "placed")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    main = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("size"))
+    main = main.where("parts > 1 and size > 2").select("key", "main", F.ceil(F.col("size") / SALT_ROWS).cast("int").alias("salts"))
     if main.isEmpty():
         return links, found
-    open_ = placed.join(main, "key")
-    lite = sets.drop("tokens")
-    open_ = materialize(open_.join(lite, "cls"), "open")
-    stray = open_.where("component != main")
+    # linked sets' sizes are at most one step apart
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(similarity.den / similarity.num) * 1.0001)).cast("int") if similarity.den > similarity.num else F.col("n").cast("int")
+    open_ = scratch.table(placed.join(main, "key").join(join.lite.drop("id"), "cls").withColumn("step", step), "open")
+    stray = open_.where("component != main").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
+    every = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
     # of two outside the main component the pair comes from the smaller one
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    met = stray.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & _near(similarity))
-    more = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialize(_verified(more, sets, similarity), "links")
-    links = links.unionByName(more)
+    at = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.step") == F.col("y.step"))
+    met = stray.alias("x").join(every.alias("y"), at & (F.col("x.component") != F.col("y.component")) & once & _near(similarity))
+    more = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()
+    more = join.verified(more.join(pairs, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return links, found
-    return links, components(links.select("a", "b"))
+    links = links.unionByName(more)
+    return links, components(links)
 
 
 def near_components(docs: DataFrame, k: int = 5, similarity: Similarity = Similarity(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, n_links): n_links counts the verified links of the document's class
     that the join kept to connect it, and copies of its set."""
-    sizes = materialize(set_sizes(docs, k, id_col, text_col), "sizes")
-    links, found = class_links(docs, sizes, similarity, k, id_col, text_col)
-    degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("links"))
-    classes = sizes.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    placed = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
-    placed = placed.select("cls", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cls").alias("component"))
-    placed = materialize(placed, "classes")
-    linked = placed.where("links > 0 or copies > 1")
-    named = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = linked.join(named, "component").select("cls", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = sizes.join(sized_broadcast(named), "cls", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    with Scratch(docs.sparkSession) as scratch:
+        sizes = scratch.table(set_sizes(docs, k, id_col, text_col), "sizes")
+        links, found = class_links(docs, sizes, similarity, k, scratch, id_col, text_col)
+        degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("links"))
+        classes = sizes.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+        placed = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
+        placed = placed.select("cls", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cls").alias("component"))
+        placed = scratch.table(placed, "classes")
+        linked = placed.where("links > 0 or copies > 1")
+        named = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+        named = linked.join(named, "component").select("cls", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+        out = sizes.join(sized_broadcast(named), "cls", "left")
+        component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
+        return materialize(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near")
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: Similarity = Similarity(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: the one with the smallest id. All columns stay. Rows without an id stay."""
-    found = materialize(near_components(docs, k, similarity, id_col, text_col), "near")
+    found = near_components(docs, k, similarity, id_col, text_col)
     dropped = found.where(F.col(id_col).isNotNull() & (F.col("component_id") != F.col(id_col))).select(id_col).distinct()
     # an id that several rows have: their rows, apart from the first, go if they are linked
     twice = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("rows"), F.count_if((F.col("component_id") == F.col(id_col)) & (F.col("n_links") > 0)).alias("linked")).where("rows > 1 and linked > 1").select(id_col)
@@ -346,5 +394,3 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: Similarity = Similarity(4,
     again = kept.join(sized_broadcast(twice), id_col, "left_semi")
     once = again.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
     return drop_ids(kept, twice, id_col).unionByName(once.select(*kept.columns))
-
-

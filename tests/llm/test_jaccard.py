@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from gapfeed.llm import jaccard_join as J
@@ -78,32 +79,66 @@ def test_keep_one(odd, spark):
     assert ids == sorted(["0", "1", "2", "None", "4", "5", "7", "8", "9", "10", "11"])
 
 
-def test_pigeonhole_allocation_is_complete():
+def linked(a, b, s):
+    return len(a & b) * s.den >= len(a | b) * s.num
+
+
+def test_linked_sets_share_a_key():
+    """Of random pairs around the threshold each linked one has a common key in the band of its larger set, with and without neighbourhoods."""
+    rng = random.Random(3)
+    seen = 0
     for s in (J.Similarity(9, 10), J.Similarity(4, 5), J.Similarity(1, 2)):
-        for number, (low, high) in enumerate(J.bands(s, 3000)):
-            for sets in (1, 10**4, 10**9):
-                b = J.allocate(number, low, high, s, sets)
-                assert 2 * b.deletions + (b.segments - b.deletions) >= s.differ(2 * high) + 1 + b.empties
+        ranges = J.bands(s, 600)
+        for _ in range(400):
+            n = rng.choice([1, 2, 3, 5, 9, 20, 50, 120, 400])
+            a = {rng.getrandbits(64) for _ in range(n)}
+            change = rng.randint(0, s.differ(2 * n) + 1)
+            gone = set(rng.sample(sorted(a), min(len(a), rng.randint(0, change))))
+            b = (a - gone) | {rng.getrandbits(64) for _ in range(change - len(gone))}
+            if not b or not linked(a, b, s):
+                continue
+            seen += 1
+            i = next(i for i, (low, high) in enumerate(ranges) if low <= max(len(a), len(b)) <= high)
+            for sets in (1, 10**6, 10**10):
+                band = J.allocate(i, *ranges[i], s, sets)
+                cuts = J.segment_cuts(band)
+                keys = [set(J.segment_keys(np.array(sorted(x), dtype=np.uint64), band, cuts, s).tolist()) for x in (a, b)]
+                assert keys[0] & keys[1]
+    assert seen > 400
+
+
+def test_allocation_follows_costs():
     # neighbourhoods pay where sets are many
-    assert J.allocate(0, 400, 444, J.Similarity(9, 10), 10**12).deletions > 0
-    assert J.allocate(0, 400, 444, J.Similarity(9, 10), 100).deletions == 0
+    assert J.allocate(0, 400, 490, J.Similarity(9, 10), 10**12).deletions > 0
+    assert J.allocate(0, 400, 490, J.Similarity(9, 10), 100).deletions == 0
 
 
 def test_neighbourhoods_find_pairs(spark, monkeypatch):
     """The same results where all bands use one-deletion neighbourhoods."""
-    whole = J.allocate
 
     def only_deletions(number, low, high, similarity, sets):
         d = (similarity.differ(2 * high) + 2) // 2
-        return J.Band(number, low, high, d, d, 0)
+        return J.Band(number, low, high, d + 1, d)
 
     monkeypatch.setattr(J, "allocate", only_deletions)
     rows = corpus(7, 250)
     got = J.near_components(spark.createDataFrame(rows, "doc_id long, text string"), k=2, similarity=J.Similarity(4, 5)).collect()
-    monkeypatch.setattr(J, "allocate", whole)
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 2, 4, 5)
 
 
+def test_salted_keys_find_pairs(spark, monkeypatch):
+    """Many documents around one shared passage, some of them near copies; keys are split as if they were huge."""
+    monkeypatch.setattr(J, "SALT_ROWS", 3)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        own = [f"q{rng.randrange(60)}" for _ in range(rng.randint(1, 6))]
+        rows.append((i, " ".join(passage + own)))
+    got = J.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), k=2, similarity=J.Similarity(9, 10)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 2, 9, 10)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 99), (7, 7), (200, 100), (5, None)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
