@@ -51,8 +51,9 @@ from gapfeed.llm._hashing import mix, shingle_sets
 from gapfeed.llm.components import components
 from gapfeed.shipping import Scratch, materialize
 
-#: Parity sketch of a set: 4 longs. Differing bits never exceed differing shingles.
-SKETCH = 256
+#: Parity sketches of a set: differing bits never exceed differing shingles. All sets have one of 4 longs, those of
+#: pairs that it leaves a wide one, which tells larger sets apart.
+SKETCH, WIDE = 256, 4096
 SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
 #: Costs of one indexed key, and of one false candidate, and the chance that a shingle of one set is in an unrelated one.
 KEY_COST, PAIR_COST, SHARED = 1.0, 5.0, 1e-5
@@ -151,12 +152,17 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
             yield part, shingle_sets(*utf8(part.column(1)), k)
 
 
+def _parity(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """For each of `bits` places whether an odd number of a set's hashes falls there, packed into longs."""
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
 def set_sizes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n, cls, sketch): size, class and parity sketch of each document's set; class is null for the empty set."""
 
     def run(batches):
         for part, sets in _sets(batches, k):
-            sketches = np.stack([np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64) for s in sets])
+            sketches = np.stack([_parity(s, SKETCH) for s in sets])
             yield _mapper(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), *(pa.array(sketches[:, i]) for i in range(len(SKETCHES)))],
                 ["id", "n", "cls", *SKETCHES],
@@ -260,15 +266,46 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _mapper([pa.array(np.concatenate([x[i] for x in out])) for i in range(4)], ["key", "leader", "member", "before"])
 
 
-def _loaded(docs: DataFrame, k: int, text_col: str) -> DataFrame:
-    """(cls, tokens) of each document."""
+def _with_class(docs: DataFrame, k: int, text_col: str) -> DataFrame:
+    """(cls, text) of each document that has words."""
+
+    def run(batches):
+        for part, sets in _sets(batches, k):
+            keep = pa.array([len(s) > 0 for s in sets], pa.bool_())
+            yield _mapper([pa.array([_class_of(s) for s in sets if len(s)], pa.int64()), part.column(1).filter(keep)], ["cls", "text"])
+
+    return docs.select(F.lit(0).alias("zero"), text_col).mapInArrow(run, "cls long, text string")
+
+
+def _wide(texts: DataFrame, k: int) -> DataFrame:
+    """(cls, n, wide) of rows (cls, text)."""
 
     def run(batches):
         for part, sets in _sets(batches, k):
-            keep = [s for s in sets if len(s)]
-            yield _mapper([pa.array([_class_of(s) for s in keep], pa.int64()), pa.array([s.view(np.int64) for s in keep], pa.list_(pa.int64()))], ["cls", "tokens"])
+            yield _mapper([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parity(s, WIDE) for s in sets], pa.list_(pa.int64()))], ["cls", "n", "wide"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, n long, wide array<long>")
 
-    return docs.select(F.lit(0).alias("zero"), text_col).mapInArrow(run, "cls long, tokens array<long>")
+
+def _linked(pairs: DataFrame, k: int, s: Similarity) -> DataFrame:
+    """Of pairs (a, b, ta, tb) of classes and texts those whose sets reach the threshold. A text whose set isn't its
+    class's (another row of the same id) yields nothing."""
+
+    def run(batches):
+        last = None  # the class, text and set of the pair before: pairs come in order of a
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if last is None or last[0] != a or last[1] != ta:
+                    last = (a, ta, *shingle_sets(*utf8(pa.array([ta])), k))
+                x, (y,) = last[2], shingle_sets(*utf8(pa.array([tb])), k)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common * s.den >= (len(x) + len(y) - common) * s.num and _class_of(x) == a and _class_of(y) == b:
+                    found[0].append(a)
+                    found[1].append(b)
+            yield _mapper([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _near(s: Similarity, a: str = "x", b: str = "y"):
@@ -291,25 +328,32 @@ class _Join:
     scratch: Scratch
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, total) of the pairs that sizes and sketches leave."""
+        """(a, b) of the pairs that sizes and sketches leave."""
         lite = self.lite.select("cls", "n", *SKETCHES)
         one = pairs.alias("p").join(lite.alias("x"), F.col("p.b") == F.col("x.cls")).select("p.a", F.struct("x.*").alias("x"))
         left = one.join(lite.alias("y"), (F.col("a") == F.col("y.cls")) & _near(self.similarity))
-        return left.select("a", F.col("x.cls").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total"))
+        return left.select("a", F.col("x.cls").alias("b"))
 
     def verified(self, near: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets reach the threshold. Only the sets of these pairs are loaded: one document
-        of each class, and all without an id."""
+        """The pairs (a, b) whose sets reach the threshold. Texts, one of each class, move only for pairs that wide
+        sketches leave; texts shrink in a shuffle, hashes don't."""
         near = self.scratch.table(near, "near-pairs")
-        classes = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
-        ids = self.lite.join(classes, "cls", "left_semi").where("id is not null").select(F.col("id").alias(self.id_col)).distinct()
-        chosen = self.docs.join(sized_broadcast(self.scratch.table(ids, "ids")), self.id_col, "left_semi").unionByName(self.docs.where(F.col(self.id_col).isNull()))
-        tokens = self.scratch.table(_loaded(chosen, self.k, self.text_col).join(sized_broadcast(classes), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-        one = near.join(tokens.withColumnsRenamed({"cls": "b", "tokens": "tb"}), "b")
-        both = one.join(tokens.withColumnsRenamed({"cls": "a", "tokens": "ta"}), "a")
-        common = both.select("a", "b", "total", F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
-        links = common.where(F.col("common") * self.similarity.den >= (F.col("total") - F.col("common")) * self.similarity.num)
-        return self.scratch.table(links.select("a", "b"), "links")
+        classes = self.scratch.table(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct().join(self.lite.select("cls", "id"), "cls"), "classes")
+        ids = classes.where("id is not null")
+        texts = self.docs.join(sized_broadcast(ids), self.docs[self.id_col] == ids["id"]).select("cls", F.col(self.text_col).alias("text"))
+        nameless = sized_broadcast(classes.where("id is null").select("cls"))
+        others = _with_class(self.docs.where(F.col(self.id_col).isNull()), self.k, self.text_col).join(nameless, "cls", "left_semi").dropDuplicates(["cls"])
+        texts = self.scratch.table(texts.unionByName(others), "texts")
+        if texts.count() > classes.count():  # rows of one id
+            texts = self.scratch.table(texts.distinct(), "texts")
+        wide = self.scratch.table(_wide(texts, self.k), "wide")
+        both = near.join(wide.withColumnsRenamed({"cls": "b", "n": "nb", "wide": "wb"}), "b").join(wide.withColumnsRenamed({"cls": "a", "n": "na", "wide": "wa"}), "a")
+        bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        s = self.similarity
+        near = self.scratch.table(both.where(bits * (s.den + s.num) <= (F.col("na") + F.col("nb")) * (s.den - s.num)).select("a", "b").distinct(), "close-pairs")
+        one = near.join(texts.withColumnsRenamed({"cls": "b", "text": "tb"}), "b")
+        both = one.join(texts.withColumnsRenamed({"cls": "a", "text": "ta"}), "a")
+        return self.scratch.table(_linked(both, self.k, self.similarity).distinct(), "links")
 
 
 def class_links(docs: DataFrame, sizes: DataFrame, similarity: Similarity, k: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -354,7 +398,7 @@ def class_links(docs: DataFrame, sizes: DataFrame, similarity: Similarity, k: in
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
     at = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.step") == F.col("y.step"))
     met = stray.alias("x").join(every.alias("y"), at & (F.col("x.component") != F.col("y.component")) & once & _near(similarity))
-    more = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()
+    more = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     more = join.verified(more.join(pairs, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return links, found
