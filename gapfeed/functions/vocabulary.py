@@ -83,3 +83,23 @@ GOAL_FOR = "为 "
 GOAL_COVER = " 补充测试，覆盖未执行行段 "
 FOCUS_LINES = "覆盖未执行行: "
 REASON_CONFIDENCE = "置信度 %.2f"
+
+#: Patterns of assertion messages that give the actual and the expected value; the first that fits counts.
+ASSERTION_PATTERNS = (
+    r"(?i)=\s*(.+?),\s*want\s+(.+)$",
+    r"(?i)expected\s+(.+?)\s+to\s+(?:be|equal)\s+(.+?)(?:\s*//.*)?$",
+    r"(?i)expected\s+(.+?)\s+to\s+(?:deep\s+)?equal\s+(.+)$",
+)
+#: Lower-case names of test files: a part, a beginning, endings.
+TEST_FILE_PART, TEST_FILE_START, TEST_FILE_ENDS = "_test.", "test_", (".test.js", ".spec.js", ".test.ts", ".spec.ts")
+UNKNOWN_FRAMEWORK = "不支持的覆盖率框架: "
+
+#: Texts in previews of generated tests, targets and hints that decide on manual review.
+SKIP_TODO = 't.Skip("TODO: fill in meaningful test inputs and expected values")'
+SKIP_INIT = 't.Skip("init functions cannot be called directly; review package initialization manually")'
+UNREACHABLE_TARGET, UNREACHABLE_HINT = "RemoteIP", "partIndex < 0"
+ENVIRONMENT_TARGETS = ("InitDisk", "InitCPU", "InitRAM")
+PROTOCOL_TARGETS = ("RunClient", "QueryStatus", "SendControl")
+ERROR_HINT = "err != nil"
+DATABASE_HINTS = ("err != nil", "Error != nil", "RowsAffected", "gorm")
+PRIVATE_RUN_MARKERS = ("Private field", "private field")

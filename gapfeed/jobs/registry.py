@@ -337,6 +337,80 @@ def failure_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "documents").select("doc_id", failures.category(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), said)).alias("category"))
 
 
+#: Messages, and what the rules must read from them: category, actual and expected value.
+_MESSAGES = [
+    "Add(1, 2) = 4, want 3", "got 3, want 4", "AssertionError: expected 4 to be 3 // Object.is equality", "expected [1] to deep equal [2]",
+    "expected 4 to equal 3", " Div(1, 0) = +Inf, WANT error ", "x = 1", "integer divide by zero", "expect(received).toBe(expected)",
+]
+
+
+@query("""WITH m AS (SELECT o_orderkey, trim(['Add(1, 2) = 4, want 3','got 3, want 4','AssertionError: expected 4 to be 3 // Object.is equality','expected [1] to deep equal [2]','expected 4 to equal 3',' Div(1, 0) = +Inf, WANT error ','x = 1','integer divide by zero','expect(received).toBe(expected)'][o_orderkey % 9 + 1]) || CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS t FROM orders),
+p AS (SELECT *, ['(?i)=\\s*(.+?),\\s*want\\s+(.+)$', '(?i)expected\\s+(.+?)\\s+to\\s+(?:be|equal)\\s+(.+?)(?:\\s*//.*)?$', '(?i)expected\\s+(.+?)\\s+to\\s+(?:deep\\s+)?equal\\s+(.+)$'] AS r FROM m),
+f AS (SELECT *, CASE WHEN regexp_matches(t, r[1]) THEN [regexp_extract(t, r[1], 1), regexp_extract(t, r[1], 2)] WHEN regexp_matches(t, r[2]) THEN [regexp_extract(t, r[2], 1), regexp_extract(t, r[2], 2)] WHEN regexp_matches(t, r[3]) THEN [regexp_extract(t, r[3], 1), regexp_extract(t, r[3], 2)] ELSE ['', ''] END AS v FROM p)
+SELECT o_orderkey, trim(v[1]) AS got, trim(v[2]) AS want, CASE WHEN (v[1] <> '' AND v[2] <> '') OR contains(lower(t), 'got') AND contains(lower(t), 'want') OR contains(lower(t), 'expect(received)') THEN 'expectation_mismatch' WHEN contains(t, 'divide by zero') THEN 'divide_by_zero' ELSE 'generic_failure' END AS category FROM f""")
+def assertion_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*[F.lit(x) for x in _MESSAGES]), (F.col("o_orderkey") % len(_MESSAGES) + 1).cast("int"))
+    error = F.concat(said, F.when(F.col("o_orderkey") % len(_MESSAGES) == 0, F.col("o_custkey").cast("string")).otherwise(""))
+    got, want = failures.got_and_want(error)
+    return A.table(spark, sf_dir, "orders").select("o_orderkey", got.alias("got"), want.alias("want"), failures.category(error).alias("category"))
+
+
+@query("""WITH p AS (SELECT p_partkey, ['FooTest.java','x.test.tsx','lib_test.rs','test_a.js','a.spec.ts','b.test.js','calc_test.go','calc.go','Test_B.PY','latest_.go'][p_partkey % 10 + 1] AS n FROM part)
+SELECT p_partkey, contains(lower(n), '_test.') OR starts_with(lower(n), 'test_') OR ends_with(lower(n), '.test.js') OR ends_with(lower(n), '.spec.js') OR ends_with(lower(n), '.test.ts') OR ends_with(lower(n), '.spec.ts') AS is_test FROM p""")
+def test_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("FooTest.java", "x.test.tsx", "lib_test.rs", "test_a.js", "a.spec.ts", "b.test.js", "calc_test.go", "calc.go", "Test_B.PY", "latest_.go")])
+    path = F.concat(F.lit("pkg/"), F.element_at(names, (F.col("p_partkey") % 10 + 1).cast("int")))
+    return A.table(spark, sf_dir, "part").select("p_partkey", failures.is_test_file(path).alias("is_test"))
+
+
+@query("""SELECT o_orderkey AS run_id, ['go-test','node-test','cargo-test','nyc'][o_orderkey % 4 + 1] AS framework, CAST([1, 2, 2, 0][o_orderkey % 4 + 1] AS BIGINT) AS n_blocks, CASE WHEN o_orderkey % 4 = 3 THEN '不支持的覆盖率框架: nyc' END AS error FROM orders""")
+def report_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    name = F.when(k == 0, " Go-Test ").when(k == 1, "node-test").when(k == 2, "CARGO-test").otherwise("nyc")
+    body = F.when(k == 0, F.concat(F.lit("mode: set\np/f"), F.col("o_custkey"), F.lit(".go:1.1,2.2 1 1"))).when(k == 1, "# src/a.js | 50.00 | 1 | 1 | 2,5-7\n# all files | 50.00 | 1 | 1 |").when(k == 2, "SF:x.rs\nDA:1,1\nDA:2,0\nend_of_record").otherwise("?")
+    raw = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), name.alias("framework"), body.alias("raw"))
+    read = formats.read_all(raw).groupBy("run_id", "framework").agg(F.count("*").alias("n_blocks"), F.lit(None).cast("string").alias("error"))
+    return read.unionByName(formats.read_errors(raw).withColumn("n_blocks", F.lit(0).cast("long")))
+
+
+@query("""WITH d AS (SELECT o_orderkey AS run_id, o_custkey % 3 AS k, o_custkey % 7 AS m, (o_orderkey % 2) AS c FROM orders)
+SELECT run_id, CAST(CASE k WHEN 0 THEN 10 + m WHEN 1 THEN 5 + m ELSE 2 END AS BIGINT) AS total, CAST(CASE k WHEN 0 THEN 10 WHEN 1 THEN 5 ELSE 1 + c END AS BIGINT) AS hit,
+CAST(CASE k WHEN 0 THEN 10 WHEN 1 THEN 5 ELSE 1 + c END AS DOUBLE) * 100 / CAST(CASE k WHEN 0 THEN 10 + m WHEN 1 THEN 5 + m ELSE 2 END AS DOUBLE) AS percent FROM d""")
+def jacoco_line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, k, m = A.table(spark, sf_dir, "orders"), F.col("o_custkey") % 3, F.col("o_custkey") % 7
+    counter = lambda hit: F.concat(F.lit('<counter type="BRANCH" missed="9" covered="9"/><counter type="LINE" missed="'), m, F.lit(f'" covered="{hit}"/>'))
+    source = F.concat(F.lit('<package name="a.b"><sourcefile name="C.java"><line nr="1" mi="0" ci="2"/><line nr="2" mi="1" ci="'), F.col("o_orderkey") % 2, F.lit('"/>'), F.when(k == 1, counter(5)).otherwise(""), F.lit("</sourcefile></package>"))
+    raw = F.concat(F.lit('<report name="r">'), source, F.when(k == 0, counter(10)).otherwise(""), F.lit("</report>"))
+    return formats.jacoco_totals(t.select(F.col("o_orderkey").alias("run_id"), raw.alias("raw")))
+
+
+_TODO = "t.Skip(\"TODO: fill in meaningful test inputs and expected values\")"
+_PREVIEWS = ["manual_review_unreachable: x", "manual_review_environment: x", _TODO, "manual_review_database: x", "instance.#run manual_review_private: x", "manual_review_internal: x", "manual_review_no_runtime: x", "plain", "t.Skip(\"init functions cannot be called directly; review package initialization manually\")"]
+_TARGETS = ["RunClient", "InitDisk", "UserRepo.Save", "Producer.send", "Box.#run", "RemoteIP", "init"]
+_HINTS = ["err != nil", "partIndex < 0", "grpc Endpoint"]
+_RUNS = ["dial tcp: Connection refused", "TypeError: Private field", "ok"]
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') || {_PREVIEWS!r}[doc_id % 9 + 1] AS p, {_TARGETS!r}[doc_id % 7 + 1] AS g, {_HINTS!r}[doc_id // 7 % 3 + 1] AS h, {_RUNS!r}[doc_id // 5 % 3 + 1] AS r,
+  CASE WHEN doc_id % 11 < 7 THEN 'pass' ELSE 'fail' END AS s, doc_id // 3 % 3 AS k FROM documents),
+x AS (SELECT *, s = 'pass' AND k > 0 AS skips, contains(p, 't.Skip("TODO: fill in meaningful test inputs and expected values")') AS todo, lower(h || ' ' || g || ' ' || p) AS a FROM t)
+SELECT doc_id, CASE WHEN skips AND (contains(p, 'manual_review_unreachable:') OR g = 'init' AND contains(p, 'init functions cannot be called directly; review') OR todo AND g = 'RemoteIP' AND contains(h, 'partIndex < 0')) THEN 'manual_review_unreachable'
+ WHEN skips AND (contains(p, 'manual_review_environment:') OR todo AND g = 'InitDisk' AND contains(h, 'err != nil')) THEN 'manual_review_environment'
+ WHEN skips AND todo AND g = 'RunClient' AND contains(h, 'err != nil') THEN 'manual_review_protocol'
+ WHEN skips AND (contains(p, 'manual_review_database:') OR todo AND contains(h, 'err != nil') AND (contains(g, 'Repo.') OR contains(p, '*Repo'))) THEN 'manual_review_database'
+ WHEN s = 'fail' AND contains(lower(r), 'connection refused') AND (contains(lower(g), 'producer.') OR list_bool_or(list_transform(['rpcclient','rpc client','grpc','endpoint','sendmessage','send message','.send(','endtransaction','recoverorphanedtransaction','route data'], lambda w: contains(a, w)))) THEN 'manual_review_external_service'
+ WHEN (contains(g, '.#') OR contains(p, 'instance.#')) AND (s = 'pass' AND contains(p, 'manual_review_private:') OR s = 'fail' AND contains(r, 'Private field')) THEN 'manual_review_private'
+ WHEN s = 'pass' AND contains(p, 'manual_review_internal:') THEN 'manual_review_internal' WHEN s = 'pass' AND contains(p, 'manual_review_no_runtime:') THEN 'manual_review_no_runtime'
+ WHEN s = 'pass' THEN 'ready' ELSE 'repair_generated_test' END AS action FROM x""")
+def validation_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
+    status = F.when(n % 11 < 7, "pass").otherwise("fail")
+    flags = validation.review_flags(pick(_TARGETS, n), F.lit("a.go"), pick(_HINTS, F.floor(n / 7)), F.concat(F.coalesce("text", F.lit("")), pick(_PREVIEWS, n)), status, F.floor(n / 3) % 3, pick(_RUNS, F.floor(n / 5)), F.lit(""))
+    action = validation.cascade(validation.base_status(status), validation.base_action(status, F.lit(""), F.lit(1), F.lit(0)), flags, F.lit(None).cast("boolean"))[1]
+    return A.table(spark, sf_dir, "documents").select("doc_id", action.alias("action"))
+
+
 _VALID = """v AS (SELECT o_orderkey AS id, o_custkey % 12 AS f, CASE WHEN o_orderstatus = 'F' THEN 'fail' WHEN o_orderstatus = 'O' THEN 'pass' END AS s, o_orderpriority LIKE '1%' AS fixes, o_orderkey % 5 = 0 AS hit_known, o_orderkey % 3 AS skipped FROM orders),
 b AS (SELECT *, CASE WHEN s IS NULL THEN 'run_error' WHEN s = 'pass' THEN 'passed' ELSE 'failed' END AS st, CASE WHEN s IS NULL THEN 'inspect_test_runner' WHEN s = 'pass' THEN 'ready' WHEN fixes THEN 'apply_fix_suggestions' ELSE 'repair_generated_test' END AS ac FROM v),
 c AS (SELECT *, CASE WHEN f < 8 AND s = 'pass' AND skipped > 0 THEN 'manual_review_' || ['unreachable','environment','protocol','database','external_service','private','internal','no_runtime'][f + 1] ELSE ac END AS a2 FROM b),

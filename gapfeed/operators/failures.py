@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +13,17 @@ from gapfeed.functions import vocabulary as V
 
 
 def holds_any(text: Column, markers: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(text, m))
+    return reduce(or_, (F.contains(text, F.lit(m)) for m in markers))
 
 
 def got_and_want(error: Column) -> tuple[Column, Column]:
-    """Actual and expected value of an assertion message: "got X, want Y", or "expected X to be/to equal/but got Y"."""
-    got = F.regexp_extract(error, r"(?i)\bgot:?\s+(.+?)[,;]\s*(?:want|expected):?\s+(.+)", 1)
-    want = F.regexp_extract(error, r"(?i)\bgot:?\s+(.+?)[,;]\s*(?:want|expected):?\s+(.+)", 2)
-    actual = F.regexp_extract(error, r"(?i)\bexpected\s+(.+?)\s+to\s+(?:be|equal)\s+(.+)", 1)
-    expected = F.regexp_extract(error, r"(?i)\bexpected\s+(.+?)\s+to\s+(?:be|equal)\s+(.+)", 2)
-    return F.when(got != "", got).otherwise(actual), F.when(want != "", want).otherwise(expected)
+    """Actual and expected value of an assertion message by the first pattern that fits; empty without one."""
+    text = T.trim(error)
+    values = [F.lit(""), F.lit("")]
+    for pattern in reversed(V.ASSERTION_PATTERNS):
+        fits = text.rlike(pattern)
+        values = [F.when(fits, T.trim(F.regexp_extract(text, pattern, i))).otherwise(value) for i, value in enumerate(values, 1)]
+    return values[0], values[1]
 
 
 def is_mismatch(error: Column, expected: Column, received: Column) -> Column:
@@ -27,7 +31,8 @@ def is_mismatch(error: Column, expected: Column, received: Column) -> Column:
     has = lambda w: F.contains(low, F.lit(w))
     got, want = got_and_want(error)
     both = (T.trim(F.coalesce(expected, F.lit(""))) != "") & (T.trim(F.coalesce(received, F.lit(""))) != "")
-    return both | ((got != "") & (want != "")) | (has("got") & has("want")) | (has("expected") & (has("received") | has(" to be ") | has(" to equal "))) | has("expect(received)")
+    words = (has("got") & has("want")) | (has("expected") & (has("received") | has(" to be ") | has(" to equal "))) | has("expect(received)")
+    return both | words | ((has("want") | has("expected")) & (got != "") & (want != ""))
 
 
 def category(error: Column, expected: Column | None = None, received: Column | None = None) -> Column:
@@ -69,7 +74,7 @@ def repair_commands(source_file: Column, test_file: Column) -> Column:
 def is_test_file(path: Column) -> Column:
     """Whether a path looks like a test's."""
     name = F.lower(T.base_name(path))
-    return name.rlike(r"(_test\.go|\.(test|spec)\.[a-z]+|^test_.*\.py|_test\.py|test\.java|tests\.java)$") | name.rlike(r"^test_.*\.py$")
+    return F.contains(name, F.lit(V.TEST_FILE_PART)) | F.startswith(name, F.lit(V.TEST_FILE_START)) | reduce(or_, (F.endswith(name, F.lit(e)) for e in V.TEST_FILE_ENDS))
 
 
 def same_path(a: Column, b: Column) -> Column:

@@ -51,6 +51,31 @@ def preview_flag(preview: Column, status: Column, skipped: Column, name: str) ->
     return (status == "pass") & (skipped > 0) & F.contains(preview, F.lit(f"manual_review_{name}:"))
 
 
+def review_flags(target: Column, file: Column, hints: Column, preview: Column, status: Column, skipped: Column, raw_output: Column, errors: Column) -> dict[str, Column]:
+    """The flags of `cascade` from a task, its generated test and its run. hints: the task's branches, inputs and
+    focus texts in one string; errors: those of the run's failures in one string. Nulls count as empty."""
+    target, file, hints, preview, status, raw_output, errors = (F.coalesce(x, F.lit("")) for x in (target, file, hints, preview, status, raw_output, errors))
+    says = lambda text, *marks: holds_any(text, marks)
+    passed, failed = status == "pass", status == "fail"
+    skips = passed & (F.coalesce(skipped, F.lit(0)) > 0)
+    todo, name = skips & says(preview, V.SKIP_TODO), T.trim(target)
+    own = {kind: says(preview, f"manual_review_{kind}:") for kind in OVERRIDES}
+    in_database = says(target, "Repo.") | says(preview, "*Repo") | says(file, "/repo/", "\\repo\\")
+    unreachable = (target == "init") & says(preview, V.SKIP_INIT) & skips | todo & (target == V.UNREACHABLE_TARGET) & says(hints, V.UNREACHABLE_HINT)
+    private = says(name, ".#") | says(preview, "instance.#")
+    all_hints = F.lower(F.concat_ws(" ", hints, name, preview))
+    return {
+        "unreachable": skips & own["unreachable"] | unreachable,
+        "environment": skips & own["environment"] | todo & target.isin(*V.ENVIRONMENT_TARGETS) & says(hints, V.ERROR_HINT),
+        "protocol": todo & says(hints, V.ERROR_HINT) & target.isin(*V.PROTOCOL_TARGETS),
+        "database": skips & own["database"] | todo & says(hints, *V.DATABASE_HINTS) & in_database,
+        "external_service": failed & looks_external(F.concat_ws("\n", raw_output, errors), name, all_hints),
+        "private": private & (own["private"] & passed | failed & says(raw_output, *V.PRIVATE_RUN_MARKERS)),
+        "internal": passed & own["internal"],
+        "no_runtime": passed & own["no_runtime"],
+    }
+
+
 def public_entries(preview: Column) -> Column:
     """The entry points that a preview lists; null without such a line, or with none detected."""
     line = T.trim(F.regexp_extract(preview, r"(?m)public_entry_candidates:(.*)$", 1))

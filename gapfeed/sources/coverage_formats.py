@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapfeed.functions import vocabulary as V
 from gapfeed.functions.text import trim
-from gapfeed.operators.blocks import merge_states, run_blocks
+from gapfeed.operators.blocks import merge_states, percent, run_blocks
 from gapfeed.sources.lines import to_lines
 
 #: path:line.column,line.column statements count
@@ -116,6 +117,35 @@ def jacoco(raw: DataFrame) -> DataFrame:
     return lines.select("run_id", "file", F.col("l._nr").alias("pos"), F.col("l._nr").alias("start_line"), F.col("l._nr").alias("end_line"), F.col("l._ci").alias("count"), (F.col("l._ci") > 0).alias("covered"), F.lit(1).alias("statements"))
 
 
+def jacoco_files(raw: DataFrame) -> DataFrame:
+    """(run_id, file, total, hit, percent) of JaCoCo XML: the source file's own LINE counter, else its lines counted."""
+    packages = raw.select("run_id", F.explode(F.from_xml("raw", JACOCO)["package"]).alias("p"))
+    files = packages.select("run_id", F.regexp_replace(F.coalesce("p._name", F.lit("")), r"\.", "/").alias("package"), F.explode("p.sourcefile").alias("f"))
+    own = F.get(F.filter("f.counter", lambda c: c["_type"] == "LINE"), 0)
+    stated = F.coalesce(own["_missed"] + own["_covered"], F.lit(0))
+    lines = F.coalesce(F.col("f.line"), F.array())
+    total = F.when(stated > 0, stated).otherwise(F.size(lines)).cast("long")
+    hit = F.when(stated > 0, own["_covered"]).otherwise(F.size(F.filter(lines, lambda x: x["_ci"] > 0))).cast("long")
+    path = F.when(F.col("package") == "", F.col("f._name")).otherwise(F.concat("package", F.lit("/"), F.col("f._name")))
+    return files.select("run_id", path.alias("file"), total.alias("total"), hit.alias("hit")).withColumn("percent", percent(F.col("hit"), F.col("total")))
+
+
+def jacoco_totals(raw: DataFrame) -> DataFrame:
+    """(run_id, total, hit, percent) of JaCoCo XML: the report's own LINE counter, else the sum of its files."""
+    own = F.get(F.filter(F.from_xml("raw", JACOCO)["counter"], lambda c: c["_type"] == "LINE"), 0)
+    stated = raw.select("run_id", (own["_missed"] + own["_covered"]).alias("t"), own["_covered"].alias("h"))
+    summed = jacoco_files(raw).groupBy("run_id").agg(F.sum("total").alias("total"), F.sum("hit").alias("hit"))
+    both = summed.join(stated, "run_id")
+    out = both.select("run_id", F.when(F.col("t") > 0, F.col("t")).otherwise(F.col("total")).cast("long").alias("total"), F.when(F.col("t") > 0, F.col("h")).otherwise(F.col("hit")).cast("long").alias("hit"))
+    return out.withColumn("percent", percent(F.col("hit"), F.col("total")))
+
+
+def node_report(raw: DataFrame) -> DataFrame:
+    """Uncovered blocks of a Node table in the columns of the other readers."""
+    blocks = node_blocks(node_table(to_lines(raw)))
+    return blocks.select("run_id", "file", F.col("start_line").alias("pos"), "start_line", "end_line", F.lit(0).alias("count"), "covered", (F.col("end_line") - F.col("start_line") + 1).alias("statements"))
+
+
 #: Readers by framework name.
 READERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "go-test": go_profile,
@@ -123,15 +153,22 @@ READERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "jest": istanbul,
     "vitest": istanbul,
     "mocha": istanbul,
+    "node-test": node_report,
     "pytest": coverage_py,
     "junit": jacoco,
 }
 
 
 def read_all(raw: DataFrame) -> DataFrame:
-    """Blocks of reports (run_id, framework, raw) in any format that READERS names, in one plan."""
+    """Blocks of reports (run_id, framework, raw) in any format that READERS names, in one plan; `read_errors` has the rest."""
     out = None
     for framework, reader in READERS.items():
         part = reader(raw.where(F.lower(trim("framework")) == framework).select("run_id", "raw")).withColumn("framework", F.lit(framework))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def read_errors(raw: DataFrame) -> DataFrame:
+    """(run_id, framework, error) of reports whose framework no reader knows."""
+    name = F.lower(trim(F.coalesce("framework", F.lit(""))))
+    return raw.where(~name.isin(*READERS)).select("run_id", name.alias("framework"), F.concat(F.lit(V.UNKNOWN_FRAMEWORK), name).alias("error"))

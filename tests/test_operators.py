@@ -59,6 +59,26 @@ def test_read_all_takes_every_format(spark):
     assert {(r.run_id, r.framework) for r in formats.read_all(rows).collect()} == {("1", "go-test"), ("2", "cargo-test")}
 
 
+def test_every_framework_is_read_or_refused(spark):
+    rows = spark.createDataFrame([("1", "node-test", "# a.js | 50 | 1 | 1 | 2,5-7"), ("2", "nyc", "x"), ("3", None, "x")], "run_id string, framework string, raw string")
+    assert sorted((r.file, r.start_line, r.end_line, r.covered) for r in formats.read_all(rows).collect()) == [("a.js", 2, 2, False), ("a.js", 5, 7, False)]
+    assert {(r.run_id, r.error) for r in formats.read_errors(rows).collect()} == {("2", "不支持的覆盖率框架: nyc"), ("3", "不支持的覆盖率框架: ")}
+
+
+def test_jacoco_totals(spark):
+    source = '<package name="a.b"><sourcefile name="C.java"><line nr="1" mi="0" ci="2"/><line nr="2" mi="1" ci="0"/>{}</sourcefile></package>'
+    counter = '<counter type="LINE" missed="3" covered="1"/>'
+    got = formats.jacoco_totals(raw(spark, f"<report>{source.format('')}{counter}</report>", f"<report>{source.format(counter)}</report>", f"<report>{source.format('')}</report>")).orderBy("run_id").collect()
+    assert [(r.total, r.hit, r.percent) for r in got] == [(4, 1, 25.0), (4, 1, 25.0), (2, 1, 50.0)]
+
+
+def test_assertion_values(spark):
+    cases = [("Add(1, 2) = 4, want 3", "4", "3"), ("expected 4 to be 3 // Object.is equality", "4", "3"), ("expected a to deep equal b", "a", "b"), ("got 3, want 4", "", ""), ("x = 1", "", ""), ("a\n  f() = nil, want error \n", "nil", "error")]
+    rows = spark.createDataFrame(cases, "e string, g string, w string")
+    got, want = failures.got_and_want(F.col("e"))
+    assert all((r.got, r.want) == (r.g, r.w) for r in rows.withColumn("got", got).withColumn("want", want).collect())
+
+
 def test_merge_adjacent_unites_lines_and_inputs(spark):
     rows = spark.createDataFrame([("f", 0, 4, 5, 0.9, [4, 5], ["b", "a"]), ("f", 1, 5, 6, 0.95, [5, 6], ["a", "c"]), ("f", 2, 9, 9, 0.9, [9], [])], "file string, idx int, start_line int, end_line int, confidence double, uncovered_lines array<int>, suggested_inputs array<string>")
     got = gaps.merge_adjacent(rows, ["file"]).orderBy("start_line").collect()
