@@ -4,10 +4,16 @@ Encoding is additive over a text's pre-tokenizer pieces, so one pass stores the
 running count at each piece's end; within a piece a dynamic programme over the
 tokens that end at each byte gives the count of each of its prefixes. Together
 they answer "how many tokens has text[:k]" and "how much of the text fits in b
-tokens" for every k and b without encoding again.
+tokens" for every k and b without encoding the text again.
 
-Nulls count as empty texts; an empty text has no piece and no tokens. Repeated
-rows yield repeated rows. Columns other than id and text are not read.
+Texts that only the library can normalise and split (other scripts, strings of
+special tokens) are encoded by it once, with offsets: these give the same
+running counts at the ends of pieces. Of such a text only the one cut piece of
+a prefix is looked at again, by the library.
+
+Nulls count as empty texts; an empty text has no piece and no tokens. Texts of
+any length are counted whole. Repeated rows yield repeated rows. Columns other
+than id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +34,10 @@ from gapfeed.llm._common import text_chunks
 CHUNK = 1 << 20
 
 
+#: Tokens past a budget within which the library's own cut of a piece is searched for the longest prefix that fits.
+BEYOND = 64
+
+
 class PrefixTable:
     """The counts of all prefixes of one text: ends of pieces (code points) and running counts."""
 
@@ -37,15 +47,35 @@ class PrefixTable:
         if self.plain:
             self.ends = [0] + [m.end() for m in PIECE.finditer(text.lower())]
             self.running = np.concatenate([[0], np.cumsum(counts)]).tolist()
-        else:
-            # the library cuts a text at white space before it makes pieces, except around special strings
-            self.ends = self.running = []
+            return
+        encoded = encoder.tokenizer.encode(text, add_special_tokens=False)
+        special = set(encoder.tokenizer.get_added_tokens_decoder())
+        self.tokens = [b for _, b in encoded.offsets]  # where each token ends
+        # a piece's tokens have one word id; a special token is a piece of its own
+        self.starts, self.ends, self.running, self.special = [0], [0], [0], [False]
+        last = None
+        for i, (token, word, (a, b)) in enumerate(zip(encoded.ids, encoded.word_ids, encoded.offsets)):
+            own = token in special
+            if own or self.special[-1] or word != last:
+                self.starts.append(a)
+                self.ends.append(b)
+                self.running.append(i + 1)
+                self.special.append(own)
+            else:
+                self.ends[-1], self.running[-1] = max(b, self.ends[-1]), i + 1
+            last = word
+        for i, after in enumerate([*self.starts[1:], len(text)]):  # marks composed with a piece's last character are its own
+            while i and self.ends[i] < after and not text[self.ends[i]].isspace():
+                self.ends[i] += 1
 
     def at(self, k: int) -> int:
         """Tokens of text[:k]."""
-        if not self.plain:
-            return len(self.encoder.whole(self.text[:k]))
         i = bisect_right(self.ends, k) - 1
+        if not self.plain:
+            if i + 1 < len(self.ends) and self.special[i + 1] and self.starts[i + 1] < k and self.ends[i] == self.starts[i + 1] and not self.special[i]:
+                i -= 1  # what is left of a special string is ordinary and may belong to the piece before it
+            i = max(i, 0)
+            return self.running[i] + len(self.encoder.whole(self.text[self.ends[i] : k]))
         rest = self.text[self.ends[i] : k].lower().strip()
         return self.running[i] + (self._counts(rest)[-1] if rest else 0)
 
@@ -60,17 +90,14 @@ class PrefixTable:
     def fits(self, budget: int) -> int:
         """The largest k with at most `budget` tokens in text[:k]."""
         n = len(self.text)
-        if not self.plain:
-            if self.at(n) <= budget:
-                return n
-            # whole words first, by halving, then the characters of the first word that doesn't fit
-            cuts = [i for i in range(n) if self.text[i].isspace()] + [n]
-            a = bisect_right(cuts, budget, key=self.at)
-            low, high = (cuts[a - 1] if a else 0), cuts[a]
-            return next(k for k in range(min(high, low + 64 * (budget + 1)), low - 1, -1) if self.at(k) <= budget)
         if self.running[-1] <= budget:
             return n
         i = bisect_right(self.running, budget) - 1
+        if not self.plain:
+            while i and self.ends[i] == self.ends[i + 1]:  # one character may become several pieces
+                i -= 1
+            high = min(self.ends[i + 1], self.tokens[min(budget + BEYOND, len(self.tokens) - 1)])
+            return next((k for k in range(high, self.ends[i], -1) if self.at(k) <= budget), self.ends[i])
         rest = self.text[self.ends[i] : self.ends[i + 1]].lower()
         piece = rest.lstrip()
         start, left = self.ends[i + 1] - len(piece), budget - self.running[i]
@@ -108,8 +135,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
 
 
 def prefix_tables(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ends, counts): for each text the piece ends (code points) and the token count up to each.
-    Texts that only the library can cut have one entry, their whole length."""
+    """(id, ends, counts): for each text the piece ends (code points) and the token count up to each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer)
@@ -118,8 +144,8 @@ def prefix_tables(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 part = batch.slice(a, b - a)
                 texts = part.column(1).fill_null("").to_pylist()
                 tables = [PrefixTable(t, encoder, c) for t, c in zip(texts, encoder.counts(texts))]
-                ends = [t.ends[1:] if t.plain else [len(t.text)] for t in tables]
-                counts = [t.running[1:] if t.plain else [t.at(len(t.text))] for t in tables]
+                ends = [t.ends[1:] for t in tables]
+                counts = [t.running[1:] for t in tables]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=[id_col, "ends", "counts"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ends array<int>, counts array<int>")

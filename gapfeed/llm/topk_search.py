@@ -13,11 +13,15 @@ Vectors that are null, or hold null or non-finite components, take no part, nor
 do rows without an id. Vectors of different lengths aren't compared. Ties go to
 the smaller id. Rows that repeat an id are all candidates, except for queries
 of that id; a repeated query row counts once. An empty table yields no rows.
+Components too large for exact 64-bit floats are scored in whole numbers, pair
+by pair; what a long can't hold comes as the nearest long.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -77,7 +81,9 @@ def best(queries: np.ndarray, query_ids: np.ndarray, blocks: Iterator[tuple[np.n
             continue
         exact_floats = exact_floats and float(np.abs(v).max(initial=0)) * float(np.abs(queries).max(initial=0)) * v.shape[1] < 2**53
         if not exact_floats:
-            raise ValueError("components are too large for exact scores in 64-bit floats")
+            who, ids, scores = _whole_numbers(queries, query_ids, (who, ids, scores), block_ids, v, k)
+            least = np.full(len(queries), -np.inf)  # no float bound holds for them
+            continue
         if alive.mean() > 0.05:
             score = np.where(alive, queries @ v.T, -np.inf)
             if len(v) > k:
@@ -97,7 +103,22 @@ def best(queries: np.ndarray, query_ids: np.ndarray, blocks: Iterator[tuple[np.n
         full = np.bincount(who, minlength=len(queries)) == k
         last = np.searchsorted(who, np.arange(len(queries)), side="right") - 1
         least = np.where(full, scores[np.maximum(last, 0)] if len(scores) else -np.inf, -np.inf)
-    return who, ids, scores.astype(np.int64)
+    most = np.iinfo(np.int64)
+    return who, ids, np.array([min(max(int(x), most.min), most.max) for x in scores], dtype=np.int64)
+
+
+def _whole_numbers(queries: np.ndarray, query_ids: np.ndarray, found: tuple[np.ndarray, ...], block_ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query among those found and a block, scored in Python's integers."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for q, i, score in zip(*(x.tolist() for x in found)):
+        rows.setdefault(q, []).append((-int(score), i))
+    block = [list(map(int, x)) for x in v]
+    for q, x in enumerate(queries):
+        x = list(map(int, x))
+        rows[q] = heapq.nsmallest(k, rows.get(q, []) + [(-sum(map(mul, x, y)), i) for i, y in zip(block_ids.tolist(), block) if i != query_ids[q]])
+    flat = [(q, i, -score) for q, best_of in rows.items() for score, i in best_of]
+    return np.array([r[0] for r in flat], dtype=np.int64), np.array([r[1] for r in flat], dtype=np.int64), np.array([r[2] for r in flat], dtype=object)
+
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Token counts and packing against the tokenizer library."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -50,6 +51,29 @@ def test_every_prefix(library):
     assert [table.at(k) for k in range(len(text) + 1)] == [len(ids(library, text[:k])) for k in range(len(text) + 1)]
 
 
+OTHER = ["日本語のテキスト、 mixed “quotes” — и текст €5", "a<|endoftext|>b !!<|endoftext|> <|endof c", "Cafe\u0301 naïve İstanbul ß ﬁ 각 한글 ก็ e\u0301", "x<|startoftext|><|endoftext|>'re", "мир-труд 12３ ½ 👍🏽👍"]
+
+
+@pytest.mark.parametrize("text", OTHER)
+def test_every_prefix_of_other_scripts(library, text):
+    encoder = PieceEncoder.of(tokenizer_path())
+    assert encoder.counts([text]) == [None]
+    table = token_counts.PrefixTable(text, encoder, None)
+    want = [len(ids(library, text[:k])) for k in range(len(text) + 1)]
+    assert [table.at(k) for k in range(len(text) + 1)] == want
+    for budget in range(max(want) + 1):
+        assert table.fits(budget) == max(k for k, n in enumerate(want) if n <= budget)
+
+
+def test_long_text_without_spaces(library):
+    text = "".join(chr(0x3042 + i * 7 % 80) for i in range(100_000))
+    began = time.process_time()
+    table = token_counts.PrefixTable(text, PieceEncoder.of(tokenizer_path()), None)
+    k = table.fits(2048)
+    assert time.process_time() - began < 10
+    assert table.running[-1] == len(ids(library, text)) and len(ids(library, text[:k])) <= 2048 < len(ids(library, text[: k + 1]))
+
+
 def test_dynamic_programme_equals_encoding(library):
     encoder = PieceEncoder.of(tokenizer_path())
     rng = random.Random(5)

@@ -34,6 +34,18 @@ def test_odd_vectors(spark):
     assert run(vectors) == [(0, 1, 30, 0), (0, 2, 5, -32768), (30, 1, 0, 0), (30, 2, 5, 0)]
 
 
+def test_large_components(spark):
+    rows = [(0, [3e30, 1.0]), (1, [2e30, 0.0]), (2, [-1e30, 5.0]), (3, [0.0, 7.0]), (4, [1.0, 1.0]), (10, [2.0**40, 2.0**40 + 2.0**20])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    exact = {i: [math.floor(x * 256) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 10):
+        scored = sorted((-sum(a * b for a, b in zip(exact[q], exact[i])), i) for i in exact if i != q)[:3]
+        want += [(q, r, i, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, i) in enumerate(scored, 1)]
+    got = run(vectors, k=3)
+    assert sorted((q, i, s) for q, _, i, s in got) == sorted((q, i, s) for q, _, i, s in want)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     q, v = np.floor(rng.normal(size=(20, 64)) * 256), np.floor(rng.normal(size=(30, 64)) * 256)
