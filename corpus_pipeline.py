@@ -8,7 +8,13 @@
 4. mix: sources are repeated or thinned to their target weights.
 5. packing: what is left becomes sequences, power-of-two pieces of documents.
 
-All stages but the last return the columns of `documents`.
+All stages but the last return the columns of `documents`, and further columns
+of any name that the input has.
+
+Null, empty and letterless texts go in stage 1. Repeated rows are copies: one of
+them stays in stage 2 (rows without an id all stay). Ties go to the smallest id.
+Texts of any length are taken whole by every stage. Null sources are a source
+of their own, last in order. An empty table yields an empty result.
 """
 
 from __future__ import annotations
