@@ -103,3 +103,58 @@ PROTOCOL_TARGETS = ("RunClient", "QueryStatus", "SendControl")
 ERROR_HINT = "err != nil"
 DATABASE_HINTS = ("err != nil", "Error != nil", "RowsAffected", "gorm")
 PRIVATE_RUN_MARKERS = ("Private field", "private field")
+
+HINT_CONDITION, HINT_INPUT = "构造满足条件 `", "` 的输入"
+MISSING_SELECT = "未覆盖 select/case 分支"
+#: Reasons of located gaps: of Go, of other languages.
+REASON_IN_GO, REASON_IN_OTHER = " 中的代码块未被测试覆盖", " 中的代码行未被测试覆盖"
+
+#: Folders under which a reported path may lie.
+SOURCE_ROOTS = ("src/main/java", "src/test/java", "src/main/rust", "src", "crates")
+
+#: Advice for each failure category: heading, and the three steps below it.
+ADVICE = {
+    "expectation_mismatch": ("期望值不匹配", ("1. 如果期望值错误，修正测试断言中的 want/expected 值。", "2. 如果实际值错误，优先检查目标函数的返回路径和边界条件。", "3. 对比失败输入下的实现分支，确认是否漏处理空值、零值、负值或错误返回。")),
+    "index_out_of_range": ("数组或切片越界", ("1. 在访问 slice/array 前添加边界检查：idx >= 0 && idx < len(values)。", "2. 如果索引来自输入参数，补充边界输入测试，例如空切片、单元素切片和最大索引。", "3. 如果索引由循环计算得到，检查循环终止条件是否使用了 <= 或错误的长度来源。")),
+    "divide_by_zero": ("除零错误", ("1. 在执行除法或取模前添加除零检查，确认除数是否为 0。", "2. 根据业务语义返回错误、默认值或跳过该计算，不要静默吞掉异常输入。", "3. 补充除数为 0 的测试，断言错误返回或约定的 fallback 行为。")),
+    "runtime_panic": ("运行时 panic", ("1. 先定位 panic 行访问的指针、map、slice、接口或类型断言。", "2. 对可能为 nil 的值增加显式检查，并返回可断言的错误。", "3. 补充 nil/空集合/缺失字段测试，避免只覆盖正常路径。")),
+    "module_resolution": ("模块或依赖解析失败", ("1. 检查 import/require 路径是否相对当前测试文件正确，尤其是生成测试写到临时目录或 tests 目录时。", "2. 确认 package.json、go.mod 或依赖安装状态包含目标模块；缺失依赖时先安装或补充 module requirement。", "3. 对 JS/TS 项目，确认 ESM/CommonJS 类型、文件扩展名和测试 runner 的 alias 配置一致。")),
+    "python_import_error": ("Python import 失败", ("1. 确认测试命令的工作目录能把源码包放进 sys.path，必要时从项目根运行 pytest。", "2. 检查模块名、包目录、__init__.py 和相对 import 写法是否匹配。", "3. 如果是第三方依赖缺失，先安装测试环境依赖，再重新运行同一测试。")),
+    "compile_error": ("编译或语法错误", ("1. 先修复编译错误，不要继续调整测试断言。", "2. 检查函数签名、参数数量、未使用变量/import、返回值数量和语法结构。", "3. 修复后先运行同一个测试文件，再运行相关包或项目测试。")),
+    "undefined_symbol": ("未定义引用", ("1. 检查变量、函数或类型名是否拼写正确。", "2. 确认符号是否在当前 package 中导出或可见。", "3. 如果来自其他包，补充正确 import 或使用包名前缀。")),
+    "type_mismatch": ("类型不匹配", ("1. 对比函数签名、变量声明和调用参数的实际类型。", "2. 优先修正 API 使用方式；只有语义明确时才添加类型转换。", "3. 如果是泛型、接口或指针/值接收者问题，确认约束和 nil 处理是否正确。")),
+    "generic_failure": ("测试失败: ", ("1. 先定位失败测试的输入、断言和目标函数。", "2. 判断问题属于测试期望错误、实现逻辑错误，还是外部依赖/环境问题。", "3. 修复后重新运行同一测试，再运行相关包测试防止回归。")),
+}
+ADVICE_STEPS, ADVICE_CAUSES = "建议：", "可能的原因和修复建议："
+ADVICE_ERROR, ADVICE_SYMBOL, ADVICE_INDEX, ADVICE_LENGTH = "  错误: ", "  符号: ", "  失败索引: ", "  当前长度: "
+ADVICE_GOT, ADVICE_WANT, ADVICE_UNKNOWN = "  实际值: ", "  期望值: ", "unknown"
+ADVICE_SOURCE, ADVICE_TEST = "源码附近行：", "测试附近行："
+#: Categories whose advice repeats the error; shows a source line; shows a test line.
+ADVICE_WITH_ERROR = ("runtime_panic", "module_resolution", "python_import_error", "compile_error", "type_mismatch")
+ADVICE_WITH_SOURCE = ("expectation_mismatch", "index_out_of_range", "divide_by_zero", "runtime_panic", "compile_error", "type_mismatch", "generic_failure")
+ADVICE_WITH_TEST = ("expectation_mismatch", "compile_error", "generic_failure")
+
+#: What shows that generated tests of a kind of file need a look.
+REVIEW_MARKS = {
+    ".go": (SKIP_TODO,), ".js": (".skip(", "manual_review_"), ".py": ("pytest.skip(", "__import__('pytest').skip(", "manual_review_"),
+    ".java": ("Assumptions.assumeTrue(false", "manual_review_"),
+}
+#: Patterns that code of a language holds if it looks like tests.
+TEST_CODE = {
+    "go": r"(?m)^\s*func\s+Test[A-Za-z0-9_]*\s*\(",
+    "javascript": r"(?m)(?:^|[^\w$])(?:describe|it|test)(?:\s*\(|\.(?:each|only|skip|todo|concurrent)\s*\()|(?:^|[^\w$])expect\s*\(",
+    "python": r"(?m)^\s*(?:async\s+)?def\s+test_[A-Za-z0-9_]*\s*\(",
+    "rust": r"(?m)#\[(?:[A-Za-z0-9_]+::)?test\]|\bfn\s+test_[A-Za-z0-9_]*\s*\(",
+    "java": r"(?m)^\s*@(?:org\.junit\.jupiter\.api\.)?Test\b|\borg\.junit(?:\.jupiter)?\.api\.Test\b",
+}
+#: What to do about each kind of provider error.
+PROVIDER_ACTIONS = {
+    "llm_config_missing": "configure_provider", "llm_command_failed": "fix_provider_command_or_retry",
+    "llm_empty_output": "retry_model_or_fallback_static", "llm_json_error": "retry_model_or_fallback_static", "llm_missing_code": "retry_model_or_fallback_static",
+    "llm_output_cleaning_failed": "retry_model_or_fallback_static", "llm_output_validation_failed": "adjust_prompt_or_fallback_static",
+}
+PROVIDER_OTHER = "inspect_provider"
+#: Words that hint at a database, and at an error.
+DATABASE_WORDS = ("sqlalchemy", "db.commit", "db.rollback", "db.query", "sessionlocal", "database", "数据库", "事务")
+ERROR_WORDS = ("error", "exception", "err != nil", "失败", "抛出", "rollback", "回滚")
+COMMENT_BYTES = 400

@@ -545,3 +545,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file", "line_range", "reason", "confidence").orderBy(F.desc("confidence"), "file", "line_range")
 
 
+from gapfeed.jobs import report_queries  # noqa: E402, F401  registers its queries

@@ -25,14 +25,24 @@ def _overlap(a: str, b: str) -> Column:
     return (F.col(f"{a}.start_line") <= F.col(f"{b}.end_line")) & (F.col(f"{b}.start_line") <= F.col(f"{a}.end_line"))
 
 
+#: Lines of one bin; ranges meet where they share a bin of their file.
+BIN = 64
+
+
+def _binned(ranges: DataFrame) -> DataFrame:
+    """Ranges once for each bin of lines they touch, so that a file with very many of them is many keys."""
+    low, high = F.least("start_line", "end_line"), F.greatest("start_line", "end_line")
+    return ranges.withColumn("_bin", F.explode(F.sequence(F.floor(low / BIN), F.floor(high / BIN))))
+
+
 def span_of_block(blocks: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """Each block with the first span in source order that holds its start or overlaps it (null without one).
 
     blocks: keys, block_id, start_line, end_line; spans: keys, span_pos, name, start_line, end_line.
-    Both sides meet on their file; candidates are reduced to one before any wider row moves.
+    Both sides meet on their file and bins of lines; candidates are reduced to one before any wider row moves.
     """
-    b, s = blocks.alias("b"), spans.alias("s")
-    same = [F.col(f"b.{k}") == F.col(f"s.{k}") for k in keys]
+    b, s = _binned(blocks.select(*keys, "block_id", "start_line", "end_line")).alias("b"), _binned(spans.select(*keys, "span_pos", "name", "start_line", "end_line")).alias("s")
+    same = [F.col(f"b.{k}") == F.col(f"s.{k}") for k in [*keys, "_bin"]]
     inside = (F.col("b.start_line") >= F.col("s.start_line")) & (F.col("b.start_line") <= F.col("s.end_line"))
     near = b.join(s, [*same, inside | _overlap("b", "s")])
     first = near.groupBy("b.block_id").agg(F.min_by("s.name", "s.span_pos").alias("name"), F.min("s.span_pos").alias("span_pos"))
@@ -41,8 +51,8 @@ def span_of_block(blocks: DataFrame, spans: DataFrame, keys: list[str]) -> DataF
 
 def branch_of_block(blocks: DataFrame, branches: DataFrame, keys: list[str]) -> DataFrame:
     """Each block with the shortest branch that overlaps it, the first of equals (null without one)."""
-    b, s = blocks.alias("b"), branches.alias("s")
-    same = [F.col(f"b.{k}") == F.col(f"s.{k}") for k in keys]
+    b, s = _binned(blocks.select(*keys, "block_id", "start_line", "end_line")).alias("b"), _binned(branches.select(*keys, "branch_pos", "start_line", "end_line")).alias("s")
+    same = [F.col(f"b.{k}") == F.col(f"s.{k}") for k in [*keys, "_bin"]]
     size = F.col("s.end_line") - F.col("s.start_line")
     near = b.join(s, [*same, _overlap("b", "s")])
     least = near.groupBy("b.block_id").agg(F.min_by("s.branch_pos", F.struct(size.alias("size"), F.col("s.branch_pos").alias("pos"))).alias("branch_pos"))
@@ -51,9 +61,10 @@ def branch_of_block(blocks: DataFrame, branches: DataFrame, keys: list[str]) ->
 
 def blocks_with_return(blocks: DataFrame, returns: DataFrame, keys: list[str]) -> DataFrame:
     """The blocks that any return overlaps."""
-    b, s = blocks.alias("b"), returns.alias("s")
-    same = [F.col(f"b.{k}") == F.col(f"s.{k}") for k in keys]
-    return b.join(s, [*same, _overlap("b", "s")], "left_semi")
+    b, s = _binned(blocks.select(*keys, "block_id", "start_line", "end_line")).alias("b"), _binned(returns.select(*keys, "start_line", "end_line")).alias("s")
+    same = [F.col(f"b.{k}") == F.col(f"s.{k}") for k in [*keys, "_bin"]]
+    hit = b.join(s, [*same, _overlap("b", "s")], "left_semi").select("b.block_id")
+    return blocks.join(hit, "block_id", "left_semi")
 
 
 #: Texts that mark an error path, or a returned value.

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "file string, span_pos int, name string, kind string, start_line int, end_line int, params array<string>, approx boolean"
 
@@ -163,3 +164,37 @@ def source_spans(files: DataFrame, path: str = "file", source: str = "source") -
             yield pd.DataFrame([s for p, t in zip(part["file"], part["source"]) for s in spans_of(p, t)], columns=columns)
 
     return files.selectExpr(f"`{path}` as file", f"`{source}` as source").mapInPandas(run, SCHEMA)
+
+
+_GO_BRANCH = re.compile(r"^\s*(?:\}\s*else\s+)?(if|switch|select)\b\s*(.*?)\s*\{\s*(?://.*)?$")
+
+
+def go_branches_of(path: str, source: str | None) -> list[tuple]:
+    """(file, branch_pos, kind, condition, start_line, end_line) of a Go file's if, switch and select
+    statements, by a line scan; an if reaches to the end of its last else."""
+    if not source or not (path or "").endswith(".go"):
+        return []
+    lines, out = source.split("\n"), []
+    for i, line in enumerate(lines):
+        if m := _GO_BRANCH.match(line):
+            end = _closed(lines, i, line[m.start(1) :])
+            while m[1] == "if" and (more := re.match(r"\s*\}(\s*else\b.*)", lines[end - 1])):
+                end = _closed(lines, end - 1, more[1])
+            out.append((path, len(out), m[1], m[2].rsplit(";", 1)[-1].strip() if m[1] == "if" else "", i + 1, end))
+    return out
+
+
+def _closed(lines: list[str], at: int, first: str) -> int:
+    """The line (from 1) that closes the braces of a line read from some point on."""
+    return at + brace_end([first, *lines[at + 1 :]], 0)
+
+
+def go_branches(files: DataFrame, path: str = "file", source: str = "source") -> DataFrame:
+    """The branches of all Go files (path, source)."""
+    schema = "file string, branch_pos long, kind string, condition string, start_line int, end_line int"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([b for p, t in zip(part["file"], part["source"]) for b in go_branches_of(p, t)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return files.selectExpr(f"`{path}` as file", f"`{source}` as source").where(F.endswith(F.col("file"), F.lit(".go"))).mapInPandas(run, schema)
