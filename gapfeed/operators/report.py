@@ -31,11 +31,16 @@ def _go_missing(kind: Column, condition: Column, gap: Column) -> Column:
     )
 
 
+def _reason() -> Column:
+    said = F.when(T.framework_name("framework") == "go-test", V.REASON_IN_GO).otherwise(V.REASON_IN_OTHER)
+    return F.when(F.col("function") != "", F.concat("function", said)).otherwise(V.REASON_BLOCK)
+
+
 def located(blocks: DataFrame, spans: DataFrame, sources: DataFrame, branches: DataFrame) -> DataFrame:
-    """Uncovered blocks with function, kind, gap type, missing branches, lines, hints, reason and confidence.
+    """Uncovered blocks with function, kind, gap type, missing branches, lines, hints and confidence.
 
     blocks: framework, file, source_file (where its text is; null if unknown), block_id, start_line, end_line.
-    A block outside all functions keeps a plain reason and no more.
+    A block outside all functions has none of them.
     """
     placed = blocks.withColumnsRenamed({"file": "_path", "source_file": "file"})
     found = gaps.span_of_block(placed, spans, ["file"]).drop("name")
@@ -61,7 +66,6 @@ def located(blocks: DataFrame, spans: DataFrame, sources: DataFrame, branches: D
         F.when(known, F.array(missing)).otherwise(none).alias("missing_branches"),
         F.when(known, T.line_numbers("start_line", "end_line")).otherwise(F.array().cast("array<int>")).alias("uncovered_lines"),
         F.when(known, _branch_inputs(F.col("params"), condition)).otherwise(none).alias("suggested_inputs"),
-        F.when(known, F.concat("function", F.when(go, V.REASON_IN_GO).otherwise(V.REASON_IN_OTHER))).otherwise(V.REASON_BLOCK).alias("reason"),
         F.when(known & go, 0.95).otherwise(0.9).alias("confidence"),
     )
 
@@ -71,8 +75,9 @@ def suggestions(files: DataFrame, found: DataFrame) -> DataFrame:
     files: report, framework, file, percent; found: located() with report and idx."""
     keys = ["report", "framework", "file", "function", "kind", "gap_type", "_missing"]
     merged = gaps.merge_adjacent(found.withColumn("_missing", F.array_join("missing_branches", "\0")), keys)
-    firsts = found.select("report", "idx", "reason", "missing_branches")
-    blocks = merged.join(firsts, ["report", "idx"]).withColumn("line_range", F.concat_ws("-", "start_line", "end_line"))
+    # what all members of a merged range share is read from its keys
+    missing = F.when(F.col("_missing") == "", F.array().cast("array<string>")).otherwise(F.split("_missing", "\0"))
+    blocks = merged.withColumn("missing_branches", missing).withColumn("line_range", F.concat_ws("-", "start_line", "end_line")).withColumn("reason", _reason())
     names = ["report", "framework", "idx", "file", "function", "kind", "line_range", "gap_type", "missing_branches", "uncovered_lines", "suggested_inputs", "reason", "confidence"]
     low = files.where(F.col("percent") < 50).select(
         "report", "framework", F.lit(_LAST).alias("idx"), "file", F.lit("").alias("function"), F.lit("").alias("kind"), F.lit("entire file").alias("line_range"), F.lit("").alias("gap_type"),

@@ -90,6 +90,13 @@ def parameters(raw: str) -> list[str]:
     return [p for p in out if p]
 
 
+def go_parameters(raw: str) -> list[str]:
+    """Names of a Go parameter list, where a type may follow several names; "arg" for each without a name."""
+    parts = [p.split() for p in raw.split(",") if p.strip()]
+    named = any(len(p) > 1 and p[0].isidentifier() and p[0] not in ("chan", "func", "map", "struct", "interface") for p in parts)
+    return [p[0] if named else "arg" for p in parts]
+
+
 def brace_end(lines: list[str], at: int) -> int:
     """The line (from 1) where the braces that open at or after a line close; the last line if they don't."""
     depth, opened = 0, False
@@ -136,7 +143,7 @@ def brace_spans(lines: list[str], language: str) -> list[tuple[str, str, int, in
                 continue
         owned = language in ("java", "js") and owner
         kind = "method" if owned or (language == "go" and m[1]) else "function"
-        out.append((f"{owner}.{name}" if owned else name, kind, i + 1, brace_end(lines, i), parameters(raw or "")))
+        out.append((f"{owner}.{name}" if owned else name, kind, i + 1, brace_end(lines, i), (go_parameters if language == "go" else parameters)(raw or "")))
     return out
 
 
