@@ -28,6 +28,7 @@ _DECLARATIONS = {
 _JAVA_CLASS = re.compile(r"\b(?:class|interface|enum|record)\s+([A-Za-z_]\w*)")
 _JS_CLASS = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$][\w$]*)")
 _JS_METHOD = re.compile(rf"^\s+(?:static\s+|async\s+|get\s+|set\s+)*{_NAME}\s*\(([^)]*)\)\s*\{{")
+_RUST_IMPL = re.compile(r"^\s*(?:unsafe\s+)?impl\b(?:\s*<[^{]*?>)?\s+(?:[^{]*?\bfor\s+)?&?(?:\w+::)*([A-Za-z_]\w*)")
 _CONTROL = frozenset("if for while switch catch return new else do try throw synchronized function".split())
 #: Names of test helpers, which are no targets.
 HELPERS = frozenset("describe it test beforeEach afterEach beforeAll afterAll expect".split())
@@ -115,8 +116,11 @@ def brace_spans(lines: list[str], language: str) -> list[tuple[str, str, int, in
     out: list[tuple[str, str, int, int, list[str]]] = []
     owner, owner_end = "", 0
     for i, line in enumerate(lines):
-        if i + 1 > owner_end and language == "js":
+        if i + 1 > owner_end and language in ("js", "rust"):
             owner = ""
+        if language == "rust" and (m := _RUST_IMPL.match(line)):
+            owner, owner_end = m[1], brace_end(lines, i)
+            continue
         if language == "java" and (m := _JAVA_CLASS.search(line)) and not line.lstrip().startswith(("*", "//")):
             owner = m[1]
             continue
@@ -141,7 +145,7 @@ def brace_spans(lines: list[str], language: str) -> list[tuple[str, str, int, in
             name, raw = m[1], m[2]
             if name in _CONTROL or line.split("(")[0].split()[:1] and line.split()[0] in _CONTROL:
                 continue
-        owned = language in ("java", "js") and owner
+        owned = language in ("java", "js", "rust") and owner
         kind = "method" if owned or (language == "go" and m[1]) else "function"
         out.append((f"{owner}.{name}" if owned else name, kind, i + 1, brace_end(lines, i), (go_parameters if language == "go" else parameters)(raw or "")))
     return out
