@@ -52,20 +52,22 @@ def located(blocks: DataFrame, spans: DataFrame, sources: DataFrame, branches: D
     near = gaps.branch_of_block(inside.where(T.framework_name("framework") == "go-test"), branches, ["file"]).select("block_id", "file", "branch_pos")
     branch = near.join(branches.select("file", "branch_pos", F.col("kind").alias("branch_kind"), "condition"), ["file", "branch_pos"]).select("block_id", "branch_kind", "condition")
     rows = found.join(texts, "block_id", "left").join(branch, "block_id", "left")
-    text, known = F.coalesce("text", F.lit("")), F.col("function").isNotNull()
+    # each derived text is a column of its own: the rules below name it many times
+    rows = rows.withColumn("text", T.trim(F.coalesce("text", F.lit(""))))
+    text, known = F.col("text"), F.col("function").isNotNull()
     go = T.framework_name("framework") == "go-test"
     returns = text.rlike(r"(?m)^\s*return\b")
     gap = F.when(known, F.when(go, gaps.go_gap_type(F.col("branch_kind"), returns, text)).otherwise(gaps.gap_type(text)))
-    condition = F.when(go, F.when(F.col("branch_kind") == "if", F.col("condition")).otherwise("")).when(gaps.has_keyword(T.trim(text), "if"), gaps.condition(T.trim(text), "if")).otherwise("")
+    condition = F.when(go, F.when(F.col("branch_kind") == "if", F.col("condition")).otherwise("")).when(gaps.has_keyword(text, "if"), gaps.condition(text, "if")).otherwise("")
     missing = F.when(go, _go_missing(F.col("branch_kind"), F.col("condition"), F.col("_gap"))).otherwise(gaps.missing_branch(text))
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("_gap", gap)
+    rows = rows.withColumns({"_gap": gap, "_condition": condition})
     return rows.select(
         *[c for c in blocks.columns if c not in ("file", "source_file")], F.col("_path").alias("file"),
         F.coalesce("function", F.lit("")).alias("function"), F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("_gap", F.lit("")).alias("gap_type"),
         F.when(known, F.array(missing)).otherwise(none).alias("missing_branches"),
         F.when(known, T.line_numbers("start_line", "end_line")).otherwise(F.array().cast("array<int>")).alias("uncovered_lines"),
-        F.when(known, _branch_inputs(F.col("params"), condition)).otherwise(none).alias("suggested_inputs"),
+        F.when(known, _branch_inputs(F.col("params"), F.col("_condition"))).otherwise(none).alias("suggested_inputs"),
         F.when(known & go, 0.95).otherwise(0.9).alias("confidence"),
     )
 
