@@ -158,3 +158,36 @@ PROVIDER_OTHER = "inspect_provider"
 DATABASE_WORDS = ("sqlalchemy", "db.commit", "db.rollback", "db.query", "sessionlocal", "database", "数据库", "事务")
 ERROR_WORDS = ("error", "exception", "err != nil", "失败", "抛出", "rollback", "回滚")
 COMMENT_BYTES = 400
+
+# Fixed values of summary and decision documents.
+EXPECTED_DECISIONS = ("accept", "accept", "accept", "manual-review", "manual-review", "manual-review", "apply-repair", "needs-better-input")
+CONSUMER_REQUIRED = ("helper_ref", "workflow_path", "client_summary_json", "client_summary_validator_json", "client_response_json", "client_response_validator_json", "result_json")
+CONSUMER_EXIT_CODES = ("install_summary_validator_exit_code", "client_summary_validator_exit_code", "client_response_validator_exit_code", "fixture_validator_exit_code", "npm_validator_exit_code")
+ENTRY_VOCABULARIES = {
+    "kind": ("validate_coverage_task", "real_project_agent_loop"),
+    "source": ("synthetic", "real_project"),
+    "status": ("passed", "failed"),
+    "action": ("ready", "manual_review_internal", "manual_review_environment", "manual_review_external_service", "apply_fix_suggestions", "needs_better_input"),
+    "expected_decision": ("accept", "manual-review", "apply-repair", "needs-better-input"),
+}
+REASON_KEYS = ("next_action_reason", "manual_review_reason", "needs_better_input_reason", "coverage_miss_reason", "external_service_reason", "environment_reason", "internal_reason")
+#: Kind of document to ((words of a failure, step), ..) in order, and the step of any other failure.
+NEXT_STEPS = {
+    "client": (
+        ((("validator_exit_code",), "inspect-client-validator"), (("fixture_count", "decisions", "client fixture failure"), "inspect-agent-decision-fixtures")),
+        "inspect-agent-decision-client-summary",
+    ),
+    "consumer": (
+        ((("fixture_count", "decisions"), "inspect-agent-decision-fixtures"), (("validator_exit_code",), "inspect-consumer-smoke-validator")),
+        "inspect-consumer-smoke-summary",
+    ),
+    "release": (
+        (
+            (("installer_url", "helper_refs"), "inspect-release-installer"),
+            (("agent_next_steps.client",), "inspect-release-client-response"),
+            (("agent_next_steps.consumer",), "inspect-release-consumer-response"),
+            (("fixture_count", "decisions"), "inspect-agent-decision-fixtures"),
+        ),
+        "inspect-release-smoke-summary",
+    ),
+}
