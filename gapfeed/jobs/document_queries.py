@@ -9,7 +9,7 @@ from gapfeed import sinks
 from gapfeed.functions import vocabulary as V
 from gapfeed.jobs import adapters as A
 from gapfeed.jobs.registry import query
-from gapfeed.operators import conditions, responses
+from gapfeed.operators import conditions, imports, responses
 
 _DECISIONS = ",".join(V.EXPECTED_DECISIONS)
 _LIST = "[" + ",".join(f'"{x}"' for x in V.EXPECTED_DECISIONS) + "]"
@@ -143,3 +143,17 @@ def section_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "failed").otherwise("passed")
     sections = t.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("name"), status.alias("status"), (F.col("o_orderkey") % 4).alias("exit_code"))
     return sinks.section_reports(sections, ["run_id"]).select("run_id", "overall_status", "failed_count", "markdown")
+
+
+@query("""WITH RECURSIVE w(file, at) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT w.file, CAST(w.at // 2 AS BIGINT) FROM w WHERE w.at % 4 <> 0 AND w.at > 1),
+t AS (SELECT file, max(at) AS at FROM w JOIN part ON p_partkey = at WHERE at % 4 = 0 GROUP BY 1)
+SELECT 'src/u' || p_partkey || '.ts' AS file, 'L' AS local, CASE WHEN at IS NULL THEN NULL WHEN at % 8 = 0 THEN 'src/lib/m' || at || '.ts' ELSE 'src/lib/m' || at || '/index.ts' END AS target, CASE WHEN at IS NOT NULL THEN 'S' END AS symbol FROM part LEFT JOIN t ON p_partkey = file""")
+def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as modules m<n> that declare S (every fourth) or pass it on from m<n/2>, and as their users u<n>."""
+    t, n = A.table(spark, sf_dir, "part"), F.col("p_partkey")
+    half = F.floor(n / 2).cast("string")
+    inner = n % 8 == 4
+    passed = F.when(n % 2 == 1, F.concat(F.lit("export * from './m"), half, F.lit("'"))).otherwise(F.concat(F.lit("export { S } from './m"), half, F.lit("';")))
+    modules = t.select(F.concat(F.lit("src/lib/m"), n, F.when(inner, "/index.ts").otherwise(".ts")).alias("file"), F.when(n % 4 == 0, "export class S {}").otherwise(passed).alias("source"))
+    users = t.select(F.concat(F.lit("src/u"), n, F.lit(".ts")).alias("file"), F.concat(F.lit("import { S as L } from './x/../lib/m"), n, F.lit("'")).alias("source"))
+    return imports.resolve_imports(modules.unionByName(users)).select("file", "local", "target", "symbol")
