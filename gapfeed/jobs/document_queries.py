@@ -145,9 +145,9 @@ def section_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.section_reports(sections, ["run_id"]).select("run_id", "overall_status", "failed_count", "markdown")
 
 
-@query("""WITH RECURSIVE w(file, at) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT w.file, CAST(w.at // 2 AS BIGINT) FROM w WHERE w.at % 4 <> 0 AND w.at > 1),
-t AS (SELECT file, max(at) AS at FROM w JOIN part ON p_partkey = at WHERE at % 4 = 0 GROUP BY 1)
-SELECT 'src/u' || p_partkey || '.ts' AS file, 'L' AS local, CASE WHEN at IS NULL THEN NULL WHEN at % 8 = 0 THEN 'src/lib/m' || at || '.ts' ELSE 'src/lib/m' || at || '/index.ts' END AS target, CASE WHEN at IS NOT NULL THEN 'S' END AS symbol FROM part LEFT JOIN t ON p_partkey = file""")
+@query("""WITH RECURSIVE w(file, m) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT w.file, CAST(w.m // 2 AS BIGINT) FROM w WHERE w.m % 4 <> 0),
+t AS (SELECT file, max(m) AS m FROM w JOIN part ON p_partkey = m WHERE m % 4 = 0 GROUP BY 1)
+SELECT 'src/u' || p_partkey || '.ts' AS file, 'L' AS local, CASE WHEN m IS NULL THEN NULL WHEN m % 8 = 0 THEN 'src/lib/m' || m || '.ts' ELSE 'src/lib/m' || m || '/index.ts' END AS target, CASE WHEN m IS NOT NULL THEN 'S' END AS symbol FROM part LEFT JOIN t ON p_partkey = file""")
 def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as modules m<n> that declare S (every fourth) or pass it on from m<n/2>, and as their users u<n>."""
     t, n = A.table(spark, sf_dir, "part"), F.col("p_partkey")
