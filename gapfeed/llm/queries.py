@@ -77,6 +77,12 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.llm.centroid_clusters import cluster
+
+    return cluster(load(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed="3")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": op1_pii_spans,
     "op2_warc_zip": op2_warc_zip,
@@ -88,8 +94,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
     "op10_topk_search": op10_topk_search,
+    "op11_centroid_clusters": op11_centroid_clusters,
 }
 
+
+def _centroid_sql(rounds: int = 10) -> str:
+    """Every distance in full, round after round; distance and number are packed into one integer."""
+    parts = ["""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 8))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, min(CAST(list_inner_product(kept.v, kept.v) - 2 * list_inner_product(kept.v, c{i}.v) + list_inner_product(c{i}.v, c{i}.v) AS BIGINT) * 8 + c) AS m
+  FROM kept, c{i} GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""
+s{i} AS (
+  SELECT m % 8 AS c, i, floor(sum(v[i]) / count(*)) AS x FROM a{i} JOIN kept USING (r), generate_series(1, 64) AS g(i) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(n.v, o.v) AS v FROM c{i} o LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM s{i} GROUP BY c) n USING (c))""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT vec_id, CAST(m % 8 AS INTEGER) AS cluster, m // 8 AS distance, CAST(sum(m // 8) OVER (PARTITION BY m % 8) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m // 8) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} c ON c.c = m % 8
+"""
+
 SQL: dict[str, str] = {
     "op2_warc_zip": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -151,4 +184,5 @@ ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
+    "op11_centroid_clusters": _centroid_sql(),
 }
