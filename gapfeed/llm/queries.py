@@ -83,6 +83,12 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(load(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed="3")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.llm.token_alignment import align_tokens
+
+    return align_tokens(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": op1_pii_spans,
     "op2_warc_zip": op2_warc_zip,
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_topk_search": op10_topk_search,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 
