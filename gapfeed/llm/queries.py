@@ -89,6 +89,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapfeed.llm.embedding_dedup import near_components
+
+    return near_components(load(spark, sf_dir, "embeddings"), similarity=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": op1_pii_spans,
     "op2_warc_zip": op2_warc_zip,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk_search": op10_topk_search,
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_token_alignment": op12_token_alignment,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 
@@ -192,4 +199,18 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
     "op11_centroid_clusters": _centroid_sql(),
+    "op13_embedding_dedup": """
+WITH RECURSIVE rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
+    embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS part FROM embeddings),
+links AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM (SELECT * FROM rows WHERE part) a JOIN (SELECT * FROM rows WHERE part) b ON a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(r, to_r) AS (SELECT r, r FROM rows UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.to_r = links.a),
+named AS (SELECT reach.r, min(rows.vec_id) AS component_id FROM reach JOIN rows ON rows.r = reach.to_r GROUP BY reach.r),
+counted AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM rows JOIN named USING (r) LEFT JOIN counted USING (r)
+""",
 }
