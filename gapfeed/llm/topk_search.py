@@ -5,9 +5,10 @@ and deviation s the inner product of two vectors is at most the sum over
 segments of w (m m' + s s'), and so |q - v|^2 at least |q|^2 + |v|^2 less twice
 that. The bound is taken with 1, 4, 16, ... segments; a candidate whose bound
 falls below the k-th best score found so far goes no further, and survivors
-get their exact score. The scores of a block of queries against all rows are
-found in one map over the rows, block after block; each task keeps k rows for
-each query, and these are ranked at the end.
+get their exact score. Queries and rows are split by hash into blocks; every
+block of queries meets every block of rows in a group of its own, which keeps
+k rows for each query, and these are ranked at the end. Nothing but the
+numbers of blocks is counted before, and no vector comes to the driver.
 
 Vectors that are null, or hold null or non-finite components, take no part, nor
 do rows without an id. Vectors of different lengths aren't compared. Ties go to
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapfeed.llm._common import materialize
+from gapfeed.llm._common import materialize, ship, sized_broadcast
 
 SCALE = 256.0
-#: Bytes of query vectors that one pass broadcasts.
-QUERY_BYTES = 32 << 20
+#: Queries and rows of a block (about).
+QUERY_ROWS, BLOCK_ROWS = 2048, 16_384
 #: Rows whose bounds are taken at once.
 ROWS = 2048
 
@@ -64,16 +65,19 @@ def best(queries: np.ndarray, query_ids: np.ndarray, blocks: Iterator[tuple[np.n
     """The k best rows of each query over all blocks of (ids, vectors): (query row, id, score)."""
     plan = levels(queries.shape[1])
     known = [statistics(queries, n) for n in plan]
+    lengths = np.sqrt((queries * queries).sum(axis=1))
     least = np.full(len(queries), -np.inf)
     who, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     exact_floats = True
     for block_ids, v in blocks:
         alive = np.ones((len(queries), len(v)), dtype=bool)
+        # what rounding may take from a bound, whatever its sign
+        slack = 1e-9 * lengths[:, None] * np.sqrt((v * v).sum(axis=1))[None, :] + 1e-6
         for n, known_stats in zip(plan, known):
             if not np.isfinite(least).any():
                 break
             bound = known_stats @ statistics(v, n).T
-            alive &= bound * (1 + 1e-9) + 1e-6 >= least[:, None]
+            alive &= bound + slack >= least[:, None]
             if not alive.any():
                 break
         alive &= query_ids[:, None] != block_ids[None, :]
@@ -131,38 +135,44 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
+def grid(rows: DataFrame, queries: DataFrame, query_rows: int, block_rows: int) -> DataFrame:
+    """(dim, qb, cb, side, id, v): blocks of queries (side 1) beside blocks of rows (side 0), for every pair of blocks of one length of vectors."""
+
+    def sizes(of: DataFrame, most: int, name: str) -> DataFrame:
+        return of.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+
+    plan = sizes(rows, block_rows, "nc").join(sizes(queries, query_rows, "nq"), "dim")
+    plan = materialize(plan, "grid")  # one row for each length of vectors
+
+    def placed(of: DataFrame) -> DataFrame:
+        return of.withColumn("dim", F.size("v")).join(sized_broadcast(plan), "dim").withColumn("h", F.xxhash64("id", "v"))
+
+    each_query_block = F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb")
+    each_row_block = F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("cb")
+    left = placed(rows).select("dim", each_query_block, F.pmod("h", "nc").cast("int").alias("cb"), F.lit(0).alias("side"), "id", "v")
+    right = placed(queries).select("dim", F.pmod("h", "nq").cast("int").alias("qb"), each_row_block, F.lit(1).alias("side"), "id", "v")
+    return left.unionByName(right)
+
+
+def _best_of_group(k: int):
+    def run(group: pa.Table) -> pa.Table:
+        dim = group.column("dim")[0].as_py()
+        side, ids = group.column("side").to_numpy(), group.column("id").to_numpy()
+        v = _matrix(group.column("v").combine_chunks(), dim) if dim else np.zeros((group.num_rows, 0))
+        asked, rows = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        parts = ((ids[rows[a : a + ROWS]], v[rows[a : a + ROWS]]) for a in range(0, len(rows), ROWS))
+        who, found, score = best(v[asked], ids[asked], parts, k)
+        return pa.table({"query_id": pa.array(ids[asked][who], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.int64())})
+
+    return run
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of each query row."""
-    spark = vectors.sparkSession
+    ship(vectors.sparkSession)
     rows = quantized(vectors, id_col, vec_col)
-    queries = materialize(quantized(vectors.where(is_query), id_col, vec_col).dropDuplicates(["id", "v"]), "queries")
-    parts = []
-    for dim, count in sorted((r[0], r[1]) for r in queries.groupBy(F.size("v")).count().collect()):
-        same = queries.where(F.size("v") == dim)
-        blocks = -(-count * max(1, dim) * 8 // query_bytes)
-        for block in range(blocks):  # each pass holds a bounded block of the stated queries against all rows
-            some = same.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else same
-            got = some.toArrow()
-            held = spark.sparkContext.broadcast((got.column(0).to_numpy(), _matrix(got.column(1).combine_chunks(), dim) if dim else np.zeros((got.num_rows, 0))))
-
-            def run(batches: Iterator[pa.RecordBatch], held=held, dim=dim) -> Iterator[pa.RecordBatch]:
-                ids, q = held.value
-
-                def blocks_of():
-                    for batch in batches:
-                        for a in range(0, batch.num_rows, ROWS):
-                            part = batch.slice(a, ROWS)
-                            yield part.column(0).to_numpy(), _matrix(part.column(1), dim) if dim else np.zeros((part.num_rows, 0))
-
-                who, found, score = best(q, ids, blocks_of(), k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[who], pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
-
-            parts.append(rows.where(F.size("v") == dim).mapInArrow(run, "query_id long, vec_id long, score long"))
-    if not parts:
-        return queries.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score")).limit(0)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    queries = quantized(vectors.where(is_query), id_col, vec_col).dropDuplicates(["id", "v"])
+    found = grid(rows, queries, query_rows, block_rows).groupBy("dim", "qb", "cb").applyInArrow(_best_of_group(k), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

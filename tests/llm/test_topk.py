@@ -25,7 +25,7 @@ def test_equals_all_pairs(spark):
     want = S.brute_force(vectors.toPandas(), 5, 10)
     want = sorted(map(tuple, want[["query_id", "rank", "vec_id", "score"]].astype(int).values.tolist()))
     assert run(vectors) == want
-    assert run(vectors, query_bytes=1000) == want
+    assert run(vectors, query_rows=7, block_rows=40) == want
 
 
 def test_odd_vectors(spark):
@@ -55,3 +55,21 @@ def test_bounds_hold():
 
 def test_empty(spark):
     assert run(spark.createDataFrame([], "vec_id long, embedding array<float>")) == []
+
+
+def test_ties_of_negative_scores(spark):
+    rows = [(0, [1.0] * 64)] + [(i, [-1.0] * 64) for i in range(5001, 1, -1)] + [(10_000, [1.0] * 32 + [0.5] * 32)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = [r for r in run(vectors, every=1_000_000)]
+    assert got == [(0, 1, 10_000, 65536 * 32 + 32768 * 32)] + [(0, r, i, -64 * 65536) for r, i in zip(range(2, 6), range(2, 6))]
+    assert [r[2] for r in run(vectors.where("vec_id < 9000"), every=1_000_000, block_rows=1000)] == [2, 3, 4, 5, 6]
+
+
+def test_all_scores_negative_in_any_order(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([-3.0, -2.0, -2.0]) if i % 10 else 1.0 + (i % 3) for _ in range(16)]) for i in range(400)]
+    rng.shuffle(rows)
+    vectors = spark.createDataFrame([r for r in rows if r[0] % 10 or r[0] < 30], "vec_id long, embedding array<float>").repartition(3)
+    want = S.brute_force(vectors.toPandas(), 5, 10)
+    want = sorted(map(tuple, want[["query_id", "rank", "vec_id", "score"]].astype(int).values.tolist()))
+    assert run(vectors, block_rows=50) == want
