@@ -37,7 +37,22 @@ class Merges:
         letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         self.inner = np.array([vocab[letter[b]] for b in range(256)], dtype=np.int64)
         self.final = np.array([vocab[letter[b] + suffix] for b in range(256)], dtype=np.int64)
-        self.longest_token = max(len(t.removesuffix(suffix)) for t in vocab)
+        byte = self.letters = {c: b for b, c in letter.items()}
+        #: How each merged token is made: its two parts and the merge's rank.
+        self.parts: dict[int, tuple[int, int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        for rank, pair in enumerate(model["merges"]):
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            self.parts.setdefault(vocab[a + b], (vocab[a], vocab[b], rank))
+            self.ranks.setdefault((vocab[a], vocab[b]), rank)
+        self.inner_tokens: dict[bytes, int] = {}
+        self.final_tokens: dict[bytes, int] = {}
+        self._apart: dict[tuple[int, int], bool] = {}
+        for token, i in vocab.items():
+            bare = token.removesuffix(suffix)
+            if all(c in byte for c in bare) and (len(bare) == 1 or self._alone(i)):
+                (self.final_tokens if bare != token else self.inner_tokens)[bytes(byte[c] for c in bare)] = i
+        self.longest_token = max(map(len, [*self.inner_tokens, *self.final_tokens]))
         self.bits = 20
         slots = 1 << self.bits
         self.keys = np.full(slots, -1, dtype=np.int64)
@@ -54,6 +69,39 @@ class Merges:
                 self.keys[at], self.rank[at], self.made[at] = key, rank, vocab[a + b]
             self.probes = max(self.probes, tries)
 
+    def _alone(self, token: int) -> bool:
+        """Whether a token's own bytes are merged to it: its parts are, and nothing merges over their border before they do."""
+        if token not in self.parts:
+            return False
+        a, b, rank = self.parts[token]
+        return self._border(a, b, rank) and all(x not in self.parts or self._alone(x) for x in (a, b))
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether two tokens side by side stay two."""
+        key = (a, b)
+        found = self._apart.get(key)
+        if found is None:
+            if len(self._apart) > 1_000_000:
+                self._apart.clear()
+            found = self._apart[key] = self._border(a, b, _NONE)
+        return found
+
+    def _border(self, a: int, b: int, before: int) -> bool:
+        """Whether no merge of a rank below `before` joins a's end with b's start. The merges that made a
+        and b are undone from the last one on; a pair over the border merges first if its rank is
+        less than the last one's, or as small where that one is to the right of the border."""
+        while True:
+            if self.ranks.get((a, b), _NONE) < before:
+                return False
+            made_a, made_b = self.parts.get(a), self.parts.get(b)
+            rank_a, rank_b = made_a[2] if made_a else -1, made_b[2] if made_b else -1
+            if max(rank_a, rank_b) < 0:
+                return True
+            if rank_a > rank_b:
+                a, before = made_a[1], rank_a
+            else:
+                b, before = made_b[0], rank_b + 1
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -129,6 +177,7 @@ class PieceEncoder:
     def __init__(self, path: str, most_pieces: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Merges(path)
+        self.letters = self.merges.letters
         self.openings = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.most_pieces = most_pieces
         self._empty()
@@ -150,6 +199,11 @@ class PieceEncoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def split(self, text: str) -> list[bytes]:
+        """The pieces of any text without special tokens' strings, by the file's own normaliser and pre-tokenizer; nothing is encoded."""
+        of = self.letters
+        return [bytes(of[c] for c in p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokenizer's pieces of a text; None: only the library knows."""
         if any(o in text for o in self.openings) or not _LATIN.fullmatch(text):
@@ -210,52 +264,42 @@ class PieceEncoder:
         return out
 
 
-def prefix_counts(piece: str, merges: Merges, most: int | None = None) -> list[int]:
-    """Token counts of the prefixes of one piece (entry i: its first i + 1 bytes), by dynamic programming.
+class PrefixCounts:
+    """Token counts of the prefixes of one piece, by dynamic programming.
 
     The last token of a prefix's encoding is the only token ending there that
-    forms an unmerged pair with the last token of the prefix before it, so each
-    prefix needs one look at the tokens that end in it and no encoding. With
-    `most`, prefixes that must hold more tokens are left out.
+    stays apart from the last token of the prefix before it, so each prefix
+    needs one look at the tokens that end in it and no encoding. Entry i of
+    `ended` is the count of the first i + 1 bytes as a piece of their own.
     """
-    raw = piece.encode()
-    n = len(raw) if most is None else min(len(raw), (most + 1) * merges.longest_token)
-    count, last = [0] * (n + 1), [0] * (n + 1)
-    out = []
-    for i in range(1, n + 1):
-        for end in (False, True):
-            for a in range(max(0, i - merges.longest_token), i):
-                if len(_encode(raw[a:i], end, merges)) != 1 or (a and len(_encode(raw[last[a] : i], end, merges, a - last[a])) != 2):
-                    continue
-                if end:
-                    out.append(count[a] + 1)
-                else:
-                    count[i], last[i] = count[a] + 1, a
-                break
-    return out
 
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.raw = b""
+        self.count, self.last, self.ended = [0], [-1], []
 
-_pairs: dict[tuple[bytes, bool, int], tuple[int, ...]] = {}
+    def extend(self, raw: bytes) -> PrefixCounts:
+        m = self.merges
+        self.raw += raw
+        for i in range(len(self.ended) + 1, len(self.raw) + 1):
+            low = max(0, i - m.longest_token)
+            a, _ = self._token(low, i, m.final_tokens)
+            self.ended.append(self.count[a] + 1)
+            a, token = self._token(low, i, m.inner_tokens)
+            self.count.append(self.count[a] + 1)
+            self.last.append(token)
+        return self
 
-
-def _encode(raw: bytes, end: bool, merges: Merges, split: int = 0) -> tuple[int, ...]:
-    """Ids of a byte string, with or without the end-of-word suffix. split: () unless a token ends there."""
-    key = (raw, end, split)
-    if key not in _pairs:
-        ids = [int(x) for x in merges.inner[list(raw)]]
-        if end:
-            ids[-1] = int(merges.final[raw[-1]])
-        at = list(range(len(ids) + 1))
-        while len(ids) > 1:
-            rank, made = merges.find(np.array(ids[:-1]), np.array(ids[1:]))
-            j = int(rank.argmin())
-            if rank[j] == _NONE:
-                break
-            ids[j : j + 2] = [int(made[j])]
-            del at[j + 1]
-        if len(_pairs) > 200_000:
-            _pairs.clear()
-        _pairs[key] = tuple(ids) if not split or split in at else ()
-    return _pairs[key]
+    def _token(self, low: int, i: int, tokens: dict[bytes, int]) -> tuple[int, int]:
+        """Where the last token of the first i bytes starts, and its id."""
+        raw, last, apart = self.raw, self.last, self.merges.apart
+        for a in range(low, i):
+            token = tokens.get(raw[a:i], -1)
+            if token >= 0 and (not a or apart(last[a], token)):
+                return a, token
+        raise AssertionError("a byte is a token of its own")
 
 
+def prefix_counts(piece: str, merges: Merges) -> list[int]:
+    """Token counts of the prefixes of one piece (entry i: its first i + 1 bytes)."""
+    return PrefixCounts(merges).extend(piece.encode()).ended

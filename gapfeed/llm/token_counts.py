@@ -9,7 +9,9 @@ tokens" for every k and b without encoding the text again.
 Texts that only the library can normalise and split (other scripts, strings of
 special tokens) are encoded by it once, with offsets: these give the same
 running counts at the ends of pieces. Of such a text only the one cut piece of
-a prefix is looked at again, by the library.
+a prefix is looked at again: the file's normaliser and pre-tokenizer split it,
+and the dynamic programme counts it. Where a cut leaves the opening of a special
+token's string, the library encodes what follows the last whole piece.
 
 Nulls count as empty texts; an empty text has no piece and no tokens. Texts of
 any length are counted whole. Repeated rows yield repeated rows. Columns other
@@ -27,17 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapfeed.llm._bpe import PIECE, PieceEncoder, prefix_counts
+from gapfeed.llm._bpe import PIECE, PieceEncoder, PrefixCounts, prefix_counts
 from gapfeed.llm._common import text_chunks
 
 #: Bytes of text that a worker encodes at once (a longer text is its own chunk).
 CHUNK = 1 << 20
 
 
-#: Tokens past a budget within which the library's own cut of a piece is searched for the longest prefix that fits.
-BEYOND = 64
-
-
 class PrefixTable:
     """The counts of all prefixes of one text: ends of pieces (code points) and running counts."""
 
@@ -75,17 +73,25 @@ class PrefixTable:
             if i + 1 < len(self.ends) and self.special[i + 1] and self.starts[i + 1] < k and self.ends[i] == self.starts[i + 1] and not self.special[i]:
                 i -= 1  # what is left of a special string is ordinary and may belong to the piece before it
             i = max(i, 0)
-            return self.running[i] + len(self.encoder.whole(self.text[self.ends[i] : k]))
+            return self.running[i] + self._tokens(self.text[self.ends[i] : k])
         rest = self.text[self.ends[i] : k].lower().strip()
         return self.running[i] + (self._counts(rest)[-1] if rest else 0)
 
+    def _tokens(self, rest: str) -> int:
+        if any(o in rest for o in self.encoder.openings):
+            return len(self.encoder.whole(rest))
+        return sum(PrefixCounts(self.encoder.merges).extend(p).ended[-1] for p in self.encoder.split(rest))
+
     def _counts(self, piece: str, most: int | None = None) -> list[int]:
-        """Counts of a piece's prefixes by characters; a cut contraction falls apart into other pieces."""
+        """Counts of a piece's prefixes by characters; a cut contraction falls apart into other pieces. With
+        `most`, prefixes that must hold more tokens are left out."""
         if piece[:2] in ("'r", "'v", "'l"):
             return [sum(prefix_counts(p, self.encoder.merges)[-1] for p in PIECE.findall(piece[:j])) for j in range(1, len(piece) + 1)]
-        counts = prefix_counts(piece, self.encoder.merges, most)
-        ends = np.cumsum([len(c.encode()) for c in piece]) - 1
-        return [counts[e] for e in ends if e < len(counts)]
+        return self._by_characters([c.encode() for c in (piece if most is None else piece[: (most + 1) * self.encoder.merges.longest_token])])
+
+    def _by_characters(self, characters: list[bytes]) -> list[int]:
+        counts = PrefixCounts(self.encoder.merges).extend(b"".join(characters)).ended
+        return [counts[e] for e in (np.cumsum([len(c) for c in characters]) - 1).tolist()]
 
     def fits(self, budget: int) -> int:
         """The largest k with at most `budget` tokens in text[:k]."""
@@ -93,16 +99,36 @@ class PrefixTable:
         if self.running[-1] <= budget:
             return n
         i = bisect_right(self.running, budget) - 1
+        left = budget - self.running[i]
         if not self.plain:
             while i and self.ends[i] == self.ends[i + 1]:  # one character may become several pieces
                 i -= 1
-            high = min(self.ends[i + 1], self.tokens[min(budget + BEYOND, len(self.tokens) - 1)])
-            return next((k for k in range(high, self.ends[i], -1) if self.at(k) <= budget), self.ends[i])
+            return self._fits_in_piece(i, budget)
         rest = self.text[self.ends[i] : self.ends[i + 1]].lower()
         piece = rest.lstrip()
-        start, left = self.ends[i + 1] - len(piece), budget - self.running[i]
+        start = self.ends[i + 1] - len(piece)
         return start + max((j for j, c in enumerate(self._counts(piece, left), 1) if c <= left), default=0)
 
+    def _fits_in_piece(self, i: int, budget: int) -> int:
+        """The longest prefix that ends within the piece after the i-th end, of a text that the library split.
+
+        A prefix of more bytes than (tokens left + 1) times the longest token cannot fit. A piece
+        whose characters normalise each on their own is one run of the programme; others
+        (composed characters, special strings, contractions) are looked at cut by cut.
+        """
+        start, end, left = self.ends[i], self.ends[i + 1], budget - self.running[i]
+        piece = self.text[start:end]
+        bare = piece.lstrip()
+        some = bare[: (left + 1) * self.encoder.merges.longest_token]
+        whole = self.encoder.tokenizer.normalizer.normalize_str(some)
+        characters = [self.encoder.tokenizer.normalizer.normalize_str(c) for c in some]
+        alone = "".join(characters) == whole and not any(o in some for o in self.encoder.openings) and not self.special[i + 1]
+        if alone and some and not whole.startswith("'") and len(self.encoder.split(some)) == 1:
+            counts = self._by_characters([c.encode() for c in characters])
+            return end - len(bare) + max((j for j, c in enumerate(counts, 1) if c <= left), default=0)
+        high = min(end, start + len(piece) - len(bare) + len(some))
+        return next((k for k in range(high, start, -1) if self.at(k) <= budget), start)
+
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit, n_pieces, fit_chars): fit_chars is the length of the longest

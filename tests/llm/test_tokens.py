@@ -82,6 +82,30 @@ def test_dynamic_programme_equals_encoding(library):
         assert prefix_counts(w, encoder.merges) == [len(ids(library, w[:k])) for k in range(1, len(w) + 1)]
 
 
+def test_long_random_word(library):
+    rng = random.Random(8)
+    encoder = PieceEncoder.of(tokenizer_path())
+    for letters, script in (("abcdefghijklmnopqrstuvwxyz", True), ("абвгдежзиклмнопрстуфхцчшэюя", False)):
+        text = "see " + "".join(rng.choice(letters) for _ in range(100_000)) + " end"
+        (counts,) = encoder.counts([text])
+        assert (counts is not None) == script
+        began = time.process_time()
+        table = token_counts.PrefixTable(text, encoder, counts)
+        k = table.fits(2048)
+        assert time.process_time() - began < 4
+        assert len(ids(library, text[:k])) <= 2048 < min(len(ids(library, text[:j])) for j in range(k + 1, k + 40))
+        assert table.at(5_000) == len(ids(library, text[:5_000]))
+
+
+def test_words_of_few_letters(library):
+    """Repeated letters merge in many overlapping ways."""
+    encoder = PieceEncoder.of(tokenizer_path())
+    rng = random.Random(6)
+    for _ in range(60):
+        w = "".join(rng.choice("aeinst" if rng.random() < 0.5 else "xyhaz") for _ in range(rng.randint(1, 40))) + rng.choice("mh") * rng.randint(0, 9)
+        assert prefix_counts(w, encoder.merges) == [len(ids(library, w[:k])) for k in range(1, len(w) + 1)]
+
+
 def test_table_of_pieces_may_be_emptied(library, documents):
     texts = [r.text for r in documents.limit(60).collect()]
     small = PieceEncoder(tokenizer_path(), most_pieces=50)
