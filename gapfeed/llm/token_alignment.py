@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment by diagonal run skipping.
 
 A text is encoded by a byte-level tokenizer (A, over space+text) and a piece
-tokenizer (B, which adds the space itself). Both are lists of ascending byte
-ends. At a shift of indexes the two lists are compared in stretches that double
+tokenizer (B, which adds the space itself), each unit between spaces once for as long as it is remembered. Both are
+lists of ascending byte ends. At a shift of indexes the two lists are compared in stretches that double
 for as long as they are equal (then halve to find the first difference), so a
 stretch of one-to-one tokens is a few comparisons. At a difference the two lists
 are walked, the one that ends earlier first, until they end at one byte again:
@@ -26,7 +26,10 @@ text are read of the input's columns.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +44,11 @@ from gapfeed.shipping import Scratch, materialize
 CHUNK = 1 << 19
 #: Rows of (long, long, boolean) that are broadcast: about 48 MB in an executor.
 HOT_PAIRS = 1_000_000
+BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: Length of the first comparison of a stretch.
 PROBE = 4
 
-_loaded: dict[tuple[str, str], "Pair"] = {}
+_loaded: dict[tuple[str, str], "Units"] = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -71,25 +75,101 @@ class Pair:
             self.a_bytes[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
         size = self.b.get_piece_size()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(self.b.id_to_piece(list(range(size))))]
+        ids = range(max(len(self.a_bytes), len(self.b_bytes)))
+        #: An id within its group, the last one of A's, the last one of B's.
+        self.said, self.said_last_a, self.said_last_b = (np.array([f"{i}{c}" for i in ids], dtype=object) for c in ",|;")
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
 
     @staticmethod
-    def of(byte_level: str, pieces: str) -> Pair:
+    def of(byte_level: str, pieces: str) -> Units:
         """One for each worker process."""
         key = (byte_level, pieces)
         if key not in _loaded:
-            _loaded[key] = Pair(byte_level, pieces)
+            _loaded[key] = Units(Pair(byte_level, pieces))
         return _loaded[key]
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids by A and B of each text; none where the bytes of either differ from space+text."""
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of " " + text by A, of text by B, and whether the bytes of both are those of " " + text."""
         spaced = [" " + t for t in texts]
+        a = [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        same = [b"".join([self.a_bytes[i] for i in x]) == t.encode() == b"".join([self.b_bytes[i] for i in y]) for t, x, y in zip(spaced, a, b)]
+        return a, b, same
+
+
+class Units:
+    """Encodings of the units of texts, kept for as long as they are few enough.
+
+    A unit begins at a space between two characters that are no white space. A's pieces begin there, and as no piece of
+    B holds a space behind another character, neither does B merge over it: so the ids of a text are those of its
+    units. (A pair of tokenizers for which that doesn't hold has whole texts as units.)
+    """
+
+    MOST, LONGEST = 200_000, 4_000_000
+
+    def __init__(self, pair: Pair):
+        self.pair = pair
+        spaces_lead = all(re.fullmatch("▁*[^▁]*", p) for p in pair.b.id_to_piece(list(range(pair.b.get_piece_size()))))
+        shape = json.loads(pair.a.to_str())
+        plain = shape["normalizer"] is None and shape["pre_tokenizer"] and shape["pre_tokenizer"]["type"] == "ByteLevel" and shape["pre_tokenizer"]["use_regex"]
+        self.cut = spaces_lead and plain and pair.b.encode("a  b\tc", out_type=str)[:3] == ["▁a", "▁", "▁b"]
+        self.empty()
+
+    def empty(self) -> None:
+        self.index: dict[str, int] = {}
+        self.same = np.zeros(0, bool)
+        self.a, self.b = _Flat(), _Flat()
+
+    def units(self, text: str) -> list[str]:
+        return BORDER.split(text) if self.cut else [text]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A's and B's ids of all texts end to end, and where each text's begin (one more than texts);
+        none for texts that are empty or whose bytes differ."""
+        split = [self.units(t) if t else [] for t in texts]
+        flat = [u for s in split for u in s]
+        if self.a.size + self.b.size > self.LONGEST or len(self.index) > self.MOST:
+            self.empty()
+        if missing := list({u: None for u in flat if u not in self.index}):
+            a, b, same = self.pair.encode(missing)
+            self.index.update(zip(missing, range(len(self.index), len(self.index) + len(missing))))
+            self.a.add(a)
+            self.b.add(b)
+            self.same = np.concatenate([self.same, np.array(same, bool)])
+        rows = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        of = np.repeat(np.arange(len(texts)), [len(s) for s in split])
+        bad = np.bincount(of[~self.same[rows]], minlength=len(texts)) > 0
+        keep = ~bad[of]
+        rows, of = rows[keep], of[keep]
         out = []
-        for t, x, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            a, raw = x.ids, t.encode()
-            same = len(raw) > 1 and b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
-            out.append((a, b) if same else ([], []))
-        return out
+        for side in (self.a, self.b):
+            ids, sizes = side.take(rows)
+            out += [ids, np.concatenate([[0], np.cumsum(np.bincount(of, weights=sizes, minlength=len(texts)))]).astype(np.int64)]
+        return tuple(out)
+
+
+class _Flat:
+    """Lists of ids end to end."""
+
+    def __init__(self):
+        self.ids, self.start, self.length, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def add(self, lists: list[list[int]]) -> None:
+        length = np.array([len(x) for x in lists], dtype=np.int64)
+        self.start = np.concatenate([self.start, self.size + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, np.array(list(itertools.chain.from_iterable(lists)), dtype=np.int64)])
+        self.size = len(self.ids)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length = self.length[rows]
+        return self.ids[spread(self.start[rows], length)], length
+
+
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for `length` numbers, one row after the other."""
+    before = np.cumsum(length) - length
+    return np.repeat(start - before, length) + np.arange(int(length.sum()))
 
 
 def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
@@ -115,62 +195,80 @@ def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
     return done + (k == 1 and x[0] == y[0])
 
 
-def align(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, list[int], list[int]]]:
-    """Pieces of the alignment of two ascending lists of ends with one last end: (i, j, n, [], []) for n one-to-one
-    groups from a[i] and b[j], or (i, j, 0, links of a, links of b) for an irregular group, its links by index."""
+def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int]], list[int], list[int], list[int], list[int]]:
+    """The alignment of two ascending lists of ends with one last end.
+
+    Stretches (i, j, n) of n one-to-one groups from a[i] and b[j] on; of the irregular groups the links, as indexes of a
+    and of b, and the last index of each group in a and in b.
+    """
+    stretches, x, y, last_x, last_y = [], [], [], [], []
     i = j = 0
-    while i < len(a):
-        n = stretch(a, b, i, j)
-        if n:
-            yield i, j, n, [], []
+    n_a = len(a)
+    while i < n_a:
+        if a[i] == b[j]:
+            n = stretch(a, b, i, j)
+            stretches.append((i, j, n))
             i, j = i + n, j + n
-            if i == len(a):
-                return
-        from_i, from_j = i, j
-        x, y = [i], [j]
-        while a[i] != b[j]:
-            if a[i] < b[j]:
+            if i == n_a:
+                break
+        end_a, end_b = a[i], b[j]
+        x.append(i)
+        y.append(j)
+        while end_a != end_b:
+            if end_a < end_b:
                 i += 1
+                end_a = a[i]
             else:
                 j += 1
+                end_b = b[j]
             x.append(i)
             y.append(j)
+        last_x.append(i)
+        last_y.append(j)
         i, j = i + 1, j + 1
-        yield from_i, from_j, 0, x, y
+    return stretches, x, y, last_x, last_y
+
 
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
-def _aligned(texts: list[str], pair: Pair, with_groups: bool) -> list[tuple]:
-    """A row for each text, from one alignment of all of them laid end to end."""
-    encoded = pair.encode(texts)
-    a_ids = np.fromiter((i for a, _ in encoded for i in a), dtype=np.int64)
-    b_ids = np.fromiter((i for _, b in encoded for i in b), dtype=np.int64)
-    a_list, b_list = a_ids.tolist(), b_ids.tolist()
-    a_link, b_link, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+
+def _aligned(texts: list[str], units: Units, with_groups: bool) -> list[pa.Array]:
+    """The columns of `alignments` from n_a on, from one alignment of all texts laid end to end."""
+    pair = units.pair
+    a_ids, a_from, b_ids, b_from = units.encode(texts)
+    stretches, x, y, last_x, last_y = align(np.cumsum(pair.a_sizes[a_ids]).tolist(), np.cumsum(pair.b_sizes[b_ids]).tolist())
+    i, j, n = np.array(stretches, dtype=np.int64).reshape(-1, 3).T
+    straight_a, straight_b = spread(i, n), spread(j, n)
     last_a, last_b = np.zeros(len(a_ids), bool), np.zeros(len(b_ids), bool)
-    for i, j, n, x, y in align(np.cumsum(pair.a_sizes[a_ids]).tolist(), np.cumsum(pair.b_sizes[b_ids]).tolist()):
-        if n:
-            parts += [f"{p}|{q}" for p, q in zip(a_list[i : i + n], b_list[j : j + n])]
-            a_link.append(np.arange(i, i + n))
-            b_link.append(np.arange(j, j + n))
-            last_a[i : i + n] = last_b[j : j + n] = True
-        else:
-            parts.append(",".join(map(str, a_list[i : x[-1] + 1])) + "|" + ",".join(map(str, b_list[j : y[-1] + 1])))
-            a_link.append(np.array(x))
-            b_link.append(np.array(y))
-            last_a[x[-1]] = last_b[y[-1]] = True
-    at, code = np.concatenate(a_link), a_ids[np.concatenate(a_link)] << 32 | b_ids[np.concatenate(b_link)]
-    a_from = np.concatenate([[0], np.cumsum([len(a) for a, _ in encoded])]).astype(np.int64)
-    b_from = np.concatenate([[0], np.cumsum([len(b) for _, b in encoded])]).astype(np.int64)
-    groups = np.concatenate([[0], np.cumsum(last_a)])[a_from]
-    links = np.searchsorted(at, a_from)
-    out = []
-    for d, (a, b) in enumerate(encoded):
-        own = slice(groups[d], groups[d + 1])
-        pairs, times = np.unique(code[links[d] : links[d + 1]], return_counts=True)
-        row = (len(a), len(b), int(groups[d + 1] - groups[d]), int(links[d + 1] - links[d]), hashlib.sha256(";".join(parts[own]).encode()).hexdigest() if a else "", pairs, times)
-        if with_groups:
-            row += (a, b, np.flatnonzero(last_a[a_from[d] : a_from[d + 1]]) + 1, np.flatnonzero(last_b[b_from[d] : b_from[d + 1]]) + 1)
-        out.append(row)
+    last_a[straight_a] = last_b[straight_b] = True
+    last_a[last_x] = last_b[last_y] = True
+    a_ends, b_ends = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+
+    # links: each document's pairs of ids, and how many links hold each
+    at = np.concatenate([straight_a, np.array(x, dtype=np.int64)])
+    code = a_ids[at] << 32 | b_ids[np.concatenate([straight_b, np.array(y, dtype=np.int64)])]
+    doc = np.searchsorted(a_from, at, side="right") - 1
+    n_links = np.bincount(doc, minlength=len(texts))
+    order = np.lexsort((code, doc))
+    code, doc = code[order], doc[order]
+    new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])) if len(code) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate([new, [len(code)]]))
+    pairs_from = np.searchsorted(doc[new], np.arange(len(texts) + 1))
+
+    # groups: A's ids, a bar and B's ids, in order
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    said = np.empty(len(a_ids) + len(b_ids), dtype=object)
+    said[np.arange(len(a_ids)) + np.concatenate([[0], b_ends])[group_a]] = np.where(last_a, pair.said_last_a[a_ids], pair.said[a_ids])
+    said[np.arange(len(b_ids)) + a_ends[group_b]] = np.where(last_b, pair.said_last_b[b_ids], pair.said[b_ids])
+    said = said.tolist()
+    both = a_from + b_from
+    digests = [hashlib.sha256("".join(said[p:q])[:-1].encode()).hexdigest() if q > p else "" for p, q in zip(both[:-1].tolist(), both[1:].tolist())]
+    groups_from = np.concatenate([[0], np.cumsum(last_a)])[a_from]
+    out = [pa.array(np.diff(a_from)), pa.array(np.diff(b_from)), pa.array(np.diff(groups_from)), pa.array(n_links), pa.array(digests, pa.string()), _lists(pairs_from, code[new]), _lists(pairs_from, times)]
+    if with_groups:
+        first_a, first_b = (np.repeat(f[:-1], np.diff(groups_from)) for f in (a_from, b_from))
+        out += [_lists(a_from, a_ids), _lists(b_from, b_ids), _lists(groups_from, a_ends - first_a), _lists(groups_from, b_ends - first_b)]
     return out
 
 
@@ -182,15 +280,13 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, with_groups: bool
     """
     ship(docs.sparkSession)
     names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"] + ["a_ids", "b_ids", "a_ends", "b_ends"] * with_groups
-    types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())] + [pa.list_(pa.int64())] * 4 * with_groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair.of(byte_level, pieces)
+        units = Pair.of(byte_level, pieces)
         for batch in batches:
             for x, y in text_chunks(batch.column(2), CHUNK):
                 some = batch.slice(x, y - x)
-                rows = _aligned(some.column(2).fill_null("").to_pylist(), pair, with_groups)
-                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+                columns = _aligned(some.column(2).fill_null("").to_pylist(), units, with_groups)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *columns], names=["row", "id", *names])
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -63,14 +63,27 @@ def test_align_equals_shared_ends():
         a = sorted(rng.sample(range(1, n + 1), rng.randint(0, n - 1))) if n > 1 else []
         b = sorted(x for x in range(1, n + 1) if (x in a) != (rng.random() < 0.1))
         a, b = sorted({*a, n}), sorted({*b, n})
-        ends, links = [], []
-        for i, j, k, x, y in T.align(a, b):
-            assert k == 0 or a[i : i + k] == b[j : j + k]
-            ends += a[i : i + k] if k else [a[x[-1]]]
-            links += list(zip(range(i, i + k), range(j, j + k))) if k else list(zip(x, y))
-        assert ends == sorted(set(a) & set(b))
+        stretches, x, y, last_x, last_y = T.align(a, b)
+        assert all(a[i : i + k] == b[j : j + k] and k for i, j, k in stretches)
+        straight = [(i + d, j + d) for i, j, k in stretches for d in range(k)]
+        assert [a[i] for i in last_x] == [b[j] for j in last_y]
+        assert sorted([a[i] for i, _ in straight] + [a[i] for i in last_x]) == sorted(set(a) & set(b))
         ra, rb = list(zip([0, *a], a)), list(zip([0, *b], b))
-        assert links == [(i, j) for i, (p, q) in enumerate(ra) for j, (r, s) in enumerate(rb) if p < s and r < q]
+        assert sorted([*straight, *zip(x, y)]) == [(i, j) for i, (p, q) in enumerate(ra) for j, (r, s) in enumerate(rb) if p < s and r < q]
+
+
+def test_units_equal_whole_texts(documents):
+    units = T.Units(T.Pair(A, B))
+    assert units.cut
+    units.MOST = 500
+    texts = [r.text for r in documents.select("text").collect() if r.text] + TEXTS + ["a b  c\u3000d e\x1ff g \n h", "x" * 5000 + " y", "tab\t b", " lead", "trail ", "nb\xa0 sp\xa0 x"]
+    for at in range(0, len(texts), 9):
+        some = texts[at : at + 9]
+        a, a_from, b, b_from = units.encode(some)
+        whole_a, whole_b, same = units.pair.encode(some)
+        for k, ok in enumerate(same):
+            assert a[a_from[k] : a_from[k + 1]].tolist() == (whole_a[k] if ok else [])
+            assert b[b_from[k] : b_from[k + 1]].tolist() == (whole_b[k] if ok else [])
 
 
 def test_long_stretch_takes_few_comparisons():
@@ -114,7 +127,7 @@ def test_given_documents(spark, documents):
 def test_groups_and_counts(spark):
     docs = spark.createDataFrame([(1, "hello strange tokenizations"), (2, "hello hello")], "doc_id long, text string")
     aligned = T.alignments(docs, A, B, with_groups=True)
-    pair = T.Pair.of(A, B)
+    pair = T.Pair.of(A, B).pair
     for r in aligned.collect():
         assert len(r.a_ends) == len(r.b_ends) == r.n_groups
         for x, y in zip(r.a_ends, r.b_ends):
