@@ -545,4 +545,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file", "line_range", "reason", "confidence").orderBy(F.desc("confidence"), "file", "line_range")
 
 
-from gapfeed.jobs import document_queries, report_queries  # noqa: E402, F401  register their queries
+from gapfeed.jobs import document_queries, report_queries, runner_queries  # noqa: E402, F401  register their queries

@@ -69,10 +69,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def table(self, df: DataFrame, tag: str) -> DataFrame:
+    def table(self, df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+        """`by`: a column of few values, whose rows get folders of their own."""
         path = scratch_path(self.spark, tag)
         self.paths.append(path)
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:

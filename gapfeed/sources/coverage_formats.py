@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapfeed.functions import vocabulary as V
 from gapfeed.functions.text import trim
 from gapfeed.operators.blocks import merge_states, percent, run_blocks
+from gapfeed.operators.scans import running
 from gapfeed.sources.lines import to_lines
 
 #: path:line.column,line.column statements count
@@ -25,28 +26,24 @@ COVERAGE_PY = "totals struct<covered_lines:int,num_statements:int,percent_covere
 JACOCO = "package array<struct<_name:string,sourcefile:array<struct<_name:string,line:array<struct<_nr:int,_mi:int,_ci:int>>,counter:array<struct<_type:string,_missed:int,_covered:int>>>>>>, counter array<struct<_type:string,_missed:int,_covered:int>>"
 
 
-def _part(line: Column, i: int) -> Column:
-    return F.regexp_extract(line, _GO_LINE, i)
-
-
 def go_profile_lines(lines: DataFrame) -> DataFrame:
     """Blocks of coverprofile lines (run_id, pos, line)."""
-    t = trim("line")
-    rows = lines.withColumn("_t", t).where(~F.startswith(F.col("_t"), F.lit("mode:")) & F.col("_t").rlike(_GO_LINE))
-    number = lambda i: _part(F.col("_t"), i).try_cast("int")
-    return rows.select("run_id", _part(F.col("_t"), 1).alias("file"), "pos", number(2).alias("start_line"), number(4).alias("end_line"), number(7).alias("count"), (number(7) > 0).alias("covered"), number(6).alias("statements"))
+    # one match a line: the path and the numbers, apart by a character that no line holds
+    parts = F.split(F.regexp_replace(trim("line"), _GO_LINE, "$1\u0001$2\u0001$4\u0001$6\u0001$7"), "\u0001")
+    rows = lines.select("run_id", "pos", parts.alias("_p")).where((F.size("_p") == 5) & ~F.startswith(F.get("_p", 0), F.lit("mode:")))
+    number = lambda i: F.get("_p", i).try_cast("int")
+    return rows.select("run_id", F.get("_p", 0).alias("file"), "pos", number(1).alias("start_line"), number(2).alias("end_line"), number(4).alias("count"), (number(4) > 0).alias("covered"), number(3).alias("statements"))
 
 
 def go_profile(raw: DataFrame) -> DataFrame:
     return go_profile_lines(to_lines(raw))
 
 
-def lcov_lines(lines: DataFrame) -> DataFrame:
+def lcov_lines(lines: DataFrame, **how) -> DataFrame:
     """One-line blocks of LCOV lines (run_id, pos, line): DA records within SF ... end_of_record."""
     rows = lines.withColumn("_t", trim("line"))
     marker = F.when(F.startswith("_t", F.lit("SF:")), F.substring("_t", 4, 1 << 30)).when(F.col("_t") == "end_of_record", "")
-    order = Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("file", F.last(marker, ignorenulls=True).over(order))
+    rows = running(rows, ["run_id"], lasts={"file": marker}, **how)
     line, count = F.regexp_extract("_t", r"^DA:(\d+),(-?\d+)", 1).try_cast("int"), F.regexp_extract("_t", r"^DA:(\d+),(-?\d+)", 2).try_cast("int")
     rows = rows.where(F.startswith("_t", F.lit("DA:")) & (F.col("file") != "")).withColumn("start_line", line).withColumn("count", count)
     return rows.where("start_line is not null and count is not null").select("run_id", "file", "pos", "start_line", F.col("start_line").alias("end_line"), "count", (F.col("count") > 0).alias("covered"), F.lit(1).alias("statements"))

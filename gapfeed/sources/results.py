@@ -3,8 +3,10 @@
 A dialect reads lines (run_id, pos, line) and yields two tables:
 results (run_id, passed, failed, skipped, total, status) and failures
 (run_id, ord, test_name, file, line, col, error, expected, received), with ""
-and 0 for what is missing. All runs of a dialect are read in one plan; only
-windows over a run's own lines order anything.
+and 0 for what is missing. What a line's meaning takes from the lines before it
+(the block it lies in, the test named last, a section it opens) is state that
+`stated` carries along in one pass for all dialects, split by split, so that a
+run of very many lines is many tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 from gapfeed.functions import text as T
 from gapfeed.operators.failures import holds_any
+from gapfeed.operators.scans import running
+from gapfeed.shipping import Scratch, materialize
 from gapfeed.sources.lines import to_lines
 
 #: Messages of failures without one.
@@ -27,19 +31,41 @@ _PAREN_PLACE = r"\(([^():]+(?:/[^():]+)*):(\d+):(\d+)\)"
 _AT_PLACE = r"^\s*at\s+([^():]+(?:/[^():]+)*):(\d+):(\d+)"
 _BARE_PLACE = r"^[\s❯]*([^():]+(?:/[^():]+)*):(\d+):(\d+)"
 
-def blocks_by_header(lines: DataFrame, keys: list[str], header: Column, stop: Column | None = None) -> DataFrame:
-    """Lines (keys, pos, line) with the number of their block, from 1: a block runs from a header line to
-    the next header or stop line. Lines before the first header, and after a stop line, are left out."""
-    order = _running(*keys)
-    numbered = lines.withColumn("block", F.sum(F.when(header, 1).otherwise(0)).over(order))
-    if stop is not None:
-        mark = F.last(F.when(header, F.lit(False)).when(stop, F.lit(True)), ignorenulls=True).over(order)
-        numbered = numbered.withColumn("_stopped", mark).where(~F.coalesce("_stopped", F.lit(False))).drop("_stopped")
-    return numbered.where("block > 0")
+def stated(lines: DataFrame, dialect: str | None = None, **how) -> DataFrame:
+    """Lines with the trimmed line t and their state, by the marks of a dialect (or of each line's own, column `dialect`).
 
+    block: how many headers there were; stopped: whether a stop line came after
+    the last header; carried: the last name a line gave; listed: the last switch; late: whether the late mark was met.
+    """
+    rows = _trimmed(lines)
+    names = [dialect] if dialect else [d for d in DIALECTS if d in _MARKS]
+    own = (lambda d, c: c) if dialect else (lambda d, c: F.when(F.col("dialect") == d, c))
+    marks = {d: _MARKS[d]() if d in _MARKS else {} for d in names}
+
+    def any_of(key: str, kind: str) -> Column:
+        given = [own(d, m[key]) for d, m in marks.items() if key in m]
+        return F.coalesce(*given, F.lit(None).cast(kind)) if given else F.lit(None).cast(kind)
+
+    header = F.coalesce(any_of("header", "boolean"), F.lit(False))
+    out = running(
+        rows,
+        [k for k in ("run_id", "dialect") if k in rows.columns],
+        sums={"block": header.cast("int")},
+        lasts={"stopped": F.when(header, F.lit(False)).when(any_of("stop", "boolean"), F.lit(True)), "carried": any_of("carry", "string"), "listed": any_of("switch", "boolean")},
+        most={"late": any_of("late", "boolean")},
+        **how,
+    )
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("stopped", "listed", "late")})
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The lines of blocks: from a header to before the next header or stop line."""
+    return rows.where((F.col("block") > 0) & ~F.col("stopped"))
 
-def _running(*keys: str):
-    return Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with ord, their number within the run by position and name."""
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)))
 
 
 def _trimmed(lines: DataFrame) -> DataFrame:
@@ -121,8 +147,12 @@ def _count(value: Column) -> Column:
 
 def go_json(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`go test -json`: one event a line; malformed lines are passed over."""
+    return _go_json(_trimmed(lines))
+
+
+def _go_json(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = F.col("t")
-    e = _trimmed(lines).withColumn("e", F.from_json("t", "Action string, Package string, Test string, Output string")).where("e.Action is not null")
+    e = lines.withColumn("e", F.from_json("t", "Action string, Package string, Test string, Output string")).where("e.Action is not null")
     e = e.select("run_id", "pos", F.col("e.Action").alias("action"), F.coalesce("e.Package", F.lit("")).alias("package"), F.coalesce("e.Test", F.lit("")).alias("test"), F.coalesce("e.Output", F.lit("")).alias("output"))
     of_test = F.col("test") != ""
     counts = e.groupBy("run_id").agg(*[F.count_if(of_test & (F.col("action") == a)).alias(c) for a, c in (("pass", "passed"), ("fail", "failed"), ("skip", "skipped"))])
@@ -163,23 +193,41 @@ def _fail_if_any(results: DataFrame, failures: DataFrame) -> DataFrame:
 
 def go_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`go test -v`: an indented file:line: message belongs to the test named last, passed or not."""
+    return _go_text(stated(lines, "go-test"))
+
+
+def _go_test_named() -> Column:
+    return F.when(starts("=== RUN", "--- PASS:", "--- FAIL:"), F.get(F.split("t", r"\s+"), 2))
+
+
+def _go_text(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = F.col("t")
-    rows = _trimmed(lines)
-    named = F.when(starts("=== RUN", "--- PASS:", "--- FAIL:"), F.get(F.split(t, r"\s+"), 2))
-    rows = rows.withColumn("test", F.last(named, ignorenulls=True).over(_running("run_id")))
-    has = named.isNotNull()
+    rows = rows.withColumnRenamed("carried", "test")
+    has = _go_test_named().isNotNull()
     counts = rows.groupBy("run_id").agg(F.count_if(starts("--- PASS:") & has).alias("passed"), F.count_if(starts("--- FAIL:") & has).alias("failed"), F.lit(0).alias("skipped"))
     marks = starts("=== RUN", "--- PASS:", "--- FAIL:")
     at = rows.where(~marks & F.col("test").isNotNull() & F.col("line").rlike(r"^[\t ]")).withColumn("at", _go_place(t)).where("at is not null")
     ord_ = F.row_number().over(Window.partitionBy("run_id").orderBy("pos"))
     failures = at.select("run_id", ord_.alias("ord"), F.col("test").alias("test_name"), "at.file", "at.line", F.lit(0).alias("col"), F.col("at.message").alias("error"), F.lit("").alias("expected"), F.lit("").alias("received"))
-    return _finish(counts, failures.limit(0), _runs(lines)), failures
+    return _finish(counts, failures.limit(0), _runs(rows)), failures
 
 
 def pytest(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`pytest -v`: the first status of each id; without any, the last line that counts."""
+    return _pytest(stated(lines, "pytest"))
+
+
+def _pytest_name() -> Column:
+    return T.trim(F.regexp_extract("t", r"^_+\s+(.+?)\s+_+$", 1))
+
+
+def _pytest_header() -> Column:
+    name = _pytest_name()
+    return F.col("t").rlike(r"^_+\s+(.+?)\s+_+$") & (T.trim(F.regexp_replace(name, "_", "")) != "") & ~F.upper(name).isin("FAILURES", "ERRORS")
+
+
+def _pytest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = F.col("t")
-    rows = _trimmed(lines)
     pattern = r"^(\S+::\S+(?:\[[^\]]+\])?)\s+(PASSED|FAILED|ERROR|SKIPPED)\b"
     ids = rows.where(t.rlike(pattern)).groupBy("run_id", F.regexp_extract(t, pattern, 1).alias("id")).agg(F.min_by(F.regexp_extract(t, pattern, 2), "pos").alias("s"))
     by_id = ids.groupBy("run_id").agg(F.count_if(F.col("s") == "PASSED").alias("passed"), F.count_if(F.col("s").isin("FAILED", "ERROR")).alias("failed"), F.count_if(F.col("s") == "SKIPPED").alias("skipped"))
@@ -188,9 +236,8 @@ def pytest(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = lambda word: F.transform(F.regexp_extract_all("t", F.lit(rf"(\d+)\s+{word}"), 1), lambda x: x.cast("int"))
     by_line = summary.select("run_id", F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), said("passed")), -1), F.lit(0)).alias("passed"), F.aggregate(F.concat(said("failed"), said("errors?")), F.lit(0), lambda a, x: a + x).alias("failed"), F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), said("skipped")), -1), F.lit(0)).alias("skipped"))
     counts = by_id.unionByName(by_line.join(by_id.select("run_id"), "run_id", "left_anti"))
-    name = T.trim(F.regexp_extract(t, r"^_+\s+(.+?)\s+_+$", 1))
-    header = t.rlike(r"^_+\s+(.+?)\s+_+$") & (T.trim(F.regexp_replace(name, "_", "")) != "") & ~F.upper(name).isin("FAILURES", "ERRORS")
-    blocks = blocks_by_header(rows, ["run_id"], header, starts("====") & F.contains(t, F.lit(" in ")))
+    name, header = _pytest_name(), _pytest_header()
+    blocks = _blocks(rows)
     inside = ~header & (t != "")
     place = r"^([^:\s]+\.py):(\d+):\s*(.+)$"
     at = inside & t.rlike(place)
@@ -204,14 +251,20 @@ def pytest(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         error=F.coalesce(last(error), first(F.when(at, T.trim(F.regexp_extract(t, place, 3)))), first(plain), F.lit(NO_DETAIL)),
         expected=first(F.when(inside & ~at, _group(r"^>\s+(.+)$", 1))),
     )
-    return _finish(counts, failures, _runs(lines)), failures
+    return _finish(counts, failures, _runs(rows)), failures
 
 
 def jest(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Jest and Vitest: summary lines, then marks of single tests; a command that never ran is one failure."""
-    t = F.col("t")
-    rows = _trimmed(lines)
-    line = F.col("line")
+    return _jest(stated(lines, "jest"))
+
+
+def _jest_header() -> Column:
+    return starts("●") | (starts("FAIL") & F.contains("t", F.lit(" > ")))
+
+
+def _jest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    t, line = F.col("t"), F.col("line")
     summary = F.when(F.contains(line, F.lit("Tests:")), F.get(F.split(line, ":"), 1))
     said = lambda w: F.coalesce(F.regexp_extract(summary, rf"(?:^|,)\s*(\d+)\s+{w}\b", 1), F.lit(""))
     vite = r"^\s*Tests\s+(\d+)\s+(passed|failed|skipped)"
@@ -223,8 +276,7 @@ def jest(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count_if(starts("✕", "×")).alias("bad"),
         F.count_if(starts("↓")).alias("down"),
     )
-    header = starts("●") | (starts("FAIL") & F.contains(t, F.lit(" > ")))
-    blocks = blocks_by_header(rows, ["run_id"], header, starts("Test Suites:", "Tests:", "Snapshots:", "Time:", "Ran all test"))
+    header, blocks = _jest_header(), _blocks(rows)
     bare = T.trim(F.regexp_replace(F.regexp_replace(t, "^●", ""), "^FAIL", ""))
     name = F.when(F.contains(bare, F.lit("›")), T.trim(F.substring_index(bare, "›", -1))).when(F.contains(bare, F.lit(" > ")), F.regexp_replace(bare, r"^.*? > ", "")).otherwise(bare)
     inside = ~header & (t != "") & ~starts("Expected:", "Received:")
@@ -246,7 +298,7 @@ def jest(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     c = counted.join(n, "run_id", "left").fillna(0)
     unmarked = (F.col("passed") + F.col("failed") + F.col("skipped") + F.col("total") + F.col("n")) == 0
     counts = c.select("run_id", F.when(unmarked, F.col("ok")).otherwise(F.col("passed")).alias("passed"), F.when(unmarked, F.col("bad")).otherwise(F.col("failed")).alias("failed"), F.when(unmarked, F.col("down")).otherwise(F.col("skipped")).alias("skipped"), "total")
-    return _with_command_errors(rows, _finish(counts, failures, _runs(lines)), failures, JEST_COMMAND_ERRORS)
+    return _with_command_errors(rows, _finish(counts, failures, _runs(rows)), failures, JEST_COMMAND_ERRORS)
 
 
 def _with_command_errors(rows: DataFrame, results: DataFrame, failures: DataFrame, markers: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
@@ -265,18 +317,24 @@ def _with_command_errors(rows: DataFrame, results: DataFrame, failures: DataFram
 
 def mocha(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mocha: passing/failing/pending counts; details are the numbered blocks after "N failing"."""
+    return _mocha(stated(lines, "mocha"))
+
+
+def _mocha_numbered() -> Column:
+    return F.col("t").rlike(r"^(\d+)\)\s+(.+)$")
+
+
+def _mocha(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = F.col("t")
-    rows = _trimmed(lines)
     counter = lambda w: rf"^(\d+)\s+{w}\b"
-    numbered = t.rlike(r"^(\d+)\)\s+(.+)$")
+    numbered = _mocha_numbered()
     fail_line = starts("✗", "✘") | numbered
     counted = rows.groupBy("run_id").agg(_count(_group(counter("passing"), 1)).alias("passed"), _count(_group(counter("failing"), 1)).alias("failed"), _count(_group(counter("pending"), 1)).alias("skipped"), F.count_if(starts("✓", "✔")).alias("ok"), F.count_if(fail_line).alias("bad"))
     none = (F.col("passed") + F.col("failed") + F.col("skipped")) == 0
     counts = counted.select("run_id", F.when(none, F.col("ok")).otherwise(F.col("passed")).alias("passed"), F.when(none, F.col("bad")).otherwise(F.col("failed")).alias("failed"), "skipped")
-    rows = rows.withColumn("late", F.coalesce(F.max(t.rlike(counter("failing"))).over(_running("run_id")), F.lit(False)))
-    summary = t.rlike(r"^(\d+)\s+(passing|failing|pending)\b")
-    header = numbered & F.col("late")
-    blocks = blocks_by_header(rows, ["run_id"], header, summary)
+    # the line that says how many fail stops the blocks before it, so only later headers open any
+    header = numbered
+    blocks = _blocks(rows.where("late"))
     inside = ~header & (t != "")
     title = inside & F.endswith(t, F.lit(":")) & ~starts("AssertionError", "Error:")
     pieces = F.array_sort(F.collect_list(F.struct("pos", F.when(header, T.trim(F.regexp_extract(t, r"^(\d+)\)\s+(.+)$", 2))).when(title, F.substring(t, F.lit(1), F.char_length(t) - 1)).alias("x"))))
@@ -291,21 +349,27 @@ def mocha(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     spec = rows.where(fail_line).join(detailed.select("run_id").distinct(), "run_id", "left_anti")
     short = spec.select("run_id", F.row_number().over(Window.partitionBy("run_id").orderBy("pos")).alias("ord"), T.trim(F.regexp_replace(t, r"^(\d+)\)\s+", "")).alias("test_name"), F.lit("").alias("file"), F.lit(0).alias("line"), F.lit(0).alias("col"), F.lit(NO_DETAIL_MOCHA).alias("error"), F.lit("").alias("expected"), F.lit("").alias("received"))
     failures = detailed.unionByName(short)
-    return _finish(counts, failures, _runs(lines)), failures
+    return _finish(counts, failures, _runs(rows)), failures
 
 
 def node_tap(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`node --test`: counter lines and "not ok" blocks; blocks that only sum up a suite are dropped."""
+    return _node_tap(stated(lines, "node-test"))
+
+
+_NODE_HEAD = r"^not ok\s+\d+\s+-\s+(.+)$"
+
+
+def _node_tap(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = F.col("t")
-    rows = _trimmed(lines)
     counter = r"^#\s+(tests|pass|fail|skipped|todo|cancelled)\s+(\d+)\s*$"
     said = lambda w: F.when(t.rlike(counter) & (F.regexp_extract(t, counter, 1) == w), F.regexp_extract(t, counter, 2))
     added = F.when(t.rlike(counter) & F.regexp_extract(t, counter, 1).isin("skipped", "todo", "cancelled"), F.regexp_extract(t, counter, 2).try_cast("int"))
     counts = rows.groupBy("run_id").agg(_count(said("pass")).alias("passed"), _count(said("fail")).alias("failed"), F.coalesce(F.sum(added), F.lit(0)).alias("skipped"), _count(said("tests")).alias("total"))
-    rows = rows.withColumn("sub", F.last(_group(r"^#\s+Subtest:\s+(.+)$", 1), ignorenulls=True).over(_running("run_id")))
-    head = r"^not ok\s+\d+\s+-\s+(.+)$"
+    rows = rows.withColumnRenamed("carried", "sub")
+    head = _NODE_HEAD
     header = t.rlike(head)
-    blocks = blocks_by_header(rows, ["run_id"], header, starts("ok ", "1..") | (starts("not ok ") & ~header))
+    blocks = _blocks(rows)
     suite = t.isin("type: 'suite'", 'type: "suite"', "failureType: 'subtestsFailed'", 'failureType: "subtestsFailed"')
     whole = blocks.groupBy("run_id", "block").agg(F.max(suite).alias("suite")).where("suite").select("run_id", "block")
     blocks = blocks.join(whole, ["run_id", "block"], "left_anti")
@@ -321,31 +385,48 @@ def node_tap(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         file=last(F.when(inside & ~fixed, file)), line=last(F.when(inside & ~fixed, at)), col=last(F.when(inside & ~fixed, col)),
         error=F.coalesce(last(F.when(inside, error)), first(plain), F.lit(NO_DETAIL)), expected=last(F.when(inside, _unquoted("expected: "))), received=last(F.when(inside, _unquoted("actual: "))),
     )
-    return _with_command_errors(rows, _finish(counts, failures, _runs(lines)), failures, NODE_COMMAND_ERRORS)
+    return _with_command_errors(rows, _finish(counts, failures, _runs(rows)), failures, NODE_COMMAND_ERRORS)
 
 
 def cargo(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`cargo test`: test lines and the last summary; the i-th panic block belongs to the i-th failed test."""
+    return _cargo(stated(lines, "cargo-test"))
+
+
+_CARGO_TEST, _CARGO_TOTAL = r"^test\s+(\S+)\s+\.\.\.\s+(ok|FAILED)", r"test result:\s*(ok|FAILED)\.\s*(\d+) passed;\s*(\d+) failed"
+
+
+def _cargo_header() -> Column:
     t = F.col("t")
-    rows = _trimmed(lines)
-    test, total = r"^test\s+(\S+)\s+\.\.\.\s+(ok|FAILED)", r"test result:\s*(ok|FAILED)\.\s*(\d+) passed;\s*(\d+) failed"
+    return ~t.rlike(_CARGO_TEST) & ~t.rlike(_CARGO_TOTAL) & starts("---- ") & F.contains(t, F.lit(" ----"))
+
+
+def _cargo(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    t = F.col("t")
+    test, total = _CARGO_TEST, _CARGO_TOTAL
     is_test = t.rlike(test)
     result = ~is_test & t.rlike(total)
     counted = rows.groupBy("run_id").agg(F.count_if(is_test & (F.regexp_extract(t, test, 2) == "ok")).alias("ok"), F.count_if(is_test & (F.regexp_extract(t, test, 2) == "FAILED")).alias("bad"), last(F.when(result, F.regexp_extract(t, total, 2).cast("int"))).alias("p"), last(F.when(result, F.regexp_extract(t, total, 3).cast("int"))).alias("f"))
     counts = counted.select("run_id", F.coalesce("p", "ok").alias("passed"), F.coalesce("f", "bad").alias("failed"), F.lit(0).alias("skipped"))
     ord_ = F.row_number().over(Window.partitionBy("run_id").orderBy("pos"))
     failed = rows.where(is_test & (F.regexp_extract(t, test, 2) == "FAILED")).select("run_id", ord_.alias("ord"), F.regexp_extract(t, test, 1).alias("test_name"))
-    header = ~is_test & ~result & starts("---- ") & F.contains(t, F.lit(" ----"))
-    blocks = blocks_by_header(rows, ["run_id"], header, t == "")
+    blocks = _blocks(rows)
     panic = blocks.groupBy("run_id", F.col("block").cast("int").alias("ord")).agg(last(_group(r"panicked at\s+'([^']+)'", 1)).alias("error"))
     failures = failed.join(panic, ["run_id", "ord"], "left").select("run_id", "ord", "test_name", F.lit("").alias("file"), F.lit(0).alias("line"), F.lit(0).alias("col"), F.coalesce("error", F.lit("")).alias("error"), F.lit("").alias("expected"), F.lit("").alias("received"))
-    return _finish(counts, failures.limit(0), _runs(lines)), failures
+    return _finish(counts, failures.limit(0), _runs(rows)), failures
 
 
 def junit(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Maven, Gradle and JUnit consoles: the last summary of any form, and the failed tests they list."""
+    return _junit(stated(lines, "junit"))
+
+
+def _junit_opened() -> Column:
+    return T.trim(F.regexp_replace("t", r"^\[ERROR\]", "")).rlike("^(Failed tests:|Errors:)")
+
+
+def _junit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = F.col("t")
-    rows = _trimmed(lines)
     maven = r"Tests run:\s*(\d+),\s*Failures:\s*(\d+),\s*Errors:\s*(\d+),\s*Skipped:\s*(\d+)"
     gradle, five = r"(\d+)\s+tests?\s+completed,\s*(\d+)\s+failed", r"tests found:\s*(\d+).*tests succeeded:\s*(\d+).*tests failed:\s*(\d+)"
     n = lambda p, i: F.regexp_extract(t, p, i).try_cast("int")
@@ -354,18 +435,29 @@ def junit(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     skipped = F.when(t.rlike(maven), n(maven, 4))
     passed = F.when(t.rlike(maven), n(maven, 1) - n(maven, 2) - n(maven, 3) - n(maven, 4)).when(t.rlike(gradle), n(gradle, 1) - n(gradle, 2)).when(t.rlike(five), n(five, 2))
     counts = rows.groupBy("run_id").agg(*[F.coalesce(last(c), F.lit(0)).alias(k) for k, c in (("passed", passed), ("failed", failed), ("skipped", skipped), ("total", total))])
-    opened = T.trim(F.regexp_replace(t, r"^\[ERROR\]", "")).rlike("^(Failed tests:|Errors:)")
-    section = F.last(F.when(opened, F.lit(True)).when((t == "") | starts("Tests run:"), F.lit(False)), ignorenulls=True).over(_running("run_id"))
-    rows = rows.withColumn("listed", F.coalesce(section, F.lit(False)))
+    opened = _junit_opened()
     method = r"^(\w+)\((\S+)\)$"
     name = F.when(F.col("listed") & ~opened & t.rlike(method), F.concat(F.regexp_extract(t, method, 2), F.lit("#"), F.regexp_extract(t, method, 1))).when(~F.col("listed"), _group(r"\[FAILED\]\s+(\S+)", 1))
     ord_ = F.row_number().over(Window.partitionBy("run_id").orderBy("pos"))
     failures = rows.withColumn("test_name", name).where("test_name is not null").select("run_id", ord_.alias("ord"), "test_name", F.lit("").alias("file"), F.lit(0).alias("line"), F.lit(0).alias("col"), F.lit("").alias("error"), F.lit("").alias("expected"), F.lit("").alias("received"))
-    return _finish(counts, failures.limit(0), _runs(lines)), failures
-
-
+    return _finish(counts, failures.limit(0), _runs(rows)), failures
+
+
+#: What carries state in each dialect; see `stated`.
+_MARKS: dict[str, Callable[[], dict[str, Column]]] = {
+    "go-test": lambda: {"carry": _go_test_named()},
+    "pytest": lambda: {"header": _pytest_header(), "stop": starts("====") & F.contains("t", F.lit(" in "))},
+    "jest": lambda: {"header": _jest_header(), "stop": starts("Test Suites:", "Tests:", "Snapshots:", "Time:", "Ran all test")},
+    "mocha": lambda: {"header": _mocha_numbered(), "stop": F.col("t").rlike(r"^(\d+)\s+(passing|failing|pending)\b"), "late": F.col("t").rlike(r"^(\d+)\s+failing\b")},
+    "node-test": lambda: {"header": F.col("t").rlike(_NODE_HEAD), "stop": starts("ok ", "1..") | (starts("not ok ") & ~F.col("t").rlike(_NODE_HEAD)), "carry": _group(r"^#\s+Subtest:\s+(.+)$", 1)},
+    "cargo-test": lambda: {"header": _cargo_header(), "stop": F.col("t") == ""},
+    "junit": lambda: {"switch": F.when(_junit_opened(), F.lit(True)).when((F.col("t") == "") | starts("Tests run:"), F.lit(False))},
+}
+_MARKS["vitest"] = _MARKS["jest"]
+
+#: Each dialect over lines with their state.
 DIALECTS: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]] = {
-    "go-test": go_text, "go-json": go_json, "pytest": pytest, "jest": jest, "vitest": jest, "mocha": mocha, "node-test": node_tap, "cargo-test": cargo, "junit": junit,
+    "go-test": _go_text, "go-json": _go_json, "pytest": _pytest, "jest": _jest, "vitest": _jest, "mocha": _mocha, "node-test": _node_tap, "cargo-test": _cargo, "junit": _junit,
 }
 
 
@@ -378,14 +470,33 @@ def dialect_of(framework: Column, raw: Column) -> Column:
     return F.when(go & events, "go-json").when(go, "go-test").otherwise(name)
 
 
-def parse_results(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def with_dialect(lines: DataFrame) -> DataFrame:
+    """Lines (run_id, framework, pos, line) with their run's dialect, which its first line that isn't blank may decide."""
+    heads = lines.groupBy("run_id").agg(F.max("framework").alias("framework"), F.min_by("line", F.when(T.trim("line") != "", F.col("pos"))).alias("head"))
+    told = heads.select("run_id", dialect_of(F.col("framework"), F.coalesce("head", F.lit(""))).alias("dialect"))
+    return lines.select("run_id", "pos", "line").join(told, "run_id")
+
+
+def parse_result_lines(lines: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """Results and failures of lines (run_id, dialect, pos, line), each with its framework.
+
+    The input is read once: its lines and their state are written by dialect, and each
+    dialect reads its own folder of them.
+    """
+    keep = ["run_id", "pos", "line", "t", "block", "stopped", "carried", "listed", "late"]
+    with Scratch(lines.sparkSession) as scratch:
+        rows = scratch.table(stated(lines, **how).select("dialect", *keep), "result-lines", by="dialect")
+        results = failures = None
+        for name, dialect in DIALECTS.items():
+            r, f = dialect(rows.where(F.col("dialect") == name).select(keep))
+            framework = F.lit("go-test" if name == "go-json" else name)
+            r, f = r.withColumn("framework", framework), f.withColumn("framework", framework)
+            results = r if results is None else results.unionByName(r)
+            failures = f if failures is None else failures.unionByName(f)
+        return materialize(results, "results"), materialize(failures, "failures")
+
+
+def parse_results(raw: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
     """Results and failures of outputs (run_id, framework, raw) in any dialect, each with its framework."""
-    told = raw.withColumn("dialect", dialect_of(F.col("framework"), F.col("raw")))
-    results = failures = None
-    for name, dialect in DIALECTS.items():
-        r, f = dialect(to_lines(told.where(F.col("dialect") == name).select("run_id", "raw")))
-        framework = F.lit("go-test" if name == "go-json" else name)
-        r, f = r.withColumn("framework", framework), f.withColumn("framework", framework)
-        results = r if results is None else results.unionByName(r)
-        failures = f if failures is None else failures.unionByName(f)
-    return results, failures
+    told = raw.select("run_id", "raw", dialect_of(F.col("framework"), F.col("raw")).alias("dialect"))
+    return parse_result_lines(to_lines(told), **how)
