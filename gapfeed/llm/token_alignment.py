@@ -30,6 +30,7 @@ import itertools
 import json
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,6 +97,24 @@ class Pair:
         same = [b"".join([self.a_bytes[i] for i in x]) == t.encode() == b"".join([self.b_bytes[i] for i in y]) for t, x, y in zip(spaced, a, b)]
         return a, b, same
 
+    def encode_joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """A's and B's ids of units without white space at their ends, and how many each unit has of either, from
+        one encoding of all with spaces between them; None where the bytes of any differ."""
+        text = " ".join(units)
+        raw = (" " + text).encode()
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        out = []
+        for ids, names, sizes in ((self.a.encode(" " + text, add_special_tokens=False).ids, self.a_bytes, self.a_sizes), (self.b.encode(text), self.b_bytes, self.b_sizes)):
+            if b"".join(map(names.__getitem__, ids)) != raw:
+                return None
+            ids = np.array(ids, dtype=np.int64)
+            to = np.cumsum(sizes[ids])
+            last = np.searchsorted(to, ends)
+            if not np.array_equal(to[last], ends):
+                return None
+            out += [ids, np.diff(np.concatenate([[0], last + 1]))]
+        return tuple(out)
+
 
 class Units:
     """Encodings of the units of texts, kept for as long as they are few enough.
@@ -105,7 +124,8 @@ class Units:
     units. (A pair of tokenizers for which that doesn't hold has whole texts as units.)
     """
 
-    MOST, LONGEST = 200_000, 4_000_000
+    #: Units and ids that are remembered, and units that are encoded together.
+    MOST, LONGEST, TOGETHER = 200_000, 4_000_000, 256
 
     def __init__(self, pair: Pair):
         self.pair = pair
@@ -130,12 +150,12 @@ class Units:
         flat = [u for s in split for u in s]
         if self.a.size + self.b.size > self.LONGEST or len(self.index) > self.MOST:
             self.empty()
-        if missing := list({u: None for u in flat if u not in self.index}):
-            a, b, same = self.pair.encode(missing)
-            self.index.update(zip(missing, range(len(self.index), len(self.index) + len(missing))))
-            self.a.add(a)
-            self.b.add(b)
-            self.same = np.concatenate([self.same, np.array(same, bool)])
+        counted = Counter(flat)
+        missing = [u for u, n in counted.items() if n > 1 and u not in self.index]
+        self._learn(missing)  # what is met once here is forgotten with this call
+        marks = len(self.same), self.a.mark(), self.b.mark()
+        once = [u for u, n in counted.items() if n == 1 and u not in self.index]
+        self._learn(once)
         rows = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         of = np.repeat(np.arange(len(texts)), [len(s) for s in split])
         bad = np.bincount(of[~self.same[rows]], minlength=len(texts)) > 0
@@ -145,21 +165,65 @@ class Units:
         for side in (self.a, self.b):
             ids, sizes = side.take(rows)
             out += [ids, np.concatenate([[0], np.cumsum(np.bincount(of, weights=sizes, minlength=len(texts)))]).astype(np.int64)]
+        for u in once:
+            del self.index[u]
+        self.same = self.same[: marks[0]]
+        self.a.back(marks[1])
+        self.b.back(marks[2])
         return tuple(out)
 
+    def _learn(self, units: list[str]) -> None:
+        """Append the encodings of units, in a new order."""
+        plain = [u for u in units if self.cut and not u[0].isspace() and not u[-1].isspace()]
+        odd = [u for u in units if not (self.cut and not u[0].isspace() and not u[-1].isspace())]
+        order, same = [], []
+        for at in range(0, len(plain), self.TOGETHER):
+            some = plain[at : at + self.TOGETHER]
+            got = self.pair.encode_joined(some)
+            if got is None:
+                odd += some
+                continue
+            self.a.add(got[0], got[1])
+            self.b.add(got[2], got[3])
+            order += some
+            same += [True] * len(some)
+        if odd:
+            a, b, ok = self.pair.encode(odd)
+            for side, lists in ((self.a, a), (self.b, b)):
+                side.add(np.array(list(itertools.chain.from_iterable(lists)), dtype=np.int64), np.array([len(x) for x in lists], dtype=np.int64))
+            order += odd
+            same += ok
+        self.index.update(zip(order, range(len(self.index), len(self.index) + len(order))))
+        self.a.settle()
+        self.b.settle()
+        self.same = np.concatenate([self.same, np.array(same, bool)])
+
 
 class _Flat:
     """Lists of ids end to end."""
 
     def __init__(self):
         self.ids, self.start, self.length, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: np.ndarray, length: np.ndarray) -> None:
+        self.new.append((ids, length))
 
-    def add(self, lists: list[list[int]]) -> None:
-        length = np.array([len(x) for x in lists], dtype=np.int64)
-        self.start = np.concatenate([self.start, self.size + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, np.array(list(itertools.chain.from_iterable(lists)), dtype=np.int64)])
-        self.size = len(self.ids)
+    def settle(self) -> None:
+        if self.new:
+            length = np.concatenate([n for _, n in self.new])
+            self.start = np.concatenate([self.start, self.size + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.ids = np.concatenate([self.ids, *(i for i, _ in self.new)])
+            self.size, self.new = len(self.ids), []
+
+    def mark(self) -> tuple[int, int]:
+        return len(self.length), self.size
+
+    def back(self, mark: tuple[int, int]) -> None:
+        """Forget what was added after a mark."""
+        lists, self.size = mark
+        self.start, self.length, self.ids = self.start[:lists], self.length[:lists], self.ids[: self.size]
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         length = self.length[rows]
@@ -173,26 +237,26 @@ def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends from a[i] and b[j] on are equal in pairs: the compared length doubles, then halves."""
-    done, k = 0, PROBE
+    """How many ends from a[i] and b[j] on are equal in pairs: the compared length doubles as long as all are, then
+    halves down to a few, which are compared one by one."""
+    at, k = i, PROBE
+    shift = j - i
     while True:
-        x, y = a[i + done : i + done + k], b[j + done : j + done + k]
-        if x != y:
+        x = a[at : at + k]
+        if x != b[at + shift : at + shift + k]:
             break
-        done += len(x)
+        at += len(x)
         if len(x) < k:
-            return done
+            return at - i
         k *= 2
-    k = min(len(x), len(y))
-    while k > 1:
-        half = k // 2
-        if x[:half] == y[:half]:
-            done += half
-            x, y = x[half:], y[half:]
-            k -= half
-        else:
-            k = half
-    return done + (k == 1 and x[0] == y[0])
+    while k > PROBE:
+        k //= 2
+        x = a[at : at + k]
+        if x == b[at + shift : at + shift + k]:
+            at += len(x)
+    while a[at] == b[at + shift]:
+        at += 1
+    return at - i
 
 
 def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int]], list[int], list[int], list[int], list[int]]:
@@ -202,18 +266,19 @@ def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int]], list[
     and of b, and the last index of each group in a and in b.
     """
     stretches, x, y, last_x, last_y = [], [], [], [], []
+    link_x, link_y = x.append, y.append
     i = j = 0
     n_a = len(a)
     while i < n_a:
-        if a[i] == b[j]:
+        end_a, end_b = a[i], b[j]
+        if end_a == end_b:
             n = stretch(a, b, i, j)
             stretches.append((i, j, n))
-            i, j = i + n, j + n
-            if i == n_a:
-                break
-        end_a, end_b = a[i], b[j]
-        x.append(i)
-        y.append(j)
+            i += n
+            j += n
+            continue
+        link_x(i)
+        link_y(j)
         while end_a != end_b:
             if end_a < end_b:
                 i += 1
@@ -221,11 +286,12 @@ def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int]], list[
             else:
                 j += 1
                 end_b = b[j]
-            x.append(i)
-            y.append(j)
+            link_x(i)
+            link_y(j)
         last_x.append(i)
         last_y.append(j)
-        i, j = i + 1, j + 1
+        i += 1
+        j += 1
     return stretches, x, y, last_x, last_y
 
 
