@@ -35,6 +35,11 @@ def _binned(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("_bin", F.explode(F.sequence(F.floor(low / BIN), F.floor(high / BIN))))
 
 
+def _forward(ranges: DataFrame) -> DataFrame:
+    """Ranges with a reversed end at their start."""
+    return ranges.withColumn("end_line", F.greatest("start_line", "end_line"))
+
+
 def span_of_block(blocks: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """Each block with the first span in source order that holds its start or overlaps it (null without one).
 
@@ -50,8 +55,8 @@ def span_of_block(blocks: DataFrame, spans: DataFrame, keys: list[str]) -> DataF
 
 
 def branch_of_block(blocks: DataFrame, branches: DataFrame, keys: list[str]) -> DataFrame:
-    """Each block with the shortest branch that overlaps it, the first of equals (null without one)."""
-    b, s = _binned(blocks.select(*keys, "block_id", "start_line", "end_line")).alias("b"), _binned(branches.select(*keys, "branch_pos", "start_line", "end_line")).alias("s")
+    """Each block with the shortest branch that overlaps it, the first of equals (null without one). A reversed range is its start."""
+    b, s = (_binned(_forward(x)).alias(n) for x, n in ((blocks.select(*keys, "block_id", "start_line", "end_line"), "b"), (branches.select(*keys, "branch_pos", "start_line", "end_line"), "s")))
     same = [F.col(f"b.{k}") == F.col(f"s.{k}") for k in [*keys, "_bin"]]
     size = F.col("s.end_line") - F.col("s.start_line")
     near = b.join(s, [*same, _overlap("b", "s")])
@@ -60,8 +65,8 @@ def branch_of_block(blocks: DataFrame, branches: DataFrame, keys: list[str]) ->
 
 
 def blocks_with_return(blocks: DataFrame, returns: DataFrame, keys: list[str]) -> DataFrame:
-    """The blocks that any return overlaps."""
-    b, s = _binned(blocks.select(*keys, "block_id", "start_line", "end_line")).alias("b"), _binned(returns.select(*keys, "start_line", "end_line")).alias("s")
+    """The blocks that any return overlaps. A reversed range is its start."""
+    b, s = (_binned(_forward(x)).alias(n) for x, n in ((blocks.select(*keys, "block_id", "start_line", "end_line"), "b"), (returns.select(*keys, "start_line", "end_line"), "s")))
     same = [F.col(f"b.{k}") == F.col(f"s.{k}") for k in [*keys, "_bin"]]
     hit = b.join(s, [*same, _overlap("b", "s")], "left_semi").select("b.block_id")
     return blocks.join(hit, "block_id", "left_semi")

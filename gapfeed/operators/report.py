@@ -9,7 +9,9 @@ from gapfeed.functions import text as T
 from gapfeed.functions import vocabulary as V
 from gapfeed.operators import gaps, tasks
 from gapfeed.operators.sources import resolve_paths, texts_of
-from gapfeed.sources.spans import go_branches, source_spans
+from gapfeed.shipping import materialize
+from gapfeed.sources.go_source import go_structure
+from gapfeed.sources.spans import source_spans
 
 #: The place of a whole file's suggestion, after all of its blocks.
 _LAST = (1 << 62)
@@ -36,9 +38,11 @@ def _reason() -> Column:
     return F.when(F.col("function") != "", F.concat("function", said)).otherwise(V.REASON_BLOCK)
 
 
-def located(blocks: DataFrame, spans: DataFrame, sources: DataFrame, branches: DataFrame) -> DataFrame:
+def located(blocks: DataFrame, spans: DataFrame, sources: DataFrame, branches: DataFrame, returns: DataFrame) -> DataFrame:
     """Uncovered blocks with function, kind, gap type, missing branches, lines, hints and confidence.
 
+    Branches and returns are those of Go files.
+
     blocks: framework, file, source_file (where its text is; null if unknown), block_id, start_line, end_line.
     A block outside all functions has none of them.
     """
@@ -49,15 +53,16 @@ def located(blocks: DataFrame, spans: DataFrame, sources: DataFrame, branches: D
     inside = found.where(F.col("function").isNotNull())
     cut = inside.select(F.col("block_id").alias("key"), "file", F.greatest("start_line", "_from").alias("start_line"), F.least("end_line", "_to").alias("end_line")).where("start_line <= end_line")
     texts = texts_of(cut, sources).select(F.col("key").alias("block_id"), "text")
-    near = gaps.branch_of_block(inside.where(T.framework_name("framework") == "go-test"), branches, ["file"]).select("block_id", "file", "branch_pos")
+    of_go = inside.where(T.framework_name("framework") == "go-test")
+    near = gaps.branch_of_block(of_go, branches, ["file"]).select("block_id", "file", "branch_pos")
+    returning = gaps.blocks_with_return(of_go.select("block_id", "file", "start_line", "end_line"), returns, ["file"]).select("block_id", F.lit(True).alias("_returns"))
     branch = near.join(branches.select("file", "branch_pos", F.col("kind").alias("branch_kind"), "condition"), ["file", "branch_pos"]).select("block_id", "branch_kind", "condition")
-    rows = found.join(texts, "block_id", "left").join(branch, "block_id", "left")
+    rows = found.join(texts, "block_id", "left").join(branch, "block_id", "left").join(returning, "block_id", "left")
     # each derived text is a column of its own: the rules below name it many times
     rows = rows.withColumn("text", T.trim(F.coalesce("text", F.lit(""))))
     text, known = F.col("text"), F.col("function").isNotNull()
     go = T.framework_name("framework") == "go-test"
-    returns = text.rlike(r"(?m)^\s*return\b")
-    gap = F.when(known, F.when(go, gaps.go_gap_type(F.col("branch_kind"), returns, text)).otherwise(gaps.gap_type(text)))
+    gap = F.when(known, F.when(go, gaps.go_gap_type(F.col("branch_kind"), F.coalesce("_returns", F.lit(False)), text)).otherwise(gaps.gap_type(text)))
     condition = F.when(go, F.when(F.col("branch_kind") == "if", F.col("condition")).otherwise("")).when(gaps.has_keyword(text, "if"), gaps.condition(text, "if")).otherwise("")
     missing = F.when(go, _go_missing(F.col("branch_kind"), F.col("condition"), F.col("_gap"))).otherwise(gaps.missing_branch(text))
     none = F.array().cast("array<string>")
@@ -89,21 +94,30 @@ def suggestions(files: DataFrame, found: DataFrame) -> DataFrame:
     return blocks.select(names).unionByName(low.select(names))
 
 
-def coverage_suggestions(files: DataFrame, blocks: DataFrame, sources: DataFrame, spans: DataFrame | None = None, branches: DataFrame | None = None) -> DataFrame:
+def structure_of(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans, branches, returns) of source files (file, source), written once: each is read by several joins."""
+    go_spans, branches, returns = go_structure(sources)
+    others = source_spans(sources.where(~F.endswith("file", F.lit(".go"))))
+    spans = others.unionByName(go_spans.select(others.columns))
+    return materialize(spans, "spans"), materialize(branches, "branches"), materialize(returns, "returns")
+
+
+def coverage_suggestions(files: DataFrame, blocks: DataFrame, sources: DataFrame, structure: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Suggestions of coverage reports.
 
     files: report, framework, file, percent; blocks: report, file, block_id (unique), start_line, end_line, covered;
-    sources: file, source. Spans and Go branches are read from the sources unless given.
-    Reported paths are resolved to sources; what can't be resolved gets plain suggestions.
+    sources: file, source. Spans, branches and returns are read from the sources unless given.
+    Reported paths are resolved to sources; what can't be resolved gets plain suggestions. Only
+    the files that reports name are read for their structure.
     """
-    spans = source_spans(sources) if spans is None else spans
-    branches = go_branches(sources) if branches is None else branches
     where = resolve_paths(files.select(F.col("file").alias("path")), sources).withColumnsRenamed({"file": "source_file", "path": "file"})
+    needed = sources.join(where.where("source_file is not null").select(F.col("source_file").alias("file")).distinct(), "file", "left_semi")
+    spans, branches, returns = structure_of(needed) if structure is None else structure
     open_ = gaps.uncovered(files, blocks, ["report", "file"]).join(where, "file", "left")
     open_ = open_.select("report", "framework", "file", "source_file", "block_id", F.col("block_id").alias("idx"), "start_line", "end_line")
-    return suggestions(files, located(open_, spans, sources, branches))
+    return suggestions(files, located(open_, spans, needed, branches, returns))
 
 
-def coverage_tasks(files: DataFrame, blocks: DataFrame, sources: DataFrame, spans: DataFrame | None = None, branches: DataFrame | None = None) -> DataFrame:
+def coverage_tasks(files: DataFrame, blocks: DataFrame, sources: DataFrame, structure: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Ranked, numbered test tasks of coverage reports; see coverage_suggestions."""
-    return tasks.from_suggestions(coverage_suggestions(files, blocks, sources, spans, branches), "report")
+    return tasks.from_suggestions(coverage_suggestions(files, blocks, sources, structure), "report")

@@ -1,9 +1,9 @@
 """Functions and methods of source files as line spans.
 
-Python files are read with the standard parser. Files of brace languages are
-scanned by line: a declaration opens a span that ends where its braces close
-(quoted text and comments count too, so `approx` is set). One row of input is one file; files
-are independent, so a map over them needs no shuffle.
+Python files are read with the standard parser. JavaScript, TypeScript, Rust and
+Java files are scanned by line: a declaration opens a span that ends where its braces close
+(those of strings and comments don't count; `approx` is set). One row of input is one file; files
+are independent, so a map over them needs no shuffle. Go files are read by `go_source`.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ _DECLARATIONS = {
     "rust": re.compile(rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+{_NAME}\s*(?:<[^>]*>)?\s*\(([^)]*)\)?"),
     "java": re.compile(rf"^\s*(?:@\w+\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s+)?[\w$.<>\[\], ?]+\s+{_NAME}\s*\(([^)]*)\)\s*(?:throws\s+[\w., ]+)?\s*\{{?\s*$"),
     "js": re.compile(rf"^\s*(?:export\s+)?(?:default\s+)?(?:(?:async\s+)?function\s*\*?\s*{_NAME}\s*\(([^)]*)\)|(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s*)?(?:\(([^)]*)\)|([A-Za-z_$][\w$]*))\s*=>)"),
-    "go": re.compile(rf"^func\s+(?:\(\s*\w*\s*\*?([\w.]+)[^)]*\)\s*)?{_NAME}\s*(?:\[[^\]]*\])?\(([^)]*)\)"),
 }
 _JAVA_CLASS = re.compile(r"\b(?:class|interface|enum|record)\s+([A-Za-z_]\w*)")
 _JS_CLASS = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$][\w$]*)")
@@ -32,7 +31,7 @@ _RUST_IMPL = re.compile(r"^\s*(?:unsafe\s+)?impl\b(?:\s*<[^{]*?>)?\s+(?:[^{]*?\b
 _CONTROL = frozenset("if for while switch catch return new else do try throw synchronized function".split())
 #: Names of test helpers, which are no targets.
 HELPERS = frozenset("describe it test beforeEach afterEach beforeAll afterAll expect".split())
-_LANGUAGE = {".py": "python", ".rs": "rust", ".java": "java", ".go": "go", ".js": "js", ".jsx": "js", ".ts": "js", ".tsx": "js", ".mjs": "js", ".cjs": "js"}
+_LANGUAGE = {".py": "python", ".rs": "rust", ".java": "java", ".js": "js", ".jsx": "js", ".ts": "js", ".tsx": "js", ".mjs": "js", ".cjs": "js"}
 
 
 def python_spans(source: str) -> list[tuple[str, str, int, int, list[str]]] | None:
@@ -91,11 +90,13 @@ def parameters(raw: str) -> list[str]:
     return [p for p in out if p]
 
 
-def go_parameters(raw: str) -> list[str]:
-    """Names of a Go parameter list, where a type may follow several names; "arg" for each without a name."""
-    parts = [p.split() for p in raw.split(",") if p.strip()]
-    named = any(len(p) > 1 and p[0].isidentifier() and p[0] not in ("chan", "func", "map", "struct", "interface") for p in parts)
-    return [p[0] if named else "arg" for p in parts]
+_MASKED = re.compile("//[^\n]*|/\\*.*?(?:\\*/|\\Z)|\"(?:[^\"\\\\\n]|\\\\.)*\"?|`(?:[^`\\\\]|\\\\.)*`?|'(?:[^'\\\\\n]|\\\\.)*'", re.DOTALL)
+_RUST_MASKED = re.compile("//[^\n]*|/\\*.*?(?:\\*/|\\Z)|\"(?:[^\"\\\\]|\\\\.)*\"?|'(?:[^'\\\\\n]|\\\\[^\n]{1,9})'", re.DOTALL)
+
+
+def without_quoted(source: str, language: str) -> str:
+    """A text of the same lines in which strings and comments are blanks, so that their braces don't count."""
+    return (_RUST_MASKED if language == "rust" else _MASKED).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
 def brace_end(lines: list[str], at: int) -> int:
@@ -112,20 +113,21 @@ def brace_end(lines: list[str], at: int) -> int:
     return len(lines)
 
 
-def brace_spans(lines: list[str], language: str) -> list[tuple[str, str, int, int, list[str]]]:
+def brace_spans(source: str, language: str) -> list[tuple[str, str, int, int, list[str]]]:
+    lines, bare = source.split("\n"), without_quoted(source, language).split("\n")
     out: list[tuple[str, str, int, int, list[str]]] = []
     owner, owner_end = "", 0
     for i, line in enumerate(lines):
         if i + 1 > owner_end and language in ("js", "rust"):
             owner = ""
         if language == "rust" and (m := _RUST_IMPL.match(line)):
-            owner, owner_end = m[1], brace_end(lines, i)
+            owner, owner_end = m[1], brace_end(bare, i)
             continue
         if language == "java" and (m := _JAVA_CLASS.search(line)) and not line.lstrip().startswith(("*", "//")):
             owner = m[1]
             continue
         if language == "js" and (m := _JS_CLASS.match(line)):
-            owner, owner_end = m[1], brace_end(lines, i)
+            owner, owner_end = m[1], brace_end(bare, i)
             continue
         m = _DECLARATIONS[language].match(line)
         if language == "js":
@@ -139,15 +141,13 @@ def brace_spans(lines: list[str], language: str) -> list[tuple[str, str, int, in
                 continue
         elif not m:
             continue
-        elif language == "go":
-            name, raw = (f"{m[1]}.{m[2]}" if m[1] else m[2]), m[3]
         else:
             name, raw = m[1], m[2]
             if name in _CONTROL or line.split("(")[0].split()[:1] and line.split()[0] in _CONTROL:
                 continue
         owned = language in ("java", "js", "rust") and owner
-        kind = "method" if owned or (language == "go" and m[1]) else "function"
-        out.append((f"{owner}.{name}" if owned else name, kind, i + 1, brace_end(lines, i), (go_parameters if language == "go" else parameters)(raw or "")))
+        kind = "method" if owned else "function"
+        out.append((f"{owner}.{name}" if owned else name, kind, i + 1, brace_end(bare, i), parameters(raw or "")))
     return out
 
 
@@ -162,7 +162,7 @@ def spans_of(path: str, source: str | None) -> list[tuple]:
         if found is None:
             approx, found = True, python_spans_by_indent(source.split("\n"))
     else:
-        found = brace_spans(source.split("\n"), language)
+        found = brace_spans(source, language)
     return [(path, i, *s, approx) for i, s in enumerate(sorted(found, key=lambda s: s[2]))]
 
 
@@ -175,37 +175,3 @@ def source_spans(files: DataFrame, path: str = "file", source: str = "source") -
             yield pd.DataFrame([s for p, t in zip(part["file"], part["source"]) for s in spans_of(p, t)], columns=columns)
 
     return files.selectExpr(f"`{path}` as file", f"`{source}` as source").mapInPandas(run, SCHEMA)
-
-
-_GO_BRANCH = re.compile(r"^\s*(?:\}\s*else\s+)?(if|switch|select)\b\s*(.*?)\s*\{\s*(?://.*)?$")
-
-
-def go_branches_of(path: str, source: str | None) -> list[tuple]:
-    """(file, branch_pos, kind, condition, start_line, end_line) of a Go file's if, switch and select
-    statements, by a line scan; an if reaches to the end of its last else."""
-    if not source or not (path or "").endswith(".go"):
-        return []
-    lines, out = source.split("\n"), []
-    for i, line in enumerate(lines):
-        if m := _GO_BRANCH.match(line):
-            end = _closed(lines, i, line[m.start(1) :])
-            while m[1] == "if" and (more := re.match(r"\s*\}(\s*else\b.*)", lines[end - 1])):
-                end = _closed(lines, end - 1, more[1])
-            out.append((path, len(out), m[1], m[2].rsplit(";", 1)[-1].strip() if m[1] == "if" else "", i + 1, end))
-    return out
-
-
-def _closed(lines: list[str], at: int, first: str) -> int:
-    """The line (from 1) that closes the braces of a line read from some point on."""
-    return at + brace_end([first, *lines[at + 1 :]], 0)
-
-
-def go_branches(files: DataFrame, path: str = "file", source: str = "source") -> DataFrame:
-    """The branches of all Go files (path, source)."""
-    schema = "file string, branch_pos long, kind string, condition string, start_line int, end_line int"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([b for p, t in zip(part["file"], part["source"]) for b in go_branches_of(p, t)], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return files.selectExpr(f"`{path}` as file", f"`{source}` as source").where(F.endswith(F.col("file"), F.lit(".go"))).mapInPandas(run, schema)

@@ -173,11 +173,13 @@ def test_spans():
     assert [s[2:6] for s in spans.spans_of("a.ts", js)] == [("add", "function", 1, 3), ("f", "function", 4, 5), ("K.run", "method", 7, 8)]
     java = "class A {\n  public int f(int x, String y) {\n    if (x > 0) {\n    }\n  }\n}\n"
     assert [s[2:7] for s in spans.spans_of("A.java", java)] == [("A.f", "method", 2, 5, ["x", "y"])]
-    go = "func Add(a int, b int) int {\n  return a\n}\nfunc (s *Svc) Run(x string) {\n}\n"
-    assert [s[2:4] for s in spans.spans_of("a.go", go)] == [("Add", "function"), ("Svc.Run", "method")]
     rust = "pub fn f(x: i32) -> i32 {\n  x\n}\n"
     assert [s[2:7] for s in spans.spans_of("l.rs", rust)] == [("f", "function", 1, 3, ["x"])]
-    assert spans.spans_of("a.txt", "x") == [] and spans.spans_of("a.py", None) == []
+    quoted = "function a() {\n  const s = '}' + \"}\" + `}\n}` // }\n  /* } */\n  return s\n}\nfunction b() {}\n"
+    assert [s[2:6] for s in spans.spans_of("q.js", quoted)] == [("a", "function", 1, 6), ("b", "function", 7, 7)]
+    life = "fn a<'x>(s: &'x str) -> char {\n  let c = '}'; // }\n  c\n}\nfn b() {}\n"
+    assert [s[2:6] for s in spans.spans_of("q.rs", life)] == [("a", "function", 1, 4), ("b", "function", 5, 5)]
+    assert spans.spans_of("a.go", "func a() {}") == [] and spans.spans_of("a.txt", "x") == [] and spans.spans_of("a.py", None) == []
 
 
 def test_detect_framework(spark):

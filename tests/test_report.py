@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from gapfeed.functions import vocabulary as V
-from gapfeed.operators import advice, blocks, generated, report, sources
+from gapfeed.operators import advice, blocks, gaps, generated, report, sources
 from gapfeed.sources import coverage_formats as formats
-from gapfeed.sources import spans
 
 GO = "package calc\n\nfunc Add(a, b int) int {\n\tif a == 0 {\n\t\treturn b\n\t}\n\treturn a + b\n}\n"
 RUST = "pub struct Validator;\n\nimpl Validator {\n    pub fn check(&self, value: Option<i32>) -> Result<i32, String> {\n        match value {\n            Some(v) if v > 0 => Ok(v),\n            _ => Err(\"invalid\".to_string()),\n        }\n    }\n}\n"
@@ -44,14 +43,20 @@ def test_unknown_source_keeps_plain_suggestions(spark):
     assert [(t.line_range, t.target, t.gap_type, t.reason) for t in got] == [("1-5", "a.go", "", V.REASON_BLOCK), ("entire file", "a.go", "", V.REASON_LOW_FILE % (100 / 6))]
 
 
-def test_go_branches():
-    text = "func f() {\n\tif x := g(); x > 1 {\n\t\ta()\n\t} else if y {\n\t\tb()\n\t} else {\n\t\tc()\n\t}\n\tswitch v {\n\tcase 1:\n\t}\n\tselect {\n\t}\n}\n"
-    assert [b[2:] for b in spans.go_branches_of("a.go", text)] == [("if", "x > 1", 2, 8), ("if", "y", 4, 8), ("switch", "", 9, 11), ("select", "", 12, 13)]
-    assert spans.go_branches_of("a.go", None) == [] and spans.go_branches_of("a.py", text) == []
+def test_reversed_ranges(spark):
+    blocks_ = spark.createDataFrame([(1, "a", 10, 5), (2, "a", 20, 19), (3, "a", 1, 2)], "block_id int, file string, start_line int, end_line int")
+    branches = spark.createDataFrame([("a", 0, 8, 12), ("a", 1, 20, 3)], "file string, branch_pos int, start_line int, end_line int")
+    assert {r.block_id: r.branch_pos for r in gaps.branch_of_block(blocks_, branches, ["file"]).collect()} == {1: 0, 2: 1, 3: None}
+    returns = branches.select("file", "start_line", "end_line")
+    assert {r.block_id for r in gaps.blocks_with_return(blocks_, returns, ["file"]).collect()} == {1, 2}
 
 
-def test_go_parameters():
-    assert spans.go_parameters("a, b int, c ...string") == ["a", "b", "c"] and spans.go_parameters("int, *T, chan int") == ["arg"] * 3 and spans.go_parameters("") == []
+def test_go_returns_decide(spark):
+    """A block on the second line of a return is a return path, in one with `err` an error path."""
+    code = "package p\n\nfunc F(a int) (int, error) {\n\treturn a +\n\t\t1,\n\t\tnil\n}\n\nfunc G() {\n\tx := 1\n\t_ = x\n}\n\nfunc H() int {\n\treturn 1 +\n\t\t2\n}\n"
+    raw = spark.createDataFrame([("r", "mode: set\np/a.go:6.3,6.6 1 0\np/a.go:10.1,10.3 1 0\np/a.go:16.2,16.4 1 0\np/a.go:1.1,1.2 9 1\n")], "run_id string, raw string")
+    got = tasks_of(formats.go_profile(raw), spark.createDataFrame([("p/a.go", code)], "file string, source string"), "go-test")
+    assert {(t.target, t.line_range): t.gap_type for t in got if t.line_range != "entire file"} == {("F", "6-6"): "return_path", ("G", "10-10"): "statement", ("H", "16-16"): "return_path"}
 
 
 def test_texts_of_ranges(spark):
