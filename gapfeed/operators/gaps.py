@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapfeed.functions import vocabulary as V
 from gapfeed.functions.text import trim
+from gapfeed.operators.scans import SPLIT, running
 
 
 def uncovered(files: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,25 +129,34 @@ def condition(text: Column, keyword: str, default: str = V.SOME_CONDITION) -> Co
     return F.when(bare == "", default).otherwise(bare)
 
 
-def merge_adjacent(rows: DataFrame, keys: list[str]) -> DataFrame:
+def merge_adjacent(rows: DataFrame, keys: list[str], split: int = SPLIT) -> DataFrame:
     """Neighbouring and overlapping line ranges of equal keys as one.
 
     rows: keys, idx, start_line, end_line, confidence, and optionally the arrays
     uncovered_lines and suggested_inputs. A range joins the ones before it if
     it starts at most one line after their end. The row of the earliest start
     gives idx; lines are united in order, inputs in order of first sight, and
-    the highest confidence stays.
+    the highest confidence stays. A reversed range reaches to its start.
+
+    Ranges of one start are folded first; what ranges reach and the islands they form
+    are then scanned split by split, so one file with all ranges is many tasks.
     """
-    order = Window.partitionBy(*keys).orderBy("start_line", "end_line", "idx")
-    reach = F.max("end_line").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.when(reach.isNull() | (F.col("start_line") > reach + 1), 1).otherwise(0)
-    island = F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = rows.withColumn("_open", opened).withColumn("_island", island)
-    first = F.struct("start_line", "end_line", "idx")
-    aggs = [F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min_by("idx", first).alias("idx"), F.max("confidence").alias("confidence"), F.count("*").alias("members")]
+    keys_at = [*keys, "start_line"]
+    first = F.struct("end_line", "idx")
+    aggs = [F.max("end_line").alias("end_line"), F.min(first).alias("_first"), F.max("confidence").alias("confidence"), F.count("*").alias("members")]
+    if "uncovered_lines" in rows.columns:
+        aggs.append(F.array_distinct(F.flatten(F.collect_list("uncovered_lines"))).alias("uncovered_lines"))
+    if "suggested_inputs" in rows.columns:
+        ordered = F.array_sort(F.collect_list(F.struct("end_line", "idx", "suggested_inputs")))
+        aggs.append(F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["suggested_inputs"]))).alias("suggested_inputs"))
+    starts = rows.groupBy(*keys_at).agg(*aggs)
+    reached = running(starts, keys, "start_line", most={"_reach": F.greatest("start_line", "end_line")}, exclusive=True, split=split)
+    opened = F.col("_reach").isNull() | (F.col("start_line") > F.col("_reach") + 1)
+    placed = running(reached, keys, "start_line", sums={"_island": opened.cast("int")}, split=split)
+    aggs = [F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min_by("_first.idx", "start_line").alias("idx"), F.max("confidence").alias("confidence"), F.sum("members").alias("members")]
     if "uncovered_lines" in rows.columns:
         aggs.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list("uncovered_lines")))).alias("uncovered_lines"))
     if "suggested_inputs" in rows.columns:
-        ordered = F.array_sort(F.collect_list(F.struct("start_line", "end_line", "idx", "suggested_inputs")))
+        ordered = F.array_sort(F.collect_list(F.struct("start_line", "suggested_inputs")))
         aggs.append(F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["suggested_inputs"]))).alias("suggested_inputs"))
     return placed.groupBy(*keys, "_island").agg(*aggs).drop("_island")

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 SPLIT = 1 << 18
 
 
-def running(rows: DataFrame, keys: list[str], pos: str = "pos", sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, most: dict[str, Column] | None = None, split: int = SPLIT) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], pos: str = "pos", sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, most: dict[str, Column] | None = None, split: int = SPLIT, exclusive: bool = False) -> DataFrame:
     """Rows with new columns: for each of `sums` the sum up to and with the row (nulls count 0), for each of `lasts`
-    the last value that isn't null, for each of `most` the greatest value so far.
+    the last value that isn't null, for each of `most` the greatest value so far. `exclusive`: up to the row before.
 
     Values are expressions over a row. Positions are whole numbers, distinct within a key. Null keys are a key.
     """
@@ -35,6 +35,6 @@ def running(rows: DataFrame, keys: list[str], pos: str = "pos", sums: dict[str,
     scan = {**{n: F.sum for n in sums}, **{n: lambda c: F.last(c, ignorenulls=True) for n in lasts}, **{n: F.max for n in most}}
     heads = folded.select(*keys, "_split", *[f(F.col(f"_v_{n}")).over(before).alias(f"_v_{n}") for n, f in scan.items()], F.lit(0).alias("_row"))
     both = placed.withColumn("_row", F.lit(1)).unionByName(heads, allowMissingColumns=True)
-    within = Window.partitionBy(*keys, "_split").orderBy("_row", pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*keys, "_split").orderBy("_row", pos).rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     out = both.withColumns({n: f(F.col(f"_v_{n}")).over(within) for n, f in scan.items()})
     return out.where("_row = 1").select(*columns, *scan)
