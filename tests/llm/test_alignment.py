@@ -63,7 +63,8 @@ def test_align_equals_shared_ends():
         a = sorted(rng.sample(range(1, n + 1), rng.randint(0, n - 1))) if n > 1 else []
         b = sorted(x for x in range(1, n + 1) if (x in a) != (rng.random() < 0.1))
         a, b = sorted({*a, n}), sorted({*b, n})
-        stretches, x, y, last_x, last_y = T.align(a, b)
+        flat, x, y, last_x, last_y = T.align(a, b)
+        stretches = list(zip(flat[::3], flat[1::3], flat[2::3]))
         assert all(a[i : i + k] == b[j : j + k] and k for i, j, k in stretches)
         straight = [(i + d, j + d) for i, j, k in stretches for d in range(k)]
         assert [a[i] for i in last_x] == [b[j] for j in last_y]
