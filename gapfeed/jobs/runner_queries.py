@@ -9,7 +9,7 @@ from gapfeed.jobs import adapters as A
 from gapfeed.jobs.registry import query
 from gapfeed.shipping import scratch_path
 from gapfeed.sources import coverage_formats as formats
-from gapfeed.sources import reports, results
+from gapfeed.sources import reports, results, scopes
 
 #: The dialect of a run is its number modulo 8.
 _FRAMEWORKS = ("go-test", "go-json", "pytest", "jest", "mocha", "node-test", "cargo-test", "junit")
@@ -96,3 +96,25 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     head.unionByName(t.select(line.alias("line"))).write.text(path)
     lines = reports.lines_of_files(spark, path, split_bytes=64 << 10)
     return formats.go_profile_lines(lines).select("file", "start_line", "end_line", "statements", "count", "covered")
+
+
+#: Files that no parser takes, by a part's key.
+_PYTHON = ("class A:", "    class B(Base):", "        def inner{k}(self, a):", "            return a", "", "    def outer(self, b, c: int):", "        # note", "        return b", "# closes A", "    def loose(d):", "        return d", "def top(e):")
+_SCRIPT = ("class K {", "  const go{k} = (a) => {", '    return "}"', "  }", "}", "function free(b) { return {} }", "class L {}", "  const late = x => {", "  }", "function same() {", "}")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, CAST(p_size % 5 AS INTEGER) AS n FROM part),
+s AS (SELECT k, n, unnest([{'i': 0, 'm': 'B.inner', 'q': true, 'a': 3, 'e': 4, 'p': 'a'}, {'i': 1, 'm': 'A.outer', 'q': false, 'a': 6, 'e': 8, 'p': 'b,c'}, {'i': 2, 'm': 'loose', 'q': false, 'a': 10, 'e': 11, 'p': 'd'}, {'i': 3, 'm': 'top', 'q': false, 'a': 12, 'e': 12, 'p': 'e'}]) AS x FROM p),
+j AS (SELECT k, unnest([{'i': 0, 'm': 'K.go', 'q': true, 'a': 2, 'e': 4, 'p': 'a'}, {'i': 1, 'm': 'free', 'q': false, 'a': 6, 'e': 6, 'p': 'b'}, {'i': 2, 'm': 'L.late', 'q': false, 'a': 8, 'e': 9, 'p': 'x'}, {'i': 3, 'm': 'same', 'q': false, 'a': 10, 'e': 11, 'p': ''}]) AS x FROM p)
+SELECT 'pkg/m' || k || '.py' AS file, x.i AS span_pos, x.m || CASE WHEN x.q THEN CAST(k AS VARCHAR) ELSE '' END AS name, CASE WHEN contains(x.m, '.') THEN 'method' ELSE 'function' END AS kind, x.a AS start_line, CAST(CASE WHEN x.i = 3 THEN 12 + n ELSE x.e END AS INTEGER) AS end_line, x.p AS params FROM s
+UNION ALL SELECT 'web/m' || k || '.js', x.i, x.m || CASE WHEN x.q THEN CAST(k AS VARCHAR) ELSE '' END, CASE WHEN contains(x.m, '.') THEN 'method' ELSE 'function' END, x.a, x.e, x.p FROM j""")
+def indent_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as Python files that don't parse and as scripts, both read by indentation."""
+    from gapfeed.sources.spans import source_spans
+
+    t = A.table(spark, sf_dir, "part")
+    code = lambda lines: F.replace(F.lit("\n".join(lines)), F.lit("{k}"), F.col("p_partkey").cast("string"))
+    python = F.concat(code(_PYTHON), F.repeat(F.lit("\n    e"), (F.col("p_size") % 5).cast("int")), F.lit("\nx = ("))
+    read = source_spans(t.select(F.concat(F.lit("pkg/m"), "p_partkey", F.lit(".py")).alias("file"), python.alias("source")))
+    scripts = scopes.script_scopes(t.select(F.concat(F.lit("web/m"), "p_partkey", F.lit(".js")).alias("file"), code(_SCRIPT).alias("source")))
+    return read.unionByName(scripts).select("file", "span_pos", "name", "kind", "start_line", "end_line", F.array_join("params", ",").alias("params"))

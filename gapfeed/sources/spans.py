@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from gapfeed.shipping import materialize
 
 SCHEMA = "file string, span_pos int, name string, kind string, start_line int, end_line int, params array<string>, approx boolean"
 
@@ -57,29 +58,6 @@ def python_spans(source: str) -> list[tuple[str, str, int, int, list[str]]] | No
     return out
 
 
-def python_spans_by_indent(lines: list[str]) -> list[tuple[str, str, int, int, list[str]]]:
-    """The same for files that don't parse: a span ends before the next line that isn't deeper."""
-    out, owners = [], []
-    for i, line in enumerate(lines):
-        depth = len(line) - len(line.lstrip())
-        if line.strip():
-            while owners and depth <= owners[-1][1]:
-                owners.pop()
-        if m := re.match(r"\s*class\s+(\w+)", line):
-            owners.append((m[1], depth))
-        elif m := re.match(r"\s*(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)?", line):
-            if m[1].startswith("__") and m[1].endswith("__"):
-                continue
-            end = i
-            for j in range(i + 1, len(lines)):
-                if lines[j].strip():
-                    if len(lines[j]) - len(lines[j].lstrip()) <= depth:
-                        break
-                    end = j
-            out.append((f"{owners[-1][0]}.{m[1]}" if owners else m[1], "method" if owners else "function", i + 1, end + 1, [p for p in parameters(m[2]) if p not in ("self", "cls")]))
-    return out
-
-
 def parameters(raw: str) -> list[str]:
     """Names of a parameter list."""
     out = []
@@ -152,7 +130,8 @@ def brace_spans(source: str, language: str) -> list[tuple[str, str, int, int, li
 
 
 def spans_of(path: str, source: str | None) -> list[tuple]:
-    """The spans of one file in document order; none for unknown kinds of files."""
+    """The spans of one file in document order; none for unknown kinds of files, one of number -1 for a
+    Python file that doesn't parse."""
     language = _LANGUAGE.get("." + path.rsplit(".", 1)[-1].lower()) if path and "." in path else None
     if language is None or not source:
         return []
@@ -160,18 +139,22 @@ def spans_of(path: str, source: str | None) -> list[tuple]:
     if language == "python":
         found = python_spans(source)
         if found is None:
-            approx, found = True, python_spans_by_indent(source.split("\n"))
+            return [(path, -1, None, None, None, None, None, True)]
     else:
         found = brace_spans(source, language)
     return [(path, i, *s, approx) for i, s in enumerate(sorted(found, key=lambda s: s[2]))]
 
 
 def source_spans(files: DataFrame, path: str = "file", source: str = "source") -> DataFrame:
-    """Spans of all files (path, source)."""
+    """Spans of all files (path, source). Python files that don't parse are read by indentation."""
+    from gapfeed.sources.scopes import python_scopes
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in SCHEMA.split(", ")]
         for part in parts:
             yield pd.DataFrame([s for p, t in zip(part["file"], part["source"]) for s in spans_of(p, t)], columns=columns)
 
-    return files.selectExpr(f"`{path}` as file", f"`{source}` as source").mapInPandas(run, SCHEMA)
+    files = files.selectExpr(f"`{path}` as file", f"`{source}` as source")
+    read = materialize(files.mapInPandas(run, SCHEMA), "source-spans")
+    rest = files.join(read.where("span_pos < 0").select("file").distinct(), "file", "left_semi")
+    return read.where("span_pos >= 0").unionByName(python_scopes(rest))

@@ -168,7 +168,7 @@ def test_ranges_and_names(spark):
 def test_spans():
     py = "def a(x, *ys, **kw):\n    return 1\n\nclass C:\n    @property\n    def m(self, y):\n        pass\n    def __init__(self): pass\n"
     assert [s[2:7] for s in spans.spans_of("a.py", py)] == [("a", "function", 1, 2, ["x", "ys", "kw"]), ("C.m", "method", 6, 7, ["y"])]
-    assert [s[2] for s in spans.spans_of("a.py", "def a(x):\n  return (\nclass B:\n  def c(self, z):\n    pass")] == ["a", "B.c"]
+    assert [s[1:3] for s in spans.spans_of("a.py", "def a(x):\n  return (")] == [(-1, None)]
     js = "export function add(a, b) {\n  return a\n}\nconst f = (x) => {\n}\nclass K {\n  run(q) {\n  }\n}\ndescribe('x', () => {})\n"
     assert [s[2:6] for s in spans.spans_of("a.ts", js)] == [("add", "function", 1, 3), ("f", "function", 4, 5), ("K.run", "method", 7, 8)]
     java = "class A {\n  public int f(int x, String y) {\n    if (x > 0) {\n    }\n  }\n}\n"
@@ -182,6 +182,12 @@ def test_spans():
     assert spans.spans_of("a.go", "func a() {}") == [] and spans.spans_of("a.txt", "x") == [] and spans.spans_of("a.py", None) == []
 
 
+def test_python_that_does_not_parse(spark):
+    files = spark.createDataFrame([("a.py", "def a(x):\n  return (\nclass B:\n  def c(self, z):\n    pass"), ("b.py", "def ok(): pass")], "file string, source string")
+    got = spans.source_spans(files).orderBy("file", "span_pos").collect()
+    assert [(s.file, s.span_pos, s.name, s.approx) for s in got] == [("a.py", 0, "a", True), ("a.py", 1, "B.c", True), ("b.py", 0, "ok", False)]
+
+
 def test_detect_framework(spark):
     paths = spark.createDataFrame([("p/src/a.ts",), ("q/x/y.md",), ("a.go",), ("z/b.txt",)], "path string")
     files = spark.createDataFrame([("p", "package.json", '{"devDependencies": {"mocha": "1"}}'), ("q", "pyproject.toml", "# pytest\n[tool.pytest.ini_options]"), ("q", "pom.xml", "")], "folder string, name string, content string")
