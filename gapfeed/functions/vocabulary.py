@@ -191,3 +191,37 @@ NEXT_STEPS = {
         "inspect-release-smoke-summary",
     ),
 }
+
+# Reasons of validation metadata. {target} is the task's trimmed target, or what stands for an empty one.
+REASON_UNREACHABLE = "{target} appears unreachable through the generated public test path; review the coverage report or source branch manually"
+REASON_INIT = "Go init functions cannot be called directly from tests; review package initialization side effects manually"
+REASON_REMOTE_IP = 'branch "partIndex < 0" appears unreachable because partIndex is derived from a non-empty X-Forwarded-For parts slice'
+REASON_ENVIRONMENT = "{target} depends on OS/runtime environment state; use injection or an integration environment instead of treating the generated skip as directly ready"
+REASON_ENVIRONMENT_OF = {
+    "InitDisk": 'InitDisk error branch depends on disk.Usage("/") returning an OS/runtime error; static tests cannot force it without dependency injection',
+    "InitCPU": "InitCPU error branch depends on gopsutil cpu.Counts or cpu.Percent returning an OS/runtime error; static tests cannot force it without dependency injection",
+    "InitRAM": "InitRAM error branch depends on mem.VirtualMemory returning an OS/runtime error; static tests cannot force it without dependency injection",
+}
+REASON_PROTOCOL = "{target} protocol error branch depends on socket write or streaming I/O failure; generate a deterministic fake connection or review manually instead of relying on connection timing"
+REASON_DATABASE = "{target} depends on database transaction/session behavior; use a deterministic test database, injected repository/session, or integration fixture instead of treating the generated skip as directly ready"
+REASON_REPOSITORY = "{target} database branch depends on GORM DB behavior; generate a deterministic test database or inject a fake repository/DB instead of adding third-party test dependencies implicitly"
+REASON_EXTERNAL = "{target} depends on a live RPC/external service, route state, or long retry timing; validate it with injected fake clients/route data or an integration environment instead of treating the generated unit test as directly repairable"
+REASON_PRIVATE = "{target} is a JavaScript private method; cover it through a public entry point or review manually instead of calling it directly"
+REASON_PRIVATE_FAILED = "{target} is a JavaScript private method; generate a public-entry test or review manually instead of calling it directly"
+REASON_INTERNAL_JAVA = "{target} is private/internal Java code; cover it through a visible public or package entry point, add a test seam, or review manually"
+REASON_INTERNAL_PYTHON = "{target} is private/internal Python code; cover it through a public method, add a test seam, or review manually"
+REASON_INTERNAL_SCRIPT = "{target} is not exported from this JavaScript module; cover it through an exported API, add a test seam, or review manually"
+REASON_NO_RUNTIME = "{target} has no runtime JavaScript statements to execute; cover behavior through runtime consumers or type-checking instead of generating a unit test for the type-only module"
+REASON_MISSED = "{target} did not cover target line range {range}; generate stronger inputs or cover the target through a better public entry point"
+HIT_FRAMEWORKS = ("go-test", "cargo-test", "jest", "vitest", "mocha", "node-test", "pytest", "junit")
+#: Each override with its keys of metadata: what is set, and why.
+REVIEW_KEYS = {
+    "unreachable": ("unreachable", "unreachable_reason"),
+    "environment": ("environment_dependent", "environment_reason"),
+    "protocol": ("protocol_dependent", "protocol_reason"),
+    "database": ("database_dependent", "database_reason"),
+    "external_service": ("external_service_dependent", "external_service_reason"),
+    "private": ("private_method", "private_reason"),
+    "internal": ("internal_symbol", "internal_reason"),
+    "no_runtime": ("no_runtime", "no_runtime_reason"),
+}

@@ -157,3 +157,68 @@ def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     modules = t.select(F.concat(F.lit("src/lib/m"), n, F.when(inner, "/index.ts").otherwise(".ts")).alias("file"), F.when(n % 4 == 0, "export class S {}").otherwise(passed).alias("source"))
     users = t.select(F.concat(F.lit("src/u"), n, F.lit(".ts")).alias("file"), F.concat(F.lit("import { S as L } from './x/../lib/m"), n, F.lit("'")).alias("source"))
     return imports.resolve_imports(modules.unionByName(users)).select("file", "local", "target", "symbol")
+
+
+#: What a validated task looks like, by the order's key modulo 16: target, preview, hints, file, framework, whether it passed, skipped, output.
+_TASKS = (
+    ("F{k}", "manual_review_unreachable: x", "", "a.go", "go-test", True, 1, ""),
+    ("init", V.SKIP_INIT, "", "a.go", "go-test", True, 1, ""),
+    (V.UNREACHABLE_TARGET, V.SKIP_TODO, "x " + V.UNREACHABLE_HINT, "a.go", "go-test", True, 1, ""),
+    (" ", "manual_review_environment: disk", "", "a.py", "pytest", True, 1, ""),
+    ("InitCPU", V.SKIP_TODO, "err != nil", "a.go", "go-test", True, 1, ""),
+    ("SendControl", V.SKIP_TODO, "err != nil", "a.go", "go-test", True, 2, ""),
+    ("UserRepo.Save{k}", V.SKIP_TODO, "gorm", "a.go", "go-test", True, 1, ""),
+    (" F{k} ", "manual_review_database: x", "", "a.py", "pytest", True, 1, ""),
+    ("Producer.Send", "", "", "a.go", "go-test", False, 0, "dial: connection refused"),
+    ("A.#x{k}", "manual_review_private: y\n// public_entry_candidates: run, go ,", "", "a.js", "jest", True, 0, ""),
+    ("A.#x", "instance.#x", "", "a.js", "jest", False, 0, "Private field '#x'"),
+    ("F{k}", "manual_review_internal: x", "", "a.kt", "JUnit", True, 0, ""),
+    ("F{k}", "manual_review_internal: x", "", "a.PY", "", True, 0, ""),
+    ("", "manual_review_internal: x", "", "a.ts", "vitest", True, 0, ""),
+    ("", "manual_review_no_runtime: types", "", "a.ts", "vitest", True, 0, ""),
+    (" F{k} ", "", "", "a.go", " Go-Test ", True, 0, ""),
+)
+#: Kind and reason of each of them; the last has none of its own.
+_REVIEWS = (
+    ("unreachable", V.REASON_UNREACHABLE, "F{k}"), ("unreachable", V.REASON_INIT, ""), ("unreachable", V.REASON_REMOTE_IP, ""), ("environment", V.REASON_ENVIRONMENT, "coverage task"), ("environment", V.REASON_ENVIRONMENT_OF["InitCPU"], ""),
+    ("protocol", V.REASON_PROTOCOL, "SendControl"), ("database", V.REASON_REPOSITORY, "UserRepo.Save{k}"), ("database", V.REASON_DATABASE, "F{k}"), ("external_service", V.REASON_EXTERNAL, "Producer.Send"), ("private", V.REASON_PRIVATE, "A.#x{k}"),
+    ("private", V.REASON_PRIVATE_FAILED, "A.#x"), ("internal", V.REASON_INTERNAL_JAVA, "F{k}"), ("internal", V.REASON_INTERNAL_PYTHON, "F{k}"), ("internal", V.REASON_INTERNAL_SCRIPT, "target"), ("no_runtime", V.REASON_NO_RUNTIME, "file"),
+)
+
+
+def _metadata_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = "[" + ", ".join(quoted(k) for k, _, _ in _REVIEWS) + ", NULL]"
+    texts = "[" + ", ".join(quoted(t.replace("{target}", n)) for _, t, n in _REVIEWS) + ", NULL]"
+    frameworks = "[" + ", ".join(quoted(t[4].strip().lower()) for t in _TASKS) + "]"
+    each = ", ".join(f"CASE WHEN kind = '{k}' THEN why END AS {reason}" for k, (_, reason) in V.REVIEW_KEYS.items())
+    missed = quoted(V.REASON_MISSED.replace("{target}", "F{k}").replace("{range}", "5-7"))
+    return f"""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey % 16 AS INTEGER) + 1 AS i, o_custkey % 3 AS c FROM orders),
+r AS (SELECT k, i, c, {kinds}[i] AS kind, replace({texts}[i], '{{k}}', CAST(k AS VARCHAR)) AS why, {frameworks}[i] AS framework, CASE WHEN i = 16 AND c > 0 THEN c = 1 END AS hit FROM o),
+m AS (SELECT *, CASE WHEN NOT hit THEN replace({missed}, '{{k}}', CAST(k AS VARCHAR)) END AS missed FROM r)
+SELECT k AS o_orderkey, CASE WHEN kind IS NOT NULL THEN 'manual_review_' || kind WHEN NOT hit THEN 'needs_better_input' ELSE 'ready' END AS action, CASE WHEN i IN (9, 11) OR NOT coalesce(hit, true) THEN 'failed' ELSE 'passed' END AS status,
+  framework, CASE WHEN c = 0 THEN framework <> '' END AS hit_supported, hit AS target_hit, CASE WHEN hit THEN '5,6,7' WHEN NOT hit THEN '5,6,7' END AS target_lines, missed AS coverage_miss_reason, {each},
+  CASE WHEN i = 10 THEN 'run;go' END AS candidates, CASE WHEN kind IS NOT NULL THEN 'manual_review' WHEN NOT hit THEN 'coverage_target_miss' END AS next_action_kind, coalesce(why, missed) AS next_action_reason,
+  missed AS needs_better_input_reason, kind AS manual_review_kind, why AS manual_review_reason FROM m"""
+
+
+@query(_metadata_sql())
+def validation_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as validated tasks of sixteen kinds, with all keys of their metadata."""
+    from gapfeed.operators import metadata, validation
+
+    key, c = F.col("o_orderkey"), F.col("o_custkey") % 3
+    of = lambda n: F.replace(F.element_at(F.array(*[F.lit(t[n]) for t in _TASKS]), (key % 16 + 1).cast("int")), F.lit("{k}"), key.cast("string"))
+    number = lambda n: F.element_at(F.array(*[F.lit(t[n]) for t in _TASKS]), (key % 16 + 1).cast("int"))
+    t = A.table(spark, sf_dir, "orders").select(
+        "o_orderkey", of(0).alias("target"), of(1).alias("preview"), of(2).alias("hints"), of(3).alias("file"), of(4).alias("framework"), F.when(number(5), "pass").otherwise("fail").alias("status"), number(6).alias("skipped"), of(7).alias("raw_output"),
+        F.lit("").alias("errors"), F.lit(" 5-7").alias("line_range"), (c == 0).alias("coverage_requested"), F.lit("a_test").alias("test_file"), F.when((key % 16 == 15) & (c > 0), "cov.out").alias("coverage_report"),
+        F.when(c == 1, F.array(F.lit(5), F.lit(6), F.lit(7))).otherwise(F.array(F.lit(5))).alias("hit_lines"), F.when(c == 2, F.array(F.lit(6), F.lit(7))).alias("missed_lines"),
+    )
+    t = t.withColumns({"run_status": validation.base_status(F.col("status")), "action": validation.base_action(F.col("status"), F.lit(""), F.lit(1), F.lit(0))})
+    m = metadata.annotated(t)
+    names = ["coverage_miss_reason", *[r for _, r in V.REVIEW_KEYS.values()], "next_action_kind", "next_action_reason", "needs_better_input_reason", "manual_review_kind", "manual_review_reason"]
+    return m.select(
+        "o_orderkey", "action", "status", "metadata.framework", F.col("metadata.coverage_target_hit_supported").alias("hit_supported"), F.col("metadata.coverage_target_hit").alias("target_hit"),
+        F.array_join("metadata.coverage_target_lines", ",").alias("target_lines"), F.array_join("metadata.public_entry_candidates", ";").alias("candidates"), *[f"metadata.{n}" for n in names],
+    )
