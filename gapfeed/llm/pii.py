@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapfeed.llm._common import materialize, text_chunks
+from gapfeed.llm._common import materialize, ship, text_chunks
 
 #: Base kinds in the contract's order, then those the method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -205,7 +206,7 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
         if valid:
             base.append((kind, a, b))
         found.append((kind, a, b, valid))
-    covered = sorted((a, b) for _, a, b in base)
+    covered = _union(base)
     seen = {(k, a, b) for k, a, b, _ in found}
     for kind, a, b in loose_matches(text):
         if (kind, a, b) not in seen and any(kind != "secret" or y - x >= 6 for x, y in _added(kind, a, b, covered)):
@@ -214,20 +215,30 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
     return base, found
 
 
-def _overlaps(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(x < b and a < y for x, y in spans)
+def _union(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what spans cover, in order and apart."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
-def _added(kind: str, a: int, b: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """What of a candidate is added to the base spans (in order): all of it if it overlaps none; of a secret the parts beside them."""
+def _added(kind: str, a: int, b: int, covered: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+    """What of a candidate is added to the base spans: all of it if it overlaps none; of a secret the parts beside them."""
+    starts, ends = covered
+    i = bisect_right(ends, a)  # the first that ends behind a
     if kind != "secret":
-        return [] if _overlaps(covered, a, b) else [(a, b)]
+        return [] if i < len(starts) and starts[i] < b else [(a, b)]
     out = []
-    for x, y in covered:
-        if x < b and a < y:
-            if a < x:
-                out.append((a, x))
-            a = max(a, y)
+    while i < len(starts) and starts[i] < b:
+        if a < starts[i]:
+            out.append((a, starts[i]))
+        a = max(a, ends[i])
+        i += 1
     return out + [(a, b)] if a < b else out
 
 
@@ -247,7 +258,7 @@ class SpanModel:
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """Base spans, and those of the method besides (none overlaps a base span)."""
         base, found = candidates(text)
-        covered = sorted((a, b) for _, a, b in base)
+        covered = _union(base)
         more = [(k, x, y) for k, a, b, valid in found if not valid and self.weights.any() and (parts := _added(k, a, b, covered)) and self.probability(k, text, a, b) >= self.threshold for x, y in parts]
         return base, more
 
@@ -295,6 +306,7 @@ _FOUND = "key long, n_email long, n_ip long, n_card long, n_phone long, base_sha
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: base counts and spans, and its candidates with votes and features."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,7 +367,7 @@ def detect(docs: DataFrame, fit_spans: int = 20_000, id_col: str = "doc_id", tex
             said, added = [], []
             for base, kinds, starts, ends, valid, feats in zip(*(batch.column(i).to_pylist() for i in (6, 7, 8, 9, 10, 12))):
                 spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
-                covered = sorted((a, b) for _, a, b in spans)
+                covered = _union(spans)
                 more = []
                 if any(v != 1 for v in valid) and model.weights.any():
                     p = 1 / (1 + np.exp(-np.clip(np.array(feats) @ model.weights[:-1] + model.weights[-1], -50, 50)))

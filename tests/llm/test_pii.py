@@ -1,7 +1,9 @@
 """Personal data: base patterns against plain regular expressions, the models on planted spans."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -110,3 +112,27 @@ def test_masked_overlaps():
 
 def test_empty(empty):
     assert pii.detect(empty).count() == 0 and pii.mask(empty).count() == 0
+
+
+def test_added_parts_equal_a_scan_of_all_spans():
+    rng = random.Random(12)
+    for _ in range(500):
+        spans = [("email", a, a + rng.randint(1, 6)) for a in rng.choices(range(60), k=rng.randint(0, 8))]
+        a = rng.randrange(60)
+        b = a + rng.randint(1, 25)
+        free = [i for i in range(a, b) if not any(x <= i < y for _, x, y in spans)]
+        parts = [(i, next(j for j in range(i + 1, b + 1) if j not in free)) for i in free if i - 1 not in free]
+        covered = pii._union(spans)
+        assert pii._added("secret", a, b, covered) == parts
+        assert pii._added("phone", a, b, covered) == ([(a, b)] if len(free) == b - a else [])
+
+
+def test_many_spans_take_linear_time():
+    def seconds(n):
+        text = " ".join(f"mail{i}@example.com call 0{i % 900 + 100} 555 01{i % 90 + 10}" for i in range(n))
+        began = time.process_time()
+        pii.candidates(text)
+        return time.process_time() - began
+
+    seconds(200)
+    assert seconds(8000) < 8 * max(seconds(2000), 0.02)
