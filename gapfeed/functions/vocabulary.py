@@ -225,3 +225,17 @@ REVIEW_KEYS = {
     "internal": ("internal_symbol", "internal_reason"),
     "no_runtime": ("no_runtime", "no_runtime_reason"),
 }
+
+# Patterns of import, export and type lines.
+NAMED_IMPORT = r"(?m)import\s+(?:type\s+)?\{([^}]*)\}\s+from\s+['\"]([^'\"]+)['\"]"
+EXPORT_FROM = r"(?m)export\s+(?:type\s+)?\{([^}]*)\}\s+from\s+['\"]([^'\"]+)['\"]"
+EXPORT_ALL = r"(?m)export\s+(?:type\s+)?\*\s+from\s+['\"]([^'\"]+)['\"]"
+EXPORT_LIST = r"(?m)export\s+(?:type\s+)?\{([^}]*)\}\s*(?:;|$)"
+EXPORTED_TYPE = r"(?m)export\s+(?:abstract\s+)?(?:class|interface|type|enum)\s+([A-Za-z_$][A-Za-z0-9_$]*)[\s<={]"
+SCRIPT_IMPORT_LINE = r"(?md)^\s*import\s+[^;\n]+;?"
+SCRIPT_REQUIRE_LINE = r"(?md)^\s*(?:const|let|var)\s+[^=\n]+\s*=\s*require\([^)]+\)\s*;?"
+SCRIPT_TYPE_LINE = r"(?md)^\s*(?:export\s+)?(?:class|interface|type|enum)\s+([A-Za-z_$][\w$]*)"
+PYTHON_IMPORT_LINE = r"(?md)^\s*(?:from\s+\S+\s+import\s+.+|import\s+.+)$"
+PYTHON_TYPE_LINE = r"(?md)^\s*class\s+([A-Za-z_]\w*)"
+#: Languages by the end of a path.
+LANGUAGES = {".go": "go", ".rs": "rust", ".java": "java", ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript"}

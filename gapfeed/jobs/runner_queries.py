@@ -118,3 +118,26 @@ def indent_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = source_spans(t.select(F.concat(F.lit("pkg/m"), "p_partkey", F.lit(".py")).alias("file"), python.alias("source")))
     scripts = scopes.script_scopes(t.select(F.concat(F.lit("web/m"), "p_partkey", F.lit(".js")).alias("file"), code(_SCRIPT).alias("source")))
     return read.unionByName(scripts).select("file", "span_pos", "name", "kind", "start_line", "end_line", F.array_join("params", ",").alias("params"))
+
+
+#: Sources of four languages, by a part's key.
+_FACTS = (
+    ("py", "import os\nfrom q.m{k} import C{k}, other as o\nimport os\n\nclass C{k}(Base):\n    import inner\n    class D:\n        pass\n"),
+    ("ts", "import { A } from './a{k}';\nconst x = require('y');\nimport B from 'b'\nexport class K{k} {}\n interface I {\ntype T = 1\nexport class K{k} {}\n"),
+    ("go", 'package p\n\nimport (\n\t"fmt" // x\n\tm "a/b{k}"\n)\nimport "os"\n\nfunc f() {}\n'),
+    ("java", "import java.util.List;\nclass J{k} {}\n"),
+)
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, CAST(p_partkey % 4 AS INTEGER) + 1 AS i FROM part)
+SELECT 'f' || k || ['.py','.ts','.go','.java'][i] AS file, ['python','typescript','go','java'][i] AS language,
+replace(['import os|from q.m{k} import C{k}, other as o|import inner', 'import { A } from ''./a{k}''|import B from ''b''|const x = require(''y'')', '"fmt"|"a/b{k}"|"os"', ''][i], '{k}', CAST(k AS VARCHAR)) AS imports,
+replace(['C{k}|D', 'K{k}|I|T', '', ''][i], '{k}', CAST(k AS VARCHAR)) AS types FROM p""")
+def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as source files of four languages."""
+    from gapfeed.operators import facts
+
+    k = F.col("p_partkey")
+    of = lambda n: F.element_at(F.array(*[F.lit(x[n]) for x in _FACTS]), (k % 4 + 1).cast("int"))
+    files = A.table(spark, sf_dir, "part").select(F.concat(F.lit("f"), k, F.lit("."), of(0)).alias("file"), F.replace(of(1), F.lit("{k}"), k.cast("string")).alias("source"))
+    return facts.source_facts(files).select("file", "language", F.array_join("imports", "|").alias("imports"), F.array_join("types", "|").alias("types"))
