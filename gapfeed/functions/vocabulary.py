@@ -239,3 +239,43 @@ PYTHON_IMPORT_LINE = r"(?md)^\s*(?:from\s+\S+\s+import\s+.+|import\s+.+)$"
 PYTHON_TYPE_LINE = r"(?md)^\s*class\s+([A-Za-z_]\w*)"
 #: Languages by the end of a path.
 LANGUAGES = {".go": "go", ".rs": "rust", ".java": "java", ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript"}
+
+# What documents must hold, field by field: "text" is a text that isn't empty, "any" anything, "none" an
+# empty list, "decisions" the decisions below, "in:" a text that holds what follows, "below:f/p" path p below field f; others are the value itself as JSON.
+DECISIONS = ("accept", "accept", "accept", "manual-review", "manual-review", "manual-review", "apply-repair", "needs-better-input")
+DOCUMENTS = {
+    "client-adopter-summary": {
+        "schema_version": "1", "status": '"passed"', "repo_dir": "text", "readme_path": "text", "package_dir": "text", "result_json": "text", "response_json": "text", "response_validation_json": "text", "consumer_json": "text",
+        "fixture_count": "8", "agent_next_step": '"ready"', "should_accept": "true", "npm_exit_code": "0", "failures": "none",
+    },
+    "client-ci-install-summary": {
+        "schema_version": "1", "status": '"passed"', "installer_path": "text", "installer_url": "in:/scripts/install-agent-decision-client-ci-template.sh", "client_dir": "text", "workflow_path": "text", "helper_dir": "text", "helper_ref": "text",
+        "summary_json": "text", "response_json": "text", "response_validation_json": "text", "fixture_count": "8", "decisions": "decisions", "failures": "none", "contract_exit_code": "0", "validator_exit_code": "0", "response_validator_exit_code": "0",
+    },
+    "client-ci-summary": {
+        "schema_version": "1", "status": '"passed"', "client_dir": "text", "fixture_dir": "text", "result_json": "text below:client_dir/agent-decision-fixtures-result.json", "result_schema": "text below:fixture_dir/docs/fixtures/agent-decision-fixtures-result.schema.json",
+        "fixture_count": "8", "decisions": "decisions", "failures": "none", "validator_exit_code": "0",
+    },
+    "client-ci-response": {
+        "schema_version": "1", "status": '"passed"', "agent_next_step": '"ready"', "summary_json": "text", "evidence": "any", "failures": "none", "evidence.client_dir": "text", "evidence.fixture_dir": "text", "evidence.result_json": "text",
+        "evidence.result_schema": "text", "evidence.fixture_count": "8", "evidence.decisions": "decisions", "evidence.validator_exit_code": "0",
+    },
+    "client-consumer-response": {
+        "schema_version": "1", "status": '"passed"', "agent_next_step": '"ready"', "summary_json": "text", "evidence": "any", "failures": "none", "evidence.helper_ref": '"v0.5.21"', "evidence.fixture_count": "8", "evidence.decisions": "decisions",
+        "evidence.result_json": "text", "evidence.client_summary_json": "text", "evidence.client_summary_validator_json": "text", "evidence.client_response_json": "text", "evidence.client_response_validator_json": "text", "evidence.workflow_path": "text",
+        "evidence.install_summary_validator_exit_code": "0", "evidence.client_summary_validator_exit_code": "0", "evidence.client_response_validator_exit_code": "0", "evidence.fixture_validator_exit_code": "0", "evidence.npm_validator_exit_code": "0",
+    },
+    "client-consumer-smoke-summary": {
+        "schema_version": "1", "status": '"passed"', "client_dir": "text", "workflow_path": "text", "helper_ref": '"v0.5.21"', "install_summary_json": "text", "install_summary_validator_json": "text", "client_summary_json": "text",
+        "client_summary_validator_json": "text", "client_response_json": "text", "client_response_validator_json": "text", "fixture_dir": "text", "fixture_validation_json": "text", "result_json": "text", "agent_response_json": "text", "fixture_count": "8",
+        "decisions": "decisions", "failures": "none", "install_summary_validator_exit_code": "0", "client_summary_validator_exit_code": "0", "client_response_validator_exit_code": "0", "fixture_validator_exit_code": "0", "npm_validator_exit_code": "0",
+    },
+    "release-response-install-summary": {
+        "schema_version": "1", "status": '"written"', "client_dir": "text", "workflow_path": "text", "package_dir": "text", "release_summary_json": "text", "agent_response_json": "text", "release_ref": "text", "fixture_count": "8",
+        "decisions": "decisions", "agent_next_step": '"ready"', "npm_exit_code": "0", "failures": "none",
+    },
+    "release-response-adopter-summary": {
+        "schema_version": "1", "status": '"passed"', "repo_dir": "text", "artifact_dir": "text", "readme_path": "text", "workflow_path": "text", "package_dir": "text", "install_summary_json": "text", "agent_response_json": "text", "consumer_json": "text",
+        "summary_consumer_json": "text", "release_ref": 'text "v0.5.21"', "fixture_count": "8", "agent_next_step": '"ready"', "should_accept": "true", "npm_exit_code": "0", "failures": "none",
+    },
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,3 +224,40 @@ def validation_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "action", "status", "metadata.framework", F.col("metadata.coverage_target_hit_supported").alias("hit_supported"), F.col("metadata.coverage_target_hit").alias("target_hit"),
         F.array_join("metadata.coverage_target_lines", ",").alias("target_lines"), F.array_join("metadata.public_entry_candidates", ";").alias("candidates"), *[f"metadata.{n}" for n in names],
     )
+
+
+def _valid_document(kind: str) -> dict:
+    """A document of a kind that breaks no rule."""
+    plain = {"text": "x/y", "any": {}, "none": [], "decisions": list(V.DECISIONS)}
+    doc: dict = {}
+    for path, check in V.DOCUMENTS[kind].items():
+        parent, _, field = path.rpartition(".")
+        value = plain[check] if check in plain else "u" + check[3:] if check.startswith("in:") else "x/y/" + check.split("/", 1)[1] if "below:" in check else json.loads(check.removeprefix("text "))
+        (doc[parent] if parent else doc)[field] = {} if value == {} else value
+    return doc
+
+
+def _changed_documents() -> list[str]:
+    """Each kind's document as it is, without its status, of another version, with a field too many, with failures."""
+    out = []
+    for kind in V.DOCUMENTS:
+        doc = _valid_document(kind)
+        for changed in (doc, {k: v for k, v in doc.items() if k != "status"}, doc | {"schema_version": 2}, doc | {"more{k}": 1}, doc | {"failures": ["f{k}"]}):
+            out.append(json.dumps(changed))
+    return out
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey % {len(V.DOCUMENTS)} AS INTEGER) + 1 AS d, o_custkey % 5 AS c FROM orders),
+m AS (SELECT k, unnest(CASE c WHEN 1 THEN ['missing required field status', 'status must be ' || [{', '.join("'" + json.loads(f["status"]) + "'" for f in V.DOCUMENTS.values())}][d]]
+  WHEN 2 THEN ['schema_version must be 1'] WHEN 3 THEN ['unexpected field more' || k] WHEN 4 THEN ['failures must be an empty array'] ELSE [] END) AS message FROM o)
+SELECT k AS o_orderkey, message FROM m""")
+def document_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as documents of eight kinds, four in five of which break a rule."""
+    from gapfeed.operators import document_rules
+
+    k = F.col("o_orderkey")
+    n, c = k % len(V.DOCUMENTS), F.col("o_custkey") % 5
+    text = F.element_at(F.array(*[F.lit(d) for d in _changed_documents()]), (n * 5 + c + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(d) for d in V.DOCUMENTS]), (n + 1).cast("int"))
+    docs = A.table(spark, sf_dir, "orders").select(k.alias("doc_id"), kind.alias("kind"), F.replace(text, F.lit("{k}"), k.cast("string")).alias("doc"))
+    return document_rules.violations(docs, document_rules.rules(spark)).select(F.col("doc_id").alias("o_orderkey"), "message")
