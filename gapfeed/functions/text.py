@@ -138,3 +138,17 @@ def failure_location(x: Column | str) -> Column:
 def coverage_percent(x: Column | str) -> Column:
     """The number after "coverage:" in a line, null without one."""
     return F.regexp_extract(_c(x), r"coverage:\s*([0-9.]+)%", 1).try_cast("double")
+
+
+def replace_identifier(expression: Column | str, name: Column | str, value: Column | str) -> Column:
+    """An expression with a whole name replaced by a value, which is taken as it is; an empty name replaces nothing."""
+    e, n, v = _c(expression), _c(name), _c(value)
+    literal = F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return F.when(n == "", e).otherwise(F.regexp_replace(e, F.concat(F.lit(r"\b\Q"), n, F.lit(r"\E\b")), literal))
+
+
+def path_below(path: Column, folder: Column) -> Column:
+    """A cleaned path relative to a cleaned folder, "." for the folder itself; null if it lies elsewhere."""
+    inside = F.when(folder == "/", F.startswith(path, F.lit("/"))).otherwise(F.startswith(path, F.concat(folder, F.lit("/"))))
+    skip = F.when(folder == "/", 1).otherwise(F.char_length(folder) + 1)
+    return F.when(path == folder, ".").when(inside, F.substring(path, skip + 1, F.lit(1 << 30)))

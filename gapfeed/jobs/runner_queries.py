@@ -141,3 +141,42 @@ def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda n: F.element_at(F.array(*[F.lit(x[n]) for x in _FACTS]), (k % 4 + 1).cast("int"))
     files = A.table(spark, sf_dir, "part").select(F.concat(F.lit("f"), k, F.lit("."), of(0)).alias("file"), F.replace(of(1), F.lit("{k}"), k.cast("string")).alias("source"))
     return facts.source_facts(files).select("file", "language", F.array_join("imports", "|").alias("imports"), F.array_join("types", "|").alias("types"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 6 AS c FROM part)
+SELECT k AS p_partkey, CASE c WHEN 0 THEN 'pkg/f' || k || '.go' WHEN 1 THEN 'f' || k || '.go' WHEN 2 THEN '/other/f' || k || '.go' WHEN 3 THEN '.' WHEN 4 THEN '../f' || k || '.go' ELSE '..f' || k END AS command_path,
+CASE c WHEN 0 THEN '/copy/pkg/f' || k || '.go' WHEN 1 THEN '/copy/f' || k || '.go' WHEN 2 THEN '/other/f' || k || '.go' WHEN 3 THEN '/copy' WHEN 4 THEN '/f' || k || '.go' ELSE '/work/app/..f' || k END AS moved_path,
+'if ' || k || ' > n1 && ' || k || '.n_x(n1, $n)' AS expression FROM p""")
+def path_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as paths that commands and copies of a project name, and as names to replace."""
+    from gapfeed.functions import text as T
+    from gapfeed.operators import sources
+
+    k, c = F.col("p_partkey").cast("string"), F.col("p_partkey") % 6
+    path = F.when(c == 0, F.concat(F.lit("/work/app/./pkg//f"), k, F.lit(".go"))).when(c == 1, F.concat(F.lit("f"), k, F.lit(".go"))).when(c == 2, F.concat(F.lit("/other/f"), k, F.lit(".go"))).when(c == 3, "/work/x/../app").when(c == 4, F.concat(F.lit("../f"), k, F.lit(".go"))).otherwise(F.concat(F.lit("/work/app/..f"), k))
+    root = F.lit("/work/app/")
+    expression = T.replace_identifier(F.lit("if n > n1 && n.n_x(n1, $n)"), F.lit("n"), k)
+    kept = F.concat(F.substring_index(expression, "$", 1), F.lit("$n)"))
+    return A.table(spark, sf_dir, "part").select("p_partkey", sources.command_path(path, root, root).alias("command_path"), sources.moved_path(path, root, F.lit("/copy")).alias("moved_path"), kept.alias("expression"))
+
+
+@query("""SELECT o_orderkey, 'order ' || o_orderkey || ': ' || o_orderstatus AS text, '{"o_orderkey":' || o_orderkey || ',"status":"' || o_orderstatus || '","note":' || CASE WHEN o_orderkey % 2 = 0 THEN '"n' || o_custkey || '"' ELSE 'null' END || '}' AS json FROM orders""")
+def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as results, written as one JSON object a line and read back as text."""
+    from gapfeed import sinks
+
+    t = A.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("n"), "o_custkey")).alias("note"))
+    path = scratch_path(spark, "json-lines")
+    sinks.write_json_lines(sinks.json_result(t, F.concat(F.lit("order "), "o_orderkey", F.lit(": "), "status"), "o_orderkey", "status", "note", keep=["o_orderkey"]), path)
+    lines = reports.lines_of_files(spark, path, split_bytes=1 << 20)
+    return lines.select(F.from_json("line", "o_orderkey long, text string, json string").alias("r")).select("r.*")
+
+
+@query("""WITH t AS (SELECT p_partkey % 13 AS report, p_partkey AS idx FROM part), c AS (SELECT report, count(*) AS have FROM t GROUP BY 1) SELECT report, have FROM c WHERE have < (SELECT avg(have) FROM c)""")
+def short_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with fewer tasks than there are on average."""
+    from gapfeed.operators import tasks
+
+    t = A.table(spark, sf_dir, "part").select((F.col("p_partkey") % 13).alias("report"), F.col("p_partkey").alias("idx"))
+    n, reports_ = t.count(), 13
+    return tasks.short_reports(t, "report", -(-n // reports_))

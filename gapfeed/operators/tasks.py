@@ -116,9 +116,20 @@ def number_tasks(tasks: DataFrame, report: str) -> DataFrame:
     return tasks.withColumn("rank", n).withColumn("id", F.concat(T.slug(F.col("framework")), F.lit("-"), n.cast("string")))
 
 
-def top_tasks(tasks: DataFrame, report: str, n: int) -> DataFrame:
-    """The first n tasks of each report."""
-    return number_tasks(tasks, report).where(F.col("rank") <= n)
+def top_tasks(tasks: DataFrame, report: str, n: int, strict: bool = False) -> DataFrame:
+    """The first n tasks of each report; `strict`: the job fails with a report's name if it has fewer."""
+    ranked = number_tasks(tasks, report)
+    if strict:
+        have = tasks.groupBy(report).agg(F.count("*").alias("_have"))
+        short = F.raise_error(F.concat(F.lit("report "), F.col(report).cast("string"), F.lit(": "), F.col("_have").cast("string"), F.lit(f" tasks, want at least {n}")))
+        checked = have.select(report, F.when(F.col("_have") < n, short.cast("long")).otherwise(F.col("_have")).alias("_have"))
+        ranked = ranked.join(checked, report).where("_have > 0").drop("_have")
+    return ranked.where(F.col("rank") <= n)
+
+
+def short_reports(tasks: DataFrame, report: str, n: int) -> DataFrame:
+    """(report, have) of the reports with fewer than n tasks."""
+    return tasks.groupBy(report).agg(F.count("*").alias("have")).where(F.col("have") < n)
 
 
 def from_suggestions(rows: DataFrame, report: str) -> DataFrame:

@@ -70,6 +70,11 @@ def node_table(lines: DataFrame) -> DataFrame:
     return rows.select("run_id", "pos", trim(F.get("_c", 0)).alias("file"), trim(F.get("_c", 1)).cast("double").alias("percent"), uncovered_cell(F.get("_c", 4)).alias("uncovered"))
 
 
+def node_files(table: DataFrame) -> DataFrame:
+    """(run_id, file, percent) of a node table without its totals, in order of run and path."""
+    return table.where(F.lower("file") != "all files").select("run_id", "file", "percent").orderBy("run_id", "file")
+
+
 def node_totals(table: DataFrame) -> DataFrame:
     """The percent of each run: of its "all files" row, else the mean of its files'."""
     whole = F.max(F.when(F.lower("file") == "all files", F.col("percent")))

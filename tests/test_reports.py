@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gapfeed.functions import text as T
+from gapfeed.operators import sources, tasks
 from gapfeed.operators.scans import running
+from gapfeed.sources import coverage_formats as formats
 from gapfeed.sources import reports as R
 
 
@@ -67,3 +70,28 @@ def test_one_long_run_is_many_tasks(spark):
     most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert most < 60_000 and got.where("n != pos + 1").count() == 0
     assert running(t.limit(0), ["k"], sums={"n": F.lit(1)}).count() == 0
+
+
+def test_strict_top_tasks(spark):
+    rows = [("a", i, "f", "1-1", "t", "go-test", 1, 0.5) for i in range(3)] + [("b", 9, "f", "1-1", "t", "go-test", 1, 0.5)]
+    t = spark.createDataFrame(rows, "report string, idx int, file string, line_range string, target string, framework string, priority int, confidence double")
+    assert tasks.top_tasks(t, "report", 2).count() == 3
+    assert tasks.top_tasks(t, "report", 1, strict=True).count() == 2
+    assert [tuple(r) for r in tasks.short_reports(t, "report", 2).collect()] == [("b", 1)]
+    with pytest.raises(Exception, match="report b: 1 tasks, want at least 2"):
+        tasks.top_tasks(t, "report", 2, strict=True).collect()
+
+
+def test_paths_and_names(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first().x
+    lit = F.lit
+    assert value(sources.moved_path(lit("/a/b/c.go"), lit("/a/b"), lit("/n"))) == "/n/c.go" and value(sources.moved_path(lit("/a/bc"), lit("/a/b"), lit("/n"))) == "/a/bc"
+    assert value(sources.moved_path(lit(""), lit("/a"), lit("/n"))) == "" and value(sources.moved_path(lit("x/../y"), lit("/a"), lit("/n"))) == "/n/y"
+    assert value(sources.command_path(lit("p/q"), lit("."), lit("/w"))) == "p/q" and value(sources.command_path(lit("/w"), lit("/w/"), lit("/"))) == "." and value(sources.command_path(lit("/x/y"), lit("/"), lit("/w"))) == "x/y"
+    assert value(T.replace_identifier(lit("a.b + ab - a"), lit("a"), lit("$1\\x"))) == "$1\\x.b + ab - $1\\x" and value(T.replace_identifier(lit("a"), lit(""), lit("z"))) == "a"
+
+
+def test_node_files_in_order(spark):
+    lines = spark.createDataFrame([("r", 1, "# b.js | 50.0 | 1 | 1 | 2"), ("r", 2, "# a.js | 100 | 1 | 1 | "), ("r", 3, "# all files | 75 | 1 | 1 | ")], "run_id string, pos int, line string")
+    assert [(r.file, r.percent) for r in formats.node_files(formats.node_table(lines)).collect()] == [("a.js", 100.0), ("b.js", 50.0)]
