@@ -1,16 +1,13 @@
 """Document fingerprints by consistent weighted sampling.
 
 A document's terms are its words, weighted by how much of the text they make
-up (occurrences times length, a whole number). A term of weight w is w units, (term, 0)
-to (term, w - 1); the union and the intersection of two documents' units weigh the sums of max and of
-min of their terms' weights. A hash of the unit gives it one of the 128 positions, evenly, and a rank there;
-the unit of least rank is the position's sample. So a position gets units by mass, not by terms,
-and that the units of two documents have the same least one there has a probability of generalised Jaccard
-similarity. A position without units (short texts) takes the sample of the first
-position that has some, in an order of its own that all documents share: as the
-first with units of either document decides, the probability is the same. Each position
-thus samples over all terms, and the share of equal samples estimates the similarity without bias.
-Samples are kept in 16 bits.
+up (occurrences times length); any positive weights will do. For each term and each of the 56 positions a hash
+gives r and c, both of a gamma distribution of shape 2, and an even beta between 0 and 1. A term of weight w then has the level
+t = floor(ln w / r + beta) and the value ln a = ln c - r (t - beta) - r; the term of the
+least value, together with its level, is the position's sample. Two documents have one sample at a position with the
+probability of their generalised Jaccard similarity (the sums of min and of max of their terms' weights),
+whatever a term weighs, so the share of equal samples estimates it without bias.
+Samples are kept in 16 bits. Values are compared to 2^-38.
 
 Everything is DataFrame code: documents are dealt by ranges of id (one shuffle),
 and within a range terms are counted and sampled by hash aggregation without
@@ -29,43 +26,39 @@ from pyspark.sql import functions as F
 
 from gapfeed.llm._common import SPACE, materialize
 
-#: Each of the REPEATS positions samples over all terms (one bin).
-BINS, REPEATS = 1, 128
-#: Units that one array holds while terms are taken apart, so that a very heavy term needs no large one.
-UNITS = 4096
+#: Positions of a fingerprint.
+POSITIONS = 56
+
+
+def _even(h: Column, shift: int, bits: int) -> Column:
+    """A number between 0 and 1 from some bits of a hash."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
 
 
 def samples(terms: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
     """For rows (keys, term, weights...) one row for each of keys, with an array of samples for each
-    weight column: `fp_<weight>`, R * B ints, all 0 where no term has a positive weight.
+    weight column: `fp_<weight>`, POSITIONS ints, all 0 where no term has a positive weight.
 
-    terms holds each (keys, term) once; `term` is a 64-bit hash, weights are whole numbers.
+    terms holds each (keys, term) once; `term` is a 64-bit hash, weights are numbers.
     """
-    held = terms.select(*keys, "term", *[F.coalesce(F.col(w), F.lit(0)).cast("long").alias(w) for w in weights])
-    top = F.array_max(F.array(*weights)) if len(weights) > 1 else F.col(weights[0])
-    held = held.withColumn("_top", top)
-    # rows without a unit stay, so that each of keys has its row
-    held = held.withColumn("_from", F.explode_outer(F.when(F.col("_top") > 0, F.sequence(F.lit(0).cast("long"), F.col("_top") - 1, F.lit(UNITS).cast("long")))))
-    units = held.withColumn("_unit", F.explode_outer(F.sequence("_from", F.least(F.col("_from") + UNITS, F.col("_top")) - 1)))
-    ranked = units.select(*keys, *weights, "_unit", F.xxhash64("term", "_unit").alias("_h"))
-    bins = BINS * REPEATS
-    ranked = ranked.select(*keys, F.pmod("_h", F.lit(bins)).cast("int").alias("_bin"), *[F.when(F.col("_unit") < F.col(w), F.shiftrightunsigned("_h", 7)).alias(w) for w in weights])
-    least = ranked.groupBy(*keys, "_bin").agg(*[F.min(w).alias(w) for w in weights])
-    sample = {w: (F.pmod(F.xxhash64(w), F.lit(65535)) + 1).cast("int") for w in weights}
-    gathered = least.groupBy(*keys).agg(*[F.collect_list(F.when(F.col(w).isNotNull(), F.struct(F.col("_bin").alias("bin"), sample[w].alias("v")))).alias(w) for w in weights])
-    return gathered.select(*keys, *[_dense(F.col(w)).alias(f"fp_{w}") for w in weights])
-
-
-def _dense(pairs: Column) -> Column:
-    """Samples by position; an empty one has that of the position first in its order."""
-
-    def at(i: Column) -> Column:
-        own = F.get(F.filter(pairs, lambda x: x["bin"] == i), F.lit(0))["v"]
-        other = F.array_min(F.transform(pairs, lambda x: F.struct(F.xxhash64(i, x["bin"]).alias("order"), x["v"].alias("v"))))["v"]
-        return F.coalesce(own, other, F.lit(0))
-
-    full = F.size(pairs) == BINS * REPEATS
-    return F.when(full, F.transform(F.array_sort(pairs), lambda x: x["v"])).otherwise(F.transform(F.sequence(F.lit(0), F.lit(BINS * REPEATS - 1)), at))
+    level = lambda w: F.when(F.col(w) > 0, F.log(F.col(w).cast("double")))
+    held = terms.select(*keys, "term", *[level(w).alias(w) for w in weights])
+    each = held.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(POSITIONS - 1))))
+    each = each.select(*keys, "pos", *weights, F.xxhash64("term", "pos").alias("_h"), F.xxhash64("pos", "term").alias("_g"))
+    # -ln(u u') is of gamma distribution of shape 2
+    r, c = -F.log(_even(F.col("_h"), 0, 26) * _even(F.col("_h"), 26, 26)), -F.log(_even(F.col("_g"), 0, 26) * _even(F.col("_g"), 26, 26))
+    each = each.select(*keys, "pos", *weights, "_g", r.alias("_r"), F.log(c).alias("_c"), ((F.shiftrightunsigned("_h", 52) * 4096 + F.shiftrightunsigned("_g", 52)).cast("double") / float(1 << 24)).alias("_b"))
+    each = each.select(*keys, "pos", *weights, "_g", "_r", "_c", "_b", *[F.floor(F.col(w) / F.col("_r") + F.col("_b")).alias(f"_t_{w}") for w in weights])
+    # value and sample in one long: the least value brings its sample along
+    value = lambda w: F.floor((F.col("_c") - F.col("_r") * (F.col(f"_t_{w}") - F.col("_b") + 1) + 128) * float(1 << 38))
+    sample = lambda w: F.pmod(F.shiftrightunsigned("_g", 24) + F.col(f"_t_{w}") * 40503, F.lit(65535)) + 1
+    least = each.groupBy(*keys, "pos").agg(*[F.min(value(w) * 65536 + sample(w)).alias(w) for w in weights])
+    gathered = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *weights))).alias("_all"))
+
+    def dense(w: str) -> Column:
+        return F.transform("_all", lambda x: F.coalesce(x[w].bitwiseAND(F.lit(65535)), F.lit(0)).cast("int"))
+
+    return gathered.select(*keys, *[dense(w).alias(f"fp_{w}") for w in weights])
 
 
 def likeness(a: Column, b: Column) -> Column:

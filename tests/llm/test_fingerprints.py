@@ -88,7 +88,7 @@ def test_odd_documents(odd):
         by_text.setdefault(r.doc_id, set()).add(tuple(r.fingerprint))
     texts = {r.doc_id: r.text for r in odd.collect()}
     assert by_text[5] == by_text[6] and texts[5] == texts[6] and len(by_text[5]) == 1
-    assert by_text[0] == by_text[1] == by_text[2] == {(0,) * (P.BINS * P.REPEATS)}
+    assert by_text[0] == by_text[1] == by_text[2] == {(0,) * (P.POSITIONS)}
 
 
 def test_one_row_is_its_own_next(spark):
@@ -98,15 +98,30 @@ def test_one_row_is_its_own_next(spark):
 
 
 def test_samples_are_consistent(spark):
-    """Equal weights give equal samples; a term that grows only changes its own bins."""
+    """Equal weights give equal samples; a term that grows changes only samples that become its own."""
     rows = [(1, t, 3, 3) for t in range(50)] + [(2, t, 3, 9 if t == 4 else 3) for t in range(50)]
     terms = spark.createDataFrame(rows, "doc int, term long, a int, b int")
     got = {r.doc: r for r in P.samples(terms, ["doc"], ["a", "b"]).collect()}
     assert got[1].fp_a == got[1].fp_b == got[2].fp_a
-    assert 0 < sum(x != y for x, y in zip(got[2].fp_a, got[2].fp_b)) <= P.REPEATS
+    assert 0 < sum(x != y for x, y in zip(got[2].fp_a, got[2].fp_b)) <= P.POSITIONS
     same = spark.range(1).select(P.likeness(F.array(F.lit(0), F.lit(5)), F.array(F.lit(0), F.lit(6))).alias("x"), P.likeness(F.array(F.lit(0)), F.array(F.lit(0))).alias("y")).first()
     assert (same.x, same.y) == (0.0, 1.0)
 
 
 def test_empty(empty):
     assert P.edited_fingerprints(empty).count() == 0 and P.fingerprint(empty).count() == 0
+
+
+def test_real_weights_and_weights_of_a_whole_corpus(spark):
+    """The share of equal samples over many pairs against generalised Jaccard, for weights from 1e-6 to 1e9."""
+    rng = random.Random(11)
+    rows, want = [], []
+    for d in range(0, 200, 2):
+        scale = 10.0 ** rng.randint(-6, 9)
+        a = {t: rng.random() ** 3 * scale for t in range(d * 100, d * 100 + 30)}
+        b = {t: w * rng.choice([1, 1, rng.random(), 2.5]) for t, w in a.items() if rng.random() < 0.8}
+        want.append(generalised_jaccard(a, b))
+        rows += [(d, t, w) for t, w in a.items()] + [(d + 1, t, w) for t, w in b.items()]
+    made = {r.doc: r.fp_w for r in P.samples(spark.createDataFrame(rows, "doc int, term long, w double").withColumn("term", F.xxhash64("term")), ["doc"], ["w"]).collect()}
+    off = [sum(x == y for x, y in zip(made[2 * i], made[2 * i + 1])) / P.POSITIONS - w for i, w in enumerate(want)]
+    assert abs(sum(off) / len(off)) < 0.02 and sum(x * x for x in off) / len(off) < 0.075**2
