@@ -75,3 +75,9 @@ def detect_framework(paths: DataFrame, project_files: DataFrame) -> DataFrame:
     found = above.join(project_files.select("folder", "name", "content"), "folder").withColumn("framework", _decision(F.col("name"), F.col("content"))).where("framework is not null")
     best = found.groupBy("path").agg(F.min_by("framework", F.struct(_rank(F.col("name")).alias("r"), F.col("up"))).alias("found"))
     return told.join(best, "path", "left").select("path", F.coalesce("known", "found", F.lit("go-test")).alias("framework"))
+
+
+def go_module(content: Column) -> Column:
+    """The module path of a go.mod: what its first module line names; "" without one."""
+    lines = F.filter(F.transform(F.split(content, "\n"), T.trim), lambda x: F.startswith(x, F.lit("module ")))
+    return F.coalesce(T.trim(F.substring(F.get(lines, 0), 8, 1 << 30)), F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gapfeed.functions import vocabulary as V
 from gapfeed.functions.text import trim
-from gapfeed.operators.imports import module_files, named_imports
+from gapfeed.operators.imports import module_files, named_imports, only_imports_and_exports
 
 #: Go's import declarations, and the text before the first other declaration.
 _GO_IMPORTS = "(?ms)^import\\s*(?:\\([^)]*\\)|(?:[\\w.]+\\s+)?(?:\"[^\"\\n]*\"|`[^`]*`))"
@@ -69,3 +69,13 @@ def imported_types(files: DataFrame) -> DataFrame:
     python = lines.select("file", F.explode(names).alias("symbol"), places.alias("_p")).select("file", "symbol", F.posexplode("_p").alias("rank", "declared_in"))
     met = scripts.unionByName(python).join(index, ["symbol", "declared_in"])
     return met.groupBy("file", "symbol").agg(F.min_by("declared_in", "rank").alias("declared_in"))
+
+
+def without_runtime(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """(file) of the TypeScript files without functions and classes that declare types, or hold imports and exports only.
+    files: file, source; spans: file of every function that was found."""
+    code = F.coalesce("source", F.lit(""))
+    classes = code.rlike(r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\b")
+    typed = F.size(_lines(code, (V.SCRIPT_TYPE_LINE, 1))) > 0
+    plain = files.where((language(F.col("file")) == "typescript") & F.col("source").isNotNull() & ~classes & (typed | only_imports_and_exports(F.col("source"))))
+    return plain.select("file").join(spans.select("file").distinct(), "file", "left_anti")
