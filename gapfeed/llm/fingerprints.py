@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling.
 
 A document's terms are its words, weighted by how much of the text they make
-up (occurrences times length); any positive weights will do. For each term and each of the 56 positions a hash
+up (occurrences times length); any positive weights will do. For each term and each of the 48 positions a hash
 gives r and c, both of a gamma distribution of shape 2, and an even beta between 0 and 1. A term of weight w then has the level
 t = floor(ln w / r + beta) and the value ln a = ln c - r (t - beta) - r; the term of the
 least value, together with its level, is the position's sample. Two documents have one sample at a position with the
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from gapfeed.llm._common import SPACE, materialize
 
 #: Positions of a fingerprint.
-POSITIONS = 56
+POSITIONS = 48
 
 
 def _even(h: Column, shift: int, bits: int) -> Column:
@@ -43,6 +43,7 @@ def samples(terms: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
     """
     level = lambda w: F.when(F.col(w) > 0, F.log(F.col(w).cast("double")))
     held = terms.select(*keys, "term", *[level(w).alias(w) for w in weights])
+    held = held.sortWithinPartitions(*keys)  # a document's terms side by side, so that its positions stay in the processor's cache
     each = held.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(POSITIONS - 1))))
     each = each.select(*keys, "pos", *weights, F.xxhash64("term", "pos").alias("_h"), F.xxhash64("pos", "term").alias("_g"))
     # -ln(u u') is of gamma distribution of shape 2
