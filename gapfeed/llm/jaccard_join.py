@@ -23,6 +23,11 @@ share a key are candidates and are verified on their whole sets.
   those outside the key's largest component are compared with all its members,
   after size and parity-sketch bounds; pairs within a component need no
   comparison. Such keys are split by size and salted, so that none is one task.
+* Keys of more than FEW members are refined before: pigeonhole again, over single
+  shingles in one order for all, those that fewest of these members have first.
+  Two linked sets share a shingle, and before the first one they share each has
+  no more shingles than it may have alone; so each member indexes only so many,
+  and what many members have in common comes last and is rarely indexed.
 
 Components are exact; links within a component are verified only as far as they
 connect it. Sets are compared by 64-bit hashes of their shingles; classes by a
@@ -61,6 +66,8 @@ KEY_COST, PAIR_COST, SHARED = 1.0, 5.0, 1e-5
 BAND_POWER = 2
 #: Members of one key that one task compares with all others of the key and of like size.
 SALT_ROWS = 2000
+#: Members of a key that are compared as they are; keys of more are refined by the rare shingles of their members.
+FEW = 32
 
 
 @dataclass(frozen=True)
@@ -287,6 +294,29 @@ def _wide(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("cls", "text").mapInArrow(run, "cls long, n long, wide array<long>")
 
 
+def _shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(key, cls, n) for each shingle of rows (cls, text), n being the set's size. A text whose set isn't its class's
+    (another row of the same id) yields nothing."""
+
+    def run(batches):
+        for part, sets in _sets(batches, k):
+            held = [(c, s) for c, s in zip(part.column(0).to_pylist(), sets) if len(s) and _class_of(s) == c]
+            sizes = np.array([len(s) for _, s in held], dtype=np.int64)
+            keys = np.concatenate([s for _, s in held]) if held else np.zeros(0, np.uint64)
+            columns = [keys.view(np.int64), np.repeat(np.array([c for c, _ in held], dtype=np.int64), sizes), np.repeat(sizes, sizes)]
+            for i in range(0, len(keys), 1 << 16):
+                yield _mapper([pa.array(x[i : i + (1 << 16)]) for x in columns], ["key", "cls", "n"])
+
+    return texts.select("cls", "text").mapInArrow(run, "key long, cls long, n long")
+
+
+def _parted(members: DataFrame) -> DataFrame:
+    """(key, main, size, salts) of the keys whose members (key, cls, component) aren't all in one component, with the largest one."""
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("size"))
+    keys = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("size"))
+    return keys.where("parts > 1").select("key", "main", "size", F.ceil(F.col("size") / SALT_ROWS).cast("int").alias("salts"))
+
+
 def _linked(pairs: DataFrame, k: int, s: Similarity) -> DataFrame:
     """Of pairs (a, b, ta, tb) of classes and texts those whose sets reach the threshold. A text whose set isn't its
     class's (another row of the same id) yields nothing."""
@@ -334,18 +364,50 @@ class _Join:
         left = one.join(lite.alias("y"), (F.col("a") == F.col("y.cls")) & _near(self.similarity))
         return left.select("a", F.col("x.cls").alias("b"))
 
-    def verified(self, near: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets reach the threshold. Texts, one of each class, move only for pairs that wide
-        sketches leave; texts shrink in a shuffle, hashes don't."""
-        near = self.scratch.table(near, "near-pairs")
-        classes = self.scratch.table(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct().join(self.lite.select("cls", "id"), "cls"), "classes")
+    def texts(self, wanted: DataFrame) -> tuple[DataFrame, bool]:
+        """(cls, text) of the classes in `wanted` (cls), of one document each, and whether rows of one id make it more."""
+        classes = self.scratch.table(wanted.distinct().join(self.lite.select("cls", "id"), "cls"), "classes")
         ids = classes.where("id is not null")
         texts = self.docs.join(sized_broadcast(ids), self.docs[self.id_col] == ids["id"]).select("cls", F.col(self.text_col).alias("text"))
         nameless = sized_broadcast(classes.where("id is null").select("cls"))
         others = _with_class(self.docs.where(F.col(self.id_col).isNull()), self.k, self.text_col).join(nameless, "cls", "left_semi").dropDuplicates(["cls"])
         texts = self.scratch.table(texts.unionByName(others), "texts")
-        if texts.count() > classes.count():  # rows of one id
-            texts = self.scratch.table(texts.distinct(), "texts")
+        repeated = texts.count() > classes.count()
+        return (self.scratch.table(texts.distinct(), "texts") if repeated else texts), repeated
+
+    def rare(self, wanted: DataFrame) -> DataFrame:
+        """(key, cls, at) of the classes in `wanted`: each one's shingles in the order of how many of the classes have
+        them, as far as the first that it shares with a linked one may be, with their places; those that it has alone are left out."""
+        texts, repeated = self.texts(wanted)
+        shingles = _shingles(texts, self.k)
+        shingles = self.scratch.table(shingles.distinct() if repeated else shingles, "shingles")
+        often = shingles.groupBy("key").agg(F.count("*").alias("often"))
+        order = Window.partitionBy("cls").orderBy("often", "key")
+        placed = shingles.join(often, "key").withColumn("at", F.row_number().over(order) - 1)
+        return placed.where((F.col("often") > 1) & ((F.col("n") - F.col("at")) * self.similarity.den >= F.col("n") * self.similarity.num)).select("key", "cls", "at")
+
+    def crossing(self, members: DataFrame, keys: DataFrame) -> DataFrame:
+        """(a, b) of members (key, cls, component, at) of one of `keys` that are in different components and may be linked
+        by their sizes, places and sketches. `at` is how many shingles of a member the other surely lacks if this key is
+        the first they share."""
+        s = self.similarity
+        # linked sets' sizes are at most one step apart
+        step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(s.den / s.num) * 1.0001)).cast("int") if s.den > s.num else F.col("n").cast("int")
+        open_ = self.scratch.table(members.join(keys, "key").join(self.lite.drop("id"), "cls").withColumn("step", step), "open")
+        stray = open_.where("component != main").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
+        every = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+        # of two outside the main component the pair comes from the smaller one
+        once = (F.col("y.component") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
+        left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * (s.den + s.num) >= (F.col("x.n") + F.col("y.n")) * s.num
+        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.step") == F.col("y.step"))
+        met = stray.alias("x").join(every.alias("y"), same & (F.col("x.component") != F.col("y.component")) & once & left & _near(s))
+        return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+
+    def verified(self, near: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets reach the threshold. Texts, one of each class, move only for pairs that wide
+        sketches leave; texts shrink in a shuffle, hashes don't."""
+        near = self.scratch.table(near, "near-pairs")
+        texts, _ = self.texts(near.select(F.col("a").alias("cls")).union(near.select("b")))
         wide = self.scratch.table(_wide(texts, self.k), "wide")
         both = near.join(wide.withColumnsRenamed({"cls": "b", "n": "nb", "wide": "wb"}), "b").join(wide.withColumnsRenamed({"cls": "a", "n": "na", "wide": "wa"}), "a")
         bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
@@ -384,21 +446,16 @@ def class_links(docs: DataFrame, sizes: DataFrame, similarity: Similarity, k: in
     # keys whose members are not all in one component: those outside the largest one meet all members
     members = shared.select("key", F.col("leader").alias("cls")).union(shared.select("key", "member")).distinct()
     placed = scratch.table(members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")), "placed")
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-    main = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("size"))
-    main = main.where("parts > 1 and size > 2").select("key", "main", F.ceil(F.col("size") / SALT_ROWS).cast("int").alias("salts"))
-    if main.isEmpty():
+    keys = scratch.table(_parted(placed).where("size > 2"), "keys")  # two members are leader and member
+    if keys.isEmpty():
         return links, found
-    # linked sets' sizes are at most one step apart
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(similarity.den / similarity.num) * 1.0001)).cast("int") if similarity.den > similarity.num else F.col("n").cast("int")
-    open_ = scratch.table(placed.join(main, "key").join(join.lite.drop("id"), "cls").withColumn("step", step), "open")
-    stray = open_.where("component != main").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
-    every = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    # of two outside the main component the pair comes from the smaller one
-    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    at = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.step") == F.col("y.step"))
-    met = stray.alias("x").join(every.alias("y"), at & (F.col("x.component") != F.col("y.component")) & once & _near(similarity))
-    more = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    more = join.crossing(placed.withColumn("at", F.lit(0)), keys.where(F.col("size") <= FEW))
+    crowded = placed.join(keys.where(F.col("size") > FEW), "key", "left_semi").select("cls", "component").distinct()
+    crowded = scratch.table(crowded, "crowded")
+    if not crowded.isEmpty():
+        members = scratch.table(join.rare(crowded.select("cls")).join(crowded, "cls"), "rare")
+        more = more.union(join.crossing(members, _parted(members)))
+    more = more.distinct()
     more = join.verified(more.join(pairs, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return links, found

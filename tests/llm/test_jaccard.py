@@ -148,3 +148,38 @@ def test_components(spark):
 
 def test_empty(empty):
     assert J.near_components(empty).count() == 0 and J.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("few", [1, 4])
+def test_crowded_keys_find_pairs(spark, monkeypatch, few):
+    """The same results where keys of few members already count as crowded, with repeated ids and salted keys."""
+    monkeypatch.setattr(J, "FEW", few)
+    monkeypatch.setattr(J, "SALT_ROWS", 3)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(40)]
+    rows = corpus(4, 150) + [(None if i % 17 == 3 else 1000 + i, " ".join(passage + [f"q{rng.randrange(60)}" for _ in range(rng.randint(1, 9))])) for i in range(120)]
+    rows += [(1000, "one id and another text " * 3), (1004, rows[154][1].upper())]
+    got = J.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), k=2, similarity=J.Similarity(4, 5)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 2, 4, 5)
+
+
+def test_crowded_keys_make_few_pairs(spark, monkeypatch):
+    """Long texts that share most of a page and aren't linked: beyond leaders, hardly any pairs are left to verify."""
+    monkeypatch.setattr(J, "FEW", 8, raising=False)
+    rng = random.Random(13)
+    page = [f"p{i}" for i in range(500)]
+    rows = [(i, " ".join(page + [f"q{rng.randrange(10**6)}" for _ in range(300)])) for i in range(80)]
+    rows.append((80, rows[7][1] + " end"))
+    counts = []
+
+    class Counted(J.Scratch):
+        def table(self, df, tag, by=None):
+            out = super().table(df, tag, by)
+            counts.extend([out.count()] * (tag == "near-pairs"))
+            return out
+
+    with Counted(spark) as scratch:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        links, _ = J.class_links(docs, scratch.table(J.set_sizes(docs, 5, "doc_id", "text"), "sizes"), J.Similarity(4, 5), 5, scratch)
+        assert links.count() == 1
+    assert sum(counts[1:]) < 100
