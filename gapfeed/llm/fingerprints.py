@@ -28,6 +28,9 @@ from gapfeed.llm._common import SPACE, materialize
 
 #: Positions of a fingerprint.
 POSITIONS = 48
+#: Positions that one row of a term samples, a divisor of POSITIONS: a document's entry in the hash map is looked up once
+#: for all of them. With 8 the generated code was seven times slower than with 4.
+BLOCK = 4
 
 
 def _even(h: Column, shift: int, bits: int) -> Column:
@@ -44,22 +47,24 @@ def samples(terms: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
     level = lambda w: F.when(F.col(w) > 0, F.log(F.col(w).cast("double")))
     held = terms.select(*keys, "term", *[level(w).alias(w) for w in weights])
     held = held.sortWithinPartitions(*keys)  # a document's terms side by side, so that its positions stay in the processor's cache
-    each = held.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(POSITIONS - 1))))
-    each = each.select(*keys, "pos", *weights, F.xxhash64("term", "pos").alias("_h"), F.xxhash64("pos", "term").alias("_g"))
+    js, own = range(BLOCK), [*keys, "block", *weights]
+    each = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(POSITIONS // BLOCK - 1))))
+    pos = lambda j: F.col("block") * BLOCK + j
+    each = each.select(*own, *[F.xxhash64("term", pos(j)).alias(f"_h{j}") for j in js], *[F.xxhash64(pos(j), "term").alias(f"_g{j}") for j in js])
     # -ln(u u') is of gamma distribution of shape 2
-    r, c = -F.log(_even(F.col("_h"), 0, 26) * _even(F.col("_h"), 26, 26)), -F.log(_even(F.col("_g"), 0, 26) * _even(F.col("_g"), 26, 26))
-    each = each.select(*keys, "pos", *weights, "_g", r.alias("_r"), F.log(c).alias("_c"), ((F.shiftrightunsigned("_h", 52) * 4096 + F.shiftrightunsigned("_g", 52)).cast("double") / float(1 << 24)).alias("_b"))
-    each = each.select(*keys, "pos", *weights, "_g", "_r", "_c", "_b", *[F.floor(F.col(w) / F.col("_r") + F.col("_b")).alias(f"_t_{w}") for w in weights])
+    gamma = lambda h: -F.log(_even(F.col(h), 0, 26) * _even(F.col(h), 26, 26))
+    beta = lambda j: (F.shiftrightunsigned(f"_h{j}", 52) * 4096 + F.shiftrightunsigned(f"_g{j}", 52)).cast("double") / float(1 << 24)
+    each = each.select(*own, *[x for j in js for x in (F.col(f"_g{j}"), gamma(f"_h{j}").alias(f"_r{j}"), F.log(gamma(f"_g{j}")).alias(f"_c{j}"), beta(j).alias(f"_b{j}"))])
+    levels = [F.floor(F.col(w) / F.col(f"_r{j}") + F.col(f"_b{j}")).alias(f"_t{j}_{w}") for j in js for w in weights]
+    each = each.select(*keys, "block", *[f"_{x}{j}" for j in js for x in "grcb"], *levels)
     # value and sample in one long: the least value brings its sample along
-    value = lambda w: F.floor((F.col("_c") - F.col("_r") * (F.col(f"_t_{w}") - F.col("_b") + 1) + 128) * float(1 << 38))
-    sample = lambda w: F.pmod(F.shiftrightunsigned("_g", 24) + F.col(f"_t_{w}") * 40503, F.lit(65535)) + 1
-    least = each.groupBy(*keys, "pos").agg(*[F.min(value(w) * 65536 + sample(w)).alias(w) for w in weights])
-    gathered = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *weights))).alias("_all"))
-
-    def dense(w: str) -> Column:
-        return F.transform("_all", lambda x: F.coalesce(x[w].bitwiseAND(F.lit(65535)), F.lit(0)).cast("int"))
-
-    return gathered.select(*keys, *[dense(w).alias(f"fp_{w}") for w in weights])
+    value = lambda j, w: F.floor((F.col(f"_c{j}") - F.col(f"_r{j}") * (F.col(f"_t{j}_{w}") - F.col(f"_b{j}") + 1) + 128) * float(1 << 38))
+    sample = lambda j, w: F.pmod(F.shiftrightunsigned(f"_g{j}", 24) + F.col(f"_t{j}_{w}") * 40503, F.lit(65535)) + 1
+    least = each.groupBy(*keys, "block").agg(*[F.min(value(j, w) * 65536 + sample(j, w)).alias(f"_{w}_{j}") for w in weights for j in js])
+    low = lambda c: F.coalesce(F.col(c).bitwiseAND(F.lit(65535)), F.lit(0)).cast("int")
+    blocks = least.select(*keys, "block", *[F.array(*[low(f"_{w}_{j}") for j in js]).alias(w) for w in weights])
+    gathered = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", *weights))).alias("_all"))
+    return gathered.select(*keys, *[F.flatten(F.transform("_all", lambda x: x[w])).alias(f"fp_{w}") for w in weights])  # noqa: B023
 
 
 def likeness(a: Column, b: Column) -> Column:

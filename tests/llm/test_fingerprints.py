@@ -125,3 +125,15 @@ def test_real_weights_and_weights_of_a_whole_corpus(spark):
     made = {r.doc: r.fp_w for r in P.samples(spark.createDataFrame(rows, "doc int, term long, w double").withColumn("term", F.xxhash64("term")), ["doc"], ["w"]).collect()}
     off = [sum(x == y for x, y in zip(made[2 * i], made[2 * i + 1])) / P.POSITIONS - w for i, w in enumerate(want)]
     assert abs(sum(off) / len(off)) < 0.02 and sum(x * x for x in off) / len(off) < 0.075**2
+
+
+def test_blocks_of_positions_change_nothing(spark, monkeypatch):
+    """One row of a term samples several positions; samples don't depend on how many."""
+    rng = random.Random(6)
+    terms = spark.createDataFrame([(d, rng.getrandbits(62), rng.choice([0, 1, 7]), rng.random()) for d in range(6) for _ in range(9)], "doc int, term long, a int, b double")
+    made = P.samples(terms, ["doc"], ["a", "b"])
+    assert f"sequence(0, {P.POSITIONS // 4 - 1}," in made._jdf.queryExecution().analyzed().toString()
+    want = sorted(map(tuple, made.collect()))
+    assert all(len(x) == P.POSITIONS for r in want for x in r[1:])
+    monkeypatch.setattr(P, "BLOCK", 1)
+    assert sorted(map(tuple, P.samples(terms, ["doc"], ["a", "b"]).collect())) == want
