@@ -15,6 +15,10 @@ share a key are candidates and are verified on their whole sets.
   segments end first: if no key were shared, the sets would differ by more than
   H within them, and the other indexes those too. The few sets with too little
   weight in all segments index the empty ones as well.
+* Shingles that many texts have (passages, page frames) are cut into segments of their
+  own, which come last, so that sets hardly index them: what many have in common makes
+  few keys. Pigeonhole holds for any partition and order, so which shingles these
+  are, found in a bounded sample of classes, cannot change results.
 * Cost-based allocation: how many segments have neighbourhoods is chosen for each
   band by the number of sets in it, weighing keys to shuffle against false candidates.
 * Equal sets are one class; keys carry the class. Within a key, members are
@@ -68,6 +72,9 @@ BAND_POWER = 2
 SALT_ROWS = 2000
 #: Members of a key that are compared as they are; keys of more are refined by the rare shingles of their members.
 FEW = 32
+#: Classes, about, in whose texts common shingles are counted, the tasks that count, how many of the classes have a common
+#: shingle at least, and the most common shingles that are kept apart (8 bytes each in every task).
+FIT_CLASSES, FIT_TASKS, LEAST, MOST = 16_000, 8, 8, 200_000
 
 
 @dataclass(frozen=True)
@@ -144,6 +151,10 @@ def _enough(band: Band, n: int, similarity: Similarity) -> bool:
     return mean - 4 * math.sqrt(exact * none * (1 - none) + band.deletions * (4 * none + one)) >= band.weight(n, similarity) or n <= 2
 
 
+#: No shingles.
+NONE = np.zeros(0, np.uint64)
+
+
 def _mapper(columns, names):
     return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -184,24 +195,28 @@ def segment_cuts(band: Band) -> np.ndarray:
     return np.array([-(-(i << 64) // m) for i in range(1, m)], dtype=np.uint64)
 
 
-def segment_keys(tokens: np.ndarray, band: Band, cuts: np.ndarray, similarity: Similarity) -> np.ndarray:
-    """The keys of a set in a band: hashes of the segments it indexes, and of those less one shingle."""
+def segment_keys(tokens: np.ndarray, band: Band, cuts: np.ndarray, similarity: Similarity, common: np.ndarray = NONE) -> np.ndarray:
+    """The keys of a set in a band: hashes of the segments it indexes, and of those less one shingle. The shingles in
+    `common` (sorted) have segments of their own behind the others."""
     m, d = band.segments, band.deletions
-    at = np.concatenate([[0], np.searchsorted(tokens, cuts), [len(tokens)]])
+    often = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens if len(common) else np.zeros(len(tokens), dtype=bool)
+    rest, last = tokens[~often], tokens[often]
+    at = np.concatenate([[0], np.searchsorted(rest, cuts), len(rest) + np.concatenate([[0], np.searchsorted(last, cuts), [len(last)]])])
+    tokens = np.concatenate([rest, last])
     sizes = np.diff(at)
     weights = np.minimum(sizes, 1)
     weights[:d] = np.minimum(sizes[:d], 2)
     total = np.cumsum(weights)
     need = band.weight(len(tokens), similarity)
     whole = total[-1] < need
-    q = m if whole else int(np.searchsorted(total, need)) + 1
+    q = len(sizes) if whole else int(np.searchsorted(total, need)) + 1
     mixed = mix(tokens[: at[q]])
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
     sums = run[at[1 : q + 1]] - run[at[:q]]
     salt = mix(np.arange(q, dtype=np.uint64) + np.uint64(band.number << 32))
     keys = mix(sums + salt)
-    if not whole:
-        keys = keys[sizes[:q] > 0]
+    # of two sets with too little weight some segment before the common ones agrees, be it empty
+    keys = keys[(sizes[:q] > 0) | (whole & (np.arange(q) < m))]
     if d:
         segment = np.repeat(np.arange(min(d, q)), sizes[: min(d, q)])
         less = mix(sums[segment] - mixed[: len(segment)] + salt[segment])
@@ -209,7 +224,7 @@ def segment_keys(tokens: np.ndarray, band: Band, cuts: np.ndarray, similarity: S
     return np.unique(keys)
 
 
-def _indexed(docs: DataFrame, plan: dict[int, Band], edges: list[int], similarity: Similarity, bits: int, k: int, id_col: str, text_col: str) -> DataFrame:
+def _indexed(docs: DataFrame, plan: dict[int, Band], edges: list[int], similarity: Similarity, bits: int, k: int, id_col: str, text_col: str, common: np.ndarray = NONE) -> DataFrame:
     """(key, leader, member, before): keys of each class, once in a map task; classes that share a key with
     an earlier one of the batch come as its members, each with the member before it, so a key passes few
     leaders on to the shuffle. Keys have `bits` bits: shorter ones take less room, and what collides is only
@@ -241,7 +256,7 @@ def _indexed(docs: DataFrame, plan: dict[int, Band], edges: list[int], similarit
                 own = int(np.searchsorted(edges, len(s), side="right")) - 1
                 for b in (own, own + 1):
                     if b in plan and (b == own or similarity.largest(len(s)) >= plan[b].low):
-                        found = np.unique(segment_keys(s, plan[b], cuts[b], similarity) >> shift)
+                        found = np.unique(segment_keys(s, plan[b], cuts[b], similarity, common) >> shift)
                         held.append((found, np.full(len(found), c, dtype=np.int64)))
                         size += len(found)
             if size > 400_000:
@@ -294,6 +309,38 @@ def _wide(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("cls", "text").mapInArrow(run, "cls long, n long, wide array<long>")
 
 
+def _repeated(texts: DataFrame, k: int) -> DataFrame:
+    """(key, often): shingles that several texts of a task have, with their number there. Where texts are long, those
+    found once are forgotten now and then."""
+
+    def run(batches):
+        key, often = NONE, np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def fold():
+            found = np.concatenate([key, *held])
+            counts = np.concatenate([often, np.ones(len(found) - len(key), dtype=np.int64)])
+            order = np.argsort(found, kind="stable")
+            found, counts = found[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            return found[first], np.add.reduceat(counts, first)
+
+        for _, sets in _sets(batches, k):
+            held.extend(sets)
+            if sum(map(len, held)) > 1 << 18:
+                key, often = fold()
+                held = []
+                if len(key) > 1 << 20:
+                    key, often = key[often > 1], often[often > 1]
+        if held or len(key):
+            key, often = fold() if sum(map(len, held)) else (key, often)
+            key, often = key[often > 1], often[often > 1]
+            for i in range(0, len(key), 1 << 16):
+                yield _mapper([pa.array(key[i : i + (1 << 16)].view(np.int64)), pa.array(often[i : i + (1 << 16)])], ["key", "often"])
+
+    return texts.select("cls", "text").mapInArrow(run, "key long, often long")
+
+
 def _shingles(texts: DataFrame, k: int) -> DataFrame:
     """(key, cls, n) for each shingle of rows (cls, text), n being the set's size. A text whose set isn't its class's
     (another row of the same id) yields nothing."""
@@ -375,6 +422,14 @@ class _Join:
         repeated = texts.count() > classes.count()
         return (self.scratch.table(texts.distinct(), "texts") if repeated else texts), repeated
 
+    def common(self) -> np.ndarray:
+        """The shingles that at least LEAST of about FIT_CLASSES classes have, sorted; at most the MOST most frequent."""
+        step = -(-self.lite.count() // FIT_CLASSES) or 1
+        texts, _ = self.texts(self.lite.where(F.pmod(F.xxhash64("cls"), F.lit(step)) == 0).select("cls"))
+        found = _repeated(texts.repartition(FIT_TASKS), self.k).groupBy("key").agg(F.sum("often").alias("often")).where(F.col("often") >= LEAST)
+        keys = found.orderBy(F.desc("often"), "key").limit(MOST).select("key").toArrow().column(0).to_numpy()
+        return np.sort(keys.astype(np.int64).view(np.uint64))
+
     def rare(self, wanted: DataFrame) -> DataFrame:
         """(key, cls, at) of the classes in `wanted`: each one's shingles in the order of how many of the classes have
         them, as far as the first that it shares with a linked one may be, with their places; those that it has alone are left out."""
@@ -433,7 +488,7 @@ def class_links(docs: DataFrame, sizes: DataFrame, similarity: Similarity, k: in
     expected = sum(2 * held[i] * (b.segments + b.deletions * (b.high // b.segments + 1)) for i, b in plan.items())
     bits = min(64, 20 + expected.bit_length())
 
-    keyed = _indexed(docs, plan, edges, similarity, bits, k, id_col, text_col)
+    keyed = _indexed(docs, plan, edges, similarity, bits, k, id_col, text_col, join.common())
     dealt = keyed.repartition(F.when(F.col("leader") == F.col("member"), F.col("key")).otherwise(F.xxhash64("member")))
     shared = scratch.table(dealt.sortWithinPartitions("key", "leader").mapInArrow(_lead, "key long, leader long, member long, before long"), "shared")
 

@@ -183,3 +183,51 @@ def test_crowded_keys_make_few_pairs(spark, monkeypatch):
         links, _ = J.class_links(docs, scratch.table(J.set_sizes(docs, 5, "doc_id", "text"), "sizes"), J.Similarity(4, 5), 5, scratch)
         assert links.count() == 1
     assert sum(counts[1:]) < 100
+
+
+def test_linked_sets_share_a_key_with_common_shingles():
+    """As above, where any part of the shingles, none or all of them, has segments of its own; also of sets that index empty segments."""
+    rng = random.Random(5)
+    seen = 0
+    for s in (J.Similarity(9, 10), J.Similarity(4, 5), J.Similarity(1, 2)):
+        ranges = J.bands(s, 600)
+        for _ in range(300):
+            n = rng.choice([1, 2, 3, 5, 9, 20, 50, 120, 400])
+            a = {rng.getrandbits(64) for _ in range(n)}
+            change = rng.randint(0, s.differ(2 * n) + 1)
+            gone = set(rng.sample(sorted(a), min(len(a), rng.randint(0, change))))
+            b = (a - gone) | {rng.getrandbits(64) for _ in range(change - len(gone))}
+            if not b or not linked(a, b, s):
+                continue
+            seen += 1
+            share = rng.choice([0, 0.2, 0.5, 0.9, 1])
+            common = np.array(sorted(x for x in a | b if rng.random() < share), dtype=np.uint64)
+            i = next(i for i, (low, high) in enumerate(ranges) if low <= max(len(a), len(b)) <= high)
+            most = s.differ(2 * ranges[i][1]) + 1
+            for band in (J.allocate(i, *ranges[i], s, 1), J.allocate(i, *ranges[i], s, 10**10), J.Band(i, *ranges[i], most, 0)):
+                cuts = J.segment_cuts(band)
+                keys = [set(J.segment_keys(np.array(sorted(x), dtype=np.uint64), band, cuts, s, common).tolist()) for x in (a, b)]
+                assert keys[0] & keys[1]
+    assert seen > 300
+
+
+def test_shared_passages_crowd_no_keys(spark, monkeypatch):
+    """Texts with one passage in common and no links: its shingles make hardly any crowded keys, whose members' shingles would be counted."""
+    monkeypatch.setattr(J, "FEW", 4)
+    rng = random.Random(14)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"q{rng.randrange(10**6)}" for _ in range(100)] + passage + [f"q{rng.randrange(10**6)}" for _ in range(100)])) for i in range(200)]
+    rows.append((200, rows[7][1] + " end"))
+    counts = {"shingles": 0}
+
+    class Counted(J.Scratch):
+        def table(self, df, tag, by=None):
+            out = super().table(df, tag, by)
+            counts[tag] = counts.get(tag, 0) + out.count()
+            return out
+
+    with Counted(spark) as scratch:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        links, _ = J.class_links(docs, scratch.table(J.set_sizes(docs, 5, "doc_id", "text"), "sizes"), J.Similarity(4, 5), 5, scratch)
+        assert links.count() == 1
+    assert counts["shingles"] < 5000
