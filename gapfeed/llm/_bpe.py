@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -25,24 +26,29 @@ LONGEST = 48
 _NONE = np.iinfo(np.int32).max
 
 
-class Merges:
-    """The merge rules of a BPE file with an end-of-word suffix, applied to many pieces at once."""
+def _read(path: str) -> tuple[dict[str, int], str, list[tuple[str, str]]]:
+    """A file's vocabulary, end-of-word suffix and merges."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    return model["vocab"], model["end_of_word_suffix"], [tuple(p.split(" ") if isinstance(p, str) else p) for p in model["merges"]]
+
+
+def _letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level file."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+
+
+class Rules:
+    """How each token of a file is made, and whether tokens side by side stay apart."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
-        self.size = max(vocab.values()) + 1
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-        self.inner = np.array([vocab[letter[b]] for b in range(256)], dtype=np.int64)
-        self.final = np.array([vocab[letter[b] + suffix] for b in range(256)], dtype=np.int64)
-        byte = self.letters = {c: b for b, c in letter.items()}
+        vocab, suffix, merges = _read(path)
+        byte = {c: b for b, c in _letters().items()}
         #: How each merged token is made: its two parts and the merge's rank.
         self.parts: dict[int, tuple[int, int, int]] = {}
         self.ranks: dict[tuple[int, int], int] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
+        for rank, (a, b) in enumerate(merges):
             self.parts.setdefault(vocab[a + b], (vocab[a], vocab[b], rank))
             self.ranks.setdefault((vocab[a], vocab[b]), rank)
         self.inner_tokens: dict[bytes, int] = {}
@@ -53,21 +59,6 @@ class Merges:
             if all(c in byte for c in bare) and (len(bare) == 1 or self._alone(i)):
                 (self.final_tokens if bare != token else self.inner_tokens)[bytes(byte[c] for c in bare)] = i
         self.longest_token = max(map(len, [*self.inner_tokens, *self.final_tokens]))
-        self.bits = 20
-        slots = 1 << self.bits
-        self.keys = np.full(slots, -1, dtype=np.int64)
-        self.rank = np.full(slots, _NONE, dtype=np.int32)
-        self.made = np.zeros(slots, dtype=np.int64)
-        self.probes = 1
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            key = vocab[a] * self.size + vocab[b]
-            at, tries = self._slot(np.array([key]))[0], 1
-            while self.keys[at] not in (-1, key):
-                at, tries = (at + 1) & (slots - 1), tries + 1
-            if self.keys[at] == -1:
-                self.keys[at], self.rank[at], self.made[at] = key, rank, vocab[a + b]
-            self.probes = max(self.probes, tries)
 
     def _alone(self, token: int) -> bool:
         """Whether a token's own bytes are merged to it: its parts are, and nothing merges over their border before they do."""
@@ -102,6 +93,38 @@ class Merges:
             else:
                 b, before = made_b[0], rank_b + 1
 
+
+class Merges:
+    """The merge rules of a BPE file with an end-of-word suffix, applied to many pieces at once. Only arrays of their
+    size are kept; `rules`, which no merging needs, are read when first asked for."""
+
+    def __init__(self, path: str):
+        self.path = path
+        vocab, suffix, merges = _read(path)
+        self.size = max(vocab.values()) + 1
+        letter = _letters()
+        self.inner = np.array([vocab[letter[b]] for b in range(256)], dtype=np.int64)
+        self.final = np.array([vocab[letter[b] + suffix] for b in range(256)], dtype=np.int64)
+        self.letters = {c: b for b, c in letter.items()}
+        self.bits = max(8, (4 * len(merges)).bit_length())
+        slots = 1 << self.bits
+        self.keys = np.full(slots, -1, dtype=np.int64)
+        self.rank = np.full(slots, _NONE, dtype=np.int32)
+        self.made = np.zeros(slots, dtype=np.int32)
+        self.probes = 1
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], dtype=np.int64)
+        for rank, ((a, b), key, at) in enumerate(zip(merges, keys.tolist(), self._slot(keys).tolist())):
+            tries = 1
+            while self.keys[at] not in (-1, key):
+                at, tries = (at + 1) & (slots - 1), tries + 1
+            if self.keys[at] == -1:
+                self.keys[at], self.rank[at], self.made[at] = key, rank, vocab[a + b]
+            self.probes = max(self.probes, tries)
+
+    @cached_property
+    def rules(self) -> Rules:
+        return Rules(self.path)
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -175,14 +198,16 @@ class PieceEncoder:
     emptied when full, and results don't depend on it."""
 
     def __init__(self, path: str, most_pieces: int = 400_000):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.merges = Merges(path)
         self.letters = self.merges.letters
-        self.openings = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
+        with open(path, encoding="utf-8") as f:
+            self.openings = sorted({t["content"][:2] for t in json.load(f)["added_tokens"]})
         self.most_pieces = most_pieces
-        self._empty()
+        self.forget()
 
-    def _empty(self) -> None:
+    def forget(self) -> None:
+        """Empty the table of pieces, which is most of what an encoder holds: workers outlive their tasks, and other stages need the room."""
         self.index: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
@@ -196,6 +221,11 @@ class PieceEncoder:
             _encoders[key] = cls(path, most_pieces)
         return _encoders[key]
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's own, read with the first text that needs it."""
+        return Tokenizer.from_file(self.path)
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -214,7 +244,7 @@ class PieceEncoder:
         """Each piece's row in `start` and `length`."""
         if missing := list(set(pieces).difference(self.index)):
             if self.index and len(self.index) + len(missing) > self.most_pieces:
-                self._empty()
+                self.forget()
                 missing = list(set(pieces))
             order, ids, lengths = self.merges.run([p for p in missing if len(p) <= LONGEST])
             if long := [p for p in missing if len(p) > LONGEST]:  # merging here takes time by the square of a piece's length
@@ -274,12 +304,12 @@ class PrefixCounts:
     """
 
     def __init__(self, merges: Merges):
-        self.merges = merges
+        self.rules = merges.rules
         self.raw = b""
         self.count, self.last, self.ended = [0], [-1], []
 
     def extend(self, raw: bytes) -> PrefixCounts:
-        m = self.merges
+        m = self.rules
         self.raw += raw
         for i in range(len(self.ended) + 1, len(self.raw) + 1):
             low = max(0, i - m.longest_token)
@@ -292,7 +322,7 @@ class PrefixCounts:
 
     def _token(self, low: int, i: int, tokens: dict[bytes, int]) -> tuple[int, int]:
         """Where the last token of the first i bytes starts, and its id."""
-        raw, last, apart = self.raw, self.last, self.merges.apart
+        raw, last, apart = self.raw, self.last, self.rules.apart
         for a in range(low, i):
             token = tokens.get(raw[a:i], -1)
             if token >= 0 and (not a or apart(last[a], token)):

@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20) + 1
+        size = max(n, 1 << 18) + 1
         tables = []
         for p in (_P, _P_INV):
             steps = np.full(size, p, dtype=np.uint64)

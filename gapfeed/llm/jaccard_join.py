@@ -75,6 +75,8 @@ FEW = 32
 #: Classes, about, in whose texts common shingles are counted, the tasks that count, how many of the classes have a common
 #: shingle at least, and the most common shingles that are kept apart (8 bytes each in every task).
 FIT_CLASSES, FIT_TASKS, LEAST, MOST = 16_000, 8, 8, 200_000
+#: Bytes of text that are hashed at once (a longer text is its own chunk): hashing takes some 60 times as many.
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -165,7 +167,7 @@ def _class_of(tokens: np.ndarray) -> int:
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        for a, b in text_chunks(batch.column(1)):
+        for a, b in text_chunks(batch.column(1), CHUNK):
             part = batch.slice(a, b - a)
             yield part, shingle_sets(*utf8(part.column(1)), k)
 
@@ -318,12 +320,11 @@ def _repeated(texts: DataFrame, k: int) -> DataFrame:
         held: list[np.ndarray] = []
 
         def fold():
-            found = np.concatenate([key, *held])
-            counts = np.concatenate([often, np.ones(len(found) - len(key), dtype=np.int64)])
-            order = np.argsort(found, kind="stable")
-            found, counts = found[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-            return found[first], np.add.reduceat(counts, first)
+            new, times = np.unique(np.concatenate(held), return_counts=True)
+            at = np.searchsorted(key, new)
+            known = key[np.minimum(at, len(key) - 1)] == new if len(key) else np.zeros(len(new), dtype=bool)
+            often[at[known]] += times[known]
+            return np.insert(key, at[~known], new[~known]), np.insert(often, at[~known], times[~known])
 
         for _, sets in _sets(batches, k):
             held.extend(sets)

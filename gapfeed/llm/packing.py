@@ -62,6 +62,7 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id: int = 2
                     columns.append(pa.array(kept, pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        encoder.forget()
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<long>" * with_ids
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -87,7 +87,7 @@ class PrefixTable:
         `most`, prefixes that must hold more tokens are left out."""
         if piece[:2] in ("'r", "'v", "'l"):
             return [sum(prefix_counts(p, self.encoder.merges)[-1] for p in PIECE.findall(piece[:j])) for j in range(1, len(piece) + 1)]
-        return self._by_characters([c.encode() for c in (piece if most is None else piece[: (most + 1) * self.encoder.merges.longest_token])])
+        return self._by_characters([c.encode() for c in (piece if most is None else piece[: (most + 1) * self.encoder.merges.rules.longest_token])])
 
     def _by_characters(self, characters: list[bytes]) -> list[int]:
         counts = PrefixCounts(self.encoder.merges).extend(b"".join(characters)).ended
@@ -119,7 +119,7 @@ class PrefixTable:
         start, end, left = self.ends[i], self.ends[i + 1], budget - self.running[i]
         piece = self.text[start:end]
         bare = piece.lstrip()
-        some = bare[: (left + 1) * self.encoder.merges.longest_token]
+        some = bare[: (left + 1) * self.encoder.merges.rules.longest_token]
         whole = self.encoder.tokenizer.normalizer.normalize_str(some)
         characters = [self.encoder.tokenizer.normalizer.normalize_str(c) for c in some]
         alone = "".join(characters) == whole and not any(o in some for o in self.encoder.openings) and not self.special[i + 1]

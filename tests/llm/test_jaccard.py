@@ -2,10 +2,13 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from gapfeed.llm import _hashing
 from gapfeed.llm import jaccard_join as J
 from gapfeed.llm.components import components
 
@@ -231,3 +234,31 @@ def test_shared_passages_crowd_no_keys(spark, monkeypatch):
         links, _ = J.class_links(docs, scratch.table(J.set_sizes(docs, 5, "doc_id", "text"), "sizes"), J.Similarity(4, 5), 5, scratch)
         assert links.count() == 1
     assert counts["shingles"] < 5000
+
+
+def test_hashing_takes_little_memory(documents, monkeypatch):
+    """Hashing takes many times the text at once; two workers share an executor with its JVM."""
+    monkeypatch.setattr(type(documents), "mapInArrow", lambda self, run, schema: run)
+    monkeypatch.setattr(_hashing, "_powers", [])
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["aa", "bbb", "c", "dddd"]) + str(rng.randint(0, 999)) for _ in range(500)) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts)], names=["doc_id", "text"])
+    run = J.set_sizes(documents, 5, "doc_id", "text")
+    tracemalloc.start()
+    try:
+        assert sum(len(b) for b in run(iter([batch]))) == 600
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeated_shingles_are_counted(documents, monkeypatch):
+    """Counts don't depend on how often those of earlier texts were added to."""
+    monkeypatch.setattr(type(documents), "mapInArrow", lambda self, run, schema: run)
+    texts = [" ".join(f"{i if j % 7 else 'all'}w{j}" for j in range(3000)) for i in range(300)] + ["same words in two texts"] * 2 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["cls", "text"])
+    found = {}
+    for b in J._repeated(documents.selectExpr("doc_id as cls", "text"), 1)(iter([batch])):
+        assert not found.keys() & set(b.column(0).to_pylist())
+        found |= dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    assert sorted(found.values()) == [2] * 5 + [300] * len(range(0, 3000, 7))

@@ -2,9 +2,11 @@
 
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -113,6 +115,27 @@ def test_table_of_pieces_may_be_emptied(library, documents):
         assert small.ids([t])[0].tolist() == ids(library, t)
 
 
+def test_encoder_is_small():
+    """Workers keep it, beside a JVM that takes most of an executor's memory."""
+    tracemalloc.start()
+    try:
+        encoder = PieceEncoder(tokenizer_path())
+        encoder.ids([" ".join(f"word{i}" for i in range(50_000))])
+        encoder.forget()
+        assert tracemalloc.get_traced_memory()[0] < 16 << 20
+    finally:
+        tracemalloc.stop()
+    assert "tokenizer" not in vars(encoder)  # Latin texts don't need the library's
+
+
+def test_packing_task_leaves_no_pieces(documents, monkeypatch):
+    monkeypatch.setattr(type(documents), "mapInArrow", lambda self, run, schema: run)
+    run = packing.pieces(documents, tokenizer_path())
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", None])], names=["doc_id", "text"])
+    assert sum(len(b) for b in run(iter([batch]))) == 3
+    assert not PieceEncoder.of(tokenizer_path()).index
+
+
 def test_prefix_tables(documents, library):
     docs = documents.where("doc_id < 5")
     texts = {r.doc_id: r.text for r in docs.collect()}
