@@ -106,20 +106,18 @@ class Merges:
         self.inner = np.array([vocab[letter[b]] for b in range(256)], dtype=np.int64)
         self.final = np.array([vocab[letter[b] + suffix] for b in range(256)], dtype=np.int64)
         self.letters = {c: b for b, c in letter.items()}
+        #: What the merge of each rank makes.
+        self.made = np.array([vocab[a + b] for a, b in merges], dtype=np.int32)
         self.bits = max(8, (4 * len(merges)).bit_length())
         slots = 1 << self.bits
         self.keys = np.full(slots, -1, dtype=np.int64)
         self.rank = np.full(slots, _NONE, dtype=np.int32)
-        self.made = np.zeros(slots, dtype=np.int32)
-        self.probes = 1
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], dtype=np.int64)
-        for rank, ((a, b), key, at) in enumerate(zip(merges, keys.tolist(), self._slot(keys).tolist())):
-            tries = 1
+        for rank, (key, at) in enumerate(zip(keys.tolist(), self._slot(keys).tolist())):
             while self.keys[at] not in (-1, key):
-                at, tries = (at + 1) & (slots - 1), tries + 1
+                at = (at + 1) & (slots - 1)
             if self.keys[at] == -1:
-                self.keys[at], self.rank[at], self.made[at] = key, rank, vocab[a + b]
-            self.probes = max(self.probes, tries)
+                self.keys[at], self.rank[at] = key, rank
 
     @cached_property
     def rules(self) -> Rules:
@@ -128,69 +126,67 @@ class Merges:
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and product of each pair; the largest rank where none merges."""
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; the largest where none merges."""
         key = left * self.size + right
         at = self._slot(key)
-        rank, made = np.full(key.shape, _NONE, dtype=np.int32), np.zeros(key.shape, dtype=np.int64)
-        todo = np.arange(len(key))
-        for _ in range(self.probes):
-            there = self.keys[at]
-            hit = there == key
-            rank[todo[hit]], made[todo[hit]] = self.rank[at[hit]], self.made[at[hit]]
-            go = ~hit & (there != -1)
-            if not go.any():
-                break
-            todo, key, at = todo[go], key[go], (at[go] + 1) & ((1 << self.bits) - 1)
-        return rank, made
-
-    def run(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Pieces in a new order, their ids end to end, and how many each has: the pair of lowest rank,
-        leftmost first, merges until none does."""
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pieces:
-            raw = p.encode()
-            by_length.setdefault(len(raw), []).append((p, raw))
-        order: list[str] = []
+        there, rank = self.keys[at], self.rank[at]  # an empty slot has the largest rank
+        todo = np.flatnonzero((there != key) & (there != -1))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            there, rank[todo] = self.keys[at[todo]], self.rank[at[todo]]
+            todo = todo[(there != key[todo]) & (there != -1)]
+        return rank
+
+    def run(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces without line ends, end to end, and how many each has."""
         flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for n, members in by_length.items():
-            step = max(1, 200_000 // n)
-            for a in range(0, len(members), step):
-                some = members[a : a + step]
-                ids, left = self._same_length(np.frombuffer(b"".join(raw for _, raw in some), dtype=np.uint8).reshape(-1, n))
-                order.extend(p for p, _ in some)
-                flat.append(ids)
-                lengths.append(left)
-        return order, np.concatenate(flat), np.concatenate(lengths)
-
-    def _same_length(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count, n = raw.shape
-        ids = self.inner[raw]
-        ids[:, -1] = self.final[raw[:, -1]]
-        left = np.full(count, n)
-        if n > 1:
-            rank, made = (x.reshape(count, n - 1) for x in self.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()))
-            live = np.arange(count)
-            column = np.arange(n)
-            while True:
-                at = rank[live].argmin(axis=1)
-                some = rank[live, at] < _NONE
-                live, at = live[some], at[some]
-                if not len(live):
-                    break
-                ids[live, at] = made[live, at]
-                moved = np.minimum(column[None, :] + (column[None, :] > at[:, None]), n - 1)
-                ids[live] = np.take_along_axis(ids[live], moved, axis=1)
-                gaps = np.minimum(column[None, : n - 1] + (column[None, : n - 1] >= at[:, None]), n - 2)
-                r, m = np.take_along_axis(rank[live], gaps, axis=1), np.take_along_axis(made[live], gaps, axis=1)
-                left[live] -= 1
-                r[column[None, : n - 1] >= (left[live] - 1)[:, None]] = _NONE
-                for near in (at - 1, at):
-                    ok = np.flatnonzero((near >= 0) & (near < left[live] - 1))
-                    r[ok, near[ok]], m[ok, near[ok]] = self.find(ids[live[ok], near[ok]], ids[live[ok], near[ok] + 1])
-                rank[live], made[live] = r, m
-        flat = ids[column[None, :] < left[:, None]] if n > 1 else ids.ravel()
-        return flat.astype(np.uint32), left
+        step = 200_000 // LONGEST
+        for a in range(0, len(pieces), step):
+            raw = np.frombuffer("\n".join([*pieces[a : a + step], ""]).encode(), dtype=np.uint8)
+            ends = np.flatnonzero(raw == 10)
+            ids, left = self._together(raw[raw != 10], np.diff(ends, prepend=-1) - 1)
+            flat.append(ids)
+            lengths.append(left)
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def _together(self, raw: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces end to end, and the bytes of each. In each round the pair of lowest rank, leftmost first, merges in
+        every piece that has one, whatever its length; the others are left out from then on."""
+        out, alive = self.inner[raw], np.ones(len(raw), dtype=bool)
+        last = np.cumsum(count) - 1
+        out[last] = self.final[raw[last]]
+        # Of the tokens in work: where each lies in `out`, its id, and the rank of it and the next one of its piece.
+        at, ids = np.arange(len(raw)), out.copy()
+        rank = np.full(len(raw), _NONE, dtype=np.int64)
+        rank[:-1] = self.find(ids[:-1], ids[1:])
+        rank[last] = _NONE
+        while len(count):
+            start = np.cumsum(count) - count
+            low = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), start)
+            some = low < _NONE << 32
+            here = low[some] & 0xFFFFFFFF
+            made = self.made[low[some] >> 32]
+            out[at[here]] = ids[here] = made
+            alive[at[here + 1]] = False
+            keep = np.repeat(some, count)
+            keep[here + 1] = False
+            inside = here - start[some]
+            count = count[some] - 1
+            at, ids, rank = at[keep], ids[keep], rank[keep]
+            here = np.cumsum(count) - count + inside
+            rank[here] = _NONE
+            near = np.concatenate([here[inside > 0] - 1, here[inside < count - 1]])
+            rank[near] = self.find(ids[near], ids[near + 1])
+        return out[alive].astype(np.uint32), np.add.reduceat(alive, last - np.diff(last, prepend=-1) + 1, dtype=np.int64)
+
+
+class _Rows(dict):
+    """A piece's row; a new piece gets the next one."""
+
+    def __missing__(self, piece: str) -> int:
+        row = self[piece] = len(self)
+        return row
 
 
 class PieceEncoder:
@@ -208,7 +204,7 @@ class PieceEncoder:
 
     def forget(self) -> None:
         """Empty the table of pieces, which is most of what an encoder holds: workers outlive their tasks, and other stages need the room."""
-        self.index: dict[str, int] = {}
+        self.index = _Rows()
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
@@ -242,20 +238,26 @@ class PieceEncoder:
 
     def rows(self, pieces: list[str]) -> np.ndarray:
         """Each piece's row in `start` and `length`."""
-        if missing := list(set(pieces).difference(self.index)):
-            if self.index and len(self.index) + len(missing) > self.most_pieces:
-                self.forget()
-                missing = list(set(pieces))
-            order, ids, lengths = self.merges.run([p for p in missing if len(p) <= LONGEST])
-            if long := [p for p in missing if len(p) > LONGEST]:  # merging here takes time by the square of a piece's length
-                got = [np.array(self.whole(p), dtype=np.uint32) for p in long]
-                order, ids, lengths = order + long, np.concatenate([ids, *got]), np.concatenate([lengths, [len(g) for g in got]])
-            base = len(self.index)
-            self.index.update(zip(order, range(base, base + len(order))))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+        if len(self.index) != len(self.start):  # stopped before its last pieces were merged
+            self.forget()
+        base = len(self.index)
+        rows = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        if base and len(self.index) > max(base, self.most_pieces):
+            self.forget()
+            return self.rows(pieces)
+        if len(self.index) > base:
+            new = list(itertools.islice(reversed(self.index), len(self.index) - base))[::-1]
+            long = np.array([len(p) > LONGEST for p in new])
+            ids, lengths = self.merges.run([p for p in new if len(p) <= LONGEST])
+            if long.any():  # merging here takes time by the square of a piece's length
+                got = [np.array(self.whole(p), dtype=np.uint32) for p in new if len(p) > LONGEST]
+                ids, lengths = np.concatenate([ids, *got]), np.concatenate([lengths, [len(g) for g in got]])
+            start, length = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+            order = np.argsort(long, kind="stable")
+            start[order], length[order] = len(self.flat) + np.cumsum(lengths) - lengths, lengths
+            self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
             self.flat = np.concatenate([self.flat, ids])
-            self.length = np.concatenate([self.length, lengths])
-        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        return rows
 
     def counts(self, texts: list[str]) -> list[np.ndarray | None]:
         """For each text the number of tokens of each of its pieces; None: not encoded by pieces."""

@@ -115,6 +115,42 @@ def test_table_of_pieces_may_be_emptied(library, documents):
         assert small.ids([t])[0].tolist() == ids(library, t)
 
 
+def mixed_words(seed, n):
+    rng = random.Random(seed)
+    letters = ["th", "er", "ing", "q", "ea", "lich", "x", "tion", "é", "ß", "z", "ȷ"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(n)]
+    return [w * 4 if i % 50 == 7 else w + "!?" * (i % 9 == 0) for i, w in enumerate(words)]
+
+
+def test_pieces_of_all_lengths_merge_in_the_same_rounds(monkeypatch):
+    """Pairs are looked up once a round for all new pieces, not once for each of their lengths."""
+    encoder = PieceEncoder(tokenizer_path())
+    words = [w for w in mixed_words(3, 2_000) if len(w) <= 24]
+    calls, find = [], type(encoder.merges).find
+    monkeypatch.setattr(type(encoder.merges), "find", lambda self, a, b: calls.append(len(a)) or find(self, a, b))
+    encoder.ids([" ".join(words)])
+    assert len({len(w) for w in words}) > 15 and 0 < len(calls) <= 2 * 24
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 3_000])
+def test_mixed_pieces_equal_the_library(library, at_once):
+    """Short and long pieces, new and known, in any order and number."""
+    words = mixed_words(4, 3_000)
+    encoder = PieceEncoder(tokenizer_path(), most_pieces=1_500)
+    texts = [" ".join(words[a : a + at_once]) for a in range(0, len(words), at_once)]
+    assert any(len(w) > 48 for w in words)
+    assert [x.tolist() for t in texts for x in encoder.ids([t, "", t])] == [x for t in texts for x in (ids(library, t), [], ids(library, t))]
+
+
+def test_stopped_merging_leaves_no_wrong_rows(library, monkeypatch):
+    encoder = PieceEncoder(tokenizer_path())
+    encoder.ids(["some words first"])
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(type(encoder.merges), "run", lambda self, pieces: (_ for _ in ()).throw(KeyboardInterrupt))
+        encoder.ids(["words that stay behind"])
+    assert encoder.ids(["others that stay first"])[0].tolist() == ids(library, "others that stay first")
+
+
 def test_encoder_is_small():
     """Workers keep it, beside a JVM that takes most of an executor's memory."""
     tracemalloc.start()
