@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 from gapfeed.operators import gaps, sources
 
 
+def rows_of(plan, name):
+    """The most rows that a join of an executed plan made."""
+    if "AdaptiveSparkPlan" in plan.nodeName():
+        return rows_of(plan.executedPlan(), name)
+    own = plan.metrics().get("numOutputRows").get().value() if name in plan.nodeName() else 0
+    inner = [plan.plan()] if "QueryStage" in plan.nodeName() else [plan.children().apply(i) for i in range(plan.children().size())]
+    return max([own, *(rows_of(p, name) for p in inner)])
+
+
 def test_merge_of_one_hot_file(spark):
     rng = random.Random(2)
     rows = [("f", i, s, s + rng.choice([0, 0, 1, 4, -3]), rng.choice([0.5, 0.9]), [s], [f"i{rng.randint(0, 3)}"]) for i, s in enumerate(rng.choices(range(1, 3000), k=700))]
@@ -54,3 +63,43 @@ def test_latest_start_of_one_hot_file(spark):
         assert sorted(map(tuple, sources.latest_start(t, f, split=split).collect())) == sorted(want)
     plan = sources.latest_start(t, f)._jdf.queryExecution().optimizedPlan().toString()
     assert ">=" not in plan.split("Join Inner")[1].split("\n")[0]
+
+
+def _ranges(rng, n, far):
+    """Ranges of one hot file: short, long, reversed, below line 1 and without an end or a start."""
+    out = []
+    for i in range(n):
+        s = rng.randint(-20, far)
+        e = rng.choice([s, s + rng.randint(0, 9), s + rng.randint(0, far), s - rng.randint(1, 30), None] if i % 3 == 0 else [s + rng.randint(0, 12)])
+        out.append((i, "f" if i % 9 else "g", None if i % 50 == 49 else s, e))
+    return out
+
+
+def test_overlaps_of_one_hot_file(spark):
+    rng = random.Random(5)
+    b, s = _ranges(rng, 400, 700), _ranges(rng, 300, 700)
+    blocks = spark.createDataFrame(b, "block_id int, file string, start_line int, end_line int")
+    spans = spark.createDataFrame([(i * 7 % 300, f"n{i}", *r) for i, *r in s], "span_pos int, name string, file string, start_line int, end_line int")
+    first, least = {}, {}
+    known = lambda *x: None not in x
+    for i, f, bs, be in b:
+        for j, g, ss, se in s:
+            pos = j * 7 % 300
+            if f == g and known(bs, ss, se) and (ss <= bs <= se or (known(be) and bs <= se and ss <= be)):
+                first[i] = min(first.get(i, (999, "")), (pos, f"n{j}"))
+            to, until = (x if y is None or x is None else max(x, y) for x, y in ((ss, se), (bs, be)))
+            if f == g and known(bs, ss) and bs <= to and ss <= until:
+                least[i] = min(least.get(i, (999, 0)), (to - ss, pos))
+    got = gaps.span_of_block(blocks, spans, ["file"]).collect()
+    assert {r.block_id: (r.span_pos, r.name) for r in got} == {i: first.get(i, (None, None)) for i, *_ in b} and len(got) == len(b)
+    got = gaps.branch_of_block(blocks, spans.withColumnRenamed("span_pos", "branch_pos"), ["file"]).collect()
+    assert {r.block_id: r.branch_pos for r in got} == {i: least.get(i, (None, None))[1] for i, *_ in b} and len(got) == len(b)
+
+
+def test_overlaps_never_become_pairs(spark):
+    """2,000 blocks that overlap all of 2,000 distinct spans: rows follow their number, not the pairs."""
+    n = 2000
+    rows = spark.range(n).select(F.lit("f").alias("file"), F.col("id"), (F.col("id") + 1).cast("int").alias("start_line"), (F.col("id") + n + 1).cast("int").alias("end_line"))
+    for found in (gaps.span_of_block(rows.withColumnRenamed("id", "block_id"), rows.selectExpr("file", "id as span_pos", "'x' as name", "start_line", "end_line"), ["file"]), gaps.branch_of_block(rows.withColumnRenamed("id", "block_id"), rows.withColumnRenamed("id", "branch_pos"), ["file"])):
+        assert len(found.collect()) == n
+        assert rows_of(found._jdf.queryExecution().executedPlan(), "Join") < 60 * n
