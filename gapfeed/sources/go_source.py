@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapfeed.functions.text import trim
+from gapfeed.operators.scans import running
+from gapfeed.shipping import materialize
 from gapfeed.sources.structure import by_level, following, masked, preceding, tokens
 
 #: A declaration stands at the start of a line; braces of types and of an else are told from others.
@@ -41,14 +43,24 @@ def levels(files: DataFrame) -> DataFrame:
     opener = preceding(F.when(k.isin("decl", "func", "if", "switch", "select", "{", "newline", "goes_on"), k))
     closed = following(F.when(k == "}", F.col("line")))
     rows = rows.withColumns({"opener": opener, "closed": closed})
-    body = F.when(k == "{", F.struct("ord", "at", "closed", F.col("opener").isin("decl", "func").alias("literal")))
+    body = F.when(k == "{", F.struct("ord", "at", "line", "closed", F.col("opener").isin("decl", "func").alias("literal")))
     line_end = F.when(k.isin("newline", "goes_on", "decl"), F.col("ord"))
     statement = F.when(k == "newline", F.col("line") - 1).when(k.isin("stop", "decl"), F.col("line"))
     return rows.withColumns({"own_body": following(body), "plain_body": following(F.when(~F.col("opener").isin("decl", "func") | F.col("opener").isNull(), body)), "line_end": following(line_end), "statement_end": following(statement)})
 
 
-def _header(at: Column, body_at: Column, skip: int) -> Column:
-    return F.substring("source", at + 1 + skip, body_at - at - skip)
+def _headers(rows: DataFrame, files: DataFrame, skip: int) -> DataFrame:
+    """Rows (file, at, line, body_at, body_line, more) with `h`, the source from `skip` behind at to body_at.
+
+    It is cut from the lines it stands on; the whole source with each row would be copied and counted through for every one.
+    """
+    lines = files.select("file", F.posexplode(F.split("source", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    lines = running(lines, ["file"], "line", sums={"_behind": F.char_length("text") + 1}).select("file", "line", "text", (F.col("_behind") - F.char_length("text") - 1).alias("_start"))
+    each = rows.select("file", "at", F.explode(F.sequence("line", "body_line")).alias("line")).join(lines.hint("merge"), ["file", "line"])
+    near = each.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_near"), F.min("_start").alias("_start"))
+    near = near.select("file", "at", F.array_join(F.transform("_near", lambda x: x["text"]), "\n").alias("_text"), "_start")
+    cut = F.substring("_text", (F.col("at") - F.col("_start") + 1 + skip).cast("int"), (F.col("body_at") - F.col("at") - skip).cast("int"))
+    return rows.join(near.hint("merge"), ["file", "at"]).withColumn("h", cut).drop("_text", "_start")
 
 
 def parameter_names(raw: Column) -> Column:
@@ -75,11 +87,13 @@ def go_structure(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     go = files.where(F.endswith("file", F.lit(".go")) & F.col("source").isNotNull()).select("file", "source")
     rows = levels(go)
-    last = F.size(F.split("source", "\n"))
-    decl = rows.where((F.col("kind") == "decl") & (F.col("depth") == 0) & (F.col("own_body.ord") < F.coalesce("line_end", F.col("own_body.ord") + 1)))
-    decl = decl.select("file", F.col("at") + 1, "line", "own_body.closed", F.col("own_body.at").alias("body_at")).toDF("file", "at", "line", "closed", "body_at").join(go, "file")
-    header = F.concat(F.lit("func"), _header(F.col("at"), F.col("body_at"), 4))
-    decl = decl.select("file", "at", "line", F.coalesce("closed", last).cast("int").alias("end_line"), header.alias("h")).where(F.col("h").rlike(_DECLARED))
+    used = ((F.col("kind") == "decl") & (F.col("depth") == 0)) | F.col("kind").isin("if", "switch", "select", "return")
+    # written once: all three results are read from it
+    rows = materialize(rows.where(used).select("file", "ord", "at", "line", "kind", "own_body", "plain_body", "line_end", "statement_end"), "tokens")
+    lengths = go.select("file", F.size(F.split("source", "\n")).alias("last")).hint("merge")
+    decl = rows.where((F.col("kind") == "decl") & (F.col("own_body.ord") < F.coalesce("line_end", F.col("own_body.ord") + 1)))
+    decl = decl.select("file", (F.col("at") + 1).alias("at"), "line", "own_body.closed", F.col("own_body.at").alias("body_at"), F.col("own_body.line").alias("body_line"))
+    decl = _headers(decl, go, 4).join(lengths, "file").select("file", "at", "line", F.coalesce("closed", "last").cast("int").alias("end_line"), F.concat(F.lit("func"), "h").alias("h")).where(F.col("h").rlike(_DECLARED))
     receiver, name = F.regexp_extract("h", _DECLARED, 1), F.regexp_extract("h", _DECLARED, 2)
     owner = F.regexp_extract(receiver, _RECEIVER, 1)
     listed = F.regexp_extract("h", _DECLARED + r"((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)\)", 3)
@@ -87,9 +101,8 @@ def go_structure(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "file", "at", F.when(owner == "", name).otherwise(F.concat(owner, F.lit("."), name)).alias("name"), F.when(receiver == "", "function").otherwise("method").alias("kind"),
         F.col("line").alias("start_line"), "end_line", parameter_names(listed).alias("params"), F.lit(True).alias("approx"),
     )
-    branch = rows.where(F.col("kind").isin("if", "switch", "select") & F.col("plain_body").isNotNull()).select("file", "at", "kind", "line", "plain_body.closed", F.col("plain_body.at").alias("body_at")).join(go, "file")
-    text = _header(F.col("at"), F.col("body_at"), 2)
-    branch = branch.select("file", "at", "kind", "line", F.coalesce("closed", last).cast("int").alias("end_line"), F.when(F.col("kind") == "if", text).otherwise("").alias("h"))
+    branch = rows.where(F.col("kind").isin("if", "switch", "select") & F.col("plain_body").isNotNull()).select("file", "at", "kind", "line", "plain_body.closed", F.col("plain_body.at").alias("body_at"), F.col("plain_body.line").alias("body_line"))
+    branch = _headers(branch, go, 2).join(lengths, "file").select("file", "at", "kind", "line", F.coalesce("closed", "last").cast("int").alias("end_line"), F.when(F.col("kind") == "if", F.col("h")).otherwise("").alias("h"))
     bare = masked(F.col("h"))
     condition = trim(F.expr("substring(h, char_length(h) - char_length(_rest) + 1)"))
     branch = branch.withColumn("_rest", F.substring_index(bare, ";", -1)).select("file", "at", "kind", condition.alias("condition"), F.col("line").alias("start_line"), "end_line")

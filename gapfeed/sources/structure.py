@@ -55,8 +55,9 @@ def by_level(rows: DataFrame) -> DataFrame:
 
 
 def following(value: Column) -> Column:
-    """The first value that isn't null of the rows behind one, on its level."""
-    return F.first(value, ignorenulls=True).over(Window.partitionBy("file", "level").orderBy("ord").rowsBetween(1, Window.unboundedFollowing))
+    """The first value that isn't null of the rows behind one, on its level: carried along from the other end, as a frame
+    that reaches to the last row is read anew for each row."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy("file", "level").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1))
 
 
 def preceding(value: Column) -> Column:

@@ -98,3 +98,19 @@ def test_parameters(spark):
     lists = {"a, b int, c ...string": ["a", "b", "c"], "int, *T, chan int": ["arg"] * 3, "": [], "f func(a, b int) (int, error), m map[string]struct{ x, y int }": ["f", "m"]}
     rows = spark.createDataFrame(list(lists.items()), "raw string, want array<string>").select("want", parameter_names(F.col("raw")).alias("got")).collect()
     assert all(r.want == r.got for r in rows)
+
+
+def test_levels_read_each_row_once(spark):
+    """A frame that reaches to the last row is read anew for each row, which made files quadratic."""
+    from gapfeed.sources.go_source import levels
+
+    plan = levels(spark.createDataFrame([("a.go", GO)], "file string, source string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+def test_headers_on_several_lines(spark):
+    head = "package p\n\n" + "func pad() {}\n" * 40
+    code = head + "func (s *S) Wide(a int,\n\tb string,\n) error {\n\tif x := f(\n\t\t1); x &&\n\t\ty {\n\t}\n\treturn nil\n}\nfunc Z(q int) {}"
+    spans, branches, _ = ([r.asDict() for r in t.orderBy("start_line").collect()] for t in go_structure(spark.createDataFrame([("w.go", code)], "file string, source string")))
+    assert [(s["name"], s["params"], s["start_line"]) for s in spans[-2:]] == [("S.Wide", ["a", "b"], 43), ("Z", ["q"], 52)] and len(spans) == 42
+    assert [(b["kind"], b["condition"], b["start_line"], b["end_line"]) for b in branches] == [("if", "x &&\n\t\ty", 46, 49)]
