@@ -49,15 +49,16 @@ def located(blocks: DataFrame, spans: DataFrame, sources: DataFrame, branches: D
     placed = blocks.withColumnsRenamed({"file": "_path", "source_file": "file"})
     found = gaps.span_of_block(placed, spans, ["file"]).drop("name")
     span = spans.select("file", "span_pos", F.col("name").alias("function"), "kind", "params", F.col("start_line").alias("_from"), F.col("end_line").alias("_to"))
-    found = found.join(span, ["file", "span_pos"], "left")
+    # what Spark takes sizes of derived rows for is far too low for a broadcast
+    found = found.join(span.hint("merge"), ["file", "span_pos"], "left")
     inside = found.where(F.col("function").isNotNull())
     cut = inside.select(F.col("block_id").alias("key"), "file", F.greatest("start_line", "_from").alias("start_line"), F.least("end_line", "_to").alias("end_line")).where("start_line <= end_line")
     texts = texts_of(cut, sources).select(F.col("key").alias("block_id"), "text")
     of_go = inside.where(T.framework_name("framework") == "go-test")
     near = gaps.branch_of_block(of_go, branches, ["file"]).select("block_id", "file", "branch_pos")
     returning = gaps.blocks_with_return(of_go.select("block_id", "file", "start_line", "end_line"), returns, ["file"]).select("block_id", F.lit(True).alias("_returns"))
-    branch = near.join(branches.select("file", "branch_pos", F.col("kind").alias("branch_kind"), "condition"), ["file", "branch_pos"]).select("block_id", "branch_kind", "condition")
-    rows = found.join(texts, "block_id", "left").join(branch, "block_id", "left").join(returning, "block_id", "left")
+    branch = near.join(branches.select("file", "branch_pos", F.col("kind").alias("branch_kind"), "condition").hint("merge"), ["file", "branch_pos"]).select("block_id", "branch_kind", "condition")
+    rows = found.join(texts.hint("merge"), "block_id", "left").join(branch.hint("merge"), "block_id", "left").join(returning.hint("merge"), "block_id", "left")
     # each derived text is a column of its own: the rules below name it many times
     rows = rows.withColumn("text", T.trim(F.coalesce("text", F.lit(""))))
     text, known = F.col("text"), F.col("function").isNotNull()
@@ -110,11 +111,14 @@ def coverage_suggestions(files: DataFrame, blocks: DataFrame, sources: DataFrame
     Reported paths are resolved to sources; what can't be resolved gets plain suggestions. Only
     the files that reports name are read for their structure.
     """
-    where = resolve_paths(files.select(F.col("file").alias("path")), sources).withColumnsRenamed({"file": "source_file", "path": "file"})
-    needed = sources.join(where.where("source_file is not null").select(F.col("source_file").alias("file")).distinct(), "file", "left_semi")
+    files = materialize(files, "files")  # read by several joins, where it would be counted anew each time
+    where = materialize(resolve_paths(files.select(F.col("file").alias("path")), sources).withColumnsRenamed({"file": "source_file", "path": "file"}), "resolved")
+    needed = materialize(sources.join(where.where("source_file is not null").select(F.col("source_file").alias("file")).distinct(), "file", "left_semi"), "sources")
     spans, branches, returns = structure_of(needed) if structure is None else structure
-    open_ = gaps.uncovered(files, blocks, ["report", "file"]).join(where, "file", "left")
-    open_ = open_.select("report", "framework", "file", "source_file", "block_id", F.col("block_id").alias("idx"), "start_line", "end_line")
+    # what is said of a block follows from its file and lines, and of equal ones the first counts: so they are one from here on
+    same = blocks.where(~F.col("covered")).groupBy("report", "file", "start_line", "end_line").agg(F.min("block_id").alias("block_id")).withColumn("covered", F.lit(False))
+    open_ = gaps.uncovered(files, same, ["report", "file"]).join(where, "file", "left")
+    open_ = materialize(open_.select("report", "framework", "file", "source_file", "block_id", F.col("block_id").alias("idx"), "start_line", "end_line"), "open")
     return suggestions(files, located(open_, spans, needed, branches, returns))
 
 

@@ -92,3 +92,27 @@ def test_names_comments_and_paths(spark):
     assert value(generated.missing_imports(F.array(F.lit("a")), F.array(F.lit("b"), F.lit("a"), F.lit("b")))) == ["b"]
     assert value(generated.provider_action(F.lit("llm_json_error"))) == "retry_model_or_fallback_static" and value(generated.provider_action(F.lit("?"))) == "inspect_provider"
     assert value(generated.database_dependent(F.lit("db.commit"), F.lit(" error_path"))) is True and value(generated.database_dependent(F.lit("db.query"), F.lit(""))) is False
+
+
+def test_equal_blocks_are_read_once(spark, monkeypatch):
+    """Blocks of equal lines become one before they meet functions, texts and neighbours; the first keeps its place."""
+    n = 400
+    found = spark.range(n).select(F.lit("r").alias("run_id"), F.lit("a.rs").alias("file"), (F.col("id") % 2 + 2).cast("int").alias("start_line"), (F.col("id") % 2 + 2).cast("int").alias("end_line"), F.lit(False).alias("covered"), F.col("id").alias("block_id"), F.lit("r").alias("report"))
+    files = blocks.file_percent_by_span(found, ["report", "file"]).select("report", "file", "percent", F.lit("cargo-test").alias("framework"))
+    code = spark.createDataFrame([("a.rs", "fn f() {\n    x();\n    y();\n}\n")], "file string, source string")
+    seen, located = [], report.located
+    monkeypatch.setattr(report, "located", lambda b, *more: seen.append(b.count()) or located(b, *more))
+    got = report.coverage_suggestions(files, found, code)
+    assert seen == [2]
+    (row,) = got.where("line_range != 'entire file'").collect()
+    assert (row.line_range, row.function, row.idx, row.uncovered_lines) == ("2-3", "f", 0, [2, 3])
+
+
+def test_texts_of_equal_ranges_meet_lines_once(spark):
+    from tests.test_hot_files import rows_of
+
+    files = spark.createDataFrame([("a", "\n".join(str(i) for i in range(1, 101)))], "file string, source string")
+    ranges = spark.range(500).select(F.col("id").alias("key"), F.lit("a").alias("file"), F.lit(1).alias("start_line"), F.lit(90).alias("end_line"))
+    got = sources.texts_of(ranges, files)
+    assert {r.text for r in got.collect()} == {"\n".join(str(i) for i in range(1, 91))}
+    assert rows_of(got._jdf.queryExecution().executedPlan(), "Join") <= 500
