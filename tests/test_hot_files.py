@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gapfeed.operators import gaps, sources
+from gapfeed.operators import gaps, pairs, sources
 
 
 def rows_of(plan, name):
@@ -103,3 +103,25 @@ def test_overlaps_never_become_pairs(spark):
     for found in (gaps.span_of_block(rows.withColumnRenamed("id", "block_id"), rows.selectExpr("file", "id as span_pos", "'x' as name", "start_line", "end_line"), ["file"]), gaps.branch_of_block(rows.withColumnRenamed("id", "block_id"), rows.withColumnRenamed("id", "branch_pos"), ["file"])):
         assert len(found.collect()) == n
         assert rows_of(found._jdf.queryExecution().executedPlan(), "Join") < 60 * n
+
+
+def test_all_pairs_of_a_hot_key_are_many_tasks(spark):
+    rng = random.Random(6)
+    left = spark.createDataFrame([(i, rng.choice(["hot", "hot", "b", None])) for i in range(300)], "id int, k string")
+    right = spark.createDataFrame([(f"n{i % 40}", rng.choice(["hot", "hot", "c", "b", None])) for i in range(200)], "name string, k string")
+    want = sorted(map(tuple, left.join(right, "k").select("id", "name", "k").collect()))
+    for most in (1, 50, 4000, 1 << 24):
+        got = pairs.all_pairs(left, right, ["k"], F.col("id"), most=most)
+        assert sorted(map(tuple, got.select("id", "name", "k").collect())) == want
+    plan = pairs.all_pairs(left, right, ["k"], F.col("id"), most=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan.split("Join Inner")[1].split("\n")[0]
+
+
+def test_tasks_that_name_a_function_are_found_without_pairs(spark):
+    """A task that names one class of 1,500 functions: the pairs are the result, and are made once."""
+    f = spark.range(1500).selectExpr("'f' as file", "'A' as owner", "concat('m', id) as name")
+    t = spark.range(40).selectExpr("id", "'f' as file", "'A' as target")
+    found = sources.targets_or_all(t, f)
+    assert found.count() == 60000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "Join LeftSemi" in plan.split("Join LeftAnti")[1]
