@@ -6,6 +6,7 @@ level. At a level only its classes and the lines that close them count, so a cla
 open at a line if it is the last of them: one carried value for each level, found by
 scans over splits (`operators.scans`), and of the open classes the last one owns.
 The end of a Python function is the nearest later line that is no deeper, by the same scan from the other side.
+Rows of lines are many more than the files they come from, whose size is what Spark knows: so none is broadcast.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def owners(rows: DataFrame, class_name: Column, closes: Column, asks: Column, **
     class_name: a class line's name, null for others; closes: whether a line closes the classes it is no deeper than.
     """
     rows = rows.withColumns({"_class": class_name, "_closes": closes, "_asks": asks})
-    at = rows.where(F.col("_class").isNotNull() | F.col("_closes") | F.col("_asks")).join(_levels(rows, F.col("_class").isNotNull()), "file")
+    at = rows.where(F.col("_class").isNotNull() | F.col("_closes") | F.col("_asks")).join(_levels(rows, F.col("_class").isNotNull()).hint("merge"), "file")
     each = at.withColumn("level", F.explode("levels")).drop("levels")
     opens = F.col("_class").isNotNull() & (F.col("indent") == F.col("level"))
     shuts = F.col("_closes") & (F.col("indent") <= F.col("level"))
@@ -65,9 +66,9 @@ def _python_ends(rows: DataFrame, **how) -> DataFrame:
     code = running(code, ["file"], lasts={"before": F.col("pos")}, exclusive=True, **how)
     last = code.groupBy("file").agg(F.max("pos").alias("last"))
     is_def = F.col("line").rlike(_DEF)
-    each = code.join(_levels(code, is_def), "file").withColumn("level", F.explode("levels")).where(F.col("indent") <= F.col("level"))
+    each = code.join(_levels(code, is_def).hint("merge"), "file").withColumn("level", F.explode("levels")).where(F.col("indent") <= F.col("level"))
     back = running(each.withColumn("back", -F.col("pos")), ["file", "level"], "back", lasts={"end": F.col("before")}, exclusive=True, **how)
-    return back.where(is_def & (F.col("indent") == F.col("level"))).join(last, "file").select("file", "pos", F.coalesce("end", "last").alias("end_line"))
+    return back.where(is_def & (F.col("indent") == F.col("level"))).join(last.hint("merge"), "file").select("file", "pos", F.coalesce("end", "last").alias("end_line"))
 
 
 def _spans(named: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def python_scopes(files: DataFrame, **how) -> DataFrame:
     defined = F.regexp_extract("line", _DEF, 1)
     asks = F.col("line").rlike(_DEF) & ~defined.rlike("^__.*__$") & ~F.startswith("t", F.lit("class "))
     found = rows.where(asks).select("file", "pos", defined.alias("bare"), parameter_list(F.regexp_extract("line", _DEF, 2)).alias("all"))
-    found = found.join(owners(rows, class_name, F.col("t") != "", asks, **how), ["file", "pos"], "left").join(_python_ends(rows, **how), ["file", "pos"])
+    found = found.join(owners(rows, class_name, F.col("t") != "", asks, **how).hint("merge"), ["file", "pos"], "left").join(_python_ends(rows, **how).hint("merge"), ["file", "pos"])
     owned = F.col("owner").isNotNull()
     params = F.when(owned & F.coalesce(F.get("all", F.lit(0)).isin("self", "cls"), F.lit(False)), F.slice("all", 2, 1 << 20)).otherwise(F.col("all"))
     return _spans(found.select("file", "pos", F.when(owned, F.concat("owner", F.lit("."), "bare")).otherwise(F.col("bare")).alias("name"), F.when(owned, "method").otherwise("function").alias("kind"), "end_line", params.alias("params")))
@@ -99,7 +100,7 @@ def _brace_ends(files: DataFrame, **how) -> DataFrame:
     closed = pairs.withColumn("end", following(F.when(F.col("token") == "}", F.col("line")))).where("token = '{'").select("file", "ord", "line", "end")
     first = closed.groupBy("file", F.col("line").alias("pos")).agg(F.min_by("end", "ord").alias("end"), F.min("ord").alias("ord"))
     lines = files.select("file", F.explode(F.sequence(F.lit(1), F.size(F.split("source", "\n")))).alias("pos"), F.size(F.split("source", "\n")).alias("last"))
-    both = lines.join(first, ["file", "pos"], "left").withColumn("back", -F.col("pos"))
+    both = lines.join(first.hint("merge"), ["file", "pos"], "left").withColumn("back", -F.col("pos"))
     none = F.when(F.col("ord").isNotNull(), F.coalesce("end", "last"))
     return running(both, ["file"], "back", lasts={"end_line": none}, **how).select("file", "pos", F.coalesce("end_line", "last").alias("end_line"))
 
@@ -114,6 +115,6 @@ def script_scopes(files: DataFrame, **how) -> DataFrame:
     listed = F.when(by_function, F.regexp_extract("line", _FUNCTION, 2)).otherwise(F.coalesce(F.when(F.regexp_extract("line", _VARIABLE, 2) != "", F.regexp_extract("line", _VARIABLE, 2)), F.regexp_extract("line", _VARIABLE, 3)))
     asks = (bare != "") & ~bare.isin(*HELPERS) & ~F.startswith(bare, F.lit("test")) & ~F.startswith(bare, F.lit("mock")) & ~F.startswith("t", F.lit("class "))
     found = rows.where(asks).select("file", "pos", "indent", bare.alias("bare"), parameter_list(listed).alias("params"))
-    found = found.join(owners(rows, class_name, F.startswith("t", F.lit("}")), asks, **how), ["file", "pos"], "left").join(_brace_ends(files.where("source is not null"), **how), ["file", "pos"])
+    found = found.join(owners(rows, class_name, F.startswith("t", F.lit("}")), asks, **how).hint("merge"), ["file", "pos"], "left").join(_brace_ends(files.where("source is not null"), **how).hint("merge"), ["file", "pos"])
     owned = F.col("owner").isNotNull() & (F.col("indent") > F.col("owner_indent"))
     return _spans(found.select("file", "pos", F.when(owned, F.concat("owner", F.lit("."), "bare")).otherwise(F.col("bare")).alias("name"), F.when(owned, "method").otherwise("function").alias("kind"), "end_line", "params"))

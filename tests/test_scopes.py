@@ -102,3 +102,10 @@ def test_parameters_and_odd_files(spark):
     files = spark.createDataFrame([("a.js", js), ("b.js", None)], "file string, source string")
     assert [(s.name, s.start_line, s.end_line, s.params) for s in scopes.script_scopes(files).orderBy("start_line").collect()] == [("go", 1, 3, ["a", "b"]), ("one", 4, 5, ["q"])]
     assert scopes.python_scopes(files.limit(0)).count() == 0
+
+
+def test_no_side_of_lines_is_broadcast(spark):
+    """Spark takes rows of lines for no larger than the files they come from, and would hold them in the driver."""
+    files = spark.range(2).selectExpr("concat('a', id) as file", "'class A:\\n  def f(self):\\n    return 1' as source")
+    for found in (scopes.python_scopes(files), scopes.script_scopes(files)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
